@@ -43,3 +43,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def with_defaults(text: str | Column) -> Column:
     """The text, a null one as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def words_of(text: str | Column) -> Column:
+    """The words of a text in order; none for a null or blank one."""
+    bare = F.btrim(with_defaults(text), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
+
+
+def shingle_hashes(text: str | Column, width: int = 5) -> Column:
+    """64-bit hashes of the runs of ``width`` words; of a shorter text one hash of all its words."""
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        wide = F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(width))))
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(wide)
+
+    return let(words_of(text), runs)

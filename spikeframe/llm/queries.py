@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, fingerprints, mixing
 from .common import table
 
 
@@ -17,7 +17,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_exact_dedup": op2_exact_dedup}
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op7_fingerprints": op7_fingerprints,
+}
 
 ORACLES = {
     "op1_mix": r"""
