@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, secrets
+from . import exact_dedup, fingerprints, mixing, secrets, warc
 from .common import table
 
 
@@ -25,11 +25,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secrets": op3_secrets,
     "op7_fingerprints": op7_fingerprints,
+    "op8_warc": op8_warc,
 }
 
 ORACLES = {
@@ -71,5 +76,14 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id,
   count(*) OVER (PARTITION BY text) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY text) AS kept, sha256(text) AS text_sha256
 FROM t
+""",
+    "op8_warc": """
+WITH t AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM g
 """,
 }
