@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, secrets, toxicity, warc
+from . import exact_dedup, fingerprints, mixing, pieces, secrets, toxicity, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secrets": op3_secrets,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
