@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, pieces, secrets, toxicity, warc
+from . import exact_dedup, fingerprints, mixing, near_dedup, pieces, secrets, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_exact_dedup": op2_exact_dedup,
@@ -45,6 +49,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
