@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, pieces, secrets, toxicity, warc
+from . import chat, exact_dedup, fingerprints, main_text, mixing, near_dedup, pieces, secrets, toxicity, warc
 from .common import table
 
 
@@ -29,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = main_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"))
 
@@ -47,8 +57,10 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
+    "op6_chat": op6_chat,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
+    "op9_main_text": op9_main_text,
     "op10_near_dedup": op10_near_dedup,
 }
 
@@ -100,5 +112,27 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM g
+""",
+    "op6_chat": """
+WITH t AS (
+  SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '<|', '<\\|') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS NOT NULL AND speaker <> 'system'),
+r AS (
+  SELECT t.conv_id, perspective, turn, coalesce(floor(turn / 256), 2147483647)::BIGINT AS part,
+    speaker IS NOT DISTINCT FROM perspective AS own,
+    '<|im_start|>' || CASE WHEN speaker IS NOT DISTINCT FROM perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+      WHEN speaker IS NULL THEN 'user' ELSE 'user name=' || speaker END || chr(10) AS head, body || '<|im_end|>' AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS begin_at, sum(length(head) + length(body) + 1) OVER w - 1 AS end_at
+  FROM r WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, head, body, own ROWS UNBOUNDED PRECEDING)),
+g AS (
+  SELECT conv_id, perspective, part, count(*)::BIGINT AS n_turns, sum(length(head) + length(body) + 1)::BIGINT AS n_chars,
+    string_agg(head || body || chr(10), '' ORDER BY turn NULLS LAST, head, body, own) AS text,
+    coalesce(string_agg(CASE WHEN own THEN begin_at || ':' || end_at END, ',' ORDER BY turn NULLS LAST, head, body, own), '') AS mask
+  FROM o GROUP BY ALL)
+SELECT conv_id, perspective, part, n_turns, n_chars, text, mask,
+  coalesce(sum(n_chars) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+FROM g
 """,
 }
