@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import let, materialise, shingle_hashes, with_defaults
 
 K, WIDTH = 256, 5
-#: Text bytes that one bucket of the id order holds, about; for at least MIN_BUCKETS buckets.
-BUCKET_BYTES, MIN_BUCKETS = 32 << 20, 32
+#: Text bytes that one bucket of the id order holds, about; the buckets are at least and at most so many.
+BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 8 << 20, 32, 20_000
 
 
 def bottom(hashes: Column, k: int = K) -> Column:
@@ -78,7 +78,7 @@ def as_text(a: Column) -> Column:
 def _cuts(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
     """Ids, ascending, that cut the table into buckets of about BUCKET_BYTES of text."""
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count("*").alias("n")).first()
-    n = min(total.n or 0, max(MIN_BUCKETS, math.ceil((total.b or 0) / BUCKET_BYTES)))
+    n = min(total.n or 0, MAX_BUCKETS, max(MIN_BUCKETS, math.ceil((total.b or 0) / BUCKET_BYTES)))
     if n < 2:
         return []
     at = [i / n for i in range(1, n)]
