@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import signals
+
+QUERIES = {**signals.QUERIES}
+ORACLES: dict[str, str] = {**signals.ORACLES}
