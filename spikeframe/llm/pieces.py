@@ -12,8 +12,10 @@ everywhere, and it is the one that merging finds.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Units that a worker remembers, and cells of one group that advance at once.
-REMEMBERED, GROUP_CELLS = 800_000, 1 << 21
+REMEMBERED, GROUP_CELLS = 500_000, 1 << 21
 #: Slots of the table of key bits that is looked at before the keys, and of the table of pairs of pieces.
 BITS_SEEN, BITS_PAIRS = 22, 20
 UNIGRAM, BPE = 1, 2
@@ -81,9 +83,9 @@ class Codec:
         self.singles = sum(len(t) == 1 for t in self.text)
         self.longest = max(map(len, self.text))
         self.score = np.array([m.scores[i] for i in self.ids])
-        self.power = np.ones(self.longest + 1, dtype=np.uint64)
-        for n in range(1, self.longest + 1):
-            self.power[n] = self.power[n - 1] * BASE
+        self.power = np.full(self.longest + 1, BASE, dtype=np.uint64)
+        self.power[0] = 1
+        self.power = np.cumprod(self.power, dtype=np.uint64)
         self.length = np.array([len(t) for t in self.text])
         self.hash = np.array([self._hash(t) for t in self.text], dtype=np.uint64)
         keys = self.hash ^ (self.length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -97,6 +99,8 @@ class Codec:
             self._split()
             self.pair_key = np.full(1 << BITS_PAIRS, -1, dtype=np.int64)
             self.pair_fits = np.zeros(1 << BITS_PAIRS, dtype=bool)
+        #: Neighbours that some piece holds; between any others no piece goes on.
+        self.inside = {t[i : i + 2] for t in self.text for i in range(len(t) - 1)}
         self.decoded = [self._plain(i) for i in range(len(m.pieces))]
 
     def _hash(self, text: str) -> np.uint64:
@@ -217,41 +221,52 @@ class Codec:
                     at = np.flatnonzero(can & (value > best[j]))
                     best[j, at] = value[at]
                 last[j, at], step[j, at] = found[at], n
-        last, step = last.T.tolist(), step.T.tolist()
-        out: list[list[int]] = [[] for _ in range(rows)]
-        for row in range(rows):
-            j, ranks, steps = size, last[row], step[row]
-            while j > 0:
-                out[row].append(ranks[j])
-                j -= steps[j]
-            out[row].reverse()
-        return out
+        # all units walk back together; each leaves its pieces from the last to the first
+        rank, count = np.full((rows, size), -2, dtype=np.int64), np.zeros(rows, dtype=np.int64)
+        at, live = np.full(rows, size), np.arange(rows)
+        while len(live):
+            rank[live, count[live]] = last[at[live], live]
+            count[live] += 1
+            at[live] -= step[at[live], live]
+            live = live[at[live] > 0]
+        order = count[:, None] - 1 - np.arange(size)
+        flat = np.take_along_axis(rank, np.maximum(order, 0), axis=1)[order >= 0].tolist()
+        ends = np.cumsum(count).tolist()
+        return [flat[e - n : e] for e, n in zip(ends, count.tolist(), strict=True)]
 
     def _learn(self, units: list[str]) -> None:
-        """Encode units that are not remembered yet."""
+        """Encode units that are not remembered yet; a last character that joins no other, such as a full stop, goes by itself."""
+        ended = [u for u in units if len(u) > 2 and u[-2:] not in self.inside and u[-2] != SPACE]
+        parts = {u[:-1] for u in ended} | {u[-1] for u in ended}
+        parts.update(set(units).difference(ended))
         by_length: dict[int, list[str]] = {}
-        for u in units:
-            by_length.setdefault(len(u), []).append(u)
+        for u in parts:
+            if u not in self.memory:
+                by_length.setdefault(len(u), []).append(u)
         for size, group in by_length.items():
             block = max(1, GROUP_CELLS // (size + 1) // 16)
             for at in range(0, len(group), block):
                 part = group[at : at + block]
                 for unit, ranks in zip(part, self._viterbi(part), strict=True):
                     self.memory[unit] = self._to_ids(unit, ranks)
-
-    def _to_ids(self, unit: str, ranks: list[int]) -> list[int]:
+        for u in ended:
+            self.memory[u] = self.memory[u[:-1]] + self.memory[u[-1]]
+
+    def _to_ids(self, unit: str, ranks: list[int]) -> tuple[int, ...]:
+        if -1 not in ranks:
+            if "".join(map(self.text.__getitem__, ranks)) != unit:
+                raise ValueError(f"two substrings have one key: {unit!r}")
+            return tuple(map(self.ids.__getitem__, ranks))
         ids, at = [], 0
         for r in ranks:
             if r >= 0:
-                if self.text[r] != unit[at : at + len(self.text[r])]:
-                    raise ValueError(f"two substrings have one key: {unit!r}")
                 ids.append(self.ids[r])
                 at += len(self.text[r])
             else:
                 raw = unit[at].encode("utf-8", "surrogatepass")
                 ids += [self.bytes[b] if self.bytes[b] >= 0 else self.unknown for b in raw]
                 at += 1
-        return ids
+        return tuple(ids)
 
     def _blank_run(self, n: int) -> list[int]:
         """Ids of n blanks in a row: the leftmost pair that makes a piece is joined first."""
@@ -267,39 +282,30 @@ class Codec:
             self.blanks[n] = [self.blank[p] for p in parts]
         return self.blanks[n]
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Units: a blank and the characters up to the next blank or line end, or a line end."""
-        units: list[str] = []
-        for part in text.split(SPACE):
-            if "\n" in part:
-                first, *rest = part.split("\n")
-                units.append(SPACE + first)
-                for line in rest:
-                    units.append("\n")
-                    if line:
-                        units.append(line)
-            else:
-                units.append(SPACE + part)
-        return units
+    def _cut(self, text: str) -> list[str]:
+        """Units: a blank and the characters up to the next blank or line end, or a line end; some are empty."""
+        if not text:
+            return []
+        text = text.replace(SPACE, " ")
+        sign = "\x00"
+        if sign in text:
+            sign = next(c for c in map(chr, range(0xE000, 0x10FFFF)) if c not in text)
+        marked = text.replace(" ", sign + SPACE).replace("\n", f"{sign}\n{sign}")
+        return (SPACE + marked if self.model.dummy_prefix else marked).split(sign)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = []
-        for t in texts:
-            t = t.replace(" ", SPACE)
-            units = self._cut(t) if t else []
-            if t and not self.model.dummy_prefix:
-                units[0] = units[0][1:]
-                units = units if units[0] else units[1:]
-            cut.append(units)
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        fresh = {u for units in cut for u in units if u not in self.memory}
+        cut = [self._cut(t) for t in texts]
+        memory = self.memory
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        memory.setdefault("", ())
+        fresh = set(chain.from_iterable(cut))
         fresh.discard(SPACE)
-        self._learn(list(fresh))
-        return [self._assemble(units) for units in cut]
+        self._learn([u for u in fresh if u not in memory])
+        return [self._assemble(u) if SPACE in u else list(chain.from_iterable(map(memory.__getitem__, u))) for u in cut]
 
     def _assemble(self, units: list[str]) -> list[int]:
+        """Ids of units with runs of blanks among them."""
         ids: list[int] = []
         memory, lone, blanks = self.memory, self.blank.get(1), 0
         for u in units:
@@ -307,7 +313,7 @@ class Codec:
                 blanks += 1
                 continue
             got = memory[u]
-            if blanks:
+            if blanks and u:
                 # a blank that no piece of the unit takes belongs to the run before it
                 if got[0] == lone and u[0] == SPACE:
                     ids += self._blank_run(blanks + 1)
@@ -336,7 +342,7 @@ def _codec(sent) -> Codec:
     return _codecs[key]
 
 
-def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str = DEFAULT_MODEL, rows: int = 1024) -> DataFrame:
+def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str = DEFAULT_MODEL, rows: int = 512) -> DataFrame:
     """docs with the ids of each whole text (array<int>); a null text has none, like an empty one."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain, at = docs.toDF(*names), docs.columns.index(text_col)
@@ -370,19 +376,29 @@ def decode_column(docs: DataFrame, ids_col: str = "token_ids", out_col: str = "d
     return plain.mapInArrow(task, schema).toDF(*docs.columns, out_col)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_MODEL) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_MODEL, rows: int = 512) -> DataFrame:
     """One row per input row: id, n_tokens, token_ids, decoded_sha256, round_trip.
 
-    Ids are those that the model's own library gives. round_trip tells whether decoding
-    gives the text back (a text with the blank sign U+2581 itself gets a space for it).
-    A null or empty text has no tokens. Repeated rows each get theirs; an empty table gives no rows.
+    Ids are those that the model's own library gives; decoding follows in the same pass.
+    round_trip tells whether it gives the text back (a text with the blank sign U+2581
+    itself gets a space for it). A null or empty text has no tokens. Repeated rows each
+    get theirs; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = decode_column(encode_column(rows, path=path), path=path)
-    return both.select(
-        F.col("id").alias(id_col),
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        "token_ids",
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
-    )
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(Pieces.load(path))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(sent)
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                texts = part.column(1).to_pylist()
+                ids = codec.encode(texts)
+                back = [codec.decode(x) for x in ids]
+                digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
+                same = [a == b for a, b in zip(back, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["id", "token_ids", "decoded_sha256", "round_trip"])
+
+    kind = plain.schema["id"].dataType.simpleString()
+    made = plain.mapInArrow(task, f"id {kind}, token_ids array<int>, decoded_sha256 string, round_trip boolean")
+    return made.select(F.col("id").alias(id_col), F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded_sha256", "round_trip")
