@@ -25,11 +25,7 @@ def lag_correlogram(ref: DataFrame, test: DataFrame, tol: int, max_lag: int, key
     max(0, tol - abs(lag - (a - b))) to each lag; differences are counted first.
     """
     diffs = _pairs_within(ref, test, keys, max_lag + tol - 1).groupBy(*keys, (F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n"))
-    lags = F.sequence(F.greatest(F.col("d") - (tol - 1), F.lit(-max_lag).cast("long")), F.least(F.col("d") + (tol - 1), F.lit(max_lag).cast("long")))
-    fits = F.abs("d") <= max_lag + tol - 1
-    spread = diffs.where(fits).select(*keys, "d", "n", F.explode(lags).alias("lag"))
-    weight = F.col("n") * (tol - F.abs(F.col("lag") - F.col("d")))
-    return spread.groupBy(*keys, "lag").agg(F.sum(weight).alias("corr"))
+    return _spread(diffs, tol, max_lag, keys)
 
 
 def best_lag(correlogram: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
@@ -148,15 +144,24 @@ def agreement_within(spikes: DataFrame, tol_spike: int, max_lag: int) -> DataFra
     return _agree(a, b, tol_spike, max_lag, True)
 
 
-def _agree(a: DataFrame, b: DataFrame, tol: int, max_lag: int, within: bool) -> DataFrame:
+def unit_pairs(a: DataFrame, b: DataFrame, tol: int, max_lag: int, within: bool = False) -> DataFrame:
+    """(recording_id, unit_ref, unit_test, corr, lag): the units that belong together, by their best correlation."""
     near = _pairs_within(a, b, ("recording_id",), max_lag + tol - 1)
     if within:
         near = near.where(F.col("unit_ref") < F.col("unit_test"))
     diffs = near.groupBy(*PAIR, (F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n"))
+    return assign_units(best_lag(_spread(diffs, tol, max_lag, PAIR)), within)
+
+
+def _spread(diffs: DataFrame, tol: int, max_lag: int, keys: tuple[str, ...]) -> DataFrame:
+    """Counts of differences (keys, d, n) as triangles over the lags."""
     lags = F.sequence(F.greatest(F.col("d") - (tol - 1), F.lit(-max_lag).cast("long")), F.least(F.col("d") + (tol - 1), F.lit(max_lag).cast("long")))
-    spread = diffs.select(*PAIR, "d", "n", F.explode(lags).alias("lag"))
-    corr = spread.groupBy(*PAIR, "lag").agg(F.sum(F.col("n") * (tol - F.abs(F.col("lag") - F.col("d")))).alias("corr"))
-    pairs = assign_units(best_lag(corr), within)
+    spread = diffs.select(*keys, "d", "n", F.explode(lags).alias("lag"))
+    return spread.groupBy(*keys, "lag").agg(F.sum(F.col("n") * (tol - F.abs(F.col("lag") - F.col("d")))).alias("corr"))
+
+
+def _agree(a: DataFrame, b: DataFrame, tol: int, max_lag: int, within: bool) -> DataFrame:
+    pairs = unit_pairs(a, b, tol, max_lag, within)
     left = pairs.select(*PAIR).join(a, ["recording_id", "unit_ref"])
     right = pairs.select(*PAIR).join(b, ["recording_id", "unit_test"])
     return rate_of_agreement(left, right, pairs, tol)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import assign_batches, trim_edges
 
@@ -89,7 +90,7 @@ def ewma_covariance(cov: DataFrame, start: DataFrame, alpha: float) -> DataFrame
     return runs.select("recording_id", "i", "j", F.inline(out))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _logdet(rows: pd.Series, size: pd.Series) -> pd.Series:
     def one(values, n):
         m = np.zeros((n, n))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import signals
+from . import signals, trains
 
-QUERIES = {**signals.QUERIES}
-ORACLES: dict[str, str] = {**signals.ORACLES}
+QUERIES = {**signals.QUERIES, **trains.QUERIES}
+ORACLES: dict[str, str] = {**signals.ORACLES, **trains.ORACLES}
