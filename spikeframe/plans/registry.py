@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import signals, trains
+from . import adaptive, signals, trains
 
-QUERIES = {**signals.QUERIES, **trains.QUERIES}
-ORACLES: dict[str, str] = {**signals.ORACLES, **trains.ORACLES}
+QUERIES = {**signals.QUERIES, **trains.QUERIES, **adaptive.QUERIES}
+ORACLES: dict[str, str] = {**signals.ORACLES, **trains.ORACLES, **adaptive.ORACLES}
