@@ -43,7 +43,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", text_col: str = "htm
     payload = with_defaults(text_col).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     joined = rows.join(fate, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
-    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    # only rows repeated with id and payload need a number; it would move the payloads once more
+    repeated = not entries.where("copies > 1").isEmpty()
+    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) if repeated else F.lit(1)
     first = F.col("page_id").eqNullSafe(F.col("keep_id")) & (nth == 1)
     revisit = (F.octet_length("payload") >= MIN_REVISIT_BYTES) & ~first
     return joined.select("page_id", "url", "payload", "digest", "keep_id", revisit.alias("revisit"))
