@@ -2,8 +2,9 @@
 
 Two first-order models over one alphabet, of random strings and of ordinary
 identifiers, are trained from labelled samples: the values that the fixed patterns
-match are the random strings, the other runs of identifier characters the ordinary
-ones. A run whose log-likelihood ratio is large enough is a further span.
+match and digests of ids are the random strings, the other runs of identifier
+characters the ordinary ones. A run whose log-likelihood ratio is large enough is a
+further span.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 MIN_LLR = 12.0
 #: Rows for training, about: their share of the table is taken by a hash of the id.
 SECRET_ROWS, ORDINARY_ROWS = 100_000, 4_000
+#: Characters of a sample that count, so that no single long one decides.
+TRAIN_CHARS = 64
 #: Weight of a uniform distribution in each row of transitions.
 PRIOR = 20.0
 
@@ -110,7 +113,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secre
     cut = lambda span: F.substring(F.col("text"), span["start"] + 1, span["stop"] - span["start"])
     secrets = _scan(sample(secret_rows), id_col, text_col).select("text", F.explode(F.concat("assign", "access", "hex")).alias("span"))
     value = F.when(F.col("span.kind") == "assign", F.regexp_extract(cut(F.col("span")), ASSIGN, 2)).otherwise(cut(F.col("span")))
-    random = _pairs(secrets.select(value.alias("s")), "s")
+    # digests of ids are random strings over the whole alphabet
+    digest = F.base64(F.unhex(F.sha2(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"), 256)))
+    random = _pairs(secrets.select(F.substring(value, 1, TRAIN_CHARS).alias("s")).unionByName(sample(ordinary_rows).select(digest.alias("s"))), "s")
     bare = with_defaults(text_col)
     for pattern in (ASSIGN, ACCESS, HEX):
         bare = F.regexp_replace(bare, pattern, " ")

@@ -82,10 +82,14 @@ def train_dictionary(records: list[bytes]) -> bytes:
     """Dictionary from records, empty when they are too few to build one."""
     if len(records) < 16:
         return b""
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, records).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    size = DICT_BYTES
+    while size >= 1024:
+        try:
+            return zstandard.train_dictionary(size, records).as_bytes()
+        except zstandard.ZstdError:  # too little to learn from for this size
+            size //= 4
+    # records too much alike to train on: some of them as they are
+    return b"".join(records[:16])[-DICT_BYTES:]
 
 
 class ArchiveWriter:
