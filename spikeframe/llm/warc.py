@@ -98,7 +98,7 @@ class ArchiveWriter:
     def __init__(self, folder: str, records: list[bytes]):
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         where, path = fs.FileSystem.from_uri(self.path)
-        self.out = where.open_output_stream(path)
+        self.out = where.open_output_stream(path, compression=None)
         self.records = self.size = 0
         trained = train_dictionary(records)
         if trained:
@@ -234,7 +234,7 @@ def _read(with_payload: bool, rows: int = 256):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 where, path = fs.FileSystem.from_uri(uri)
-                with where.open_input_stream(path) as stream:
+                with where.open_input_stream(path, compression=None) as stream:
                     held = []
                     for record in frames(stream):
                         held.append(parse_record(record))
