@@ -198,3 +198,14 @@ def scales(df: DataFrame, x: str = "channels") -> DataFrame:
     pairs = F.array_sort(F.collect_list(F.struct("channel", "s")))
     return one.groupBy("recording_id").agg(F.transform(pairs, lambda p: p["s"]).alias("scale"))
 
+
+
+def build_model(tables: dict[str, DataFrame], z: DataFrame, batch_size: int, alpha: float, size: int, contrast: str = "logcosh") -> tuple[DataFrame, DataFrame]:
+    """What a run starts from: units with heights and contrast statistics, and recordings with those of the whitening.
+
+    tables: what read_model returns; z: the calibration signal, extended and whitened.
+    """
+    stats = calibrate_contrast(tables["ipts"], tables["spikes"], contrast)
+    units = init_heights(tables["model_units"]).join(stats, ["recording_id", "unit"], "left")
+    whole = tables["recordings"].join(calibrate_whitening(z, batch_size, alpha, size), "recording_id", "left")
+    return units, whole

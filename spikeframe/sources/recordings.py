@@ -39,6 +39,37 @@ def transpose(df: DataFrame, by: list[str], row: str, values: str) -> DataFrame:
     return cells.groupBy(*by, "row_idx").agg(F.transform(cell, lambda c: c["v"]).alias("values"))
 
 
+def read_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Tables of calibrated models from Parquet with a row for each recording.
+
+    Its columns: recording_id, WH (matrix rows), BRT (a row for each whitened dimension),
+    N_CENT, SIG_CENT, EXT_FACT, EMG (a row for each channel), IPTs (a row for each unit)
+    and firings (sample numbers of each unit, counted from 1). Results: recordings,
+    model_whitening, model_units, and the calibration's signal, ipts and spikes.
+    """
+    df = spark.read.parquet(path)
+    key = F.col("recording_id")
+
+    def turned(matrix: str, row: str, out: str) -> DataFrame:
+        rows = df.select(key, F.posexplode(matrix).alias("at", "values"))
+        return transpose(rows, ["recording_id"], "at", "values").select(key, F.col("row_idx").alias(row), F.col("values").alias(out))
+
+    units = turned("BRT", "unit", "w").join(df.select(key, "N_CENT", "SIG_CENT"), "recording_id")
+    centre = lambda name: F.get(F.col(name), F.col("unit"))
+    units = units.select(key, F.lit(0).cast("long").alias("version"), "unit", "w", centre("N_CENT").alias("base_centr"), centre("SIG_CENT").alias("spikes_centr"))
+    ipts = df.select(key, F.posexplode("IPTs").alias("unit", "row")).select(key, "unit", F.posexplode("row").alias("sample_idx", "ipt"))
+    firings = df.select(key, F.posexplode("firings").alias("unit", "firings"))
+    long = lambda t: t.withColumn("sample_idx", F.col("sample_idx").cast("long"))
+    return {
+        "recordings": df.select(key, F.col("EXT_FACT").cast("int").alias("ext_fact")),
+        "model_whitening": df.select(key, F.lit(0).cast("long").alias("version"), F.posexplode("WH").alias("row_idx", "w")),
+        "model_units": units.withColumn("height", F.col("spikes_centr") - (F.col("spikes_centr") - F.col("base_centr")) / 2),
+        "signal": long(turned("EMG", "sample_idx", "channels")).withColumn("source", F.lit("calib")),
+        "ipts": long(ipts).withColumn("run_id", F.lit("calib")),
+        "spikes": long(firings_to_spikes(firings, one_based=True)).withColumn("source", F.lit("calib")),
+    }
+
+
 def firings_to_spikes(df: DataFrame, one_based: bool = False) -> DataFrame:
     """Rows with an array ``firings`` -> one row for each spike, sample_idx counted from 0."""
     keys = [c for c in df.columns if c != "firings"]

@@ -127,3 +127,38 @@ def test_one_row_batch_and_flat_channel(spark):
     kl = md.kl_to_identity(cov.where("batch_idx = 0"), 2)
     assert kl.first().kl is None
     assert md.scales(df).first().scale == [0.0, 0.0]
+
+
+def test_model_source_and_start(spark, tmp_path):
+    emg = RNG.normal(size=(2, 40))
+    ipts = RNG.normal(size=(2, 40)) + 2
+    row = ("r", np.eye(2).tolist(), [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], [0.5, 0.6, 0.7], [4.5, 4.6, 4.7], 1, emg.tolist(), ipts.tolist(), [[1, 11, 30], [5]])
+    schema = "recording_id string, WH array<array<double>>, BRT array<array<double>>, N_CENT array<double>, SIG_CENT array<double>, EXT_FACT int, EMG array<array<double>>, IPTs array<array<double>>, firings array<array<long>>"
+    spark.createDataFrame([row], schema).write.parquet(str(tmp_path / "model"))
+    tables = rec.read_model(spark, str(tmp_path / "model"))
+    units = {r.unit: r for r in tables["model_units"].collect()}
+    assert units[1].w == [2.0, 5.0] and units[2].base_centr == 0.7 and units[0].height == 2.5
+    assert np.allclose(array(tables["signal"]), emg.T)
+    assert sorted((r.unit, r.sample_idx) for r in tables["spikes"].collect()) == [(0, 0), (0, 10), (0, 29), (1, 4)]
+    z = tables["signal"].withColumn("z", F.col("channels"))
+    model, whole = md.build_model(tables, z, 8, 0.1, 2)
+    got = {r.unit: r for r in model.collect()}
+    want = np.log(np.cosh(ipts[0][[0, 10, 29]]))
+    assert np.isclose(got[0].contrast_mean, want.mean()) and np.isclose(got[0].contrast_std, want.std(ddof=1))
+    assert got[1].contrast_std is None and whole.first().kl_mean is not None
+
+
+def test_outputs_and_metrics(spark, tmp_path):
+    spikes = spark.createDataFrame([("1", 0, 5), ("2", 1, 7)], "recording_id string, unit int, sample_idx long")
+    rec.write_outputs({"spikes": spikes}, str(tmp_path / "out"))
+    back = rec.read_outputs(spark, str(tmp_path / "out"), ["spikes"])["spikes"]
+    assert {(r.recording_id, r.unit, r.sample_idx) for r in back.collect()} == {("1", 0, 5), ("2", 1, 7)}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        rec.write_outputs({"spikes": spikes}, str(tmp_path / "out"))
+    for _ in range(2):
+        rec.log_metrics({"run_summary": spikes}, str(tmp_path / "metrics"))
+    assert spark.read.parquet(str(tmp_path / "metrics/run_summary")).count() == 4
+    snapshots = spikes.select("recording_id", F.col("unit").alias("version"))
+    for _ in range(2):
+        rec.append_params(snapshots, str(tmp_path / "params"))
+    assert spark.read.parquet(str(tmp_path / "params")).count() == 2
