@@ -10,24 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import contrast_of, dot
 from .frames import assign_batches, trim_edges
 
-#: Longest row that is multiplied as an unrolled expression; longer ones go to numpy.
-UNROLLED = 64
-CONTRASTS = ("logcosh", "cube")
-
-
-def dot(a: str | Column, b: str | Column, size: int | None = None) -> Column:
-    """Scalar product of two arrays; of known size it is unrolled and compiled."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    if size is not None and size <= UNROLLED:
-        terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(size)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
 
 def project(df: DataFrame, rows: DataFrame, x: str, size: int | None = None, key: str = "unit", out: str = "ipt") -> DataFrame:
     """A row for each row of df and each matrix row (recording_id, key, w): their product.
@@ -120,12 +105,6 @@ def whitening_loss(kl: DataFrame, calib: DataFrame) -> DataFrame:
     return kl.join(calib, "recording_id").select("recording_id", "batch_idx", (z * z).alias("wh_loss"))
 
 
-def contrast_of(col: Column, contrast: str) -> Column:
-    if contrast not in CONTRASTS:
-        raise ValueError(f"unknown contrast {contrast!r}; one of {', '.join(CONTRASTS)}")
-    return F.ln(F.cosh(col)) if contrast == "logcosh" else col * col * col / 6
-
-
 def separation_loss(ipts: DataFrame, spikes: DataFrame, calib: DataFrame, contrast: str = "logcosh") -> DataFrame:
     """(recording_id, batch_idx, unit, sv_loss): contrast of the mean spike height against the calibration.
 
@@ -199,7 +178,6 @@ def scales(df: DataFrame, x: str = "channels") -> DataFrame:
     return one.groupBy("recording_id").agg(F.transform(pairs, lambda p: p["s"]).alias("scale"))
 
 
-
 def build_model(tables: dict[str, DataFrame], z: DataFrame, batch_size: int, alpha: float, size: int, contrast: str = "logcosh") -> tuple[DataFrame, DataFrame]:
     """What a run starts from: units with heights and contrast statistics, and recordings with those of the whitening.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import lower_median, nan_median, nan_sum, valid
+
+__all__ = ["compare_runs", "lower_median", "nan_median", "nan_sum", "objective", "param_diff", "same_pairing", "summarise", "valid"]
+
 #: What a missing whitening loss costs in the objective.
 MISSING = 1e10
 
@@ -15,27 +19,6 @@ def summarise(df: DataFrame, col: str, by: list[str], sample: bool = False) -> D
     return df.groupBy(*by).agg(F.avg(v).alias("mean"), (F.stddev_samp(v) if sample else F.stddev_pop(v)).alias("std"), F.percentile(v, 0.5).alias("median"))
 
 
-def valid(col: str | Column) -> Column:
-    """NaN as NULL."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.when(~F.isnan(c), c)
-
-
-def lower_median(col: str) -> Column:
-    """The lower of the two middle values; NULL as soon as one value is missing."""
-    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col})")
-    return F.when(F.count(valid(col)) == F.count(F.lit(1)), middle)
-
-
-def nan_median(col: str) -> Column:
-    """The lower median of the values that are there."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN NOT isnan({col}) THEN {col} END)")
-
-
-def nan_sum(col: str) -> Column:
-    return F.coalesce(F.sum(valid(col)), F.lit(0.0))
-
-
 def objective(batches: DataFrame, units: DataFrame, by: list[str]) -> DataFrame:
     """What a search maximises: less the median whitening loss (1e10 if one is missing) and the median separation loss."""
     wh = batches.groupBy(*by).agg(F.coalesce(lower_median("wh_loss"), F.lit(MISSING)).alias("wh"))

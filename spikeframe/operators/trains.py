@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import hann
 from .frames import values_at_spikes
 from .peaks import local_maxima
 
@@ -46,10 +45,6 @@ def isi_cov(spikes: DataFrame, gap: float = 0.25, min_isi: float | None = None,
     return used.groupBy(*keys).agg((100 * F.stddev_pop("isi") / F.nullif(F.avg("isi"), F.lit(0.0))).alias("isi_cov"))
 
 
-def hann(size: int) -> list[float]:
-    return [0.5 - 0.5 * math.cos(2 * math.pi * n / (size - 1)) for n in range(size)] if size > 1 else [1.0] * size
-
-
 def inst_discharge_rate(spikes: DataFrame, lengths: DataFrame, fs: int, keys: tuple[str, ...] = UNIT) -> DataFrame:
     """(keys, sample_idx, rate) where not zero: twice the spikes smoothed by a window of one second.
 
