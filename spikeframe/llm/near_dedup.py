@@ -32,6 +32,8 @@ MIN_AGREE = 86
 #: Documents in a block of a large bucket.
 BLOCK = 500
 LAST_ID = (1 << 63) - 1
+#: Parts that the rows of one component are dealt to.
+SALTS = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,8 +183,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("tag").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near, labels.tag == near.a).select("tag", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        # each label's own label, once for each salt: a large component's rows go to as many tasks
         up = least.select(F.col("tag").alias("owner"), F.col("label").alias("up"))
-        jumped = least.join(up, F.col("label.tag") == F.col("owner"), "left").select("tag", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
+        named = least.select("label").distinct().join(up, F.col("label.tag") == F.col("owner"))
+        named = named.select(F.col("label.tag").alias("of"), "up", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = least.withColumn("salt", F.pmod(F.xxhash64("tag"), F.lit(SALTS)).cast("int"))
+        met = (F.col("label.tag") == F.col("of")) & (salted.salt == named.salt)
+        jumped = salted.join(named, met, "left").select("tag", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
         labels = materialise(jumped, "labels")
         if labels.where("was <> label").isEmpty():
             return labels.select("tag", "label")
@@ -235,6 +242,9 @@ def _own_tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of their component, all their columns as they are."""
+    """The rows of docs with the smallest id of their component, all their columns as they are.
+
+    Rows that share an id stay or go together; rows without an id stay only where a component has no id.
+    """
     kept = near_components(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
