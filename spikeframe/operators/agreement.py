@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 PAIR = ("recording_id", "unit_ref", "unit_test")
 
 
@@ -161,7 +163,8 @@ def _spread(diffs: DataFrame, tol: int, max_lag: int, keys: tuple[str, ...]) ->
 
 
 def _agree(a: DataFrame, b: DataFrame, tol: int, max_lag: int, within: bool) -> DataFrame:
-    pairs = unit_pairs(a, b, tol, max_lag, within)
+    # few rows, read three times below; the search for them is the costly part
+    pairs = materialise(unit_pairs(a, b, tol, max_lag, within), "pairs")
     left = pairs.select(*PAIR).join(a, ["recording_id", "unit_ref"])
     right = pairs.select(*PAIR).join(b, ["recording_id", "unit_test"])
     return rate_of_agreement(left, right, pairs, tol)
@@ -171,6 +174,7 @@ def evaluate_run(truth: DataFrame, spikes: DataFrame, calib_samples: int, tol_sp
     """Units matched on the first calib_samples, then scored over the whole recording: (recording_id, unit, ...), unit as in truth."""
     early = F.col("sample_idx") < calib_samples
     pairs = agreement(truth.where(early), spikes.where(early), tol_spike, max_lag).select("recording_id", "unit_ref", "unit_test")
+    pairs = materialise(pairs, "pairs")
     ref = truth.join(pairs.select("recording_id", F.col("unit_ref").alias("unit")), ["recording_id", "unit"])
     test = spikes.join(pairs.select("recording_id", F.col("unit_test").alias("unit"), "unit_ref"), ["recording_id", "unit"])
     return agreement_paired(ref, test.select("recording_id", F.col("unit_ref").alias("unit"), "sample_idx"), tol_spike, tol_train)
