@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    return near_dedup.drop_near_copies(docs)
+    """Of each group of documents linked by 80 % or more of their shingles the one with the smallest doc_id stays."""
+    return near_dedup.drop_near_copies(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

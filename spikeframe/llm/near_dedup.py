@@ -8,13 +8,15 @@ them: what leaves a bucket is a forest of confirmed links, never all pairs. Larg
 buckets are dealt out as pairs of blocks, so that no task holds more than two blocks.
 A pair is looked at in the first band alone that it shares.
 
-With 25 bands of 5 coordinates a pair at the threshold of 0.85 is missed with a chance
-of 4e-7, and the demand of MIN_AGREE equal coordinates adds 2e-7; above it far less.
+Bands and the demand of equal coordinates follow from the threshold (banding). At 0.85,
+25 bands of 5 miss a pair with a chance of 4e-7 and the demand of 86 equal coordinates
+adds 1.4e-6; at 0.80 it is 28 bands of 4 (4e-7) and 77 (6e-7); above a threshold far less.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-WIDTH, BANDS, ROWS = 5, 25, 5
-COORDS = BANDS * ROWS
-#: Links hold from this share (in hundredths) of shared shingles on.
-PERCENT = 85
-MIN_AGREE = 86
+WIDTH, COORDS = 5, 125
+#: Links hold from this share (in hundredths) of shared shingles on: op10's, and what copies are dropped by.
+PERCENT, DROP_PERCENT = 85, 80
+#: The chances that a link at the threshold may be missed with, by the bands and by the demand of equal coordinates.
+MISS_BANDS, MISS_AGREE = 5e-7, 1.5e-6
 #: Documents in a block of a large bucket.
 BLOCK = 500
 LAST_ID = (1 << 63) - 1
@@ -38,6 +40,24 @@ SALTS = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def banding(percent: int) -> tuple[int, int, int]:
+    """(bands, rows, agree) for a threshold: the longest bands, then the fewest, and the largest demand within the chances above."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be 1 to 100")
+    p = percent / 100
+    for rows in range(COORDS, 0, -1):
+        missed = 1 - p**rows
+        bands = ceil(log(MISS_BANDS) / log(missed)) if missed > 0 else 1
+        if bands * rows <= COORDS:
+            break
+    else:
+        raise ValueError(f"{COORDS} coordinates are too few for links at {percent} %")
+    agree, below = 0, 0.0
+    while agree < COORDS and (below := below + comb(COORDS, agree) * p**agree * (1 - p) ** (COORDS - agree)) <= MISS_AGREE:
+        agree += 1
+    return bands, rows, agree
+
+
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``width`` words (A-Z lower-cased); of fewer words, of all."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -120,49 +140,55 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return (100 + percent) * shared >= percent * (len(a) + len(b))
 
 
-def _links(table: pa.Table) -> pa.Table:
-    """Confirmed links within one part of a bucket: a forest, as pairs of tags."""
-    band = table.column("band")[0].as_py()
-    left, right = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-    tags = table.column("tag").to_pylist()
-    order = sorted(range(len(tags)), key=tags.__getitem__)
-    tags = [tags[i] for i in order]
-    block = np.array(table.column("block").to_pylist())[order]
-    signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), dtype=np.uint16).reshape(-1, COORDS)[order]
-    sets = table.column("shingles").to_pylist()
-    sets = [np.frombuffer(sets[i], dtype=np.uint64) for i in order]
-    sizes = np.array([len(s) for s in sets])
-    forest, found = Forest(len(tags)), []
-    pairs, scores = [], []
-    for i in range(len(tags) - 1):
-        others = np.arange(i + 1, len(tags))
-        if left != right:
-            others = others[block[others] != block[i]]
-        fit = (100 * np.minimum(sizes[others], sizes[i]) >= PERCENT * np.maximum(sizes[others], sizes[i]))
-        others = others[fit]
-        same = signs[others] == signs[i]
-        agree = same.sum(axis=1)
-        keep = agree >= MIN_AGREE
-        if band:
-            earlier = same[:, : band * ROWS].reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
-            keep &= ~earlier
-        others = others[keep]
-        pairs.append(np.stack([np.full(len(others), i), others], axis=1))
-        scores.append(agree[keep])
-    if pairs:
-        every, score = np.concatenate(pairs), np.concatenate(scores)
-        for i, j in every[np.argsort(-score, kind="stable")].tolist():
-            a, b = forest.root(i), forest.root(j)
-            if a != b and linked(sets[i], sets[j]):
-                forest.up[max(a, b)] = min(a, b)
-                found.append((tags[i], tags[j]))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
-
-
-def _buckets(nodes: DataFrame) -> DataFrame:
+def _links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """A function of one part of a bucket: its confirmed links, a forest, as pairs of tags."""
+    _, rows, least = banding(percent)
+
+    def links(table: pa.Table) -> pa.Table:
+        band = table.column("band")[0].as_py()
+        left, right = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        tags = table.column("tag").to_pylist()
+        order = sorted(range(len(tags)), key=tags.__getitem__)
+        tags = [tags[i] for i in order]
+        block = np.array(table.column("block").to_pylist())[order]
+        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), dtype=np.uint16).reshape(-1, COORDS)[order]
+        sets = table.column("shingles").to_pylist()
+        sets = [np.frombuffer(sets[i], dtype=np.uint64) for i in order]
+        sizes = np.array([len(s) for s in sets])
+        forest, found = Forest(len(tags)), []
+        pairs, scores = [], []
+        for i in range(len(tags) - 1):
+            others = np.arange(i + 1, len(tags))
+            if left != right:
+                others = others[block[others] != block[i]]
+            fit = (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))
+            others = others[fit]
+            same = signs[others] == signs[i]
+            agree = same.sum(axis=1)
+            keep = agree >= least
+            if band:
+                earlier = same[:, : band * rows].reshape(len(others), band, rows).all(axis=2).any(axis=1)
+                keep &= ~earlier
+            others = others[keep]
+            pairs.append(np.stack([np.full(len(others), i), others], axis=1))
+            scores.append(agree[keep])
+        if pairs:
+            every, score = np.concatenate(pairs), np.concatenate(scores)
+            for i, j in every[np.argsort(-score, kind="stable")].tolist():
+                a, b = forest.root(i), forest.root(j)
+                if a != b and linked(sets[i], sets[j], percent):
+                    forest.up[max(a, b)] = min(a, b)
+                    found.append((tags[i], tags[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return links
+
+
+def _buckets(nodes: DataFrame, percent: int) -> DataFrame:
     """(tag, bucket, band, members) of buckets with several documents; of buckets with the same documents the first band's."""
-    step = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.cast("tinyint").alias("band"), F.xxhash64(b, F.substring(F.col("sign"), b * step + 1, F.lit(step))).alias("bucket")))
+    count, width, _ = banding(percent)
+    step = 2 * width
+    bands = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda b: F.struct(b.cast("tinyint").alias("band"), F.xxhash64(b, F.substring(F.col("sign"), b * step + 1, F.lit(step))).alias("bucket")))
     rows = nodes.select("tag", F.explode(bands).alias("x")).select("tag", "x.band", "x.bucket")
     mark = F.shiftrightunsigned(F.xxhash64("tag"), 8)
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(mark.cast("decimal(20,0)")).alias("who"), F.min("band").alias("band"))
@@ -196,12 +222,12 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = labels.select("tag", "label")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Words are runs of characters other than white space, A-Z lower-cased; a document's
     set are its distinct runs of five words, or all its words as one. Documents whose sets share
-    at least 85 % are linked; component_id is the smallest id that links reach. A null,
+    at least ``percent`` % are linked; component_id is the smallest id that links reach. A null,
     empty or blank text has no set and no links. Null ids count as larger than any and
     give a null component_id where there is no other; repeated rows share theirs.
     An empty table gives no rows.
@@ -212,7 +238,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = sketches.where("size > 0")
     nodes = whole.groupBy("tag").agg(F.min(F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID))).alias("id"), F.first("sign").alias("sign"))
     nodes = materialise(nodes.withColumn("node", F.struct("id", "tag")), "nodes")
-    members = materialise(_buckets(nodes), "buckets")
+    members = materialise(_buckets(nodes, percent), "buckets")
     # the full sets of the documents that share a bucket, from their texts
     wanted = members.select("tag").distinct().join(nodes, "tag").select("tag", F.when(F.col("id") < LAST_ID, F.col("id")).alias("own"), "sign")
     firsts = text.join(wanted, F.col("id").eqNullSafe(F.col("own"))).select("tag", "sign", "text")
@@ -227,7 +253,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     dealt = dealt.select("tag", "bucket", F.col("band").cast("int").alias("band"), "block", F.explode(parts).alias("x")).select("tag", "bucket", "band", "block", "x.p", "x.q")
     held = dealt.join(sets, "tag")
-    edges = held.groupBy("bucket", "p", "q").applyInArrow(_links, "a binary, b binary")
+    edges = held.groupBy("bucket", "p", "q").applyInArrow(_links(percent), "a binary, b binary")
     labels = components(edges, nodes.select("tag", "node"))
     named = nodes.select("tag", "node").join(labels, "tag", "left").select("tag", F.coalesce("label", "node").alias("label"))
     out = sketches.alias("s").join(named.alias("n"), (F.col("s.tag") == F.col("n.tag")) & (F.col("s.size") > 0), "left")
@@ -241,10 +267,12 @@ def _own_tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(own, pa.bool_()))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = DROP_PERCENT) -> DataFrame:
     """The rows of docs with the smallest id of their component, all their columns as they are.
 
+    Documents are linked from ``percent`` % of shared five-word runs on, by default 80, where near_components takes 85.
+
     Rows that share an id stay or go together; rows without an id stay only where a component has no id.
     """
-    kept = near_components(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
+    kept = near_components(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__kept")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")

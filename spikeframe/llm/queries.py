@@ -48,7 +48,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {

@@ -147,6 +147,22 @@ def test_near_components_are_those_of_brute_force(spark, monkeypatch, block):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_pairs_of_80_to_85_percent_are_dropped(spark):
+    assert near_dedup.banding(85) == (25, 5, 86) and near_dedup.banding(80) == (28, 4, 77)
+    rng, rows = random.Random(11), []
+    for k in range(150):
+        base = [f"v{k}x{i}" for i in range(204)]  # 200 runs of five words, of which n words at the end share 200 - n
+        n = rng.randint(16, 26)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 204 - n] + [f"u{k}x{i}" for i in range(n)]))]
+    sets = dict((i, shingles(t)) for i, t in rows)
+    shares = [100 * len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(150)]
+    assert sum(80 <= s < 85 for s in shares) > 20 and min(shares) < 80
+    table = docs(spark, rows)
+    for percent, got in ((80, near_dedup.drop_near_copies(table)), (85, near_dedup.drop_near_copies(table, percent=85))):
+        want = {i for i in sets if i % 2 == 0 or shares[i // 2] < percent}
+        assert {r.doc_id for r in got.collect()} == want
+
+
 def test_near_components_of_repeated_and_null_ids(spark):
     rng = random.Random(5)
     a, b = words(rng, 60), words(rng, 60)
