@@ -46,6 +46,7 @@ TAGS = ("p", "h", "list", "li", "div", "nav", "header", "footer", "aside", "arti
 _TAG_OF = {f"h{i}": "h" for i in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "menu": "nav", "section": "div", "fieldset": "form", "blockquote": "quote", "pre": "quote", "tr": "table", "td": "table", "th": "table", "tbody": "table"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|'|\")*?)>", re.S)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ENDS = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _SPLIT = re.compile(r"[^a-z]+")
 _ROLE_OF: dict[str, list[int]] = {}
 for _i, _words in enumerate(ROLES.values()):
@@ -122,7 +123,6 @@ def parse(source: str) -> Page:
         return None
 
     size = len(source)
-    lower = None
     while pos < size:
         m = _TOKEN.search(source, pos)
         if not m:
@@ -148,9 +148,8 @@ def parse(source: str) -> Page:
         if tag in PEERS:
             close(PEERS[tag], SCOPES[tag])
         if tag in RAW:
-            lower = source.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", pos)
-            end = size if end < 0 else end
+            found = _ENDS[tag].search(source, pos)
+            end = found.start() if found else size
             pos = source.find(">", end) + 1 or size
             continue
         if attrs.endswith("/") and tag not in BLOCKS:

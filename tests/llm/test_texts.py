@@ -207,6 +207,13 @@ def test_main_text_cases(spark, model):
     assert main_text.main_text(spark.createDataFrame([], PAGES), model=model).isEmpty()
 
 
+def test_letters_that_grow_in_lower_case_before_scripts():
+    head = "<p>" + "\u0130" * 400 + "</p>"
+    page = main_text.parse(f"{head}<script>var a = 1;</SCRIPT><script>var b = 2;</script><p>kept &gt; text</p><p>more</p><b>x</b>")
+    seen = "".join(run[1] for run in page.runs if run)
+    assert seen == "\u0130" * 400 + "kept > textmorex"
+
+
 def test_labels_of_nodes_never_contradict(model):
     page = main_text.parse(main_text.Layouts(5).page())
     rng = np.random.default_rng(1)
