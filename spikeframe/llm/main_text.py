@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -187,6 +188,8 @@ def features(page: Page) -> np.ndarray:
         blocks[p] += blocks[i]
     whole = max(chars[0], 1)
     above, tags_above, own_tag = [0] * n, [0] * n, [0] * n
+    near_of = [sum(chars[k] for k in x.children) for x in nodes]
+    tags_of = [Counter(nodes[k].tag for k in x.children) for x in nodes]
     rows = []
     for i, x in enumerate(nodes):
         own_tag[i] = TAGS.index(t) if (t := _TAG_OF.get(x.tag, x.tag)) in TAGS else TAGS.index("div")
@@ -194,10 +197,10 @@ def features(page: Page) -> np.ndarray:
         if p >= 0:
             above[i] = above[p] | nodes[p].roles
             tags_above[i] = tags_above[p] | 1 << own_tag[p]
-        kin = nodes[p].children if p >= 0 else [i]
-        near = sum(chars[k] for k in kin)
-        alike = sum(nodes[k].tag == x.tag for k in kin) / len(kin) if len(kin) < 64 else 1.0
-        rows.append((x.depth, own_tag[i], x.roles, above[i], tags_above[i], chars[i], linked[i] / max(chars[i], 1), blocks[i], chars[i] / blocks[i], 100 * marks[i] / max(chars[i], 1), inputs[i], chars[i] / whole, x.at / whole, len(kin), near / len(kin), chars[i] / max(near, 1), alike, x.chars))
+        kin = len(nodes[p].children) if p >= 0 else 1
+        near = near_of[p] if p >= 0 else chars[i]
+        alike = tags_of[p][x.tag] / kin if p >= 0 else 1.0
+        rows.append((x.depth, own_tag[i], x.roles, above[i], tags_above[i], chars[i], linked[i] / max(chars[i], 1), blocks[i], chars[i] / blocks[i], 100 * marks[i] / max(chars[i], 1), inputs[i], chars[i] / whole, x.at / whole, kin, near / kin, chars[i] / max(near, 1), alike, x.chars))
     raw = np.array(rows, dtype=np.float64)
     bits = lambda col, count: (raw[:, col].astype(np.int64)[:, None] >> np.arange(count)) & 1
     one = raw[:, 1].astype(np.int64)[:, None] == np.arange(len(TAGS))

@@ -214,6 +214,14 @@ def test_letters_that_grow_in_lower_case_before_scripts():
     assert seen == "\u0130" * 400 + "kept > textmorex"
 
 
+@pytest.mark.parametrize("n", [10, 62, 63, 64, 500])
+def test_share_of_like_siblings_at_every_size(n):
+    page = main_text.parse("<p>some text</p>" * n + "<div>a notice</div>" + "<p>more</p>")
+    alike = main_text.features(page)[:, -2]
+    want = [1.0] + [sum(y.tag == x.tag for y in page.nodes[1:]) / (n + 2) for x in page.nodes[1:]]
+    assert np.allclose(alike, want) and min(want) == 1 / (n + 2)
+
+
 def test_labels_of_nodes_never_contradict(model):
     page = main_text.parse(main_text.Layouts(5).page())
     rng = np.random.default_rng(1)
