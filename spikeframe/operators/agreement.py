@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialise
 
 PAIR = ("recording_id", "unit_ref", "unit_test")
+#: Samples of a unit's firings that meet others' as one list, parts that a recording's lists are dealt to, and counts sent on at once.
+SPAN, SALTS, CHUNK = 1024, 16, 100_000
 
 
 def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
@@ -19,6 +25,36 @@ def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width:
     return left.join(right, [*keys, "__bin"]).where(F.abs(F.col("a") - F.col("b")) <= width).drop("__bin")
 
 
+def _all_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(recording_id, unit_ref, unit_test, d, n): how often each difference a - b occurs, of all firings of a recording.
+
+    Lists of firings meet, dealt by salts, and differences are counted list by list; no pair of firings is a row.
+    """
+    lists = lambda df, unit, t: df.groupBy("recording_id", unit, F.floor(F.col(t) / SPAN).alias("span")).agg(F.collect_list(F.col(t).cast("long")).alias(t))
+    left = lists(a, "unit_ref", "a").withColumn("salt", F.pmod(F.xxhash64("unit_ref", "span"), F.lit(SALTS)).cast("int")).drop("span")
+    right = lists(b, "unit_test", "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("span")
+    both = left.join(right, ["recording_id", "salt"]).select(*PAIR, "a", "b")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ds, ns, size = [], [], [], 0
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
+                d, n = np.unique(np.subtract.outer(x, y), return_counts=True)
+                at.append(np.full(len(d), k))
+                ds.append(d)
+                ns.append(n)
+                size += len(d)
+                if size >= CHUNK or k == batch.num_rows - 1:
+                    rows = pa.array(np.concatenate(at))
+                    own = [batch.column(c).take(rows) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(ds), pa.int64()), pa.array(np.concatenate(ns), pa.int64())], names=[*PAIR, "d", "n"])
+                    at, ds, ns, size = [], [], [], 0
+
+    schema = ", ".join(f"{c} {t}" for c, t in both.select(*PAIR).dtypes) + ", d long, n long"
+    return both.mapInArrow(count, schema).groupBy(*PAIR, "d").agg(F.sum("n").alias("n"))
+
+
 def lag_correlogram(ref: DataFrame, test: DataFrame, tol: int, max_lag: int, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """(keys, lag, corr) for abs(lag) <= max_lag where corr > 0: correlation of the trains, each
     spike widened to tol samples. ref (keys, a), test (keys, b): sample indices.
@@ -127,10 +163,11 @@ def assign_units(corr: DataFrame, within: bool = False) -> DataFrame:
     return cols.groupBy("recording_id").applyInPandas(fold, cols.schema)
 
 
-def agreement(ref: DataFrame, test: DataFrame, tol_spike: int, max_lag: int) -> DataFrame:
+def agreement(ref: DataFrame, test: DataFrame, tol_spike: int, max_lag: int | None = None) -> DataFrame:
     """(recording_id, unit_ref, unit_test, lag, n_common, roa) of units matched between two sets.
 
-    Pairs of units meet only where spikes do, in bins of the lag range.
+    Lags are not limited unless max_lag is given; then pairs of units meet only where
+    spikes do, in bins of the lag range.
     """
     _check(ref, test)
     a = ref.select("recording_id", F.col("unit").alias("unit_ref"), F.col("sample_idx").alias("a"))
@@ -146,23 +183,29 @@ def agreement_within(spikes: DataFrame, tol_spike: int, max_lag: int) -> DataFra
     return _agree(a, b, tol_spike, max_lag, True)
 
 
-def unit_pairs(a: DataFrame, b: DataFrame, tol: int, max_lag: int, within: bool = False) -> DataFrame:
-    """(recording_id, unit_ref, unit_test, corr, lag): the units that belong together, by their best correlation."""
-    near = _pairs_within(a, b, ("recording_id",), max_lag + tol - 1)
+def unit_pairs(a: DataFrame, b: DataFrame, tol: int, max_lag: int | None = None, within: bool = False) -> DataFrame:
+    """(recording_id, unit_ref, unit_test, corr, lag): the units that belong together, by their best correlation at any lag, or up to max_lag."""
+    if max_lag is None:
+        diffs = _all_differences(a, b)
+    else:
+        near = _pairs_within(a, b, ("recording_id",), max_lag + tol - 1)
+        diffs = near.groupBy(*PAIR, (F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n"))
     if within:
-        near = near.where(F.col("unit_ref") < F.col("unit_test"))
-    diffs = near.groupBy(*PAIR, (F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n"))
+        diffs = diffs.where(F.col("unit_ref") < F.col("unit_test"))
     return assign_units(best_lag(_spread(diffs, tol, max_lag, PAIR)), within)
 
 
-def _spread(diffs: DataFrame, tol: int, max_lag: int, keys: tuple[str, ...]) -> DataFrame:
+def _spread(diffs: DataFrame, tol: int, max_lag: int | None, keys: tuple[str, ...]) -> DataFrame:
     """Counts of differences (keys, d, n) as triangles over the lags."""
-    lags = F.sequence(F.greatest(F.col("d") - (tol - 1), F.lit(-max_lag).cast("long")), F.least(F.col("d") + (tol - 1), F.lit(max_lag).cast("long")))
+    low, high = F.col("d") - (tol - 1), F.col("d") + (tol - 1)
+    if max_lag is not None:
+        low, high = F.greatest(low, F.lit(-max_lag).cast("long")), F.least(high, F.lit(max_lag).cast("long"))
+    lags = F.sequence(low, high)
     spread = diffs.select(*keys, "d", "n", F.explode(lags).alias("lag"))
     return spread.groupBy(*keys, "lag").agg(F.sum(F.col("n") * (tol - F.abs(F.col("lag") - F.col("d")))).alias("corr"))
 
 
-def _agree(a: DataFrame, b: DataFrame, tol: int, max_lag: int, within: bool) -> DataFrame:
+def _agree(a: DataFrame, b: DataFrame, tol: int, max_lag: int | None, within: bool) -> DataFrame:
     # few rows, read three times below; the search for them is the costly part
     pairs = materialise(unit_pairs(a, b, tol, max_lag, within), "pairs")
     left = pairs.select(*PAIR).join(a, ["recording_id", "unit_ref"])
@@ -170,8 +213,11 @@ def _agree(a: DataFrame, b: DataFrame, tol: int, max_lag: int, within: bool) ->
     return rate_of_agreement(left, right, pairs, tol)
 
 
-def evaluate_run(truth: DataFrame, spikes: DataFrame, calib_samples: int, tol_spike: int, max_lag: int, tol_train: int) -> DataFrame:
-    """Units matched on the first calib_samples, then scored over the whole recording: (recording_id, unit, ...), unit as in truth."""
+def evaluate_run(truth: DataFrame, spikes: DataFrame, calib_samples: int, tol_spike: int, max_lag: int | None, tol_train: int) -> DataFrame:
+    """Units matched on the first calib_samples, then scored over the whole recording: (recording_id, unit, ...), unit as in truth.
+
+    The matching looks at every lag where max_lag is None.
+    """
     early = F.col("sample_idx") < calib_samples
     pairs = agreement(truth.where(early), spikes.where(early), tol_spike, max_lag).select("recording_id", "unit_ref", "unit_test")
     pairs = materialise(pairs, "pairs")

@@ -196,7 +196,7 @@ def roa_within(spark, d):
 def evaluate_run(spark, d):
     start = fx.trains(spark, d).agg(F.min("sample_idx")).first()[0] or 0
     shift = lambda df: df.withColumn("sample_idx", F.col("sample_idx") - start)
-    out = ag.evaluate_run(shift(_train(spark, d, "click")), shift(_train(spark, d, "view")), 2000, TOL, MAX_LAG, MAX_LAG)
+    out = ag.evaluate_run(shift(_train(spark, d, "click")), shift(_train(spark, d, "view")), 2000, TOL, None, MAX_LAG)
     return out.withColumn("roa", r6("roa"))
 
 

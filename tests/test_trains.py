@@ -79,3 +79,31 @@ def test_trials(spark):
     assert sw.trial_random(spark, {"a": (0, 1)}, 5, 3).collect() == sw.trial_random(spark, {"a": (0, 1)}, 5, 3).collect()
     out = sw.successive_halving(grid, lambda t, budget: t.selectExpr("trial_id", "a + b AS loss"), 1, 4).collect()
     assert [(r.trial_id, r.budget) for r in out if r.kept and r.budget == 4] == [(0, 4)]
+
+
+def test_units_meet_at_any_lag(spark, monkeypatch):
+    monkeypatch.setattr(ag, "SPAN", 100)
+    monkeypatch.setattr(ag, "CHUNK", 50)
+    rng, tol = np.random.default_rng(9), 3
+    base = {u: np.unique(rng.integers(0, 3000, 60)) for u in range(3)}
+    moved = {2 - u: np.concatenate([t + s, rng.integers(3600, 3900, 5)]) for (u, t), s in zip(base.items(), (700, -450, 5), strict=True)}
+    best = []
+    for u, a in base.items():
+        for v, b in moved.items():
+            corr = {}
+            for d in np.subtract.outer(a, np.unique(b)).ravel().tolist():
+                for lag in range(d - tol + 1, d + tol):
+                    corr[lag] = corr.get(lag, 0) + tol - abs(lag - d)
+            lag = min(corr, key=lambda k: (-corr[k], k))
+            best.append((-corr[lag], u, v, lag))
+    want, refs, tests = {}, set(), set()
+    for _, u, v, lag in sorted(best):
+        if u not in refs and v not in tests:
+            want[u, v] = lag
+            refs.add(u)
+            tests.add(v)
+    a, b = spikes(spark, base), spikes(spark, {u: np.unique(t) for u, t in moved.items()})
+    got = ag.agreement(a, b, tol).collect()
+    assert {(r.unit_ref, r.unit_test): r.lag for r in got} == want == {(0, 2): -700, (1, 1): 450, (2, 0): -5}
+    assert all(r.n_common >= len(base[r.unit_ref]) for r in got)
+    assert {r.unit for r in ag.evaluate_run(a, b, 10**6, tol, None, 12).collect()} == {0, 1, 2}
