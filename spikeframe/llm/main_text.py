@@ -45,7 +45,9 @@ ROLES = {
 }
 TAGS = ("p", "h", "list", "li", "div", "nav", "header", "footer", "aside", "article", "main", "form", "table", "quote", "body")
 _TAG_OF = {f"h{i}": "h" for i in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "menu": "nav", "section": "div", "fieldset": "form", "blockquote": "quote", "pre": "quote", "tr": "table", "td": "table", "th": "table", "tbody": "table"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|'|\")*?)>", re.S)
+_NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+#: What follows a tag's name: no part of it is looked at twice. A quote without its second one stands for itself.
+_REST = re.compile(r"""((?>[^"'>]+|"[^"]*"|'[^']*'|["'])*+)>""")
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ENDS = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _SPLIT = re.compile(r"[^a-z]+")
@@ -85,12 +87,49 @@ def _roles(attrs: str) -> int:
     return bits
 
 
+class Tags:
+    """The tags of a page, one after another, in time proportional to its length.
+
+    A tag ends at the first > outside closed quotes. On a page where some tag has none, quotes
+    count no more from there on and the next > ends it; where no > follows, all is text.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, True
+        self.last, self.last_cdata = source.rfind(">"), source.rfind("]]>")
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next tag from pos on; comments and declarations have no name."""
+        source = self.source
+        while (at := source.find("<", pos)) >= 0:
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(source), "", False, ""
+            if at > self.last:
+                return None
+            if source.startswith("<![CDATA[", at) and at < self.last_cdata:
+                return at, source.index("]]>", at) + 3, "", False, ""
+            if source[at + 1 : at + 2] in ("!", "?"):
+                return at, source.index(">", at) + 1, "", False, ""
+            name = _NAME.match(source, at + 1)
+            if name:
+                rest = _REST.match(source, name.end()) if self.quotes else None
+                if not rest:
+                    self.quotes = False
+                    end = source.index(">", name.end())
+                    return at, end + 1, name[1].lower(), source[at + 1] == "/", source[name.end() : end]
+                return at, rest.end(), name[1].lower(), source[at + 1] == "/", rest[1]
+            pos = at + 1
+        return None
+
+
 def parse(source: str) -> Page:
     """Block elements of a page and its visible text. Never fails: what is no tag is text."""
     page = Page([Node("body", -1, 0)], [])
     stack: list[tuple[str, int]] = []  # open elements and the block node they are in
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a name are
     hidden, links, pos, total = 0, 0, 0, 0
-    nodes, runs = page.nodes, page.runs
+    nodes, runs, tags = page.nodes, page.runs, Tags(source)
 
     def text(raw: str) -> None:
         nonlocal total
@@ -106,38 +145,36 @@ def parse(source: str) -> Page:
         node.marks += plain.count(".") + plain.count(",")
         total += size
 
-    def pop(to: int) -> None:
+    def nearest(names) -> int:
+        return max((at[-1] for n in names if (at := places.get(n))), default=-1)
+
+    def close(names, scope=()) -> None:
         nonlocal hidden, links
+        to = nearest(names)
+        if to < 0 or to < nearest(scope):
+            return
         while len(stack) > to:
             tag, _ = stack.pop()
+            places[tag].pop()
             hidden -= tag in HIDDEN
             links -= tag == "a"
             if tag in BLOCKS and not hidden:
                 runs.append(None)
 
-    def close(names, scope=()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return pop(i)
-            if stack[i][0] in scope:
-                return None
-        return None
-
     size = len(source)
     while pos < size:
-        m = _TOKEN.search(source, pos)
-        if not m:
+        found = tags.next(pos)
+        if not found:
             text(source[pos:])
             break
-        text(source[pos : m.start()])
-        pos = m.end()
-        tag = (m[1] or "").lower()
+        start, end, tag, closing, attrs = found
+        text(source[pos:start])
+        pos = end
         if not tag:
             continue
-        if source[m.start() + 1] == "/":
+        if closing:
             close((tag,), ("table",) if tag not in ("table", "body", "html") else ())
             continue
-        attrs = m[2]
         if tag in VOID:
             if tag in ("br", "hr"):
                 text(" ")
@@ -149,21 +186,19 @@ def parse(source: str) -> Page:
         if tag in PEERS:
             close(PEERS[tag], SCOPES[tag])
         if tag in RAW:
-            found = _ENDS[tag].search(source, pos)
-            end = found.start() if found else size
-            pos = source.find(">", end) + 1 or size
+            raw = _ENDS[tag].search(source, pos)
+            pos = source.find(">", raw.start() if raw else size) + 1 or size
             continue
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
         at = stack[-1][1] if stack else 0
-        if tag in ("html", "body"):
-            nodes[0].roles |= _roles(attrs) & 0
-        elif tag in BLOCKS and not hidden:
+        if tag in BLOCKS and tag not in ("html", "body") and not hidden:
             node = Node(tag, at, nodes[at].depth + 1, _roles(attrs) if attrs else 0, at=total)
             nodes[at].children.append(len(nodes))
             at = len(nodes)
             nodes.append(node)
             runs.append(None)
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, at))
         hidden += tag in HIDDEN
         links += tag == "a"
@@ -229,37 +264,50 @@ class Trees:
 
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Gradient boosting of the logistic loss with second-order leaves on binned features."""
-    n, m = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
-    binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(m)], axis=1)
+    """Gradient boosting of the logistic loss with second-order leaves.
+
+    A level's histograms are made for all nodes and features at once: of columns of 0 and 1 from
+    the places of the ones, of the others over their bins.
+    """
+    n = len(x)
+    # (feature, cut) of every candidate: first those of the flags, then those of the other columns, a row of cuts each
+    is_flag = ((x == 0) | (x == 1)).all(0)
+    flags, wide = np.flatnonzero(is_flag), np.flatnonzero(~is_flag)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in wide]
+    on_row, on_flag = np.nonzero(x[:, flags])
+    binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in zip(wide, edges, strict=True)], axis=1) + np.arange(len(wide)) * bins
+    cuts = np.full((len(wide), bins), np.inf)
+    for k, e in enumerate(edges):
+        cuts[k, : len(e)] = e
+    feature_of = np.concatenate([flags, np.repeat(wide, bins)])
+    cut_of = np.concatenate([np.zeros(len(flags)), cuts.ravel()])
     base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     score = np.full(n, base)
     inner = (1 << depth) - 1
     out = Trees(np.zeros((trees, inner), dtype=np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)), base)
+
+    def left_sums(weight: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of weight at or below each candidate's cut, and of all, by node."""
+        every = np.bincount(slot, weight, width)[:, None]
+        on = np.bincount(slot[on_row] * len(flags) + on_flag, weight[on_row], width * len(flags)).reshape(width, -1)
+        keys = (slot * (len(wide) * bins))[:, None] + binned
+        sums = np.bincount(keys.ravel(), np.repeat(weight, len(wide)), width * len(wide) * bins).reshape(width, len(wide), bins)
+        return np.hstack([every - on, sums.cumsum(2).reshape(width, -1)]), every
+
     for t in range(trees):
         p = 1 / (1 + np.exp(-score))
         g, h = p - y, p * (1 - p)
         at = np.zeros(n, dtype=np.int64)
         for level in range(depth):
             first, width = (1 << level) - 1, 1 << level
-            slot = at - first
-            best = np.full(width, 1e-6)
-            for j in range(m):
-                if not len(edges[j]):
-                    continue
-                key = slot * bins + binned[:, j]
-                gs = np.bincount(key, g, width * bins).reshape(width, bins)
-                hs = np.bincount(key, h, width * bins).reshape(width, bins)
-                gl, hl = np.cumsum(gs, 1)[:, : len(edges[j])], np.cumsum(hs, 1)[:, : len(edges[j])]
-                ga, ha = gs.sum(1, keepdims=True), hs.sum(1, keepdims=True)
-                gain = gl**2 / (hl + ridge) + (ga - gl) ** 2 / (ha - hl + ridge) - ga**2 / (ha + ridge)
-                where = gain.argmax(1)
-                better = gain[np.arange(width), where] > best
-                for k in np.flatnonzero(better):
-                    best[k] = gain[k, where[k]]
-                    out.feature[t, first + k] = j
-                    out.cut[t, first + k] = edges[j][where[k]]
+            gl, ga = left_sums(g, at - first, width)
+            hl, ha = left_sums(h, at - first, width)
+            gain = gl**2 / (hl + ridge) + (ga - gl) ** 2 / (ha - hl + ridge) - ga**2 / (ha + ridge)
+            gain[:, np.isinf(cut_of)] = 0
+            where = gain.argmax(1)
+            found = np.flatnonzero(gain[np.arange(width), where] > 1e-6)
+            out.feature[t, first + found] = feature_of[where[found]]
+            out.cut[t, first + found] = cut_of[where[found]]
             f, c = out.feature[t, at], out.cut[t, at]
             at = 2 * at + 1 + (x[np.arange(n), f] > c)
         leaf = at - inner
@@ -439,8 +487,8 @@ def default_model(pages: int = 1000, seed: int = 7) -> Model:
 def main_text(pages: DataFrame, text_col: str = "html", model: Model | None = None, rows: int = 128) -> DataFrame:
     """pages with text: the main text of each, empty if there is none (null or empty html too).
 
-    Other columns stay as they are; a column named text is replaced. Repeated rows each get
-    theirs; an empty table gives no rows.
+    The whole page is read, however long. Other columns stay as they are; a column named text
+    is replaced. Repeated rows each get theirs; an empty table gives no rows.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model or default_model())
     at, names = pages.columns.index(text_col), [f"c{i}" for i in range(len(pages.columns))]
