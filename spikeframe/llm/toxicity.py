@@ -3,7 +3,7 @@
 Features are the distinct character n-grams of a lower-cased text, hashed. Each is
 scaled by its naive Bayes log-count ratio between toxic and other training texts;
 logistic regression over the scaled features gives the score. Training takes a
-bounded sample of the labelled rows; scoring runs over every whole text in Arrow
+bounded sample of the labelled rows, whose texts stay in the tasks; scoring runs over every whole text in Arrow
 batches with the table of weights (1 MB) sent to the tasks.
 """
 
@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_defaults
+from .common import materialise, with_defaults
 
 BITS, ORDERS = 18, (3, 4, 5)
-#: Most labelled rows of each class that training takes, and most characters of a training text at once.
+#: Most labelled ids of each class that training takes, about.
 TRAIN_ROWS = 2_500
 #: N-grams count that are in this many training texts and whose class shares differ by so many standard errors.
 MIN_ROWS, MIN_Z = 3, 4.5
 THRESHOLD = 0.3
-#: Texts are hashed in pieces of this many characters, which overlap by the longest n-gram.
+#: Long texts are hashed in pieces of this many characters.
 PIECE = 1 << 20
 
 
@@ -39,35 +39,36 @@ LOWER = _lower()
 
 
 def features(text: str, stamp: np.ndarray) -> np.ndarray:
-    """The hashed n-grams of a text, each once. stamp: scratch of 2^BITS int64."""
-    found = []
-    for at in range(0, max(len(text), 1), PIECE):
-        chars = np.frombuffer(f" {text[at : at + PIECE + max(ORDERS)]} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """The hashed n-grams of a text with a blank at both ends, each once. stamp: scratch of 2^BITS int64.
+
+    Long texts go piece by piece, an n-gram with the piece that it starts in: what a text has
+    does not depend on PIECE.
+    """
+    padded, more = f" {text} ", max(ORDERS) - 1
+    parts = []
+    for at in range(0, len(padded), PIECE):
+        chars = np.frombuffer(padded[at : at + PIECE + more].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         chars = np.where(chars < 128, LOWER[np.minimum(chars, 127)], chars)
         mixed = chars * np.uint32(0x9E3779B1)
         mixed ^= mixed >> np.uint32(15)
-        rolled = mixed[: len(mixed)].copy()
+        rolled, found = mixed, [np.empty(0, dtype=np.uint32)]
         for n in range(2, max(ORDERS) + 1):
-            if len(rolled) < 2:
+            if len(mixed) < n:
                 break
-            rolled = rolled[:-1] * np.uint32(0x85EBCA6B) + mixed[n - 1 :]
+            rolled = rolled[: len(mixed) - n + 1] * np.uint32(0x85EBCA6B) + mixed[n - 1 :]
             if n in ORDERS:
-                found.append((rolled ^ (rolled >> np.uint32(16))) * np.uint32(0xC2B2AE35 + 2 * n) >> np.uint32(32 - BITS))
-    if not found:
-        return np.empty(0, dtype=np.int64)
-    slots = np.concatenate(found).astype(np.int64)
+                grams = rolled[:PIECE]
+                found.append((grams ^ (grams >> np.uint32(16))) * np.uint32(0xC2B2AE35 + 2 * n) >> np.uint32(32 - BITS))
+        parts.append(_once(np.concatenate(found).astype(np.int64), stamp))
+    return parts[0] if len(parts) == 1 else _once(np.concatenate(parts), stamp)
+
+
+def _once(slots: np.ndarray, stamp: np.ndarray) -> np.ndarray:
     order = np.arange(len(slots))
     stamp[slots] = order
     return slots[stamp[slots] == order]
 
 
-def _telling(n0: np.ndarray, n1: np.ndarray, rows0: int, rows1: int) -> np.ndarray:
-    """How far apart the two classes' shares of texts with an n-gram are, in standard errors."""
-    share = (n0 + n1) / (rows0 + rows1)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / rows0 + 1 / rows1))
-    return np.where(n0 + n1 >= MIN_ROWS, np.abs(n1 / rows1 - n0 / rows0) / error, 0)
-
-
 @dataclass
 class Model:
     weights: np.ndarray
@@ -78,27 +79,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.0, 1.0), rounds: int = 150, penalty: float = 2e-3) -> Model:
-    """weight: what a row of label 0 and of label 1 stands for, where classes were sampled apart.
+def telling(counts: DataFrame, rows0: int, rows1: int) -> DataFrame:
+    """Of the counts (slot, n0, n1) those in enough texts whose class shares differ by enough standard errors."""
+    share = (F.col("n0") + F.col("n1")) / F.lit(rows0 + rows1)
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * F.lit(1 / rows0 + 1 / rows1))
+    apart = F.abs(F.col("n1") / F.lit(rows1) - F.col("n0") / F.lit(rows0)) / error
+    return counts.where((F.col("n0") + F.col("n1") >= MIN_ROWS) & (apart >= MIN_Z))
 
-    Without a row of either class every text gets the share of label 1 (0.5 smoothed).
-    """
-    stamp = np.zeros(1 << BITS, dtype=np.int64)
-    rows = [features(t, stamp) for t in texts]
-    y = np.asarray(labels, dtype=np.float64)
-    share = np.where(y > 0, weight[1], weight[0])
+
+def regress(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, ratio: np.ndarray, rounds: int = 150, penalty: float = 2e-3) -> Model:
+    """Logistic regression on the n-grams of each row, scaled by ratio; share: what each row stands for."""
     prior = (share[y > 0].sum() + 0.5) / (share.sum() + 1)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
-    sizes = np.array([len(r) for r in rows])
-    keep = np.flatnonzero(sizes)
-    flat = np.concatenate(rows).astype(np.int32)
-    counts = [np.bincount(np.concatenate([np.empty(0, np.int32)] + [rows[i] for i in keep if y[i] == c]), minlength=1 << BITS) + 1.0 for c in (0, 1)]
-    ratio = (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).astype(np.float32)
-    ratio[_telling(counts[0] - 1, counts[1] - 1, int((y == 0).sum()), int((y == 1).sum())) < MIN_Z] = 0
-    owner = np.repeat(keep, sizes[keep]).astype(np.int32)
-    live = ratio[flat] != 0
-    flat, owner = flat[live], owner[live]
+    flat = np.concatenate(rows).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     norm = np.float32(1 / np.sqrt(max(np.mean(np.bincount(owner, ratio[flat] ** 2, minlength=len(y))), 1e-9)))
     scaled = ratio * norm
     values = scaled[flat]
@@ -124,20 +117,53 @@ def is_held_out(id_col: str | Column) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(4)) == 2
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stamp = np.zeros(1 << BITS, dtype=np.int64)
+    for batch in batches:
+        slots = [features(t.as_py(), stamp).astype(np.int32) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.list_(pa.int32()))], names=["label", "slots"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most about ``rows`` labelled rows of each class, taken by a hash of the id."""
-    known = labels.where(F.col(label_col).isin(0, 1) & ~is_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
+    """Fit on at most about ``rows`` labelled ids of each class, taken by a hash of the id.
+
+    An id labelled both 0 and 1 counts as 1; of several rows with one id the smallest text
+    counts. Texts are hashed and counted in tasks: what the driver gets are the n-grams that
+    tell the classes apart and their places in the sample. Without a row of either
+    class every text gets the share of label 1 (smoothed by a half).
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     part = F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 30))
     cut = lambda c: int(min(1.0, rows / max(sizes.get(c, 0), 1)) * (1 << 30))
     chosen = known.where(F.when(F.col("label") == 1, part < cut(1)).otherwise(part < cut(0)))
     text = docs.select(F.col(id_col).alias("id"), with_defaults(text_col).alias("text"))
     # bounded: 2 * rows ids
-    sample = text.join(F.broadcast(chosen), "id").select("label", "text", "id").collect()
-    sample.sort(key=lambda r: (r.id, r.text))
-    got = [sum(r.label == c for r in sample) for c in (0, 1)]
-    weight = tuple(sizes.get(c, 0) / max(got[c], 1) for c in (0, 1))
-    return fit([r.text for r in sample], [r.label for r in sample], weight)
+    sample = text.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    sample = materialise(sample.select("label", "text").mapInArrow(_hashed, "label int, slots array<int>"), "toxic-sample")
+    own = {r.label: r for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("slots")).alias("total")).collect()}
+    if len(own) < 2:
+        prior = (sizes.get(1, 0) * (1 in own) + 0.5) / (sum(sizes[c] for c in own) + 1)
+        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(prior / (1 - prior))))
+    of = lambda c: F.sum((F.col("label") == c).cast("long")).alias(f"n{c}")
+    counts = sample.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(of(0), of(1))
+    told = telling(counts, own[0].n, own[1].n).collect()
+    ratio = np.zeros(1 << BITS, dtype=np.float32)
+    smooth = [own[c].total + (1 << BITS) for c in (0, 1)]
+    for r in told:
+        ratio[r.slot] = np.log((r.n1 + 1) / smooth[1]) - np.log((r.n0 + 1) / smooth[0])
+    live = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [s[live.value[s]] for s in (x.values.to_numpy() for x in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.list_(pa.int32()))], names=["label", "slots"])
+
+    # bounded: 2 * rows lists of n-grams that tell
+    kept = sorted((r.label, sorted(r.slots)) for r in sample.mapInArrow(task, "label int, slots array<int>").collect())
+    y = np.array([label for label, _ in kept], dtype=np.float64)
+    weight = [sizes[c] / own[c].n for c in (0, 1)]
+    return regress([np.array(s, dtype=np.int64) for _, s in kept], y, np.where(y > 0, weight[1], weight[0]), ratio)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -162,8 +188,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score, predicted (1 from THRESHOLD on).
 
-    Only labels of 0 or 1 count; rows labelled twice count once, and labels of unknown ids not at all.
-    Empty and null texts get the score of a text without n-grams but its ends. An empty table gives no rows.
+    Only labels of 0 or 1 count; an id labelled both counts as 1, labels of unknown and null ids not at all.
+    Empty and null texts get the score of a text without n-grams but its ends, long ones are read to their end.
+    Repeated rows each get a row; other columns are not read. An empty table gives no rows.
     """
     model = train(docs, labels, id_col, text_col)
     rows = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
