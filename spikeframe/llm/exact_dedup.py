@@ -1,12 +1,13 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every row belongs to one of ``RUNS`` runs by a hash of its id, so that copies of
-one text are spread over all runs. A run holds its distinct digests in order, each
-with the id to keep and the number of rows. Rounds of exchanges follow the
-binomial pattern: groups of ``FAN`` runs become one, whose sorted parts are merged
-and equal digests joined, until one run is left. The same tree is walked back to
-tell every row the outcome, so that no task meets more than a run's share of a
-large group of copies at any level.
+The rows of each part of the table are a run: its digests in order, equal ones joined
+to one entry with the row to keep and the number of rows. Runs meet in binomial
+rounds: in each round the runs whose numbers differ in one digit (to the base ``fan``)
+go to the one with the digit 0. A run is cut into ranges of digests, so that what meets is
+a range of ``fan`` runs, not a whole run; it is merged by sorting and joined by an
+aggregation over the sorted rows. An entry counts as equal to another where digest,
+second hash and length all agree, at every level. The outcome goes back to the rows run
+by run, so that no task meets more of a large group of copies than one part's.
 """
 
 from __future__ import annotations
@@ -16,83 +17,105 @@ from pyspark.sql import functions as F
 
 from .common import materialise, with_defaults
 
-RUNS, FAN = 64, 8
+#: Rounds at most, and runs that meet in one at least.
+ROUNDS, FAN = 3, 8
+#: Bits of the digest that name its range.
+RANGE_BITS = 12
 #: What must agree besides the digest before two rows count as copies.
 VERIFY = ("check", "octets")
+ENTRY = ("slice", "digest", *VERIFY)
 
 
-def _entry(id_col: str, text: Column) -> list[Column]:
-    return [
-        F.col(id_col).alias("id"),
-        F.sha2(text.cast("binary"), 256).alias("digest"),
+def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, run, slice, digest, check, octets, id), one row for each of docs, as a written table; run: the part it came from."""
+    text = with_defaults(text_col)
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.spark_partition_id().cast("long").alias("run"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
         F.xxhash64(text).alias("check"),
         F.octet_length(text).alias("octets"),
-    ]
+        F.col(id_col).alias("id"),
+    )
+    head = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int")
+    return materialise(rows.withColumn("slice", F.shiftright(head, 16 - RANGE_BITS)), "digest-runs")
 
 
-def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS) -> DataFrame:
-    """(run, digest, check, octets, id, copies): the rows of equal id and text counted, by run."""
-    rows = docs.select(*_entry(id_col, with_defaults(text_col)))
-    rows = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int"))
-    return rows.groupBy("run", "digest", *VERIFY, "id").agg(F.count("*").alias("copies"))
+def _rank(keep: str) -> Column:
+    """What the kept row has most (keep="max") or least of: an id at all, then the id, then the row."""
+    there = F.col("id").isNotNull() if keep == "max" else F.col("id").isNull()
+    return F.struct(there.alias("there"), F.col("id"), F.col("row"))
 
 
 def _merge(entries: DataFrame, keep: str) -> DataFrame:
-    """One entry for each verified digest of a run, in the order of digests."""
+    """One entry for each digest of a run's range. The struct has no place in a hash aggregation, so that Spark sorts and merges."""
     best = F.max if keep == "max" else F.min
-    keys = ("run", "digest", *VERIFY)
-    ordered = entries.repartition("run", "digest").sortWithinPartitions("run", "digest")
-    return ordered.groupBy(*keys).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    return entries.groupBy("run", *ENTRY).agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
+
+
+def first_runs(rows: DataFrame, keep: str = "max") -> DataFrame:
+    """The sorted runs that the rounds start from: rows (digest_runs) joined within their parts before anything moves."""
+    return _merge(rows.select("run", *ENTRY, _rank(keep).alias("best"), F.lit(1).cast("long").alias("group_size")), keep)
+
+
+def merge_tree(level: DataFrame, keep: str = "max", runs: int | None = None, fan: int | None = None) -> DataFrame:
+    """(slice, digest, check, octets, best, group_size) after all rounds; level: what first_runs returns."""
+    if runs is None:
+        runs = (level.agg(F.max("run")).first()[0] or 0) + 1
+    if fan is None:
+        fan = max(FAN, int(runs ** (1 / ROUNDS)) + 1)
+    stride = 1
+    while stride < runs:
+        stride *= fan
+        # the holder of a round: the run whose last digits are 0
+        moved = level.withColumn("run", F.col("run") - F.pmod("run", F.lit(stride)))
+        level = _merge(moved.repartition("run", "slice").sortWithinPartitions("run", *ENTRY), keep)
+    return level.drop("run")
 
 
-def merge_tree(entries: DataFrame, keep: str = "max", runs: int = RUNS, fan: int = FAN) -> DataFrame:
-    """(digest, check, octets, keep_id, group_size) after all rounds; entries: what digest_runs returns."""
-    level = _merge(entries.select("run", "digest", *VERIFY, F.col("id").alias("keep_id"), F.col("copies").alias("group_size")), keep)
-    while runs > 1:
-        runs = -(-runs // fan)
-        level = _merge(level.withColumn("run", F.floor(F.col("run") / fan).cast("int")), keep)
-    return level.drop("run")
+def fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """(row, id, digest, best, group_size), one row for each of docs: best holds id and row of the copy that stays."""
+    rows = digest_runs(docs, id_col, text_col)
+    level = materialise(first_runs(rows, keep), "first-runs")
+    winners = merge_tree(level, keep).select(*ENTRY, "best", "group_size")
+    # a row for each run and digest on this side, and only one run's rows of a digest on the other
+    per_run = level.select("run", *ENTRY).join(winners, [*ENTRY])
+    return rows.join(per_run, ["run", *ENTRY]).select("row", "id", "digest", "best", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: its id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical; null counts as empty. Of equal texts the row with
+    Texts are equal when identical, of any length; null counts as empty. Of equal texts the row with
     the largest (keep="min": smallest) id stays; a null id loses against any other. Of
     repeated rows (same id and text) exactly one is kept. An empty table gives no rows;
     other columns are not read.
     """
-    entries = materialise(digest_runs(docs, id_col, text_col), "digest-runs")
-    winners = merge_tree(entries, keep)
-    # back down the tree: a run's own entries first, so that no key has more than RUNS rows on this side
-    per_run = entries.select("run", "digest", *VERIFY).distinct().join(winners, ["digest", *VERIFY])
-    rows = entries.join(per_run, ["run", "digest", *VERIFY])
-    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(
+    return fates(docs, id_col, text_col, keep).select(
         F.col("id").alias(id_col),
-        "keep_id",
+        F.col("best.id").alias("keep_id"),
         "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        (F.col("row") == F.col("best.row")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def copies_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """(id, digest, keep_id, rows): the id that stays for each id and text (digest: lower-case hex), and the rows that have both."""
+    own = fates(docs, id_col, text_col, keep).groupBy("id", "digest").agg(F.first("best.id").alias("keep_id"), F.count("*").alias("rows"))
+    return own.withColumn("digest", F.lower(F.hex("digest")))
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all their columns as they are."""
-    entries = materialise(digest_runs(docs, id_col, text_col), "digest-runs")
-    winners = merge_tree(entries, keep).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
-    digest = F.sha2(with_defaults(text_col).cast("binary"), 256)
-    marked = docs.withColumn("__digest_of_row", digest)
-    kept = marked.join(
-        winners,
-        F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__digest_of_row") == F.col("__digest")),
-        "left_semi",
-    )
-    if entries.where("copies > 1").isEmpty():
-        return kept.drop("__digest_of_row")
+    """The rows of docs that exact_dedup keeps, all their columns as they are (of rows equal in id and text any one)."""
+    own = materialise(copies_by_id(docs, id_col, text_col, keep).where(F.col("id").eqNullSafe(F.col("keep_id"))), "keepers")
+    winners = own.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("rows").alias("__rows"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest_of_row") == F.col("__digest"))
+    marked = docs.withColumn("__digest_of_row", F.sha2(with_defaults(text_col).cast("binary"), 256))
+    single = marked.join(winners, same, "left_semi")
+    if own.where("rows > 1").isEmpty():
+        return single.drop("__digest_of_row")
     # rows repeated with id and text: one of them
-    twins = entries.where("copies > 1").select(F.col("id").alias("__id"), F.col("digest").alias("__twin"))
-    is_twin = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest_of_row") == F.col("__twin"))
-    single = kept.join(twins, is_twin, "left_anti")
-    repeated = kept.join(twins, is_twin, "left_semi").dropDuplicates([id_col, "__digest_of_row"])
+    single = marked.join(winners.where("__rows = 1"), same, "left_semi")
+    repeated = marked.join(winners.where("__rows > 1"), same, "left_semi").dropDuplicates([id_col, "__digest_of_row"])
     return single.unionByName(repeated).drop("__digest_of_row")

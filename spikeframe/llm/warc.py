@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir, with_defaults
-from .exact_dedup import VERIFY, digest_runs, merge_tree
+from .exact_dedup import copies_by_id
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -31,39 +31,51 @@ RECORD_URN = "urn:x-page:"
 #: Payloads below this many bytes are always archived in full.
 MIN_REVISIT_BYTES = 100
 DICT_BYTES, DICT_RECORDS, DICT_SAMPLE_BYTES = 64 << 10, 512, 4 << 20
+#: Where whole records teach too little: the lengths of pieces to learn from, and the bytes that they need together.
+DICT_PIECES, DICT_LEAST_BYTES = (256, 64, 32, 16), 512
 ARCHIVE_BYTES, LEVEL = 64 << 20, 3
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(page_id, url, payload, digest, refers_to_page, revisit): what each record will hold."""
-    entries = materialise(digest_runs(pages, id_col, text_col), "page-runs")
-    winners = merge_tree(entries, "min")
-    per_run = entries.select("run", "digest", *VERIFY).distinct().join(winners, ["digest", *VERIFY])
-    fate = entries.join(per_run, ["run", "digest", *VERIFY]).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "keep_id")
+    """(page_id, url, payload, digest, keep_id, keeper, revisit): what each record will hold.
+
+    keeper: this record is the one that others with the same payload refer to.
+    """
     payload = with_defaults(text_col).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    joined = rows.join(fate, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
-    # only rows repeated with id and payload need a number; it would move the payloads once more
-    repeated = not entries.where("copies > 1").isEmpty()
-    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) if repeated else F.lit(1)
-    first = F.col("page_id").eqNullSafe(F.col("keep_id")) & (nth == 1)
-    revisit = (F.octet_length("payload") >= MIN_REVISIT_BYTES) & ~first
-    return joined.select("page_id", "url", "payload", "digest", "keep_id", revisit.alias("revisit"))
+    fates = materialise(copies_by_id(pages, id_col, text_col, "min"), "page-fates").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "keep_id", "rows")
+    is_row = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
+    first = F.lit(True)
+    if not fates.where("rows > 1").isEmpty():
+        # rows repeated with id and payload: one of them, by a number that stays with the row
+        rows = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "page-rows")
+        ones = rows.groupBy("page_id", "digest").agg(F.min(F.struct("url", "__row")).alias("__one")).select(F.col("page_id").alias("__of"), F.col("digest").alias("__what"), F.col("__one.__row").alias("__first"))
+        fates = fates.join(ones, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__digest") == F.col("__what")))
+        first = F.col("__row") == F.col("__first")
+    keeper = F.col("page_id").eqNullSafe(F.col("keep_id")) & first
+    joined = rows.join(fates, is_row).withColumn("keeper", keeper)
+    revisit = (F.octet_length("payload") >= MIN_REVISIT_BYTES) & ~F.col("keeper")
+    return joined.select("page_id", "url", "payload", "digest", "keep_id", "keeper", revisit.alias("revisit"))
 
 
 def _clean(url: str) -> str:
     return "".join(c if " " < c else f"%{ord(c):02X}" for c in url)
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, revisit: bool, refers_to, date: str) -> bytes:
+def record_name(page_id, digest: str, keeper: bool) -> str:
+    """Of a record: page id and digest, and for all but the one that others refer to a number of its own."""
+    page = "none" if page_id is None else str(page_id)
+    return f"{RECORD_URN}{page}:{digest[:32]}" + ("" if keeper else f":{uuid.uuid4().hex}")
+
+
+def record_bytes(page_id, url, payload: bytes, digest: str, keep_id, keeper: bool, revisit: bool, date: str) -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    name = str(page_id) if page_id is not None else f"none:{uuid.uuid4().hex}"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{RECORD_URN}{name}>",
+        f"WARC-Record-ID: <{record_name(page_id, digest, keeper)}>",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -73,23 +85,23 @@ def record_bytes(page_id, url, payload: bytes, digest: str, revisit: bool, refer
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if revisit:
         head.append(f"WARC-Profile: {REVISIT_PROFILE}")
-        if refers_to is not None:
-            head.append(f"WARC-Refers-To: <{RECORD_URN}{refers_to}>")
+        head.append(f"WARC-Refers-To: <{record_name(keep_id, digest, True)}>")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def train_dictionary(records: list[bytes]) -> bytes:
-    """Dictionary from records, empty when they are too few to build one."""
-    if len(records) < 16:
-        return b""
-    size = DICT_BYTES
-    while size >= 1024:
-        try:
-            return zstandard.train_dictionary(size, records).as_bytes()
-        except zstandard.ZstdError:  # too little to learn from for this size
-            size //= 4
-    # records too much alike to train on: some of them as they are
-    return b"".join(records[:16])[-DICT_BYTES:]
+    """A Zstandard dictionary from records; where they are too few to learn from, from pieces of them."""
+    whole = b"".join(records)
+    whole *= -(-DICT_LEAST_BYTES // len(whole))
+    for piece in (0, *DICT_PIECES):
+        samples = [whole[i : i + piece] for i in range(0, len(whole), piece)] if piece else records
+        size = DICT_BYTES
+        while size >= 256:
+            try:
+                return zstandard.train_dictionary(size, samples).as_bytes()
+            except zstandard.ZstdError:  # too little to learn from for this size
+                size //= 4
+    raise ValueError("no dictionary can be made of these records")
 
 
 class ArchiveWriter:
@@ -101,10 +113,9 @@ class ArchiveWriter:
         self.out = where.open_output_stream(path, compression=None)
         self.records = self.size = 0
         trained = train_dictionary(records)
-        if trained:
-            packed = zstandard.ZstdCompressor(level=LEVEL).compress(trained)
-            self._put(struct.pack("<II", SKIPPABLE_MAGIC, len(packed)) + packed)
-        data = zstandard.ZstdCompressionDict(trained) if trained else None
+        packed = zstandard.ZstdCompressor(level=LEVEL).compress(trained)
+        self._put(struct.pack("<II", SKIPPABLE_MAGIC, len(packed)) + packed)
+        data = zstandard.ZstdCompressionDict(trained, dict_type=zstandard.DICT_TYPE_FULLDICT)
         self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=data)
         for record in records:
             self.add(record)
@@ -130,8 +141,8 @@ def _write(folder: str, date: str):
         done, writer, waiting, held = [], None, [], 0
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for page_id, url, payload, digest, keep_id, revisit in zip(*cols, strict=True):
-                record = record_bytes(page_id, url, payload, digest, revisit, keep_id, date)
+            for page_id, url, payload, digest, keep_id, keeper, revisit in zip(*cols, strict=True):
+                record = record_bytes(page_id, url, payload, digest, keep_id, keeper, revisit, date)
                 if writer is None:
                     waiting.append(record)
                     held += len(record)
@@ -154,9 +165,11 @@ def _write(folder: str, date: str):
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", text_col: str = "html", url_col: str = "url", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record for every row; the manifest (path, records, bytes) of the archives.
 
-    A null payload counts as empty. Of equal payloads of at least MIN_REVISIT_BYTES bytes the
-    smallest page id is a response and the others revisit it (of repeated rows one is the
-    response); null ids count as larger than any. No rows make no archives.
+    A null payload counts as empty, long ones are one record like any other. Of equal payloads of
+    at least MIN_REVISIT_BYTES bytes the smallest page id is a response and the others revisit it
+    (of repeated rows one is the response); null ids count as larger than any. Ids are integers;
+    every record has a name of its own, also where ids repeat. Other columns are not read. No
+    rows make no archives.
     """
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
@@ -211,15 +224,18 @@ def parse_record(record: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
-    of = lambda name: fields.get(name, "").removeprefix(f"<{RECORD_URN}").removesuffix(">")
-    page = of("WARC-Record-ID")
+
+    def page_of(name: str) -> int | None:
+        page = fields.get(name, f"<{RECORD_URN}none").removeprefix(f"<{RECORD_URN}").partition(":")[0]
+        return None if page == "none" else int(page)
+
     return {
-        "page_id": None if page.startswith("none:") else int(page),
+        "page_id": page_of("WARC-Record-ID"),
         "url": fields.get("WARC-Target-URI"),
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": int(of("WARC-Refers-To")) if of("WARC-Refers-To") else None,
+        "refers_to": page_of("WARC-Refers-To"),
         "payload": payload if kind == "response" else None,
     }
 
