@@ -45,6 +45,40 @@ def test_exact_dedup_smallest_and_many_copies(spark):
     assert sorted(r.doc_id for r in got) == [0, *range(500, 550)]
 
 
+@pytest.mark.parametrize("keep", ["max", "min"])
+@pytest.mark.parametrize("parts", [1, 3, 70])
+def test_merged_runs_are_those_of_brute_force(spark, keep, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, *range(150)]), rng.choice(["same", None, "", *(f"t{k}" for k in range(60))])) for _ in range(900)]
+    got = exact_dedup.exact_dedup(docs(spark, rows).repartition(parts), keep=keep).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(hashlib.sha256((t or "").encode()).hexdigest(), []).append(i)
+    best = max if keep == "max" else min
+    for r in got:
+        ids = [i for i in groups[r.text_sha256] if i is not None]
+        assert r.keep_id == (best(ids) if ids else None) and r.group_size == len(groups[r.text_sha256])
+        assert not r.kept or r.doc_id == r.keep_id
+    assert sorted(r.text_sha256 for r in got if r.kept) == sorted(groups) and len(got) == len(rows)
+
+
+def test_runs_are_sorted_and_merged(spark, capsys):
+    level = exact_dedup.first_runs(exact_dedup.digest_runs(docs(spark, [(i, f"t{i % 50}") for i in range(400)]).repartition(20)))
+    merged = exact_dedup.merge_tree(level, runs=20, fan=4)
+    merged.explain()
+    plan = capsys.readouterr().out
+    # three rounds of fan 4 from 20 runs, after the runs' own sort: each sorts what it gets and joins neighbours
+    assert plan.count("SortAggregate") >= 4 and plan.count("Sort [") >= 4 and "HashAggregate" not in plan
+    assert merged.count() == 50
+
+
+def test_many_copies_of_one_row(spark):
+    rows = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    got = exact_dedup.exact_dedup(rows)
+    assert got.count() == 100_000 and got.where("kept").count() == 1 and got.where("group_size = 100000").count() == 100_000
+    assert exact_dedup.drop_copies(rows).count() == 1
+
+
 def test_empty_tables_and_clashing_columns(spark):
     empty = docs(spark, []).withColumn("run", F.lit(1))
     assert exact_dedup.exact_dedup(empty).isEmpty()

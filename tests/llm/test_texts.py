@@ -2,7 +2,9 @@
 
 import os
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -96,12 +98,32 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.toxicity_report(docs.limit(0), none).isEmpty()
 
 
-def test_toxicity_reads_whole_long_texts(monkeypatch):
-    stamp = np.zeros(1 << toxicity.BITS, dtype=np.int64)
-    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(5000))
-    whole = set(toxicity.features(text, stamp).tolist())
-    monkeypatch.setattr(toxicity, "PIECE", 700)
-    assert whole <= set(toxicity.features(text, stamp).tolist())
+@pytest.mark.parametrize("piece", [1, 3, 4, 5, 700, 5001])
+def test_features_do_not_depend_on_pieces(monkeypatch, piece):
+    stamp, rng = np.zeros(1 << toxicity.BITS, dtype=np.int64), random.Random(4)
+    texts = ["", "a", "ab", "abc", "".join(rng.choice("abcdefghé😀Z ") for _ in range(5000)), "the same prose again. " * 200]
+    whole = [sorted(toxicity.features(t, stamp).tolist()) for t in texts]
+    assert all(len(set(w)) == len(w) for w in whole) and len(whole[4]) > 5000
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    assert whole == [sorted(toxicity.features(t, stamp).tolist()) for t in texts]
+
+
+def test_toxicity_features_are_all_ngrams():
+    stamp, text = np.zeros(1 << toxicity.BITS, dtype=np.int64), "Some text, some Text"
+    padded = f" {text.lower()} "
+    grams = {padded[i : i + n] for n in toxicity.ORDERS for i in range(len(padded) - n + 1)}
+    assert len(toxicity.features(text, stamp)) == len(grams)  # no two of these few share a slot
+
+
+def test_toxicity_of_labels_that_disagree(spark):
+    rows = toxic_rows(300, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [rows[1][:2]] * 5, DOCS)
+    labels = [(i, b) for i, _, b in rows]
+    bad = [i for i, b in labels if b][:10]
+    first = spark.createDataFrame(labels + [(i, 0) for i in bad] + [(None, 1)] * 3, "doc_id long, toxic int")
+    a = {r.doc_id: r.score for r in toxicity.toxicity_report(docs, first.repartition(5)).collect()}
+    b = {r.doc_id: r.score for r in toxicity.toxicity_report(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert a == b  # an id labelled 0 and 1 counts as 1
 
 
 def test_chat_rotation(spark):
@@ -144,15 +166,39 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), folder)).isEmpty()
 
 
-def test_archive_of_equal_records(tmp_path):
-    records = [b"WARC/1.1 the very same record " * 9] * 40
-    path = warc.ArchiveWriter(f"file://{tmp_path}", records).close()["path"].removeprefix("file://")
-    with open(path, "rb") as f:
-        assert list(warc.frames(f)) == records
+@pytest.mark.parametrize("n", [1, 2, 5, 15, 16, 40])
+def test_archives_of_any_size_hold_a_dictionary(tmp_path, n):
+    for k, records in enumerate(([b"WARC/1.1 the very same record " * 9] * n, [os.urandom(300) + b"record" for _ in range(n)], [b"x"] * n)):
+        path = warc.ArchiveWriter(f"file://{tmp_path}", records).close()["path"].removeprefix("file://")
+        with open(path, "rb") as f:
+            assert list(warc.frames(f)) == records, k
+        data = open(path, "rb").read()
+        size = int.from_bytes(data[4:8], "little")
+        trained = zstandard.ZstdDecompressor().decompress(data[8 : 8 + size])
+        assert data[:4] == warc.SKIPPABLE_MAGIC.to_bytes(4, "little") and trained[:4] == bytes.fromhex("37a430ec")  # a dictionary by format
+
+
+def test_names_of_records_are_unique(spark):
+    big = "<p>" + "text " * 60 + "</p>"
+    rows = [(7, "u", big), (7, "u", big), (7, "v", big + "!"), (8, "u", big), (None, "u", big), (None, None, None), (None, None, None), (9, "u", "small"), (9, "u", "small")] + [(11, "w", big + "?")] * 300
+    pages = spark.createDataFrame(rows, PAGES).withColumns({"payload": F.lit(1), "digest": F.lit("d"), "row": F.lit(2), "id": F.lit(3)})
+    manifest = warc.write_archives(pages, f"file://{warc.shared_dir(spark)}/names-test")
+    names, refers = [], []
+    for r in manifest.collect():
+        with open(r.path.removeprefix("file://"), "rb") as f:
+            for record in warc.frames(f):
+                head = record.partition(b"\r\n\r\n")[0].decode().split("\r\n")
+                names += [x.split(": ", 1)[1] for x in head if x.startswith("WARC-Record-ID")]
+                refers += [x.split(": ", 1)[1] for x in head if x.startswith("WARC-Refers-To")]
+    assert len(names) == len(set(names)) == len(rows)
+    assert set(refers) <= set(names) and len(refers) == 3 + 299
+    got = warc.read_archives(manifest).collect()
+    assert sum(r.record_type == "response" for r in got if r.page_id == 11) == 1 and len(got) == len(rows)
+    assert all(r.refers_to == (11 if r.page_id == 11 else 7) for r in got if r.record_type == "revisit")
 
 
 def test_archive_holds_its_dictionary(tmp_path):
-    records = [warc.record_bytes(i, "http://u", (f"<html><body>page number {i} of the archive " * 5 + "".join(random.Random(i).choices("abcdef <>/", k=300))).encode(), "d", False, None, "2024-01-01T00:00:00Z") for i in range(200)]
+    records = [warc.record_bytes(i, "http://u", (f"<html><body>page number {i} of the archive " * 5 + "".join(random.Random(i).choices("abcdef <>/", k=300))).encode(), "d", i, True, False, "2024-01-01T00:00:00Z") for i in range(200)]
     done = warc.ArchiveWriter(f"file://{tmp_path}", records)
     path = done.close()["path"].removeprefix("file://")
     data = open(path, "rb").read()
@@ -207,6 +253,61 @@ def test_main_text_cases(spark, model):
     assert main_text.main_text(spark.createDataFrame([], PAGES), model=model).isEmpty()
 
 
+@pytest.mark.parametrize("source", ["<a " + '"' * 10_001 + "<p>x", "<a " + "\"'" * 10_001 + ">y<p>x", "<a " * 100_000, "<a " * 100_000 + ">x", '<a "><a x" ' * 30_000 + "x", "<![CDATA[>" * 30_000 + "x", "<table>" + "<span>" * 10_000 + "</x>" * 10_000 + "x", "<p><table>" + "<span>" * 8_000 + "<div>" * 8_000 + "x", "<ul>" + "<li>x" * 10_000])
+def test_pages_are_parsed_in_one_go(source):
+    began = time.process_time()
+    page = main_text.parse(source)
+    main_text.features(page)
+    assert time.process_time() - began < 2 and "".join(run[1] for run in page.runs if run).rstrip()[-1] in "xa"
+
+
+def test_quotes_that_are_not_closed():
+    seen = lambda source: "".join(run[1] for run in main_text.parse(source).runs if run)
+    assert seen('<div title="foo>bar <p>para</p> text') == "bar para text"
+    assert seen("<p class='a>b'>one<p title=\"x>y\">two") == "onetwo"
+
+
+class Article(HTMLParser):
+    """The article element's text, by the parser of the standard library."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.hidden, self.blocks, self.now = False, 0, [], ""
+        self.feed(source)
+        self.close()
+        self.end()
+
+    def end(self):
+        line, self.now = " ".join(self.now.split()), ""
+        self.blocks += [line] * bool(line)
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.hidden += tag in ("script", "style")
+        if tag in ("p", "h1", "h2", "div", "article", "footer"):
+            self.end()
+        self.now += " " * (tag == "br" and self.inside)
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "div", "article", "footer"):
+            self.end()
+        self.inside &= tag != "article"
+        self.hidden -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        self.now += data if self.inside and not self.hidden else ""
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="no test tables")
+def test_main_text_of_the_pages_table(spark, model):
+    """The pages of the test tables are labelled by their markup: an article element holds the main text."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in main_text.main_text(rows, model=model).collect()}
+    want = {r.page_id: "\n".join(Article(r.html or "").blocks) for r in rows.collect()}
+    wrong = [i for i in want if want[i] != got[i]]
+    assert len(wrong) <= len(want) // 100, wrong
+
+
 def test_letters_that_grow_in_lower_case_before_scripts():
     head = "<p>" + "\u0130" * 400 + "</p>"
     page = main_text.parse(f"{head}<script>var a = 1;</SCRIPT><script>var b = 2;</script><p>kept &gt; text</p><p>more</p><b>x</b>")
