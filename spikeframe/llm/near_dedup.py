@@ -1,12 +1,15 @@
 """Near-duplicate documents by circulant MinHash, banding and exact verification.
 
-One permutation spreads the shingles over 2^32 places, a second one, shifted
-circularly by 0, 1, 2, ... places, gives all coordinates of a signature. Bands of a
-signature name buckets. In a bucket, pairs whose signatures agree often enough are
-confirmed on their full shingle sets, unless the links found so far already join
-them: what leaves a bucket is a forest of confirmed links, never all pairs. Large
-buckets are dealt out as pairs of blocks, so that no task holds more than two blocks.
-A pair is looked at in the first band alone that it shares.
+One permutation spreads the shingles over 2^32 places; a second one, shifted circularly by
+0, 1, 2, ... places, gives all coordinates of a signature. Bands of a signature name
+buckets. In a bucket signatures are compared first; of documents that have a partner there
+the full shingle sets follow, and pairs are confirmed on them unless the links found
+so far already join them: what leaves a bucket is a forest of confirmed links, never
+all pairs. A pair is looked at in the first band alone that it shares.
+
+Large buckets are dealt out as blocks, and a few members of the bucket visit every block. Mostly
+that joins a bucket to one component. Where it does not, the documents outside the bucket's largest
+component meet all the others, block by block; documents of one component meet no more.
 
 Bands and the demand of equal coordinates follow from the threshold (banding). At 0.85,
 25 bands of 5 miss a pair with a chance of 4e-7 and the demand of 86 equal coordinates
@@ -31,11 +34,11 @@ WIDTH, COORDS = 5, 125
 PERCENT, DROP_PERCENT = 85, 80
 #: The chances that a link at the threshold may be missed with, by the bands and by the demand of equal coordinates.
 MISS_BANDS, MISS_AGREE = 5e-7, 1.5e-6
-#: Documents in a block of a large bucket.
-BLOCK = 500
+#: Documents in a block of a large bucket, and members of the bucket that visit every block.
+BLOCK, VISITORS = 250, 6
 LAST_ID = (1 << 63) - 1
-#: Parts that the rows of one component are dealt to.
-SALTS = 16
+#: A key with more than this share of all rows is joined by broadcast: there are at most so many.
+HOT_KEYS = 1000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,12 +77,16 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(rolled)
 
 
-def _permute(x: np.ndarray) -> np.ndarray:
-    """A permutation of the 32-bit numbers, in place."""
+#: Multipliers of the two permutations of the 32-bit numbers.
+_FIRST, _SECOND = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)), (np.uint32(0x9E3779B1), np.uint32(0x27D4EB2F))
+
+
+def _permute(x: np.ndarray, by: tuple[np.uint32, np.uint32]) -> np.ndarray:
+    """A permutation of the 32-bit numbers, in place; different multipliers give different ones."""
     x ^= x >> np.uint32(16)
-    x *= np.uint32(0x85EBCA6B)
+    x *= by[0]
     x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
+    x *= by[1]
     x ^= x >> np.uint32(16)
     return x
 
@@ -89,10 +96,10 @@ _SHIFTS = np.arange(COORDS, dtype=np.uint32)[:, None]
 
 def signature(shingles: np.ndarray, chunk: int = 512) -> np.ndarray:
     """COORDS coordinates: low 16 bits of the least place under the second permutation, shifted by each number of places."""
-    places = _permute((shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32))
+    places = _permute((shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32), _FIRST)
     least = np.full(COORDS, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(places), chunk):
-        shifted = _permute(places[None, at : at + chunk] + _SHIFTS)
+        shifted = _permute(places[None, at : at + chunk] + _SHIFTS, _SECOND)
         np.minimum(least, shifted.min(axis=1), out=least)
     return (least & np.uint32(0xFFFF)).astype(np.uint16)
 
@@ -100,18 +107,19 @@ def signature(shingles: np.ndarray, chunk: int = 512) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, tags, signs = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             own = shingle_set(text.as_py())
             sizes.append(len(own))
             tags.append(xxhash.xxh3_128_digest(own.tobytes()))
             signs.append(signature(own).tobytes() if len(own) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tags, pa.binary()), pa.array(signs, pa.binary())], names=["id", "size", "tag", "sign"])
+        made = [pa.array(sizes, pa.int64()), pa.array(tags, pa.binary()), pa.array(signs, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "print", "size", "tag", "sign"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [shingle_set(t.as_py()).tobytes() for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.large_binary()).cast(pa.binary())], names=["tag", "sign", "shingles"])
+        own = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.large_binary()).cast(pa.binary())], names=["tag", "shingles"])
 
 
 class Forest:
@@ -140,45 +148,72 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return (100 + percent) * shared >= percent * (len(a) + len(b))
 
 
-def _links(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """A function of one part of a bucket: its confirmed links, a forest, as pairs of tags."""
-    _, rows, least = banding(percent)
+class Part:
+    """The documents of one part (bucket, p, q), each tag once and in order, and their pairs of like signatures.
 
-    def links(table: pa.Table) -> pa.Table:
-        band = table.column("band")[0].as_py()
-        left, right = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    In a part of one block (p = q) all documents meet, else those of one side (0) the other's (1);
+    documents that share a label or an earlier band never do.
+    """
+
+    def __init__(self, table: pa.Table, percent: int):
         tags = table.column("tag").to_pylist()
-        order = sorted(range(len(tags)), key=tags.__getitem__)
-        tags = [tags[i] for i in order]
-        block = np.array(table.column("block").to_pylist())[order]
-        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), dtype=np.uint16).reshape(-1, COORDS)[order]
-        sets = table.column("shingles").to_pylist()
-        sets = [np.frombuffer(sets[i], dtype=np.uint64) for i in order]
-        sizes = np.array([len(s) for s in sets])
-        forest, found = Forest(len(tags)), []
-        pairs, scores = [], []
-        for i in range(len(tags) - 1):
-            others = np.arange(i + 1, len(tags))
-            if left != right:
-                others = others[block[others] != block[i]]
-            fit = (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))
+        first = dict(zip(reversed(tags), reversed(range(len(tags)))))
+        self.rows = [first[t] for t in sorted(first)]
+        self.tags = sorted(first)
+        of = lambda name: [x for x in table.column(name).take(pa.array(self.rows)).to_pylist()]
+        self.labels = of("label")
+        ids = {x: k for k, x in enumerate(dict.fromkeys(self.labels))}
+        label, size, side = (np.array(x) for x in ([ids[x] for x in self.labels], of("size"), of("side")))
+        signs = np.frombuffer(b"".join(of("sign")), dtype=np.uint16).reshape(-1, COORDS)
+        band, one = table.column("band")[0].as_py(), table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        _, rows, least = banding(percent)
+        left, right, scores = [], [], []
+        for i in range(len(self.tags) - 1):
+            others = np.arange(i + 1, len(self.tags))
+            fit = (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])) & (label[others] != label[i])
+            if not one:
+                fit &= side[others] != side[i]
             others = others[fit]
             same = signs[others] == signs[i]
             agree = same.sum(axis=1)
             keep = agree >= least
             if band:
-                earlier = same[:, : band * rows].reshape(len(others), band, rows).all(axis=2).any(axis=1)
-                keep &= ~earlier
-            others = others[keep]
-            pairs.append(np.stack([np.full(len(others), i), others], axis=1))
+                keep &= ~same[:, : band * rows].reshape(len(others), band, rows).all(axis=2).any(axis=1)
+            left.append(np.full(int(keep.sum()), i))
+            right.append(others[keep])
             scores.append(agree[keep])
-        if pairs:
-            every, score = np.concatenate(pairs), np.concatenate(scores)
-            for i, j in every[np.argsort(-score, kind="stable")].tolist():
-                a, b = forest.root(i), forest.root(j)
-                if a != b and linked(sets[i], sets[j], percent):
-                    forest.up[max(a, b)] = min(a, b)
-                    found.append((tags[i], tags[j]))
+        none = np.empty(0, dtype=np.int64)
+        self.left, self.right = np.concatenate([none, *left]), np.concatenate([none, *right])
+        best = np.argsort(-np.concatenate([none, *scores]), kind="stable")
+        self.left, self.right = self.left[best], self.right[best]
+        self.group = label
+
+
+def _alike(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """A function of a part: its rows that have a partner of like signature."""
+
+    def alike(table: pa.Table) -> pa.Table:
+        part = Part(table, percent)
+        have = np.unique(np.concatenate([part.left, part.right]))
+        return table.take(pa.array([part.rows[i] for i in have.tolist()], pa.int64()))
+
+    return alike
+
+
+def _links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """A function of a part with sets: its confirmed links, a forest, as pairs of labels."""
+
+    def links(table: pa.Table) -> pa.Table:
+        part = Part(table, percent)
+        shingles = table.column("shingles")
+        sets = [np.frombuffer(shingles[i].as_py(), dtype=np.uint64) for i in part.rows]
+        forest, found = Forest(len(part.labels)), []
+        group = part.group.tolist()
+        for i, j in zip(part.left.tolist(), part.right.tolist(), strict=True):
+            a, b = forest.root(group[i]), forest.root(group[j])
+            if a != b and linked(sets[i], sets[j], percent):
+                forest.up[max(a, b)] = min(a, b)
+                found.append((part.labels[i], part.labels[j]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
     return links
@@ -196,6 +231,72 @@ def _buckets(nodes: DataFrame, percent: int) -> DataFrame:
     return rows.drop("band").join(first.select("members", "x.bucket", "x.band"), "bucket")
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """(tag, bucket, band, p, q, side, label): the parts in which members meet first: blocks with their visitors."""
+    rows = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    own = rows.select("tag", "bucket", "band", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int").alias("p"))
+    few = [F.min(F.when(F.pmod(F.xxhash64(F.lit("visitor"), "tag"), F.lit(VISITORS)) == k, F.col("tag"))) for k in range(VISITORS)]
+    chosen = rows.where("blocks > 1").groupBy("bucket", "band", "blocks").agg(F.array_compact(F.array(*few)).alias("tags"))
+    guests = chosen.select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "tags").select(F.explode("tags").alias("tag"), "bucket", "band", "p")
+    return own.unionByName(guests).select("tag", "bucket", "band", "p", F.col("p").alias("q"), F.lit(0).alias("side"), F.col("tag").alias("label"))
+
+
+def _dealt_again(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """The same for large buckets of several components: what is outside the largest one meets all, block by block."""
+    large = members.where(F.col("members") > BLOCK)
+    if large.isEmpty():
+        return None
+    known = large.select("tag", "bucket", "band").join(labels, "tag", "left")
+    known = materialise(known.select("tag", "bucket", "band", F.coalesce("label.tag", "tag").alias("label")), "large-buckets")
+    kinds = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    tops = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    tops = materialise(tops.select("bucket", F.col("top.label").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("most")), "open-buckets")
+    if tops.isEmpty():
+        return None
+    rows = known.join(tops, "bucket").withColumn("inside", F.col("label") == F.col("main"))
+    own = F.pmod(F.xxhash64("tag"), F.when(F.col("inside"), F.col("most")).otherwise(F.col("rest"))).cast("int")
+    rows = rows.withColumn("own", own)
+    part = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    main = F.transform(count(F.col("rest")), lambda i: part(i, F.col("rest") + F.col("own"), F.lit(1)))
+    with_main = F.transform(count(F.col("most")), lambda j: part(F.col("own"), F.col("rest") + j, F.lit(0)))
+    with_rest = F.transform(count(F.col("rest")), lambda k: part(F.least("own", k), F.greatest("own", k), (F.col("own") > k)))
+    parts = F.when(F.col("inside"), main).otherwise(F.concat(with_main, with_rest))
+    return rows.select("tag", "bucket", "band", "label", F.explode(parts).alias("x")).select("tag", "bucket", "band", "x.p", "x.q", "x.side", "label")
+
+
+PART_COLUMNS = "tag binary, bucket long, band int, p int, q int, side int, label binary, size long, sign binary"
+
+
+def _confirmed(dealt: DataFrame, nodes: DataFrame, text: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the labels of what was dealt to parts, as a written table."""
+    signed = dealt.join(nodes.select("tag", "size", "sign"), "tag").select("tag", "bucket", F.col("band").cast("int").alias("band"), "p", "q", "side", "label", "size", "sign")
+    alike = materialise(signed.groupBy("bucket", "p", "q").applyInArrow(_alike(percent), PART_COLUMNS), "alike")
+    # the full sets of these, each from one text that has it
+    wanted = alike.select("tag").distinct().join(nodes, "tag").select("tag", F.when(F.col("id") < LAST_ID, F.col("id")).alias("own"), F.col("print").alias("own_print"))
+    found = text.join(wanted, F.col("id").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print"))).select("tag", "text")
+    sets = materialise(found.mapInArrow(_sets, "tag binary, shingles binary"), "sets")
+    if sets.count() > wanted.count():
+        sets = sets.dropDuplicates(["tag"])  # rows repeated with id and text
+    held = alike.join(sets, "tag")
+    return materialise(held.groupBy("bucket", "p", "q").applyInArrow(_links(percent), "a binary, b binary"), "edges")
+
+
+def _join_hot(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+    """rows left joined with table (key, value; a row for each key) where some keys have a large share of the n rows.
+
+    Keys with more than n / HOT_KEYS rows number at most HOT_KEYS: they are sent to all tasks,
+    and only rows of other keys are dealt by key.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(n // HOT_KEYS, 1)).select(F.col(key).alias("__hot"))
+    hot = materialise(hot.join(table, F.col("__hot") == table[key]).select("__hot", "value"), "hot-keys")
+    is_hot = F.col(key) == F.col("__hot")
+    often = rows.join(F.broadcast(hot), is_hot).drop("__hot")
+    seldom = rows.join(F.broadcast(hot.select("__hot")), is_hot, "left_anti").join(table, key, "left")
+    return often.unionByName(seldom)
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(tag, label): the least node of each component; edges (a, b) of tags, nodes (tag, node).
 
@@ -206,73 +307,68 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = materialise(both, "links")
     touched = both.select(F.col("a").alias("tag")).distinct()
     labels = materialise(nodes.join(touched, "tag").select("tag", F.col("node").alias("label")), "labels")
-    while True:
+    n = labels.count()
+    while n:
         near = both.join(labels.select(F.col("tag").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near, labels.tag == near.a).select("tag", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        # each label's own label, once for each salt: a large component's rows go to as many tasks
-        up = least.select(F.col("tag").alias("owner"), F.col("label").alias("up"))
-        named = least.select("label").distinct().join(up, F.col("label.tag") == F.col("owner"))
-        named = named.select(F.col("label.tag").alias("of"), "up", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = least.withColumn("salt", F.pmod(F.xxhash64("tag"), F.lit(SALTS)).cast("int"))
-        met = (F.col("label.tag") == F.col("of")) & (salted.salt == named.salt)
-        jumped = salted.join(named, met, "left").select("tag", "was", F.least("label", F.coalesce("up", "label")).alias("label"))
-        labels = materialise(jumped, "labels")
-        if labels.where("was <> label").isEmpty():
-            return labels.select("tag", "label")
-        labels = labels.select("tag", "label")
+        least = materialise(least.withColumn("to", F.col("label.tag")), "nearest")
+        if least.where("was <> label").isEmpty():
+            break
+        # each label's own label
+        jumped = _join_hot(least, least.select(F.col("tag").alias("to"), F.col("label").alias("value")), "to", n)
+        labels = materialise(jumped.select("tag", F.least("label", F.coalesce("value", "label")).alias("label")), "labels")
+    return labels
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, print, size, tag, value), one row for each of docs; value: the least node (id, tag) of its component, null without a set."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    sketches = materialise(text.mapInArrow(_sketch, f"id {kind}, print long, size long, tag binary, sign binary"), "sketches")
+    # of equal sets the least id, and of its texts one
+    best = F.min(F.struct(F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)).alias("id"), "print"))
+    nodes = sketches.where("size > 0").groupBy("tag").agg(best.alias("best"), F.first("sign").alias("sign"), F.first("size").alias("size"))
+    nodes = materialise(nodes.select("tag", "best.id", "best.print", "sign", "size", F.struct("best.id", "tag").alias("node")), "nodes")
+    members = materialise(_buckets(nodes, percent), "buckets")
+    labels = components(_confirmed(_dealt(members), nodes, text, percent), nodes.select("tag", "node"))
+    again = _dealt_again(members, labels)
+    if again is not None:
+        more = components(_confirmed(again, nodes, text, percent), nodes.select("tag", "node"))
+        # labels of the first round are the nodes of the second
+        whole = nodes.select("tag", "node").join(labels, "tag", "left").select("tag", F.coalesce("label", "node").alias("label")).withColumn("to", F.col("label.tag"))
+        moved = _join_hot(whole, more.select(F.col("tag").alias("to"), F.col("label").alias("value")), "to", nodes.count())
+        labels = materialise(moved.select("tag", F.coalesce("value", "label").alias("label")), "labels")
+    named = nodes.select("tag", "node").join(labels, "tag", "left").select("tag", F.coalesce("label", "node").alias("value"))
+    rows = sketches.where("size > 0").select("id", "print", "size", "tag")
+    none = sketches.where("size = 0").select("id", "print", "size", "tag", F.lit(None).cast(named.schema["value"].dataType).alias("value"))
+    return _join_hot(rows, named, "tag", sketches.count()).select("id", "print", "size", "tag", "value").unionByName(none)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Words are runs of characters other than white space, A-Z lower-cased; a document's
-    set are its distinct runs of five words, or all its words as one. Documents whose sets share
-    at least ``percent`` % are linked; component_id is the smallest id that links reach. A null,
-    empty or blank text has no set and no links. Null ids count as larger than any and
-    give a null component_id where there is no other; repeated rows share theirs.
-    An empty table gives no rows.
+    set are its distinct runs of five words, or all its words as one, of the whole text however
+    long. Documents whose sets share at least ``percent`` % are linked; component_id is the smallest
+    id (an integer) that links reach. A null, empty or blank text has no set and no links. Null ids count
+    as larger than any and give a null component_id where there is no other; repeated rows share
+    theirs. Other columns are not read. An empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = materialise(text.mapInArrow(_sketch, f"id {kind}, size long, tag binary, sign binary"), "sketches")
-    whole = sketches.where("size > 0")
-    nodes = whole.groupBy("tag").agg(F.min(F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID))).alias("id"), F.first("sign").alias("sign"))
-    nodes = materialise(nodes.withColumn("node", F.struct("id", "tag")), "nodes")
-    members = materialise(_buckets(nodes, percent), "buckets")
-    # the full sets of the documents that share a bucket, from their texts
-    wanted = members.select("tag").distinct().join(nodes, "tag").select("tag", F.when(F.col("id") < LAST_ID, F.col("id")).alias("own"), "sign")
-    firsts = text.join(wanted, F.col("id").eqNullSafe(F.col("own"))).select("tag", "sign", "text")
-    made = firsts.mapInArrow(_sets, "tag binary, sign binary, shingles binary")
-    if not sketches.groupBy("id").count().where("count > 1").isEmpty():
-        # ids that several texts have: hold each set against the tag it is asked for
-        tagged = firsts.mapInArrow(_sets, "tag binary, sign binary, shingles binary")
-        made = tagged.mapInArrow(_own_tag, "tag binary, sign binary, shingles binary").dropDuplicates(["tag"])
-    sets = materialise(made, "sets")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
-    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
-    dealt = dealt.select("tag", "bucket", F.col("band").cast("int").alias("band"), "block", F.explode(parts).alias("x")).select("tag", "bucket", "band", "block", "x.p", "x.q")
-    held = dealt.join(sets, "tag")
-    edges = held.groupBy("bucket", "p", "q").applyInArrow(_links(percent), "a binary, b binary")
-    labels = components(edges, nodes.select("tag", "node"))
-    named = nodes.select("tag", "node").join(labels, "tag", "left").select("tag", F.coalesce("label", "node").alias("label"))
-    out = sketches.alias("s").join(named.alias("n"), (F.col("s.tag") == F.col("n.tag")) & (F.col("s.size") > 0), "left")
-    label = F.when(F.col("n.label").isNull(), F.col("s.id").cast("long")).when(F.col("n.label.id") < LAST_ID, F.col("n.label.id"))
-    return out.select(F.col("s.id").alias(id_col), F.col("s.size").alias("n_shingles"), label.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
-
-
-def _own_tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [xxhash.xxh3_128_digest(s.as_py()) == t.as_py() for t, s in zip(batch.column(0), batch.column(2), strict=True)]
-        yield batch.filter(pa.array(own, pa.bool_()))
+    rows = _labelled(docs, id_col, text_col, percent)
+    label = F.when(F.col("value").isNull(), F.col("id").cast("long")).when(F.col("value.id") < LAST_ID, F.col("value.id"))
+    out = rows.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), label.alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = DROP_PERCENT) -> DataFrame:
-    """The rows of docs with the smallest id of their component, all their columns as they are.
+    """The rows of docs that are their component's first by id (null last), all their columns as they are.
 
     Documents are linked from ``percent`` % of shared five-word runs on, by default 80, where near_components takes 85.
-
-    Rows that share an id stay or go together; rows without an id stay only where a component has no id.
+    Texts without words all stay. Of a component one set of runs stays: rows that share it and the
+    id, such as repeated rows, stay together.
     """
-    kept = near_components(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    rows = _labelled(docs, id_col, text_col, percent)
+    first = (F.col("value.tag") == F.col("tag")) & (F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)) == F.col("value.id"))
+    kept = rows.where(F.col("value").isNull() | first).select(F.col("id").alias("__id"), F.col("print").alias("__print")).distinct()
+    marked = docs.withColumn("__print_of_row", F.xxhash64(text_col))
+    return marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__print_of_row") == F.col("__print")), "left_semi").drop("__print_of_row")
