@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise, shared_folder
+
+__all__ = ["WORD", "let", "materialise", "prefix_sums", "running", "shared_dir", "shingle_hashes", "table", "with_defaults", "words_of"]
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,28 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the cluster names none, as in tests, a temporary folder is used.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spikeframe-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+shared_dir = shared_folder
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+def prefix_sums(df: DataFrame, order: list[Column], name: str, **sums: Column) -> DataFrame:
+    """df with a column for each of sums: its total over all rows before, in the order given.
 
-    Cuts the lineage: what is computed from the result survives lost executors
-    without running the steps before it again.
+    Rows are range-sorted into parts and written; what meets in one task is a part, or one total for each part.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), name)
+    totals = rows.groupBy("__part").agg(*[F.sum(v).alias(f"__{k}") for k, v in sums.items()])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__part", *[F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__{k}") for k in sums])
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumns({f"__in_{k}": F.coalesce(F.sum(v).over(within), F.lit(0)) for k, v in sums.items()})
+    return inside.join(before, "__part").select(*df.columns, *[(F.col(f"__in_{k}") + F.col(f"__{k}")).alias(k) for k in sums])
 
 
 def with_defaults(text: str | Column) -> Column:
@@ -50,6 +44,33 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Elements that running() sums at once.
+STEP = 256
+
+
+def _scan(lengths: Column, start: Column) -> Column:
+    def step(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    first = F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(lengths, first, step)["out"]
+
+
+def running(lengths: Column) -> Column:
+    """For each element of an array<bigint> the sum of those before it.
+
+    Steps of STEP elements get their starts from sums of steps, so that long arrays are not copied once for each element.
+    """
+
+    def of(values: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / STEP).cast("int"))
+        part = lambda k: F.slice(values, k * STEP + 1, F.lit(STEP))
+        sums = F.transform(steps, lambda k: F.aggregate(part(k), F.lit(0).cast("long"), lambda acc, n: acc + n))
+        return let(_scan(sums, F.lit(0)), lambda starts: F.flatten(F.transform(steps, lambda k: _scan(part(k), F.get(starts, k)))))
+
+    return let(lengths, of)
+
+
 def words_of(text: str | Column) -> Column:
     """The words of a text in order; none for a null or blank one."""
     bare = F.btrim(with_defaults(text), F.lit(" \t\n\x0b\x0c\r"))
