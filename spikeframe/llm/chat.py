@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_defaults
+from .common import let, running, with_defaults
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Roles that frame a dialogue and never take part in it.
@@ -58,17 +58,18 @@ def render(turns: DataFrame, **columns) -> DataFrame:
     piece = F.struct(F.col("turn").isNull().alias("late"), "turn", "head", "body", "masked")
     parts = rotate(turns, **columns).groupBy("conv_id", "perspective", "part").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.char_length(p["head"])
-        end = begin + F.char_length(p["body"])
-        span = F.when(p["masked"], F.array(F.struct(begin.alias("begin"), end.alias("end"))))
-        spans = F.concat(acc["spans"], F.coalesce(span, F.array().cast("array<struct<begin:bigint,end:bigint>>")))
-        return F.struct((end + 1).alias("at"), spans.alias("spans"))
+    lengths = F.transform("pieces", lambda p: (F.char_length(p["head"]) + F.char_length(p["body"]) + 1).cast("long"))
+
+    def spans(before: Column) -> Column:
+        def span(p: Column, i: Column) -> Column:
+            begin = F.get(before, i) + F.char_length(p["head"])
+            return F.struct(p["masked"].alias("masked"), begin.alias("begin"), (begin + F.char_length(p["body"])).alias("end"))
+
+        return F.filter(F.transform("pieces", span), lambda s: s["masked"])
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"))
     parts = parts.withColumns({
         "text": F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), ""),
-        "spans": F.aggregate("pieces", start, step)["spans"],
+        "spans": let(running(lengths), spans),
     })
     parts = parts.select("conv_id", "perspective", "part", F.size("pieces").cast("long").alias("n_turns"), F.char_length("text").cast("long").alias("n_chars"), "text", "spans")
     before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, with_defaults
+from .common import let, running, with_defaults
 
 # The patterns of the base kinds, in the order that breaks ties of starts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,8 +30,6 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 MIN_LLR = 12.0
 #: Rows for training, about: their share of the table is taken by a hash of the id.
 SECRET_ROWS, ORDINARY_ROWS = 100_000, 4_000
-#: Characters of a sample that count, so that no single long one decides.
-TRAIN_CHARS = 64
 #: Weight of a uniform distribution in each row of transitions.
 PRIOR = 20.0
 
@@ -47,17 +45,17 @@ def _located(text: Column, pattern: str, wanted, kind: str, rank: int) -> Column
     every match, so starts are sums of the lengths before."""
 
     def of(found: Column) -> Column:
-        gaps, matches, keep = found["gaps"], found["matches"], found["keep"]
-        start = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
+        lengths = F.transform(found["matches"], lambda m, i: (F.char_length(F.get(found["gaps"], i)) + F.char_length(m)).cast("long"))
 
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.char_length(gaps[i])
-            stop = begin + F.char_length(matches[i])
-            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"))
-            spans = F.when(keep[i], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-            return F.struct(stop.alias("at"), spans.cast(SPAN).alias("spans"))
+        def spans(before: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                begin = F.get(before, i) + F.char_length(F.get(found["gaps"], i))
+                return F.struct(begin.cast("int").alias("start"), F.lit(rank).alias("rank"), (begin + F.char_length(m)).cast("int").alias("stop"), F.lit(kind).alias("kind"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step)["spans"]
+            kept = F.filter(F.transform(found["matches"], lambda m, i: F.struct(F.get(found["keep"], i).alias("keep"), span(m, i).alias("span"))), lambda x: x["keep"])
+            return F.transform(kept, lambda x: x["span"])
+
+        return let(running(lengths), spans).cast(SPAN)
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.struct(F.split(text, pattern).alias("gaps"), matches.alias("matches"), wanted(text, matches).alias("keep"))
@@ -95,9 +93,12 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _pairs(strings: DataFrame, col: str) -> DataFrame:
-    """Counts of neighbouring characters, both of ALPHABET: at most its length squared rows."""
+    """In how many strings neighbouring characters occur, both of ALPHABET: at most its length squared rows.
+
+    A string counts once for each pair that it has anywhere, so that no single long one decides.
+    """
     two = F.transform(F.sequence(F.lit(1), F.char_length(col) - 1), lambda i: F.substring(F.col(col), i, F.lit(2)))
-    pairs = strings.where(F.char_length(col) > 1).select(F.explode(two).alias("pair"))
+    pairs = strings.where(F.char_length(col) > 1).select(F.explode(F.array_distinct(two)).alias("pair"))
     return pairs.groupBy("pair").count()
 
 
@@ -115,7 +116,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secre
     value = F.when(F.col("span.kind") == "assign", F.regexp_extract(cut(F.col("span")), ASSIGN, 2)).otherwise(cut(F.col("span")))
     # digests of ids are random strings over the whole alphabet
     digest = F.base64(F.unhex(F.sha2(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"), 256)))
-    random = _pairs(secrets.select(F.substring(value, 1, TRAIN_CHARS).alias("s")).unionByName(sample(ordinary_rows).select(digest.alias("s"))), "s")
+    random = _pairs(secrets.select(value.alias("s")).unionByName(sample(ordinary_rows).select(digest.alias("s"))), "s")
     bare = with_defaults(text_col)
     for pattern in (ASSIGN, ACCESS, HEX):
         bare = F.regexp_replace(bare, pattern, " ")
@@ -144,14 +145,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Spans of secrets in every row: id, text, base and spans (arrays of start, rank, stop, kind).
 
     Positions are code points, ends exclusive. base holds the matches of the fixed patterns; spans
-    also those of the model (kind "markov") that touch none of them. A null or empty
-    text has none; repeated rows each get their own. An empty table gives no rows.
+    also those of the model (kind "markov") that touch none of them: runs of 16 or more characters
+    of ALPHABET whose ratio is min_llr or more. A null or empty text has none, a long one is read to
+    its end; repeated rows each get their own. Other columns are not read. An empty table gives no rows.
     """
     model = model if model is not None else train(docs, id_col, text_col)
     rows = _scan(docs, id_col, text_col)
     base = F.array_sort(F.concat("assign", "access", "hex"))
-    secret = lambda run: log_ratio(run, model) >= min_llr
-    suspect = F.filter("runs", lambda r: r.rlike("[0-9+/_=-]|[a-z][A-Z]") & secret(r))
+    suspect = F.filter("runs", lambda run: log_ratio(run, model) >= min_llr)
     rows = rows.withColumns({"base": base, "suspect": suspect})
     flags = lambda _, matches: F.transform(matches, lambda m: F.array_contains(F.col("suspect"), m))
     more = F.when(F.size("suspect") > 0, _located(F.col("text"), RUN, flags, "markov", 3)).otherwise(_none())
