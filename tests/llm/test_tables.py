@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spikeframe.llm import exact_dedup, fingerprints, mixing, near_dedup, secrets
+from spikeframe.llm.common import running
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,6 +141,34 @@ def test_mixed_rows_hold_the_words_taken(spark):
     assert again == taken
 
 
+@pytest.mark.parametrize("count", [1, 2, 3, 7, 40])
+def test_targets_of_any_number_of_sources(spark, count):
+    rng = random.Random(count)
+    sizes = [rng.choice([0, 1, 5, 1000, rng.randint(0, 300)]) for _ in range(count)]
+    table = spark.createDataFrame([(f"s{i:03d}" if i else None, n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(table.repartition(3)).collect()}
+    order = [*range(1, count), 0]  # null last
+    want = fill([sizes[i] for i in order])
+    for i, t in zip(order, want, strict=True):
+        assert abs(got[f"s{i:03d}" if i else None] - t) < 1e-6
+
+
+def test_mix_of_one_row_repeated_often(spark):
+    twins = [(7, "one two three")] * 3000
+    table = docs(spark, [*twins, *((i, "a b") for i in range(100, 130))], ["a"] * 3000 + ["b"] * 30).withColumn("lang", F.when(F.col("doc_id") == 7, F.when(F.rand(1) < 0.5, "x").otherwise("y")))
+    taken = {r.source: r.n for r in mixing.mix(table).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    again = {r.source: r.n for r in mixing.mixed_documents(table).groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()}
+    assert again == taken
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    lists = [[], [5], [rng.randint(0, 9) for _ in range(255)], [1] * 256, [2] * 257, [rng.randint(0, 9) for _ in range(3000)]]
+    df = spark.createDataFrame([(v,) for v in lists], "v array<bigint>")
+    for r in df.select("v", running(F.col("v")).alias("r")).collect():
+        assert r.r == [sum(r.v[:i]) for i in range(len(r.v))]
+
+
 def shingles(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
