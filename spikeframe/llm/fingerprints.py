@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 from .common import let, materialise, shingle_hashes, with_defaults
 
 K, WIDTH = 256, 5
-#: Text bytes that one bucket of the id order holds, about; the buckets are at least and at most so many.
-BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 8 << 20, 32, 20_000
+#: Text bytes that one bucket of the id order holds, about, and the fewest buckets.
+BUCKET_BYTES, MIN_BUCKETS = 8 << 20, 32
+#: Quantiles of the ids that buckets are cut at; between two of them buckets are even steps of ids.
+CUTS = 1000
+#: A row repeated to more than this share of the table is one row in the order, its copies are made apart.
+HOT_ROWS = 1000
 
 
 def bottom(hashes: Column, k: int = K) -> Column:
@@ -75,65 +80,114 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _cuts(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
-    """Ids, ascending, that cut the table into buckets of about BUCKET_BYTES of text."""
-    total = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count("*").alias("n")).first()
-    n = min(total.n or 0, MAX_BUCKETS, max(MIN_BUCKETS, math.ceil((total.b or 0) / BUCKET_BYTES)))
-    if n < 2:
-        return []
-    at = [i / n for i in range(1, n)]
-    cuts = docs.agg(F.percentile_approx(id_col, at, max(10_000, 20 * n))).first()[0]
-    return sorted(set(cuts or []))
-
-
-def _bucket(id_col: str, cuts: list[int]) -> Column:
-    """Buckets in descending order of ids, the null ids last; cuts are searched in two steps."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts)) + 1
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    table = F.from_json(F.lit(str(groups)), "array<array<bigint>>")
-    first = F.from_json(F.lit(str([g[0] for g in groups])), "array<bigint>")
-    value = F.col(id_col)
-    group = F.size(F.filter(first, lambda c: c <= value))
-    inside = F.size(F.filter(F.element_at(table, F.greatest(group, F.lit(1))), lambda c: c <= value))
-    above = F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inside)
-    return F.when(value.isNull(), F.lit(len(cuts) + 1)).otherwise(len(cuts) - above)
+@dataclass(frozen=True)
+class Order:
+    """How rows in descending order of ids, null last, and of a hash of the text (tie) are cut into buckets.
+
+    cuts: ids, ascending, at equal shares of the rows; an id that has the share of several cuts is
+    in the list as often. Between two cuts there are ``steps`` buckets, even in the ids between, or
+    in the ties where one id is all there is. The list has CUTS entries at most, the buckets grow with the table.
+    """
+
+    cuts: list[int]
+    steps: int
+    null_steps: int
+    ends: tuple[int | None, int | None]
+
+    @classmethod
+    def of(cls, docs: DataFrame, id_col: str, text_col: str) -> Order:
+        at = [i / CUTS for i in range(1, CUTS)]
+        seen = docs.agg(
+            F.sum(F.octet_length(text_col)).alias("bytes"),
+            F.sum(F.when(F.col(id_col).isNull(), F.octet_length(text_col))).alias("null_bytes"),
+            F.percentile_approx(id_col, at, 20 * CUTS).alias("cuts"),
+            F.min(id_col).alias("least"),
+            F.max(id_col).alias("most"),
+        ).first()
+        buckets = max(MIN_BUCKETS, math.ceil((seen.bytes or 0) / BUCKET_BYTES))
+        every = max(1, CUTS // buckets)
+        cuts = (seen.cuts or [])[every - 1 :: every]
+        return cls(cuts, max(1, math.ceil(buckets / (len(cuts) + 1))), max(1, math.ceil((seen.null_bytes or 0) / BUCKET_BYTES)), (seen.least, seen.most))
+
+    def _between(self, share: Column, steps: Column | int) -> Column:
+        """The step, 0 to steps - 1, of a share between 0 and 1."""
+        steps = steps if isinstance(steps, Column) else F.lit(steps)
+        return F.least(F.floor(share * steps), steps - 1).cast("long")
+
+    def bucket(self, value: Column, tie: Column) -> Column:
+        """Ascending from the first row on: the larger the id, and of equal ids the tie, the smaller the bucket."""
+        even = tie.cast("double") / 2.0**64 + 0.5
+        last = (len(self.cuts) + 1) * self.steps
+        of_null = last + self.null_steps - 1 - self._between(even, self.null_steps)
+        if not self.cuts:
+            return F.when(value.isNull(), of_null).otherwise(last - 1 - self._between(even, self.steps))
+        edges = F.from_json(F.lit(json.dumps([*self.cuts])), "array<bigint>")
+
+        def placed(e: Column) -> Column:
+            first = F.size(F.filter(e, lambda c: c < value))
+            upto = F.size(F.filter(e, lambda c: c <= value))
+            ends = [F.lit(x).cast("double") for x in self.ends]
+            low, high = F.coalesce(F.get(e, first - 1).cast("double"), ends[0]), F.coalesce(F.get(e, first).cast("double"), ends[1])
+            inside = F.coalesce((value.cast("double") - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+            # an id that is itself a cut begins the part after it; of several cuts its rows go by ties through the parts between
+            own = F.when(upto - first > 1, (first + 1) * self.steps + self._between(even, (upto - first - 1) * self.steps)).otherwise(upto * self.steps)
+            return last - 1 - F.when(upto > first, own).otherwise(first * self.steps + self._between(inside, self.steps))
+
+        return F.when(value.isNull(), of_null).otherwise(let(edges, placed))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry=None) -> DataFrame:
     """docs' id, text and ``carry(text)`` with the same of the next row in descending order of ids.
 
     After the last row comes the first. Rows of equal id follow by a hash of the text,
-    null ids come last. Buckets of the order are cut from approximate quantiles; the
-    first row of each bucket also goes to the bucket before, so that one shuffle is enough.
+    null ids come last. The order is cut into buckets; the first row of each bucket also goes to the
+    bucket before, so that one shuffle is enough. Ids are integers.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be an integer column")
     carry = carry or (lambda _: F.lit(None))
-    spark, cuts = docs.sparkSession, _cuts(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), with_defaults(text_col).alias("text")).withColumn("bucket", _bucket("id", cuts))
-    key = F.struct(F.col("id"), F.xxhash64("text").alias("tie"))
+    order = Order.of(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), with_defaults(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", order.bucket(F.col("id"), F.col("tie")))
+    keys = materialise(rows.groupBy("bucket", "id", "tie").agg(F.count("*").alias("n")), "id-order")
     # one row for each bucket
-    heads = sorted((r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.max(key).alias("head")).collect())
-    before = [(heads[i - 1][0], h.id, h.tie) for i, (_, h) in enumerate(heads)]
-    listed = json.dumps([dict(zip(("goes_to", "head_id", "head_tie"), row, strict=True)) for row in before])
-    firsts = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<goes_to:int,head_id:bigint,head_tie:bigint>>")))
-    found = rows.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("head_id")) & (F.xxhash64("text") == F.col("head_tie")), "left")
+    heads = materialise(keys.groupBy("bucket").agg(F.max(F.struct(F.col("id").isNotNull().alias("there"), "id", "tie")).alias("head")), "heads")
+    around = Window.orderBy("bucket")
+    last = heads.agg(F.max("bucket")).first()[0]
+    firsts = heads.select(F.coalesce(F.lag("bucket").over(around), F.lit(last)).alias("goes_to"), F.col("head.id").alias("head_id"), F.col("head.tie").alias("head_tie"))
+    # a row repeated so often that it makes up a large share: at most HOT_ROWS of them
+    total = docs.count()
+    hot = keys.where((F.col("n") > 1) & (F.col("n") * HOT_ROWS > total)).select(F.col("id").alias("hot_id"), F.col("tie").alias("hot_tie"), "n")
+    more = None
+    if not hot.isEmpty():
+        is_hot = F.col("id").eqNullSafe(F.col("hot_id")) & (F.col("tie") == F.col("hot_tie"))
+        ones = rows.join(F.broadcast(hot), is_hot).groupBy("id", "tie", "bucket", "n").agg(F.first("text").alias("text"))
+        ones = materialise(ones, "repeated-rows")
+        rows = rows.join(F.broadcast(hot), is_hot, "left_anti").unionByName(ones.drop("n"))
+        # of n equal rows all but the last have their like as the next one
+        left = F.col("n") - 1
+        thousands = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((left - 1) / 1000)), lambda k: F.least(F.lit(1000).cast("long"), left - k * 1000))
+        copies = ones.withColumn("some", F.explode(thousands)).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("some"))))
+        more = copies.withColumn("made", carry(F.col("text"))).select("id", "text", "made", F.col("text").alias("next_text"), F.col("made").alias("next_made"))
+    found = rows.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")), "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("goes_to").alias("bucket"), F.lit(True).alias("guest"))
-    placed = found.select("id", "text", F.explode(F.when(F.col("goes_to").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
-    placed = placed.select("id", "text", "at.bucket", "at.guest").repartition("bucket").withColumn("made", carry(F.col("text")))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), F.xxhash64("text").desc())
-    after = placed.withColumns({"next_text": F.lead("text").over(order), "next_made": F.lead("made").over(order)})
-    return after.where("not guest").drop("guest", "bucket")
+    placed = found.select("id", "text", "tie", F.explode(F.when(F.col("goes_to").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
+    placed = placed.select("id", "text", "tie", "at.bucket", "at.guest").repartition("bucket").withColumn("made", carry(F.col("text")))
+    inside = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), F.col("tie").desc())
+    after = placed.withColumns({"next_text": F.lead("text").over(inside), "next_made": F.lead("made").over(inside)})
+    out = after.where("not guest").select("id", "text", "made", "next_text", "next_made")
+    return out if more is None else out.unionByName(more)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Fingerprints of every text, of its edited form, and their likeness.
 
     The edited form has the last third of the code points replaced by the first as many
-    (or all) of the next document in descending order of ids. A null text counts as
-    empty, an empty one has an empty fingerprint; the likeness of two empty ones is 1.
-    Every row of repeated ids or texts gives a row. An empty table gives no rows.
+    (or all) of the next document in descending order of ids (integers). A null text counts as
+    empty, an empty one has an empty fingerprint; the likeness of two empty ones is 1. Texts are read
+    whole, however long. Every row of repeated ids or texts gives a row. Other columns are not read. An
+    empty table gives no rows.
     """
     rows = with_next(docs, id_col, text_col, lambda t: sketch(t, k))
     n = F.char_length("text")

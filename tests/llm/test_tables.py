@@ -244,22 +244,72 @@ def test_signatures_estimate_resemblance():
     assert abs(same - true) < 0.12
 
 
-def test_fingerprints(spark):
+def sketch_of(text, k=256):
+    """The k least hashes of the shingles, from Spark's own hash of the words; computed plainly."""
+    w = WORD.findall(text)
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
+def edits_by_hand(rows):
+    """(id, text, edited, next) of every row in descending order of ids, null last; the last is followed by the first."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
+    for k, (i, t) in enumerate(order):
+        text, after = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(text) // 3
+        out.append((i, text, text[: len(text) - cut] + after[:cut], after))
+    return out
+
+
+@pytest.mark.parametrize("cuts,bytes_", [(1000, 8 << 20), (1000, 400), (3, 200), (7, 1)])
+def test_fingerprints_are_those_of_brute_force(spark, monkeypatch, cuts, bytes_):
+    monkeypatch.setattr(fingerprints, "CUTS", cuts)
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", bytes_)
+    monkeypatch.setattr(fingerprints, "MIN_BUCKETS", 4)
     rng = random.Random(7)
-    rows = [(i, words(rng, rng.choice([0, 1, 4, 5, 30, 900]))) for i in range(40)] + [(40, None), (41, "😀é" * 50), (41, "tie")]
-    got = fingerprints.fingerprint_edits(docs(spark, rows)).collect()
+    ids = [*range(40), *(10**12 + rng.randint(0, 10**6) for _ in range(20)), -(2**63), 2**63 - 1, -5, None]
+    rows = [(i, words(rng, rng.choice([0, 1, 4, 5, 30, 900]))) for i in ids] + [(3000, None), (3001, "😀é" * 50), (3002, " \t"), (3003, "tie")]
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs(spark, rows).repartition(5)).collect()}
     assert len(got) == len(rows)
-    order = sorted({i for i, _ in rows[:-2]}, reverse=True)
-    by = dict(rows[:-2])
-    out = {r.doc_id: r for r in got}
-    for k, i in enumerate(order[:-1]):
-        text, after = by[i] or "", by[order[k + 1]] or ""
-        cut = len(text) // 3
-        edited = text[: len(text) - cut] + after[:cut]
-        assert out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and out[i].n_chars == len(text)
-        a, b = shingles(text), shingles(edited)
-        true = len(a & b) / len(a | b) if a | b else 1.0
-        assert abs(out[i].near_edited - true) < 0.15
+    want = edits_by_hand(rows)
+    # exact sketches: hash every distinct shingle apart, sort and cut
+    texts = sorted({t for _, *three in want for t in three})
+    pairs = [(n, list(s)) for n, t in enumerate(texts) for s in set(sketch_of(t))]
+    hashed = {}
+    for r in spark.createDataFrame(pairs, "n int, s array<string>").select("n", F.xxhash64("s").alias("h")).collect():
+        hashed.setdefault(r.n, []).append(r.h)
+    exact = {t: sorted(hashed.get(n, []))[:256] for n, t in enumerate(texts)}
+    text_of = lambda s: "".join(f"{h % 2**64:016x}" for h in s)
+
+    def alike(a, b):
+        union = sorted(set(a) | set(b))[:256]
+        return len([h for h in union if h in set(a) and h in set(b)]) / len(union) if union else 1.0
+
+    for i, text, edited, after in want:
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == text_of(exact[text]) and r.edited_fingerprint == text_of(exact[edited])
+        assert abs(r.near_edited - alike(exact[text], exact[edited])) < 1e-12 and abs(r.near_next - alike(exact[text], exact[after])) < 1e-12
+        a, b = shingles(text.upper()), shingles(edited.upper())
+        assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.15
+
+
+def test_fingerprints_of_repeated_ids_and_rows(spark):
+    rng = random.Random(8)
+    rows = [(5, words(rng, 20)) for _ in range(30)] + [(6, "the same row here again")] * 2500 + [(None, words(rng, 9)) for _ in range(20)] + [(i, words(rng, 12)) for i in range(10, 60)]
+    got = fingerprints.with_next(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    # every row is followed by one, and follows one
+    assert sorted((r.id, r.text) for r in got if r.id) == sorted((i, t) for i, t in rows if i)
+    assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)
+    order = sorted({i for i, _ in rows if i}, reverse=True)
+    by = {t: i for i, t in rows}
+    for r in got:
+        after = by[r.next_text]
+        assert after == r.id or (order.index(r.id) + 1 == order.index(after) if r.id and after else r.id == 5 if after is None else after == 59)
+    with pytest.raises(ValueError):
+        fingerprints.with_next(docs(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_sketches_merge(spark):
