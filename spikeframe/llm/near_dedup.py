@@ -34,8 +34,9 @@ WIDTH, COORDS = 5, 125
 PERCENT, DROP_PERCENT = 85, 80
 #: The chances that a link at the threshold may be missed with, by the bands and by the demand of equal coordinates.
 MISS_BANDS, MISS_AGREE = 5e-7, 1.5e-6
-#: Documents in a block of a large bucket, and members of the bucket that visit every block.
-BLOCK, VISITORS = 250, 6
+#: Documents in a block of a large bucket, members of the bucket that visit every block, and documents
+#: in a block where blocks of open buckets meet.
+BLOCK, VISITORS, MEETING = 80, 6, 250
 LAST_ID = (1 << 63) - 1
 #: A key with more than this share of all rows is joined by broadcast: there are at most so many.
 HOT_KEYS = 1000
@@ -250,7 +251,7 @@ def _dealt_again(members: DataFrame, labels: DataFrame) -> DataFrame | None:
     known = materialise(known.select("tag", "bucket", "band", F.coalesce("label.tag", "tag").alias("label")), "large-buckets")
     kinds = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     tops = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("kinds > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = lambda n: F.ceil(n / MEETING).cast("int")
     tops = materialise(tops.select("bucket", F.col("top.label").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("most")), "open-buckets")
     if tops.isEmpty():
         return None
@@ -269,16 +270,23 @@ def _dealt_again(members: DataFrame, labels: DataFrame) -> DataFrame | None:
 PART_COLUMNS = "tag binary, bucket long, band int, p int, q int, side int, label binary, size long, sign binary"
 
 
-def _confirmed(dealt: DataFrame, nodes: DataFrame, text: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the labels of what was dealt to parts, as a written table."""
+def _alike_in(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of what was dealt to parts the rows with a partner of like signature there (PART_COLUMNS), as a written table."""
     signed = dealt.join(nodes.select("tag", "size", "sign"), "tag").select("tag", "bucket", F.col("band").cast("int").alias("band"), "p", "q", "side", "label", "size", "sign")
-    alike = materialise(signed.groupBy("bucket", "p", "q").applyInArrow(_alike(percent), PART_COLUMNS), "alike")
-    # the full sets of these, each from one text that has it
-    wanted = alike.select("tag").distinct().join(nodes, "tag").select("tag", F.when(F.col("id") < LAST_ID, F.col("id")).alias("own"), F.col("print").alias("own_print"))
+    return materialise(signed.groupBy("bucket", "p", "q").applyInArrow(_alike(percent), PART_COLUMNS), "alike")
+
+
+def _sets_of(tags: DataFrame, nodes: DataFrame, text: DataFrame) -> DataFrame:
+    """(tag, shingles): the full sets of these tags, each from one text that has it, as a written table."""
+    wanted = tags.join(nodes, "tag").select("tag", F.when(F.col("id") < LAST_ID, F.col("id")).alias("own"), F.col("print").alias("own_print"))
     found = text.join(wanted, F.col("id").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print"))).select("tag", "text")
     sets = materialise(found.mapInArrow(_sets, "tag binary, shingles binary"), "sets")
-    if sets.count() > wanted.count():
-        sets = sets.dropDuplicates(["tag"])  # rows repeated with id and text
+    # rows repeated with id and text give theirs more than once
+    return sets.dropDuplicates(["tag"]) if sets.count() > wanted.count() else sets
+
+
+def _confirmed(alike: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the labels of the parts' rows, as a written table."""
     held = alike.join(sets, "tag")
     return materialise(held.groupBy("bucket", "p", "q").applyInArrow(_links(percent), "a binary, b binary"), "edges")
 
@@ -330,10 +338,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     nodes = sketches.where("size > 0").groupBy("tag").agg(best.alias("best"), F.first("sign").alias("sign"), F.first("size").alias("size"))
     nodes = materialise(nodes.select("tag", "best.id", "best.print", "sign", "size", F.struct("best.id", "tag").alias("node")), "nodes")
     members = materialise(_buckets(nodes, percent), "buckets")
-    labels = components(_confirmed(_dealt(members), nodes, text, percent), nodes.select("tag", "node"))
+    alike = _alike_in(_dealt(members), nodes, percent)
+    # texts move once: members of large buckets may be needed when their blocks meet
+    wanted = alike.select("tag").union(members.where(F.col("members") > BLOCK).select("tag")).distinct()
+    sets = _sets_of(wanted, nodes, text)
+    labels = components(_confirmed(alike, sets, percent), nodes.select("tag", "node"))
     again = _dealt_again(members, labels)
     if again is not None:
-        more = components(_confirmed(again, nodes, text, percent), nodes.select("tag", "node"))
+        more = components(_confirmed(_alike_in(again, nodes, percent), sets, percent), nodes.select("tag", "node"))
         # labels of the first round are the nodes of the second
         whole = nodes.select("tag", "node").join(labels, "tag", "left").select("tag", F.coalesce("label", "node").alias("label")).withColumn("to", F.col("label.tag"))
         moved = _join_hot(whole, more.select(F.col("tag").alias("to"), F.col("label").alias("value")), "to", nodes.count())
