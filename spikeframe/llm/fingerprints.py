@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import let, materialise, shingle_hashes, with_defaults
 
 K, WIDTH = 256, 5
-#: Text bytes that one bucket of the id order holds, about, and the fewest buckets.
-BUCKET_BYTES, MIN_BUCKETS = 8 << 20, 32
+#: Text bytes that one bucket of the id order holds, about, the fewest buckets, and the most: their first rows
+#: are broadcast (40 MB at the most). Above 2 TB of text buckets grow, to 100 MB at 100 TB.
+BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 2 << 20, 32, 1_000_000
 #: Quantiles of the ids that buckets are cut at; between two of them buckets are even steps of ids.
 CUTS = 1000
 #: A row repeated to more than this share of the table is one row in the order, its copies are made apart.
@@ -104,10 +105,11 @@ class Order:
             F.min(id_col).alias("least"),
             F.max(id_col).alias("most"),
         ).first()
-        buckets = max(MIN_BUCKETS, math.ceil((seen.bytes or 0) / BUCKET_BYTES))
+        size = max(BUCKET_BYTES, (seen.bytes or 0) / MAX_BUCKETS)
+        buckets = max(MIN_BUCKETS, math.ceil((seen.bytes or 0) / size))
         every = max(1, CUTS // buckets)
         cuts = (seen.cuts or [])[every - 1 :: every]
-        return cls(cuts, max(1, math.ceil(buckets / (len(cuts) + 1))), max(1, math.ceil((seen.null_bytes or 0) / BUCKET_BYTES)), (seen.least, seen.most))
+        return cls(cuts, max(1, math.ceil(buckets / (len(cuts) + 1))), max(1, math.ceil((seen.null_bytes or 0) / size)), (seen.least, seen.most))
 
     def _between(self, share: Column, steps: Column | int) -> Column:
         """The step, 0 to steps - 1, of a share between 0 and 1."""
