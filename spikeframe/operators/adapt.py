@@ -1,15 +1,15 @@
 """Adaptive decomposition: the model follows the signal batch by batch.
 
-A batch's outputs depend only on parameters from before it, and cov(W x) is
-W cov(x) W'. So the whitening's course is a fold over covariances of batches, which
-are made in parallel; samples then join it by batch. Separation vectors and
-thresholds depend on the spikes found before, so they fold over whitened samples,
-for each recording and group of units by itself.
+Every batch needs the parameters that the batch before left, so a recording is sequential;
+recordings (and groups of trials) run side by side. A recording goes through its
+task in order and as a stream: what is held are the model, the last delays and one batch, never the
+recording. The covariances of batches alone don't depend on the model (cov(W x) = W cov(x) W'):
+they are made in parallel, and the whitening's course by itself is a fold over them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -17,7 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNITS_PER_GROUP = 16
+from ..sources.storage import materialise
+
+#: Trials that go through a recording together.
+TRIALS_PER_GROUP = 8
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,7 @@ class Params:
     adapt_sv: bool = True
     adapt_sd: bool = True
     legacy_force_sd: bool = False
+    compute_loss: bool = True
 
     def __post_init__(self):
         if self.ext_fact > self.batch_size:
@@ -62,15 +66,14 @@ def find_peaks(x: np.ndarray, low: float, high: float, distance: int) -> np.ndar
     return np.array(sorted(kept), dtype=int)
 
 
-def whiten_step(w: np.ndarray, c: np.ndarray, cov_x: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Whitening and running covariance after a batch of raw covariance cov_x."""
-    c = (1 - p.cov_alpha) * c + p.cov_alpha * (w @ cov_x @ w.T)
-    return (w - p.wh_learning_rate * (c - np.eye(len(c))) @ w if p.adapt_wh else w), c
+def kl_of(c: np.ndarray) -> float:
+    """Divergence of a covariance from the identity; NaN where its determinant isn't positive."""
+    sign, log = np.linalg.slogdet(c)
+    return (np.trace(c) - log - len(c)) / 2 if sign > 0 else np.nan
 
 
-def unit_step(b: np.ndarray, base: float, spikes: float, height: float, z: np.ndarray, p: Params):
-    """One unit over one batch z (samples, dims): ipt, peaks, labels and the parameters after it."""
-    ipt = z @ b
+def unit_step(b: np.ndarray, base: float, spikes: float, height: float, ipt: np.ndarray, z: np.ndarray, p: Params):
+    """One unit over one batch z (samples, dims) with its ipt = z b: peaks, labels and the parameters after it."""
     sq = ipt * ipt
     at = find_peaks(sq, base / p.spike_height_mult, p.spike_height_mult * spikes, p.spike_dist)
     hit = sq[at] > height
@@ -91,7 +94,79 @@ def unit_step(b: np.ndarray, base: float, spikes: float, height: float, z: np.nd
         spikes = mean(sq[at[hit]].mean(), spikes) if hit.any() else spikes
         base = mean(sq[at[~hit]].mean(), base) if (~hit).any() else base
         height = spikes - (spikes - base) / 2
-    return ipt, at, hit, b, base, spikes, height
+    return at, hit, b, base, spikes, height
+
+
+@dataclass
+class Unit:
+    """A unit's vector in whitened space, thresholds, and the contrast of its calibration."""
+
+    unit: int
+    w: np.ndarray
+    base: float
+    spikes: float
+    height: float
+    mean: float = np.nan
+    std: float = np.nan
+
+
+@dataclass
+class Run:
+    """A model on its way through one recording: whitening, running covariance and units."""
+
+    p: Params
+    w: np.ndarray
+    c: np.ndarray
+    units: list[Unit]
+    kl_mean: float = np.nan
+    kl_std: float = np.nan
+
+    def batch(self, x: np.ndarray) -> dict:
+        """Move on by one batch of extended samples (samples, dims); outputs and losses under the model from before it.
+
+        A batch of one row leaves the covariance, and with it the whitening, as it is.
+        """
+        p, z = self.p, x @ self.w.T
+        out = {"w": self.w, "wh_loss": np.nan, "units": []}
+        if len(z) > 1:
+            self.c = (1 - p.cov_alpha) * self.c + p.cov_alpha * np.atleast_2d(np.cov(z.T))
+        if p.compute_loss:
+            out["wh_loss"] = ((kl_of(self.c) - self.kl_mean) / self.kl_std) ** 2 if self.kl_std else np.nan
+        if p.adapt_wh and len(z) > 1:
+            self.w = self.w - p.wh_learning_rate * (self.c - np.eye(len(self.c))) @ self.w
+        total = 1e10 if np.isnan(out["wh_loss"]) else out["wh_loss"]
+        ipts = z @ np.stack([u.w for u in self.units]).T if self.units else np.zeros((len(z), 0))
+        for u, ipt in zip(self.units, ipts.T, strict=True):
+            before = (u.w, u.base, u.spikes, u.height)
+            at, hit, u.w, u.base, u.spikes, u.height = unit_step(*before, ipt, z, p)
+            loss = self._sv_loss(u, ipt[at[hit]]) if p.compute_loss else np.nan
+            total += 0 if np.isnan(loss) else loss
+            out["units"].append((u.unit, ipt, at[hit], *before, loss))
+        return out | {"total_loss": total if p.compute_loss else np.nan}
+
+    def _sv_loss(self, u: Unit, heights: np.ndarray) -> float:
+        """Distance of the mean spike's contrast from the calibration's; NaN without spikes."""
+        mean = heights.sum() / (len(heights) + 1e-6)
+        value = np.log(np.cosh(mean)) if self.p.contrast == "logcosh" else mean**3 / 6
+        return ((value - u.mean) / u.std) ** 2 if value and u.std else np.nan
+
+
+class Delays:
+    """Raw samples to extended ones, batch by batch; rows that reach before the recording are left out."""
+
+    def __init__(self, p: Params):
+        self.p, self.tail, self.next = p, None, 0
+
+    def batch(self, raw: np.ndarray) -> tuple[np.ndarray, int]:
+        """Extended rows of the next batch, and how many of its first ones were left out."""
+        p = self.p
+        if self.tail is None:
+            self.tail = np.zeros((p.ext_fact - 1, raw.shape[1]))
+        whole = np.concatenate([self.tail, raw])
+        x = np.hstack([whole[p.ext_fact - 1 - i : len(whole) - i] for i in range(p.ext_fact)])
+        skip = min(len(raw), p.ext_fact) if self.next == 0 else 0
+        self.tail, self.next = whole[len(whole) - (p.ext_fact - 1) :], self.next + 1
+        return x[skip:], skip
 
 
 def batch_covariances(df: DataFrame, size: int) -> DataFrame:
@@ -115,80 +190,172 @@ def batch_covariances(df: DataFrame, size: int) -> DataFrame:
     return sums.groupBy("recording_id", "batch_idx").applyInPandas(total, "recording_id string, batch_idx long, n long, cov array<double>")
 
 
-def adapt_whitening(covs: DataFrame, start: DataFrame, p: Params) -> DataFrame:
-    """(recording_id, version, w, c): whitening (flat) valid before batch ``version``, and the running covariance after it.
+def in_order(rows: DataFrame, fold: Callable[[], Callable[[str, int, np.ndarray, np.ndarray], list[tuple]]], schema: str) -> DataFrame:
+    """rows (recording_id, kind, at, payload) of a recording in order of kind and at, through one fold each, as a stream.
 
-    covs: what batch_covariances returns; start (recording_id, w, c) flat. A batch of one row leaves both as they are.
+    fold() makes a function that is called as f(recording_id, kind, ats, payloads) with consecutive rows,
+    and at the end with kind -1; it returns rows of ``schema``. A task holds one recording's fold at a time.
     """
-    def fold(key, cov: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        if first.empty or cov.empty:
-            return pd.DataFrame({"recording_id": [], "version": [], "w": [], "c": []})
-        n = int(np.sqrt(len(first["w"].iat[0])))
-        w, c = (np.asarray(first[k].iat[0]).reshape(n, n) for k in ("w", "c"))
-        rows = []
-        for b, flat in cov.sort_values("batch_idx")[["batch_idx", "cov"]].itertuples(index=False):
-            was, x = w, np.asarray(flat).reshape(n, n)
-            if np.isfinite(x).all():
-                w, c = whiten_step(w, c, x, p)
-            rows.append((key[0], b, was.ravel(), c.ravel()))
-        return pd.DataFrame(rows, columns=["recording_id", "version", "w", "c"])
-
-    schema = "recording_id string, version long, w array<double>, c array<double>"
-    return covs.groupBy("recording_id").cogroup(start.groupBy("recording_id")).applyInPandas(fold, schema)
-
-
-def whiten_by_batch(df: DataFrame, course: DataFrame) -> DataFrame:
-    """(recording_id, batch_idx, sample_idx, z): x under the whitening of its batch."""
-    near = df.select("recording_id", "batch_idx", "sample_idx", "x").join(course.select("recording_id", F.col("version").alias("batch_idx"), "w"), ["recording_id", "batch_idx"])
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, step, none = None, None, np.empty(0)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x, w = np.stack(pdf["x"].to_numpy()), np.stack(pdf["w"].to_numpy())
-            z = np.einsum("nij,nj->ni", w.reshape(len(x), -1, x.shape[1]), x)
-            yield pdf[["recording_id", "batch_idx", "sample_idx"]].assign(z=list(z))
+            out = []
+            for (recording, kind), part in pdf.groupby(["recording_id", "kind"], sort=False):
+                if recording != key:
+                    out += step(key, -1, none, none) if step else []
+                    key, step = recording, fold()
+                out += step(key, int(kind), part["at"].to_numpy(), part["payload"].to_numpy())
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        out = step(key, -1, none, none) if step else []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
-    return near.mapInPandas(task, "recording_id string, batch_idx long, sample_idx long, z array<double>")
+    dealt = rows.select("recording_id", "kind", "at", "payload").repartition("recording_id").sortWithinPartitions("recording_id", "kind", "at")
+    return dealt.mapInPandas(task, schema)
 
 
-STEP = "recording_id string, unit int, batch_idx long, samples array<long>, ipts array<double>, spikes array<long>, w array<double>, base_centr double, spikes_centr double, height double"
+def _null(v) -> float | None:
+    return None if v is None or np.isnan(v) else float(v)
 
 
-def adapt_separation(z: DataFrame, units: DataFrame, p: Params) -> DataFrame:
-    """A row for each unit and batch: its samples, ipts, spikes, and the parameters from before the batch.
+def adapt_whitening(covs: DataFrame, start: DataFrame, p: Params) -> DataFrame:
+    """(recording_id, version, w, c): whitening (flat) valid before batch ``version``, and the running covariance after it.
 
-    units (recording_id, unit, w, base_centr, spikes_centr, height). Units are independent, so groups of
-    UNITS_PER_GROUP of a recording go to different tasks.
+    covs: what batch_covariances returns; start (recording_id, w, c) flat. A batch of one row leaves both as they are.
+    """
+    head = start.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.concat("w", "c").alias("payload"))
+    body = covs.select("recording_id", F.lit(1).alias("kind"), F.col("batch_idx").alias("at"), F.col("cov").alias("payload"))
+
+    def fold():
+        w = c = None
+
+        def step(key, kind, ats, payloads):
+            nonlocal w, c
+            if kind == 0:
+                n = int(np.sqrt(len(payloads[0]) // 2))
+                w, c = np.array(payloads[0]).reshape(2, n, n)
+            if kind != 1 or w is None:
+                return []
+            out = []
+            for b, flat in zip(ats, payloads, strict=True):
+                was, x = w, np.asarray(flat).reshape(w.shape)
+                if np.isfinite(x).all():
+                    c = (1 - p.cov_alpha) * c + p.cov_alpha * (w @ x @ w.T)
+                    w = w - p.wh_learning_rate * (c - np.eye(len(c))) @ w if p.adapt_wh else w
+                out.append((key, b, was.ravel(), c.ravel()))
+            return out
+
+        return step
+
+    return in_order(head.unionByName(body), fold, "recording_id string, version long, w array<double>, c array<double>")
+
+
+STEP = "recording_id string, trial_id int, batch_idx long, unit int, samples array<long>, ipts array<double>, spikes array<long>, w array<double>, base_centr double, spikes_centr double, height double, sv_loss double, wh_loss double, total_loss double"
+
+
+def start_rows(start: DataFrame, units: DataFrame) -> DataFrame:
+    """The rows of a fold that come before the samples: kind 0 the whitening, kind 1 the units."""
+    there = lambda df, name: F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
+    nan = lambda df, name: F.coalesce(there(df, name), F.lit(float("nan")))
+    whole = start.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.concat(F.array(nan(start, "kl_mean"), nan(start, "kl_std")), "w", "c").alias("payload"))
+    values = [F.col("unit").cast("double"), *[F.col(c).cast("double") for c in ("base_centr", "spikes_centr", "height")], nan(units, "contrast_mean"), nan(units, "contrast_std")]
+    return whole.unionByName(units.select("recording_id", F.lit(1).alias("kind"), F.col("unit").cast("long").alias("at"), F.concat(F.array(*values), "w").alias("payload")))
+
+
+def started_runs(rows: dict[int, list[np.ndarray]], settings: list[Params]) -> list[Run]:
+    """A run for each setting from the payloads of kinds 0 and 1."""
+    whole = np.asarray(rows[0][0])
+    k = len(rows[1][0]) - 6 if rows.get(1) else int(np.sqrt((len(whole) - 2) // 2))
+    size = len(whole) - 2 - k * k
+    w, c = whole[2 : 2 + size].reshape(k, -1), whole[2 + size :].reshape(k, k)
+    units = lambda: [Unit(int(u[0]), np.array(u[6:]), *map(float, u[1:6])) for u in map(np.asarray, rows.get(1, []))]
+    return [Run(p, w, c, units(), whole[0], whole[1]) for p in settings]
+
+
+def adaptive_steps(signal: DataFrame, start: DataFrame, units: DataFrame, trials: list[tuple[int, Params]], whole: bool = True, with_w: bool = False, last_batch: int | None = None) -> DataFrame:
+    """STEP rows: for each trial and batch one for every unit, and one (unit null) for the batch itself.
+
+    signal (recording_id, sample_idx, channels); start (recording_id, w, c flat; kl_mean and kl_std of the
+    calibration); units (recording_id, unit, w, base_centr, spikes_centr, height; contrast_mean and contrast_std).
+    w need not be square. Parameters in a row are those from before its batch. whole: samples, ipts, spikes and vectors
+    too, not losses alone; with_w: the whitening in the batches' own rows. Gaps in the samples are zeros, of repeated ones the first counts;
+    recordings without a model give no rows. Trials are few and go to the tasks as they are; sizes of batches and delays
+    are the same for all.
+    """
+    p = trials[0][1]
+    if any((t.batch_size, t.ext_fact) != (p.batch_size, p.ext_fact) for _, t in trials):
+        raise ValueError("trials must share batch_size and ext_fact")
+    if last_batch is not None:
+        signal = signal.where(F.col("sample_idx") < last_batch * p.batch_size)
+    samples = signal.select("recording_id", F.lit(2).alias("kind"), F.col("sample_idx").alias("at"), F.col("channels").alias("payload"))
+    rows = start_rows(start, units).unionByName(samples)
+    groups = [trials[i : i + TRIALS_PER_GROUP] for i in range(0, len(trials), TRIALS_PER_GROUP)]
+    if len(groups) > 1:
+        rows = rows.withColumn("recording_id", F.explode(F.array(*[F.concat(F.lit(f"{g}|"), "recording_id") for g in range(len(groups))])))
+
+    def fold():
+        begun, runs, delays, held, now, width = {}, None, Delays(p), {}, 0, 0
+
+        def flush(key: str, size: int) -> list[tuple]:
+            nonlocal now, held
+            first = now * p.batch_size
+            raw = np.stack([held.get(first + i, np.zeros(width)) for i in range(size)]).astype(float)
+            x, skip = delays.batch(raw)
+            out, name = [], key.split("|", 1)[1] if len(groups) > 1 else key
+            if len(x):
+                at = np.arange(first + skip, first + size)
+                for trial, run in runs:
+                    done = run.batch(x)
+                    for unit, ipt, hits, w, base, spikes, height, loss in done["units"]:
+                        arrays = (at, ipt, at[hits], w) if whole else (None, None, None, None)
+                        out.append((name, trial, now, unit, *arrays, base, spikes, height, _null(loss), None, None))
+                    out.append((name, trial, now, None, None, None, None, done["w"].ravel() if with_w else None, None, None, None, None, _null(done["wh_loss"]), _null(done["total_loss"])))
+            held, now = {}, now + 1
+            return out
+
+        def step(key, kind, ats, payloads):
+            nonlocal runs, width
+            out = []
+            if kind in (0, 1):
+                begun.setdefault(kind, []).extend(payloads)
+            elif 0 in begun and kind == 2:
+                if runs is None:
+                    mine = groups[int(key.split("|", 1)[0])] if len(groups) > 1 else trials
+                    runs = list(zip([t for t, _ in mine], started_runs(begun, [q for _, q in mine]), strict=True))
+                width = len(payloads[0])
+                for i, x in zip(ats.tolist(), payloads, strict=True):
+                    while i >= (now + 1) * p.batch_size:
+                        out += flush(key, p.batch_size)
+                    held.setdefault(i, x)
+            elif kind == -1 and held:
+                out += flush(key, max(held) + 1 - now * p.batch_size)
+            return out
+
+        return step
+
+    return in_order(rows, fold, STEP)
+
+
+def decompose_adaptive(signal: DataFrame, start: DataFrame, units: DataFrame, p: Params, with_w: bool = False) -> dict[str, DataFrame]:
+    """Outputs of the adaptive decomposition: ipts, spikes, losses by batch and by unit, and the course of the parameters.
+
+    Inputs as in adaptive_steps. All outputs come from one written table, so that the fold runs once.
     """
-    group = F.floor(F.col("unit") / UNITS_PER_GROUP).cast("int")
-    grouped = units.withColumn("part", group)
-    parts = units.select("recording_id", group.alias("z_part")).distinct()
-    many = z.join(parts, "recording_id")
-
-    def fold(key, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        batches = [(b, part["sample_idx"].to_numpy(), np.stack(part["z"].to_numpy())) for b, part in rows.sort_values("sample_idx").groupby("batch_idx")]
-        for m in model.sort_values("unit").itertuples():
-            b, base, spikes, height = np.asarray(m.w, dtype=float), m.base_centr, m.spikes_centr, m.height
-            for batch, at, x in batches:
-                before = (b, base, spikes, height)
-                ipt, peaks, hit, b, base, spikes, height = unit_step(b, base, spikes, height, x, p)
-                out.append((key[0], m.unit, batch, at, ipt, at[peaks[hit]], *before))
-        return pd.DataFrame(out, columns=["recording_id", "unit", "batch_idx", "samples", "ipts", "spikes", "w", "base_centr", "spikes_centr", "height"])
-
-    return many.groupBy("recording_id", "z_part").cogroup(grouped.groupBy("recording_id", "part")).applyInPandas(fold, STEP)
-
-
-def decompose_adaptive(extended: DataFrame, start: DataFrame, units: DataFrame, p: Params, size: int) -> dict[str, DataFrame]:
-    """extended (recording_id, sample_idx, batch_idx, x) -> steps, ipts, spikes, and the course of the parameters."""
-    x = extended.where(F.col("sample_idx") >= p.ext_fact)
-    course = adapt_whitening(batch_covariances(x, size), start, p)
-    steps = adapt_separation(whiten_by_batch(x, course), units, p)
-    ipts = steps.select("recording_id", "unit", "batch_idx", F.inline(F.arrays_zip(F.col("samples").alias("sample_idx"), F.col("ipts").alias("ipt"))))
-    spikes = steps.select("recording_id", "unit", "batch_idx", F.explode("spikes").alias("sample_idx"))
-    model_units = steps.select("recording_id", F.col("batch_idx").alias("version"), "unit", "w", "base_centr", "spikes_centr", "height")
-    return {"steps": steps, "ipts": ipts, "spikes": spikes, "model_whitening": course.select("recording_id", "version", "w"), "model_units": model_units, "running": course}
+    steps = materialise(adaptive_steps(signal, start, units, [(0, p)], with_w=with_w), "steps")
+    of_units, of_batches = steps.where("unit is not null"), steps.where("unit is null")
+    keys = ("recording_id", "batch_idx")
+    return {
+        "steps": of_units,
+        "ipts": of_units.select("recording_id", "unit", "batch_idx", F.inline(F.arrays_zip(F.col("samples").alias("sample_idx"), F.col("ipts").alias("ipt")))),
+        "spikes": of_units.select("recording_id", "unit", "batch_idx", F.explode("spikes").alias("sample_idx")),
+        "batch_metrics": of_batches.select(*keys, "wh_loss", "total_loss"),
+        "unit_metrics": of_units.select(*keys, "unit", "sv_loss"),
+        "model_units": of_units.select("recording_id", F.col("batch_idx").alias("version"), "unit", "w", "base_centr", "spikes_centr", "height"),
+        "model_whitening": of_batches.select("recording_id", F.col("batch_idx").alias("version"), "w").where("w is not null"),
+    }
 
 
 def with_params(p: Params, **changes) -> Params:

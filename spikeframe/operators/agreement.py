@@ -175,12 +175,15 @@ def agreement(ref: DataFrame, test: DataFrame, tol_spike: int, max_lag: int | No
     return _agree(a, b, tol_spike, max_lag, False)
 
 
-def agreement_within(spikes: DataFrame, tol_spike: int, max_lag: int) -> DataFrame:
-    """As agreement, for the pairs of different units of one set: finds units that are one."""
+def agreement_within(spikes: DataFrame, tol_spike: int, tol_train: int) -> DataFrame:
+    """As agreement, for the pairs of different units of one set: finds units that are one.
+
+    Pairs are found at any lag; a best lag beyond tol_train counts as 0.
+    """
     _check(spikes, spikes)
     a = spikes.select("recording_id", F.col("unit").alias("unit_ref"), F.col("sample_idx").alias("a"))
     b = spikes.select("recording_id", F.col("unit").alias("unit_test"), F.col("sample_idx").alias("b"))
-    return _agree(a, b, tol_spike, max_lag, True)
+    return _agree(a, b, tol_spike, None, True, tol_train)
 
 
 def unit_pairs(a: DataFrame, b: DataFrame, tol: int, max_lag: int | None = None, within: bool = False) -> DataFrame:
@@ -205,9 +208,12 @@ def _spread(diffs: DataFrame, tol: int, max_lag: int | None, keys: tuple[str, ..
     return spread.groupBy(*keys, "lag").agg(F.sum(F.col("n") * (tol - F.abs(F.col("lag") - F.col("d")))).alias("corr"))
 
 
-def _agree(a: DataFrame, b: DataFrame, tol: int, max_lag: int | None, within: bool) -> DataFrame:
+def _agree(a: DataFrame, b: DataFrame, tol: int, max_lag: int | None, within: bool, tol_train: int | None = None) -> DataFrame:
     # few rows, read three times below; the search for them is the costly part
-    pairs = materialise(unit_pairs(a, b, tol, max_lag, within), "pairs")
+    pairs = unit_pairs(a, b, tol, max_lag, within)
+    if tol_train is not None:
+        pairs = pairs.withColumn("lag", F.when(F.abs("lag") > tol_train, F.lit(0).cast("long")).otherwise(F.col("lag")))
+    pairs = materialise(pairs, "pairs")
     left = pairs.select(*PAIR).join(a, ["recording_id", "unit_ref"])
     right = pairs.select(*PAIR).join(b, ["recording_id", "unit_test"])
     return rate_of_agreement(left, right, pairs, tol)

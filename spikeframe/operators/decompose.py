@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import assign_batches, trim_warmup, with_history
+from ..functions.columns import UNROLLED
+from .frames import BLOCK, assign_batches, trim_warmup, with_history
 from .peaks import detect_spikes
 
 
+def fuse(units: DataFrame, whitening: DataFrame) -> DataFrame:
+    """Rows of B W: units with w over the extended sample, from w over the whitened one.
+
+    whitening (recording_id, row_idx, w): full matrices, as read_model gives them. One matrix meets one task.
+    """
+    cols = [c for c in units.columns if c != "w"]
+    made = ", ".join(f"`{n}` {t}" for n, t in units.select(*cols).dtypes) + ", w array<double>"
+
+    def product(b: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        if b.empty or w.empty:
+            return pd.DataFrame({c: [] for c in [*cols, "w"]})
+        rows = np.stack(b["w"].to_numpy()) @ np.stack(w.sort_values("row_idx")["w"].to_numpy())
+        return b[cols].assign(w=list(rows))
+
+    return units.groupBy("recording_id").cogroup(whitening.select("recording_id", "row_idx", "w").groupBy("recording_id")).applyInPandas(product, made)
+
+
 def whitened_rows(units: DataFrame, scales: DataFrame, ext_fact: int) -> DataFrame:
     """Rows of B W for a diagonal whitening: (recording_id, unit, w), w as long as the extended sample."""
     tiled = F.flatten(F.array_repeat("scale", ext_fact))
@@ -37,7 +57,34 @@ def frozen_ipts(signal: DataFrame, rows: DataFrame, channels: int, ext_fact: int
     return assign_batches(out, batch_size)
 
 
+def frozen_ipts_wide(signal: DataFrame, rows: DataFrame, channels: int, ext_fact: int, batch_size: int, block: int = BLOCK) -> DataFrame:
+    """The same as frozen_ipts for models of any size: a product of matrices for each delay over a block of a recording."""
+    near = with_history(signal.select("recording_id", "sample_idx", "channels"), ext_fact - 1, block=block)
+    blocks = near.select(F.col("recording_id").alias("of"), F.col("block").alias("of_block")).distinct()
+    models = rows.select(F.col("recording_id").alias("of"), "unit", "w").join(blocks, "of")
+    schema = "recording_id string, unit int, sample_idx long, ipt double"
+
+    def products(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or model.empty:
+            return pd.DataFrame({"recording_id": [], "unit": [], "sample_idx": [], "ipt": []})
+        part, model = part.sort_values("sample_idx"), model.sort_values("unit")
+        x, at, m = np.stack(part["channels"].to_numpy()), part["sample_idx"].to_numpy(), np.stack(model["w"].to_numpy())
+        out = np.zeros((len(x), len(m)))
+        for i in range(ext_fact):
+            out[i:] += x[: len(x) - i] @ m[:, i * channels : (i + 1) * channels].T
+        keep = ~part["halo"].to_numpy(dtype=bool) & (at >= ext_fact)
+        n = int(keep.sum())
+        return pd.DataFrame({"recording_id": [part["recording_id"].iat[0]] * (n * len(m)), "unit": np.repeat(model["unit"].to_numpy(), n), "sample_idx": np.tile(at[keep], len(m)), "ipt": out[keep].T.ravel()})
+
+    made = near.groupBy("recording_id", "block").cogroup(models.groupBy("of", "of_block")).applyInPandas(products, schema)
+    return assign_batches(made, batch_size)
+
+
 def decompose(signal: DataFrame, model: DataFrame, channels: int, ext_fact: int, batch_size: int, distance: int, mult: float) -> DataFrame:
-    """Spikes of a frozen model (recording_id, unit, w, base_centr, spikes_centr, height)."""
-    ipts = frozen_ipts(signal, model, channels, ext_fact, batch_size)
+    """Spikes of a frozen model (recording_id, unit, w, base_centr, spikes_centr, height); w over the extended sample.
+
+    Both ways of projecting give the same; small models are compiled.
+    """
+    project = frozen_ipts if channels * ext_fact <= UNROLLED else frozen_ipts_wide
+    ipts = project(signal, model, channels, ext_fact, batch_size)
     return detect_spikes(ipts, model, distance, mult)

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 CHUNK = 512
 
 
@@ -125,7 +127,8 @@ def apply(df: DataFrame, system: System, chunk: int = CHUNK, settled: bool = Fal
         return pd.DataFrame({"recording_id": [pdf["recording_id"].iat[0]], "chunk": [pdf["chunk"].iat[0]], "start": [int(pdf["sample_idx"].iat[0])], "n": [len(x)], "first": [x[0].tolist()], "y": [y.ravel().tolist()], "state": [end.ravel().tolist()]})
 
     schema = "recording_id string, chunk long, start long, n int, first array<double>, y array<double>, state array<double>"
-    parts = cols.groupBy("recording_id", "chunk").applyInPandas(local, schema)
+    # read twice, by the fold of the states and by the correction
+    parts = materialise(cols.groupBy("recording_id", "chunk").applyInPandas(local, schema), "filter-chunks")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")

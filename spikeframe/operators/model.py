@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import contrast_of, dot
-from .frames import assign_batches, trim_edges
+from .adapt import batch_covariances, in_order
+from .frames import BLOCK, assign_batches, extend_delays, trim_edges
+
+
+#: Entries of a sample from which on covariances add up as whole matrices.
+WIDE = 8
 
 
 def project(df: DataFrame, rows: DataFrame, x: str, size: int | None = None, key: str = "unit", out: str = "ipt") -> DataFrame:
@@ -42,6 +47,29 @@ def whiten(df: DataFrame, diagonal: DataFrame, x: str = "channels") -> DataFrame
     return df.join(diagonal, "recording_id").withColumn("z", F.zip_with(x, "scale", lambda a, b: a * b)).drop("scale")
 
 
+def whiten_by(df: DataFrame, whitening: DataFrame, x: str = "x", block: int = BLOCK) -> DataFrame:
+    """(recording_id, sample_idx, z): z = W x for a full matrix of each recording.
+
+    whitening (recording_id, row_idx, w), and version where the matrix changes by batch (df then has
+    batch_idx). The matrix comes once to each batch or block of a recording, not to its samples.
+    """
+    by_batch = "version" in whitening.columns and "batch_idx" in df.columns
+    rows = df.select("recording_id", "sample_idx", F.col(x).alias("x"), (F.col("batch_idx") if by_batch else F.floor(F.col("sample_idx") / block)).cast("long").alias("part"))
+    matrices = whitening.select(F.col("recording_id").alias("of"), "row_idx", "w", *([F.col("version").cast("long").alias("of_part")] if by_batch else []))
+    if not by_batch:
+        parts = rows.select(F.col("recording_id").alias("of"), F.col("part").alias("of_part")).distinct()
+        matrices = matrices.join(parts, "of")
+
+    def product(part: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or w.empty:
+            return pd.DataFrame({"recording_id": [], "sample_idx": [], "z": []})
+        z = np.stack(part["x"].to_numpy()) @ np.stack(w.sort_values("row_idx")["w"].to_numpy()).T
+        return part[["recording_id", "sample_idx"]].assign(z=list(z))
+
+    made = rows.groupBy("recording_id", "part").cogroup(matrices.groupBy("of", "of_part"))
+    return made.applyInPandas(product, "recording_id string, sample_idx long, z array<double>")
+
+
 def moments(df: DataFrame, keys: list[str], x: str, size: int) -> DataFrame:
     """(keys, i, j, n, si, sj, sij): sums for covariances, added up before the shuffle."""
     cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.get(F.col(x), F.lit(i)).alias("a"), F.get(F.col(x), F.lit(j)).alias("b")) for i in range(size) for j in range(i, size)]
@@ -50,7 +78,15 @@ def moments(df: DataFrame, keys: list[str], x: str, size: int) -> DataFrame:
 
 
 def batch_covariance(df: DataFrame, x: str = "channels", size: int = 2, keys: tuple[str, ...] = ("recording_id", "batch_idx")) -> DataFrame:
-    """(keys, i, j, cov): the unbiased covariance of each batch, upper triangle; NULL for one row."""
+    """(keys, i, j, cov): the unbiased covariance of each batch, upper triangle; NULL for one row.
+
+    Small samples are cut into products that add up before the shuffle; of large ones whole matrices do.
+    """
+    if size > WIDE:
+        wide = df.select("recording_id", (F.col("batch_idx") if "batch_idx" in keys else F.lit(0).cast("long")).alias("batch_idx"), F.col(x).alias("x"))
+        flat = batch_covariances(wide, size).select("recording_id", "batch_idx", F.posexplode("cov").alias("k", "cov"))
+        cells = flat.select(*keys, F.floor(F.col("k") / size).cast("int").alias("i"), F.pmod("k", F.lit(size)).cast("int").alias("j"), F.when(~F.isnan("cov"), F.col("cov")).alias("cov"))
+        return cells.where("i <= j")
     m = moments(df, list(keys), x, size)
     cov = (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
     return m.select(*keys, "i", "j", cov.alias("cov"))
@@ -59,20 +95,31 @@ def batch_covariance(df: DataFrame, x: str = "channels", size: int = 2, keys: tu
 def ewma_covariance(cov: DataFrame, start: DataFrame, alpha: float) -> DataFrame:
     """(recording_id, batch_idx, i, j, cov): C <- (1-a) C + a cov along the batches.
 
-    An ordered fold for each entry: an entry's batches are one array, folded in order.
+    Entries are independent: an entry's batches go through a task in order, as a stream.
     """
-    step = F.struct("batch_idx", "cov")
-    runs = cov.groupBy("recording_id", "i", "j").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    runs = runs.join(start.select("recording_id", "i", "j", F.col("cov").alias("c0")), ["recording_id", "i", "j"])
-    first = F.struct(F.col("c0").alias("c"), F.array().cast("array<struct<batch_idx:bigint,cov:double>>").alias("out"))
+    entry = F.concat_ws("|", "i", "j", "recording_id").alias("recording_id")
+    head = start.select(entry, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.array("cov").alias("payload"))
+    body = cov.select(entry, F.lit(1).alias("kind"), F.col("batch_idx").alias("at"), F.array("cov").alias("payload"))
+
+    def fold():
+        c = None
+
+        def step(key, kind, ats, payloads):
+            nonlocal c
+            if kind == 0:
+                c = float(payloads[0][0])
+            if kind != 1 or c is None:
+                return []
+            i, j, recording = key.split("|", 2)
+            out = []
+            for b, (v,) in zip(ats, payloads, strict=True):
+                c = (1 - alpha) * c + alpha * float(v)
+                out.append((recording, b, int(i), int(j), c))
+            return out
 
-    def fold(acc: Column, s: Column) -> Column:
-        c = acc["c"] * (1 - alpha) + s["cov"] * alpha
-        done = F.struct(s["batch_idx"].alias("batch_idx"), c.alias("cov"))
-        return F.struct(c.alias("c"), F.concat(acc["out"], F.array(done)).alias("out"))
+        return step
 
-    out = F.aggregate("steps", first, fold)["out"]
-    return runs.select("recording_id", "i", "j", F.inline(out))
+    return in_order(head.unionByName(body), fold, "recording_id string, batch_idx long, i int, j int, cov double")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -146,7 +193,7 @@ def calibrate_whitening(z: DataFrame, batch_size: int, alpha: float, size: int)
 
 
 def orthonormalise(units: DataFrame) -> DataFrame:
-    """Each recording's vectors (recording_id, unit, w) made orthogonal to those before, of length 1."""
+    """Each recording's vectors (recording_id, unit, w) made orthogonal to those before, of length 1; zeros for one that those before span."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit")
@@ -156,7 +203,7 @@ def orthonormalise(units: DataFrame) -> DataFrame:
             for u in done:
                 v = v - (v @ u) * u
             size = np.linalg.norm(v)
-            done.append(v / size if size else v)
+            done.append(v / size if size > 1e-10 * np.linalg.norm(w) else np.zeros_like(v))
         return pdf.assign(w=[d.tolist() for d in done])
 
     return units.select("recording_id", "unit", "w").groupBy("recording_id").applyInPandas(fold, units.select("recording_id", "unit", "w").schema)
@@ -178,12 +225,18 @@ def scales(df: DataFrame, x: str = "channels") -> DataFrame:
     return one.groupBy("recording_id").agg(F.transform(pairs, lambda p: p["s"]).alias("scale"))
 
 
-def build_model(tables: dict[str, DataFrame], z: DataFrame, batch_size: int, alpha: float, size: int, contrast: str = "logcosh") -> tuple[DataFrame, DataFrame]:
-    """What a run starts from: units with heights and contrast statistics, and recordings with those of the whitening.
+def build_model(tables: dict[str, DataFrame], ext_fact: int, batch_size: int, alpha: float, size: int, contrast: str = "logcosh") -> tuple[DataFrame, DataFrame]:
+    """What a run starts from, of the tables that read_model returns: (units, start) as adapt.adaptive_steps takes them.
 
-    tables: what read_model returns; z: the calibration signal, extended and whitened.
+    units get heights and contrast statistics. start has the whitening and its covariance over the calibration
+    signal (zeros before its first sample included), both flat, with the mean and deviation of the
+    divergence. size: rows of the whitening.
     """
     stats = calibrate_contrast(tables["ipts"], tables["spikes"], contrast)
-    units = init_heights(tables["model_units"]).join(stats, ["recording_id", "unit"], "left")
-    whole = tables["recordings"].join(calibrate_whitening(z, batch_size, alpha, size), "recording_id", "left")
-    return units, whole
+    units = init_heights(tables["model_units"]).drop("version").join(stats, ["recording_id", "unit"], "left")
+    z = whiten_by(extend_delays(tables["signal"].drop("source"), ext_fact), tables["model_whitening"].drop("version"))
+    kl = calibrate_whitening(z, batch_size, alpha, size)
+    c = batch_covariances(z.select("recording_id", F.lit(0).cast("long").alias("batch_idx"), F.col("z").alias("x")), size).select("recording_id", F.col("cov").alias("c"))
+    rows = F.array_sort(F.collect_list(F.struct("row_idx", "w")))
+    w = tables["model_whitening"].groupBy("recording_id").agg(F.flatten(F.transform(rows, lambda r: r["w"])).alias("w"))
+    return units, w.join(c, "recording_id").join(kl, "recording_id", "left")

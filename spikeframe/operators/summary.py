@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lower_median, nan_median, nan_sum, valid
 
-__all__ = ["compare_runs", "lower_median", "nan_median", "nan_sum", "objective", "param_diff", "same_pairing", "summarise", "valid"]
+__all__ = ["compare_runs", "lower_median", "nan_median", "nan_sum", "objective", "objective_of_steps", "param_diff", "same_pairing", "summarise", "valid"]
 
 #: What a missing whitening loss costs in the objective.
 MISSING = 1e10
@@ -26,6 +26,16 @@ def objective(batches: DataFrame, units: DataFrame, by: list[str]) -> DataFrame:
     return wh.join(sv, by, "left").select(*by, (-F.col("wh") - F.coalesce("sv", F.lit(0.0))).alias("objective"))
 
 
+def objective_of_steps(steps: DataFrame, by: list[str]) -> DataFrame:
+    """objective, of rows of batches (unit null, wh_loss) and of units (sv_loss) in one table, in one aggregation."""
+    batch = F.col("unit").isNull()
+    there = F.count(F.when(batch, valid("wh_loss"))) == F.count(F.when(batch, F.lit(1)))
+    median = lambda value: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})")
+    wh = F.when(there, median("CASE WHEN unit IS NULL THEN wh_loss END"))
+    sv = median("CASE WHEN unit IS NOT NULL AND NOT isnan(sv_loss) THEN sv_loss END")
+    return steps.groupBy(*by).agg((-F.coalesce(wh, F.lit(MISSING)) - F.coalesce(sv, F.lit(0.0))).alias("objective"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], col: str) -> DataFrame:
     """(keys, a, b, diff) of a metric in two runs; rows of only one run stay."""
     left, right = a.select(*keys, F.col(col).alias("a")), b.select(*keys, F.col(col).alias("b"))

@@ -8,6 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .adapt import Params, adaptive_steps, with_params
+from .summary import objective_of_steps
+
+#: Parameters that a trial may set.
+SWEPT = ("wh_learning_rate", "sv_learning_rate", "cov_alpha")
+
 
 def trial_grid(spark: SparkSession, space: dict[str, list[float]]) -> DataFrame:
     """(trial_id, one column for each parameter): every combination, the last name varying fastest."""
@@ -31,6 +37,20 @@ def best_trial(losses: DataFrame, k: int = 1, by: list[str] | None = None) -> Da
     return losses.withColumn("__nth", nth).where(F.col("__nth") <= k).drop("__nth")
 
 
+def run_sweep(signal: DataFrame, start: DataFrame, units: DataFrame, trials: DataFrame, p: Params, batches: int | None = None) -> DataFrame:
+    """(trial_id, recording_id, loss): every trial's adaptive decomposition of every recording, less the objective.
+
+    trials (trial_id and some of SWEPT; p holds the rest) are few: they come to the driver and go to the
+    tasks, where a recording's samples serve a group of trials at once. batches: only the first so many of
+    each recording. Other inputs as in adapt.adaptive_steps.
+    """
+    names = [c for c in trials.columns if c in SWEPT]
+    settings = [(r.trial_id, with_params(p, compute_loss=True, **{c: r[c] for c in names})) for r in trials.orderBy("trial_id").collect()]
+    steps = adaptive_steps(signal, start, units, settings, whole=False, last_batch=batches)
+    by = ["trial_id", "recording_id"]
+    return objective_of_steps(steps, by).select(*by, (-F.col("objective")).alias("loss"))
+
+
 def successive_halving(trials: DataFrame, evaluate: Callable[[DataFrame, int], DataFrame], start: int = 5, stop: int = 50, keep: int = 2) -> DataFrame:
     """(trial_id, rung, budget, loss, kept): trials by loss after ever more batches, 1/keep of them going on.
 

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import adapt as ad
 from ..operators import filters as fl
 from ..operators import frames as fr
 from ..operators import model as md
+from ..operators import peaks as pk
 from ..operators import sweep as sw
 from ..sources import fixtures as fx
 from ..sources import recordings as rec
 from ..sources.storage import materialise, shared_folder
-from .common import BATCH, CH, DIST, EXT, MULT, SCALES, SIG, SIZE, fixture, r6, unit_rows
+from .common import BATCH, CH, DIST, EXT, MULT, SCALES, SIG, SIZE, fixture, r6, unit_rows, whitening
 
 QUERIES, ORACLES = {}, {}
 FS = 100.0
@@ -79,111 +79,103 @@ def preprocess(spark, d):
 
 
 ONE = ad.Params(batch_size=BATCH, ext_fact=1)
-
-
-@query(f"""WITH RECURSIVE {SIG}, {SCALES}, cov AS (SELECT recording_id, sample_idx // {BATCH} AS batch_idx, var_samp(c0) AS v, count(*) AS n FROM sig WHERE sample_idx >= 1 GROUP BY ALL),
+_SQUARE = [(i, j) for i in range(CH) for j in range(CH)]
+
+
+def _course() -> str:
+    """The whitening's course over batches in SQL: W and C entry by entry."""
+    cell = lambda m, i, j: f"{m}{i}{j}"
+    cov = lambda i, j: f"v{min(i, j)}{max(i, j)}"
+    every = lambda m: ", ".join(cell(m, i, j) for i, j in _SQUARE)
+    made = lambda name, of: ", ".join(f"{of(i, j)} AS {name}{i}{j}" for i, j in _SQUARE)
+    wv = made("t", lambda i, j: " + ".join(f"w{i}{k} * {cov(k, j)}" for k in range(CH)))
+    c = made("c", lambda i, j: f"CASE WHEN n > 1 THEN 0.9::DOUBLE * o{i}{j} + 0.1::DOUBLE * (" + " + ".join(f"t{i}{k} * w{j}{k}" for k in range(CH)) + f") ELSE o{i}{j} END")
+    w = made("w", lambda i, j: f"CASE WHEN n > 1 THEN w{i}{j} - 0.007::DOUBLE * (" + " + ".join(f"(c{i}{k}{' - 1' if i == k else ''}) * w{k}{j}" for k in range(CH)) + f") ELSE w{i}{j} END")
+    pairs = ", ".join(f"CASE WHEN count(*) > 1 THEN {f'var_samp(c{i})' if i == j else f'covar_samp(c{i}, c{j})'} END AS v{i}{j}" for i, j in _SQUARE if i <= j)
+    vs = ", ".join(f"v{i}{j}" for i, j in _SQUARE if i <= j)
+    olds = ", ".join(f"f.c{i}{j} AS o{i}{j}" for i, j in _SQUARE)
+    return f"""WITH RECURSIVE {SIG}, {SCALES}, cov AS (SELECT recording_id, sample_idx // {BATCH} AS batch_idx, count(*) AS n, {pairs} FROM sig WHERE sample_idx >= 1 GROUP BY ALL),
 f AS (
-  SELECT recording_id, 0::BIGINT AS version, s0 AS w, 1.0::DOUBLE AS c FROM sc
+  SELECT recording_id, 0::BIGINT AS version, {made("w", lambda i, j: f"s{i}" if i == j else "0.0::DOUBLE")}, {made("c", lambda i, j: "1.0::DOUBLE" if i == j else "0.0::DOUBLE")} FROM sc
   UNION ALL
-  SELECT f.recording_id, version + 1, CASE WHEN n > 1 THEN w - 0.007::DOUBLE * ((0.9::DOUBLE * c + 0.1::DOUBLE * w * v * w) - 1) * w ELSE w END,
-    CASE WHEN n > 1 THEN 0.9::DOUBLE * c + 0.1::DOUBLE * w * v * w ELSE c END
-  FROM f JOIN cov ON cov.recording_id = f.recording_id AND cov.batch_idx = f.version)
-SELECT f.recording_id, version, round(w, 6) AS w FROM f JOIN cov ON cov.recording_id = f.recording_id AND cov.batch_idx = f.version""")
+  SELECT recording_id, version + 1, {w}, {every("c")} FROM (
+    SELECT recording_id, version, n, {every("w")}, {c} FROM (
+      SELECT recording_id, version, n, {every("w")}, {every("o")}, {wv} FROM (
+        SELECT f.recording_id, version, n, {every("w")}, {olds}, {vs} FROM f JOIN cov ON cov.recording_id = f.recording_id AND cov.batch_idx = f.version))))
+SELECT f.recording_id, version, {", ".join(f"round(w{i}{j}, 6) AS w{i}{j}" for i, j in _SQUARE)} FROM f JOIN cov ON cov.recording_id = f.recording_id AND cov.batch_idx = f.version"""
+
+
+@query(_course())
 def adaptive_whitening(spark, d):
-    sig = fx.signal(spark, d)
-    x = fr.assign_batches(fr.trim_warmup(sig, 1), BATCH).withColumn("x", F.slice("channels", 1, 1))
-    start = md.scales(sig).select("recording_id", F.slice("scale", 1, 1).alias("w"), F.array(F.lit(1.0)).alias("c"))
-    course = ad.adapt_whitening(ad.batch_covariances(x, 1), start, ONE)
-    return course.select("recording_id", "version", r6(F.get("w", F.lit(0))).alias("w"))
+    sig = materialise(fx.signal(spark, d), "signal")
+    x = fr.assign_batches(fr.trim_warmup(sig, 1), BATCH).withColumn("x", F.col("channels"))
+    diagonal = F.flatten(F.transform("scale", lambda s, i: F.transform("scale", lambda _, j: F.when(i == j, s).otherwise(0.0))))
+    unit = F.array(*[F.lit(1.0 if i == j else 0.0) for i, j in _SQUARE])
+    start = md.scales(sig).select("recording_id", diagonal.alias("w"), unit.alias("c"))
+    course = ad.adapt_whitening(ad.batch_covariances(x, CH), start, ONE)
+    return course.select("recording_id", "version", *[r6(F.get("w", F.lit(CH * i + j))).alias(f"w{i}{j}") for i, j in _SQUARE])
 
 
 PARAMS = ad.Params(batch_size=BATCH, ext_fact=EXT, spike_dist=DIST, spike_height_mult=MULT)
 
 
 def start_model(spark, d):
-    """Extended samples with batches, the start of the whitening, and the units in whitened space."""
-    sig, units, _ = fixture(spark, d)
-    x = fr.assign_batches(fr.extend_delays(sig, EXT), BATCH).select("recording_id", "sample_idx", "batch_idx", "x")
-    unit = F.array(*[F.lit(1.0 if i == j else 0.0) for i in range(SIZE) for j in range(SIZE)])
-    tiled = F.flatten(F.array_repeat("scale", EXT))
-    diagonal = F.flatten(F.transform(tiled, lambda s, i: F.transform(tiled, lambda _, j: F.when(i == j, s).otherwise(0.0))))
-    start = md.scales(sig).select("recording_id", diagonal.alias("w"), unit.alias("c"))
+    """Signal, start and units as adapt.adaptive_steps takes them: the fixture's model, calibrated on the signal itself."""
+    sig, units, ipts = fixture(spark, d)
     vectors = unit_rows(sig).join(units.drop("w"), ["recording_id", "unit"])
-    return x, start, vectors
+    spikes = pk.detect_spikes(ipts, units, DIST, MULT)
+    tables = {"signal": sig, "ipts": ipts, "spikes": spikes, "model_units": vectors, "model_whitening": whitening(sig)}
+    vectors, start = md.build_model(tables, EXT, BATCH, PARAMS.cov_alpha, SIZE)
+    return sig, materialise(start, "start"), materialise(vectors, "vectors")
 
 
 @query()
 def adaptive_separation(spark, d):
-    x, start, vectors = start_model(spark, d)
-    p = ad.with_params(PARAMS, adapt_wh=False)
-    out = ad.decompose_adaptive(x, start, vectors, p, SIZE)["model_units"]
+    p = ad.with_params(PARAMS, adapt_wh=False, compute_loss=False)
+    out = ad.decompose_adaptive(*start_model(spark, d), p)["model_units"]
     return out.select("recording_id", "version", "unit", r6(F.get("w", F.lit(0))).alias("first_weight"), r6("height").alias("height"))
 
 
 @query()
 def decompose_adaptive(spark, d):
-    out = ad.decompose_adaptive(*start_model(spark, d), PARAMS, SIZE)
+    out = ad.decompose_adaptive(*start_model(spark, d), PARAMS)
     return out["spikes"].select("recording_id", "unit", "batch_idx", "sample_idx")
 
 
+@query()
+def adaptive_losses(spark, d):
+    out = ad.decompose_adaptive(*start_model(spark, d), PARAMS)
+    added = out["unit_metrics"].groupBy("recording_id", "batch_idx").agg(F.sum("sv_loss").alias("sv_loss"))
+    return out["batch_metrics"].join(added, ["recording_id", "batch_idx"], "left").select("recording_id", "batch_idx", *[r6(c).alias(c) for c in ("wh_loss", "sv_loss", "total_loss")])
+
+
 @query()
 def param_trajectory(spark, d):
-    out = ad.decompose_adaptive(*start_model(spark, d), PARAMS, SIZE)["model_units"]
+    out = ad.decompose_adaptive(*start_model(spark, d), PARAMS)["model_units"]
     path = f"{shared_folder(spark)}/params-{uuid.uuid4().hex}"
-    snapshots = materialise(out, "snapshots")
-    rec.append_params(snapshots.where("version < 3"), path)
-    rec.append_params(snapshots, path)  # what is there already is left out
+    rec.append_params(out.where("version < 3"), path)
+    rec.append_params(out, path)  # what is there already is left out
     back = spark.read.parquet(path)
     return back.select("recording_id", "version", "unit", r6("base_centr").alias("base_centr"), r6("spikes_centr").alias("spikes_centr"))
 
 
-def _evaluate(covs, start):
-    """A function of trials and a budget: the loss of each trial after so many batches, all in one job."""
-
-    def losses(trials, budget):
-        pairs = covs.where(F.col("batch_idx") < budget).crossJoin(F.broadcast(trials.select("trial_id", "wh_learning_rate")))
-        name = F.concat_ws("|", "trial_id", "recording_id")
-        runs = pairs.select(name.alias("recording_id"), "batch_idx", "cov", F.col("wh_learning_rate").alias("rate"))
-        first = start.crossJoin(F.broadcast(trials.select("trial_id"))).select(name.alias("recording_id"), "w", "c")
-
-        def fold(key, cov, begin):
-            import pandas as pd
-
-            n = int(np.sqrt(len(begin["w"].iat[0]))) if len(begin) else 0
-            if not n or cov.empty:
-                return pd.DataFrame({"trial_id": [], "recording_id": [], "kl": []})
-            w, c = (np.asarray(begin[k].iat[0]).reshape(n, n) for k in ("w", "c"))
-            p, kl = ad.with_params(PARAMS, wh_learning_rate=float(cov["rate"].iat[0])), []
-            for flat in cov.sort_values("batch_idx")["cov"]:
-                x = np.asarray(flat).reshape(n, n)
-                if np.isfinite(x).all():
-                    w, c = ad.whiten_step(w, c, x, p)
-                    sign, log = np.linalg.slogdet(c)
-                    kl.append((np.trace(c) - log - n) / 2 if sign > 0 else np.nan)
-            trial, recording = key[0].split("|", 1)
-            return pd.DataFrame({"trial_id": [int(trial)], "recording_id": [recording], "kl": [float(np.nanmedian(kl)) if kl else None]})
-
-        done = runs.groupBy("recording_id").cogroup(first.groupBy("recording_id")).applyInPandas(fold, "trial_id int, recording_id string, kl double")
-        return done.groupBy("trial_id").agg(F.avg("kl").alias("loss"))
-
-    return losses
-
-
-def _sweep(spark, d):
-    x, start, _ = start_model(spark, d)
-    # the covariances are the same for all trials: made once
-    covs = materialise(ad.batch_covariances(x.where(F.col("sample_idx") >= EXT), SIZE), "covariances")
-    return _evaluate(covs, start), sw.trial_grid(spark, {"wh_learning_rate": [0.0, 0.001, 0.007, 0.02]})
+SPACE = {"wh_learning_rate": [0.0, 0.001, 0.007], "sv_learning_rate": [0.0005, 0.003], "cov_alpha": [0.1, 0.3]}
 
 
 @query()
 def sweep_losses(spark, d):
-    evaluate, trials = _sweep(spark, d)
-    return evaluate(trials, 1 << 30).select("trial_id", r6("loss").alias("loss"))
+    losses = sw.run_sweep(*start_model(spark, d), sw.trial_grid(spark, SPACE), PARAMS)
+    return losses.select("trial_id", "recording_id", r6("loss").alias("loss"))
 
 
 @query()
 def sweep_halving(spark, d):
-    evaluate, trials = _sweep(spark, d)
-    out = sw.successive_halving(trials, evaluate, start=2, stop=8)
+    model = start_model(spark, d)
+
+    def evaluate(trials, budget):
+        losses = sw.run_sweep(*model, trials, PARAMS, budget)
+        return losses.groupBy("trial_id").agg(F.avg("loss").alias("loss"))
+
+    # no recording of these tables has more than 8 batches: the last rung sees all of them
+    out = sw.successive_halving(sw.trial_grid(spark, SPACE), evaluate, start=2, stop=8)
     return out.select("trial_id", "rung", "budget", r6("loss").alias("loss"), "kept")

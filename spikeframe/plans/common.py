@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decompose, model, peaks
 from ..sources import fixtures as fx
+from ..sources.storage import materialise
 
 CH, EXT, BATCH, DIST, MULT, UNITS = len(fx.CHANNELS), fx.EXT_FACT, fx.BATCH, fx.DIST, fx.MULT, 3
 SIZE = CH * EXT
@@ -21,6 +22,10 @@ def vector(unit: int) -> list[float]:
 
 
 VECTORS = [vector(u) for u in range(UNITS)]
+#: The fixture's whitening is MIX times one over the channels' deviations: a full matrix for each recording.
+MIX = [[float(i == k) + ((3 * i + 5 * k) % 7 - 3) / 20 for k in range(SIZE)] for i in range(SIZE)]
+#: Rows of vectors times MIX, as the SQL uses them.
+MIXED = [[sum(v[i] * MIX[i][k] for i in range(SIZE)) for k in range(SIZE)] for v in VECTORS]
 
 
 def r6(col: str | Column) -> Column:
@@ -33,19 +38,28 @@ def unit_rows(signal: DataFrame) -> DataFrame:
     return signal.select("recording_id").distinct().select("recording_id", F.inline(rows))
 
 
+def whitening(signal: DataFrame) -> DataFrame:
+    """(recording_id, version, row_idx, w): the fixture's whitening over the extended sample, a full matrix."""
+    rows = F.array(*[F.struct(F.lit(i).alias("row_idx"), F.array(*map(F.lit, row)).alias("m")) for i, row in enumerate(MIX)])
+    tiled = F.flatten(F.array_repeat("scale", EXT))
+    each = model.scales(signal).select("recording_id", tiled.alias("scale"), F.explode(rows).alias("r"))
+    return each.select("recording_id", F.lit(0).cast("long").alias("version"), "r.row_idx", F.zip_with("r.m", "scale", lambda a, b: a * b).alias("w"))
+
+
 def fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signal, frozen model (recording_id, unit, w, centroids, height) and ipts with batch_idx, warm-up trimmed."""
-    sig = fx.signal(spark, sf_dir)
-    rows = decompose.whitened_rows(unit_rows(sig), model.scales(sig), EXT)
-    ipts = decompose.frozen_ipts(sig, rows, CH, EXT, BATCH)
-    units = model.init_heights(rows.join(model.centroids(ipts), ["recording_id", "unit"]))
+    # read several times below
+    sig = materialise(fx.signal(spark, sf_dir), "signal")
+    rows = materialise(decompose.fuse(unit_rows(sig), whitening(sig)), "model-rows")
+    ipts = materialise(decompose.frozen_ipts(sig, rows, CH, EXT, BATCH), "ipts")
+    units = materialise(model.init_heights(rows.join(model.centroids(ipts), ["recording_id", "unit"])), "units")
     return sig, units, ipts
 
 
 def frozen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Model, ipts and detected spikes."""
     _, units, ipts = fixture(spark, sf_dir)
-    return units, ipts, peaks.detect_spikes(ipts, units, DIST, MULT)
+    return units, ipts, materialise(peaks.detect_spikes(ipts, units, DIST, MULT), "spikes")
 
 
 _CHANNELS = ", ".join(f"({c} - {mid!r}::DOUBLE) / {scale!r}::DOUBLE AS c{i}" for i, (c, mid, scale) in enumerate(fx.CHANNELS))
@@ -54,7 +68,7 @@ _ORDER = "PARTITION BY recording_id ORDER BY sample_idx"
 
 def _ipt(unit: int) -> str:
     terms = []
-    for k, w in enumerate(VECTORS[unit]):
+    for k, w in enumerate(MIXED[unit]):
         i, c = divmod(k, CH)
         value = f"coalesce(lag(c{c}, {i}) OVER w, 0)" if i else f"c{c}"
         terms.append(f"({w!r}::DOUBLE * s{c}) * {value}")

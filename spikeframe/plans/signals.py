@@ -11,8 +11,8 @@ from ..operators import model as md
 from ..operators import peaks as pk
 from ..sources import fixtures as fx
 from ..sources import recordings as rec
-from ..sources.storage import shared_folder
-from .common import BATCH, CH, DIST, EXT, FRAMES, FROZEN, IPTS, KEPT, MODEL, MULT, SCALES, SIG, BAND, fixture, frozen, maxima, r6, unit_rows
+from ..sources.storage import materialise, shared_folder
+from .common import BAND, BATCH, CH, DIST, EXT, FRAMES, FROZEN, IPTS, MIX, MODEL, MULT, SCALES, SIG, SIZE, fixture, frozen, maxima, r6, whitening
 
 QUERIES, ORACLES = {}, {}
 W6 = "round({}, 6) AS {}"
@@ -156,51 +156,74 @@ def output_complete(spark, d):
     return fr.complete_outputs(sig, ipts.drop("batch_idx"), units).select("recording_id", "unit", "sample_idx", r6("ipt").alias("ipt"))
 
 
-@query(f"WITH {SIG}, {SCALES} SELECT recording_id, sample_idx, {', '.join(f'round(c{i} * s{i}, 6) AS z{i}' for i in range(CH))} FROM sig JOIN sc USING (recording_id)")
+_Z = ", ".join("round(" + " + ".join(f"{m!r}::DOUBLE * s{k % CH} * " + (f"coalesce(lag(c{k % CH}, {k // CH}) OVER w, 0)" if k // CH else f"c{k % CH}") for k, m in enumerate(row)) + f", 6) AS z{i}" for i, row in enumerate(MIX))
+
+
+@query(f"WITH {SIG}, {SCALES} SELECT recording_id, sample_idx, {_Z} FROM sig JOIN sc USING (recording_id) WINDOW w AS (PARTITION BY recording_id ORDER BY sample_idx)")
 def whiten_project(spark, d):
-    sig = fx.signal(spark, d)
-    z = md.whiten(sig, md.scales(sig))
-    return z.select("recording_id", "sample_idx", *[r6(F.get(F.col("z"), F.lit(i))).alias(f"z{i}") for i in range(CH)])
+    sig = materialise(fx.signal(spark, d), "signal")
+    z = md.whiten_by(fr.extend_delays(sig, EXT), whitening(sig).drop("version"), block=256)
+    return z.select("recording_id", "sample_idx", *[r6(F.get(F.col("z"), F.lit(i))).alias(f"z{i}") for i in range(SIZE)])
+
+
+_IJ = [(i, j) for i in range(CH) for j in range(i, CH)]
+_I, _J = [i for i, _ in _IJ], [j for _, j in _IJ]
 
 
-COV = f"""z AS (SELECT recording_id, sample_idx, sample_idx // {BATCH} AS batch_idx, c0 * s0 AS z0, c1 * s1 AS z1 FROM sig JOIN sc USING (recording_id)),
+def _entries(one: str) -> str:
+    return "[" + ", ".join(f"var_samp(z{i})" if i == j else one.format(f"covar_samp(z{i}, z{j})") for i, j in _IJ) + "]"
+
+
+COV = f"""z AS (SELECT recording_id, sample_idx, sample_idx // {BATCH} AS batch_idx, {", ".join(f"c{i} * s{i} AS z{i}" for i in range(CH))} FROM sig JOIN sc USING (recording_id)),
 cov AS (
-  SELECT recording_id, batch_idx, unnest([0, 0, 1]) AS i, unnest([0, 1, 1]) AS j,
-    unnest([var_samp(z0), CASE WHEN count(*) > 1 THEN covar_samp(z0, z1) END, var_samp(z1)]) AS cov FROM z GROUP BY recording_id, batch_idx)"""
+  SELECT recording_id, batch_idx, unnest({_I}) AS i, unnest({_J}) AS j, unnest({_entries("CASE WHEN count(*) > 1 THEN {} END")}) AS cov FROM z GROUP BY recording_id, batch_idx)"""
 
 
-def _z2(spark, d):
-    sig = fx.signal(spark, d)
-    return md.whiten(sig, md.scales(sig)).withColumn("z", F.slice("z", 1, 2))
+def _z(spark, d):
+    """The signal under a diagonal whitening: all channels, no delays."""
+    sig = materialise(fx.signal(spark, d), "signal")
+    return md.whiten(sig, md.scales(sig))
 
 
 @query(f"WITH {SIG}, {SCALES}, {COV} SELECT recording_id, batch_idx, i, j, round(cov, 6) AS cov FROM cov")
 def batch_cov(spark, d):
-    cov = md.batch_covariance(fr.assign_batches(_z2(spark, d), BATCH), "z", 2)
+    cov = md.batch_covariance(fr.assign_batches(_z(spark, d), BATCH), "z", CH)
     return cov.select("recording_id", "batch_idx", "i", "j", r6("cov").alias("cov"))
 
 
 ALPHA = 0.1
 EWMA = f"""full_cov AS (
-  SELECT recording_id, unnest([0, 0, 1]) AS i, unnest([0, 1, 1]) AS j, unnest([var_samp(z0), covar_samp(z0, z1), var_samp(z1)]) AS c0 FROM z GROUP BY recording_id),
+  SELECT recording_id, unnest({_I}) AS i, unnest({_J}) AS j, unnest({_entries("{}")}) AS c0 FROM z GROUP BY recording_id),
 done AS (SELECT recording_id, batch_idx FROM z GROUP BY ALL HAVING count(*) = {BATCH}),
 steps AS (SELECT cov.*, c0 FROM cov JOIN done USING (recording_id, batch_idx) JOIN full_cov USING (recording_id, i, j)),
 ewma AS (
   SELECT recording_id, i, j, 0::BIGINT AS batch_idx, c0 * 0.9::DOUBLE + cov * 0.1::DOUBLE AS c FROM steps WHERE batch_idx = 0
   UNION ALL
   SELECT s.recording_id, s.i, s.j, s.batch_idx, e.c * 0.9::DOUBLE + s.cov * 0.1::DOUBLE FROM ewma e JOIN steps s ON s.recording_id = e.recording_id AND s.i = e.i AND s.j = e.j AND s.batch_idx = e.batch_idx + 1)"""
-KL = """kl AS (
-  SELECT a.recording_id, a.batch_idx, (a.c + c.c - CASE WHEN a.c * c.c - b.c * b.c > 0 THEN ln(a.c * c.c - b.c * b.c) END - 2) / 2 AS kl
-  FROM ewma a JOIN ewma b USING (recording_id, batch_idx) JOIN ewma c USING (recording_id, batch_idx) WHERE a.i = 0 AND a.j = 0 AND b.i = 0 AND b.j = 1 AND c.i = 1 AND c.j = 1),
+
+
+def _pivots() -> str:
+    """Columns a_i_j of the upper triangle, and table by table the complement after each pivot; the pivots stay."""
+    out = "m0 AS (SELECT recording_id, batch_idx, " + ", ".join(f"max(CASE WHEN i = {i} AND j = {j} THEN c END) AS a{i}{j}" for i, j in _IJ) + " FROM ewma GROUP BY ALL)"
+    for k in range(CH - 1):
+        rest = [f"a{i}{j} - a{k}{i} * a{k}{j} / nullif(a{k}{k}, 0) AS a{i}{j}" for i, j in _IJ if i > k]
+        kept = [f"a{i}{i}" for i in range(k + 1)]
+        out += f",\nm{k + 1} AS (SELECT recording_id, batch_idx, trace, {', '.join(kept + rest)} FROM m{k})" if k else f",\nm1 AS (SELECT recording_id, batch_idx, {' + '.join(f'a{i}{i}' for i in range(CH))} AS trace, {', '.join(kept + rest)} FROM m0)"
+    return out
+
+
+KL = f"""{_pivots()},
+kl AS (
+  SELECT recording_id, batch_idx, (trace - CASE WHEN {" AND ".join(f"a{i}{i} > 0" for i in range(CH))} THEN {" + ".join(f"ln(a{i}{i})" for i in range(CH))} END - {CH}) / 2 AS kl FROM m{CH - 1}),
 edges AS (SELECT recording_id, max(batch_idx) AS last FROM kl GROUP BY 1),
 calib AS (SELECT recording_id, avg(kl) AS kl_mean, stddev_samp(kl) AS kl_std FROM kl JOIN edges USING (recording_id) WHERE batch_idx BETWEEN 1 AND last - 1 GROUP BY 1)"""
 _KL = f"WITH RECURSIVE {SIG}, {SCALES}, {COV}, {EWMA}, {KL}"
 
 
 def _ewma(spark, d):
-    z = _z2(spark, d)
-    start = md.batch_covariance(z, "z", 2, ("recording_id",))
-    return md.ewma_covariance(md.batch_covariance(fr.assign_batches(z, BATCH, drop_last=True), "z", 2), start, ALPHA)
+    z = _z(spark, d)
+    start = md.batch_covariance(z, "z", CH, ("recording_id",))
+    return md.ewma_covariance(md.batch_covariance(fr.assign_batches(z, BATCH, drop_last=True), "z", CH), start, ALPHA)
 
 
 @query(f"WITH RECURSIVE {SIG}, {SCALES}, {COV}, {EWMA} SELECT recording_id, batch_idx, i, j, round(c, 6) AS cov FROM ewma")
@@ -210,19 +233,19 @@ def ewma_cov(spark, d):
 
 @query(f"{_KL} SELECT recording_id, batch_idx, round(kl, 6) AS kl FROM kl")
 def kl_divergence(spark, d):
-    return md.kl_to_identity(_ewma(spark, d), 2).select("recording_id", "batch_idx", r6("kl").alias("kl"))
+    return md.kl_to_identity(_ewma(spark, d), CH).select("recording_id", "batch_idx", r6("kl").alias("kl"))
 
 
 @query(f"{_KL} SELECT recording_id, round(kl_mean, 6) AS kl_mean, round(kl_std, 6) AS kl_std FROM calib")
 def calib_kl_stats(spark, d):
-    calib = md.calibrate_whitening(_z2(spark, d), BATCH, ALPHA, 2)
+    calib = md.calibrate_whitening(_z(spark, d), BATCH, ALPHA, CH)
     return calib.select("recording_id", r6("kl_mean").alias("kl_mean"), r6("kl_std").alias("kl_std"))
 
 
 @query(f"{_KL} SELECT recording_id, batch_idx, round(((kl - kl_mean) / nullif(kl_std, 0)) ** 2, 4) AS wh_loss FROM kl JOIN calib USING (recording_id)")
 def wh_loss(spark, d):
-    calib = md.calibrate_whitening(_z2(spark, d), BATCH, ALPHA, 2)
-    loss = md.whitening_loss(md.kl_to_identity(_ewma(spark, d), 2), calib)
+    calib = md.calibrate_whitening(_z(spark, d), BATCH, ALPHA, CH)
+    loss = md.whitening_loss(md.kl_to_identity(_ewma(spark, d), CH), calib)
     return loss.select("recording_id", "batch_idx", F.round("wh_loss", 4).alias("wh_loss"))
 
 
@@ -266,7 +289,7 @@ _LOSSES = f"{FROZEN}, {COV}, {EWMA}, {KL}, {CONTRAST}, wh AS (SELECT recording_i
 def losses(spark, d):
     """Whitening losses by batch and separation losses by batch and unit, of the frozen model."""
     _, ipts, spikes = frozen(spark, d)
-    wh = md.whitening_loss(md.kl_to_identity(_ewma(spark, d), 2), md.calibrate_whitening(_z2(spark, d), BATCH, ALPHA, 2))
+    wh = md.whitening_loss(md.kl_to_identity(_ewma(spark, d), CH), md.calibrate_whitening(_z(spark, d), BATCH, ALPHA, CH))
     return wh, md.separation_loss(ipts, spikes, md.calibrate_contrast(ipts, spikes))
 
 
@@ -280,17 +303,23 @@ def spike_height(spark, d):
     return fixture(spark, d)[1].select("recording_id", "unit", *[r6(c).alias(c) for c in ("base_centr", "spikes_centr", "height")])
 
 
-@query(f"""WITH {FRAMES}, v AS (
-  SELECT recording_id, list_sum([channels[k] * channels[k] for k in range(1, 65)]) AS aa FROM fr WHERE sample_idx = 0),
-p AS (SELECT a.recording_id, a.channels AS a, b.channels AS b, sqrt(aa) AS na FROM fr a JOIN fr b USING (recording_id) JOIN v USING (recording_id) WHERE a.sample_idx = 0 AND b.sample_idx = 1),
-q AS (SELECT *, list_sum([a[k] / na * b[k] for k in range(1, 65)]) AS ab FROM p),
-r AS (SELECT recording_id, [a[k] / na for k in range(1, 65)] AS u, [b[k] - ab * a[k] / na for k in range(1, 65)] AS w FROM q),
-s AS (SELECT *, sqrt(list_sum([w[k] * w[k] for k in range(1, 65)])) AS nw FROM r)
-SELECT recording_id, unnest([0, 1]) AS unit, round(unnest([u[1], w[1] / nw]), 6) AS first_weight, round(unnest([u[64], w[64] / nw]), 6) AS last_weight FROM s""")
+_DIM = 64
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, g AS (
+  SELECT recording_id, 0::BIGINT AS n, []::DOUBLE[][] AS done FROM fr WHERE sample_idx = 0
+  UNION ALL
+  SELECT recording_id, n + 1, list_append(done, list_transform(v, lambda x: CASE WHEN list_dot_product(v, v) > 1e-20::DOUBLE * list_dot_product(raw, raw) THEN x / sqrt(list_dot_product(v, v)) ELSE 0 END))
+  FROM (
+    SELECT g.recording_id, n, done, channels AS raw, list_reduce(list_prepend(channels, done), lambda a, u: list_transform(range(1, {_DIM + 1}), lambda k: a[k] - u[k] * list_dot_product(a, u))) AS v
+    FROM g JOIN fr ON fr.recording_id = g.recording_id AND fr.sample_idx = g.n)),
+full_g AS (SELECT recording_id, max_by(done, n) AS done, max(n) AS n FROM g GROUP BY 1),
+u AS (SELECT recording_id, unnest(range(n)) AS unit, unnest(done) AS w FROM full_g)
+SELECT recording_id, unit::INT AS unit, round(w[1], 6) AS first_weight, round(w[{_DIM}], 6) AS last_weight FROM u""")
 def gram_schmidt(spark, d):
-    units = fx.frames(spark, d).where("sample_idx < 2").select("recording_id", F.col("sample_idx").cast("int").alias("unit"), F.col("channels").alias("w"))
+    units = fx.frames(spark, d).select("recording_id", F.col("sample_idx").cast("int").alias("unit"), F.col("channels").alias("w"))
     out = md.orthonormalise(units)
-    return out.select("recording_id", "unit", r6(F.get("w", F.lit(0))).alias("first_weight"), r6(F.get("w", F.lit(63))).alias("last_weight"))
+    return out.select("recording_id", "unit", r6(F.get("w", F.lit(0))).alias("first_weight"), r6(F.get("w", F.lit(_DIM - 1))).alias("last_weight"))
 
 
 @query(FROZEN + " SELECT recording_id, unit, batch_idx, sample_idx, round(value, 6) AS value FROM spikes")

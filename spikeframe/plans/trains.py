@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import agreement as ag
-from ..operators import model as md
+from ..operators import decompose as dc
 from ..operators import summary as sm
 from ..operators import sweep as sw
 from ..operators import trains as tr
 from ..sources import fixtures as fx
-from .common import CH, EXT, FROZEN, SCALES, SIG, TIMES, TRAINS, UNITS, VECTORS, frozen, maxima, r6, unit_rows
+from ..sources.storage import materialise
+from .common import CH, EXT, FROZEN, MIXED, SCALES, SIG, TIMES, TRAINS, frozen, maxima, r6, unit_rows, whitening
 from .signals import _LOSSES, losses
 
 QUERIES, ORACLES = {}, {}
@@ -146,12 +147,12 @@ def roa_paired(spark, d):
 
 
 def assigning(test: str, within: bool = False, where: str = "TRUE") -> str:
-    """SQL of the greedy unit assignment between the click train and another."""
+    """SQL of the greedy unit assignment between the click train and another, by the best correlation at any lag."""
     used = "list_contains(used_r, p[k].r) OR list_contains(used_t, p[k].t)" + (" OR list_contains(used_t, p[k].r) OR list_contains(used_r, p[k].t)" if within else "")
     return f"""ra AS (SELECT recording_id, unit AS unit_ref, sample_idx AS a FROM trains WHERE source = 'click' AND {where}),
 rb AS (SELECT recording_id, unit AS unit_test, sample_idx AS b FROM trains WHERE source = '{test}' AND {where}),
-pnear AS (SELECT recording_id, unit_ref, unit_test, a - b AS d, count(*) AS n FROM ra JOIN rb USING (recording_id) WHERE abs(a - b) <= {MAX_LAG + TOL - 1} {"AND unit_ref < unit_test" if within else ""} GROUP BY ALL),
-pcorr AS (SELECT recording_id, unit_ref, unit_test, lag, sum(n * ({TOL} - abs(lag - d)))::BIGINT AS corr FROM pnear, range(-{MAX_LAG}, {MAX_LAG + 1}) l(lag) WHERE abs(lag - d) < {TOL} GROUP BY ALL),
+pnear AS (SELECT recording_id, unit_ref, unit_test, a - b AS d, count(*) AS n FROM ra JOIN rb USING (recording_id) {"WHERE unit_ref < unit_test" if within else ""} GROUP BY ALL),
+pcorr AS (SELECT recording_id, unit_ref, unit_test, d + s AS lag, sum(n * ({TOL} - abs(s)))::BIGINT AS corr FROM pnear, range(-{TOL - 1}, {TOL}) l(s) GROUP BY ALL),
 pbest AS (SELECT * FROM pcorr QUALIFY row_number() OVER (PARTITION BY recording_id, unit_ref, unit_test ORDER BY corr DESC, lag) = 1),
 plist AS (SELECT recording_id, list({{'r': unit_ref, 't': unit_test, 'c': corr, 'l': lag}} ORDER BY corr DESC, unit_ref, unit_test) AS p FROM pbest GROUP BY 1),
 psteps AS (
@@ -159,13 +160,13 @@ psteps AS (
   UNION ALL
   SELECT recording_id, p, k + 1, CASE WHEN {used} THEN used_r ELSE list_append(used_r, p[k].r) END, CASE WHEN {used} THEN used_t ELSE list_append(used_t, p[k].t) END, NOT ({used})
   FROM psteps WHERE k <= len(p)),
-pairs AS (SELECT recording_id, p[k - 1].r AS unit_ref, p[k - 1].t AS unit_test, p[k - 1].c AS corr, p[k - 1].l AS lag FROM psteps WHERE took)"""
+pairs AS (SELECT recording_id, p[k - 1].r AS unit_ref, p[k - 1].t AS unit_test, p[k - 1].c AS corr, {f"CASE WHEN abs(p[k - 1].l) > {MAX_LAG} THEN 0 ELSE p[k - 1].l END" if within else "p[k - 1].l"} AS lag FROM psteps WHERE took)"""
 
 
 def _pairs(spark, d, test="view", cond="true"):
     a = _train(spark, d, "click").where(cond).select("recording_id", F.col("unit").alias("unit_ref"), F.col("sample_idx").alias("a"))
     b = _train(spark, d, test).where(cond).select("recording_id", F.col("unit").alias("unit_test"), F.col("sample_idx").alias("b"))
-    return ag.unit_pairs(a, b, TOL, MAX_LAG)
+    return ag.unit_pairs(a, b, TOL)
 
 
 @query(f"WITH RECURSIVE {TRAINS}, {assigning('view')} SELECT recording_id, unit_ref, unit_test, corr, lag FROM pairs")
@@ -184,7 +185,7 @@ FROM pairs LEFT JOIN c USING ({keys}) LEFT JOIN na USING ({keys}) LEFT JOIN nb U
 
 @query(_agreement("view"))
 def roa_between(spark, d):
-    return ag.agreement(_train(spark, d, "click"), _train(spark, d, "view"), TOL, MAX_LAG).withColumn("roa", r6("roa"))
+    return ag.agreement(_train(spark, d, "click"), _train(spark, d, "view"), TOL).withColumn("roa", r6("roa"))
 
 
 @query(_agreement("click", within=True))
@@ -192,7 +193,19 @@ def roa_within(spark, d):
     return ag.agreement_within(_train(spark, d, "click"), TOL, MAX_LAG).withColumn("roa", r6("roa"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TIMES}, first AS (SELECT min(floor(t / {fx.TICK})::BIGINT) AS start FROM times),
+trains AS (SELECT DISTINCT recording_id, source, unit, floor(t / {fx.TICK})::BIGINT - start AS sample_idx FROM times, first), {assigning("view", where="sample_idx < 2000")},
+ea AS (SELECT recording_id, unit, sample_idx AS a FROM trains WHERE source = 'click' AND (recording_id, unit) IN (SELECT (recording_id, unit_ref) FROM pairs)),
+eb AS (SELECT trains.recording_id, unit_ref AS unit, sample_idx AS b FROM trains JOIN pairs ON trains.recording_id = pairs.recording_id AND trains.unit = unit_test WHERE source = 'view'),
+near AS (SELECT recording_id, unit, a - b AS d, count(*) AS n FROM ea JOIN eb USING (recording_id, unit) WHERE abs(a - b) <= {MAX_LAG + TOL - 1} GROUP BY ALL),
+corr AS (SELECT recording_id, unit, lag, sum(n * ({TOL} - abs(lag - d)))::BIGINT AS corr FROM near, range(-{MAX_LAG}, {MAX_LAG + 1}) l(lag) WHERE abs(lag - d) < {TOL} GROUP BY ALL),
+best AS (SELECT * FROM corr QUALIFY row_number() OVER (PARTITION BY recording_id, unit ORDER BY corr DESC, lag) = 1),
+have AS (SELECT recording_id, unit FROM ea UNION SELECT recording_id, unit FROM eb),
+lags AS (SELECT recording_id, unit, coalesce(lag, -{MAX_LAG}) AS lag FROM have LEFT JOIN best USING (recording_id, unit)),
+moved AS (SELECT recording_id, unit, b + lag AS b FROM eb JOIN lags USING (recording_id, unit)), {matching('ea', 'moved')},
+c AS (SELECT recording_id, unit, count(*) AS n FROM matched GROUP BY ALL), na AS (SELECT recording_id, unit, count(*) AS n FROM ea GROUP BY ALL), nb AS (SELECT recording_id, unit, count(*) AS n FROM eb GROUP BY ALL)
+SELECT recording_id, unit, lag, coalesce(c.n, 0) AS n_common, round(coalesce(c.n, 0) / nullif(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(c.n, 0), 0), 6) AS roa
+FROM lags LEFT JOIN c USING (recording_id, unit) LEFT JOIN na USING (recording_id, unit) LEFT JOIN nb USING (recording_id, unit)""")
 def evaluate_run(spark, d):
     start = fx.trains(spark, d).agg(F.min("sample_idx")).first()[0] or 0
     shift = lambda df: df.withColumn("sample_idx", F.col("sample_idx") - start)
@@ -236,7 +249,7 @@ def compare_runs(spark, d):
     return out.select("recording_id", "batch_idx", *[F.round(c, 4).alias(c) for c in ("a", "b", "diff")])
 
 
-_ROWS = ", ".join("(" + ", ".join([str(u), *[repr(x) + "::DOUBLE" for x in v]]) + ")" for u, v in enumerate(VECTORS))
+_ROWS = ", ".join("(" + ", ".join([str(u), *[repr(x) + "::DOUBLE" for x in v]]) + ")" for u, v in enumerate(MIXED))
 _NAMES = ", ".join(f"v{k}" for k in range(CH * EXT))
 
 
@@ -245,10 +258,8 @@ v(unit, {_NAMES}) AS (VALUES {_ROWS}),
 x AS (SELECT recording_id, unit, unnest(range({CH * EXT})) AS pos, unnest([{", ".join(f"v{k} * h{k % CH} - v{k} * s{k % CH}" for k in range(CH * EXT))}]) AS diff FROM sc JOIN half USING (recording_id), v)
 SELECT recording_id, unit, pos, round(diff, 6) AS diff, round(max(abs(diff)) OVER (PARTITION BY recording_id), 6) AS most FROM x""")
 def param_diff(spark, d):
-    from ..operators import decompose as dc
-
-    sig = fx.signal(spark, d)
-    rows = lambda part: dc.whitened_rows(unit_rows(sig), md.scales(part), EXT)
+    sig = materialise(fx.signal(spark, d), "signal")
+    rows = lambda part: dc.fuse(unit_rows(sig), whitening(part))
     out = sm.param_diff(rows(sig), rows(sig.where("sample_idx < 300")), ["recording_id", "unit"])
     return out.select("recording_id", "unit", F.col("pos").cast("long").alias("pos"), r6("diff").alias("diff"), r6("most").alias("most"))
 

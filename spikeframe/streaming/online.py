@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.adapt import Params, unit_step, whiten_step
+from ..operators.adapt import Delays, Params, start_rows, started_runs
 from ..operators.filters import System, run
 
 
@@ -32,56 +33,57 @@ def filter_stream(stream: DataFrame, system: System) -> DataFrame:
     return stream.select("recording_id", "sample_idx", "channels").groupBy("recording_id").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def decompose_stream(stream: DataFrame, models: dict[str, dict], p: Params) -> DataFrame:
+def decompose_stream(stream: DataFrame, start: DataFrame, units: DataFrame, p: Params) -> DataFrame:
     """Spikes (recording_id, unit, batch_idx, sample_idx) of the adaptive decomposition, batch by batch.
 
-    models: recording -> w, c (matrices) and units (a list of (unit, vector, base, spikes, height)). State is
-    the whole model, the last delays and the samples of the batch that isn't full yet. Samples of batches
-    that are done are dropped; a batch is done when a later sample comes, its gaps are zeros.
+    stream (recording_id, sample_idx, channels, and is_last where a recording's end is known); start and units are
+    tables as in adapt.adaptive_steps, which join the stream by recording with a recording's first samples. State
+    is the whole model, the last delays and the samples of the batch that isn't full yet. Samples of
+    batches that are done are dropped; a batch is done when a later sample comes, its gaps are zeros. A sample with
+    is_last ends its recording: what is held then is a last, shorter batch.
     """
-    sent = stream.sparkSession.sparkContext.broadcast(models)
+    first = F.col("sample_idx") == 0
+    ends = F.coalesce("is_last", F.lit(False)) if "is_last" in stream.columns else F.lit(False)
+    models = start_rows(start, units).groupBy("recording_id").agg(F.collect_list(F.struct("kind", "at", "payload")).alias("model"))
+    # a recording's first sample alone takes the model with it
+    joined = stream.withColumn("__of", F.when(first, F.col("recording_id"))).join(models.withColumnRenamed("recording_id", "__name"), F.col("__of") == F.col("__name"), "left")
+    rows = joined.select("recording_id", "sample_idx", "channels", ends.alias("is_last"), "model")
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts))
-        if state.exists:
-            now = pickle.loads(state.get[0])
-        else:
-            m = sent.value[key[0]]
-            now = {"w": m["w"], "c": m["c"], "units": [list(u) for u in m["units"]], "tail": None, "held": {}, "next": 0}
-        first = now["next"] * p.batch_size
-        for i, x in zip(rows["sample_idx"], rows["channels"], strict=True):
-            if i >= first:
-                now["held"][int(i)] = np.asarray(x, dtype=float)
+        now = pickle.loads(state.get[0]) if state.exists else {"run": None, "delays": Delays(p), "held": {}, "end": None}
+        for model in rows["model"]:
+            if now["run"] is None and model is not None:
+                kinds: dict[int, list] = {}
+                for r in sorted(model, key=lambda r: (r["kind"], r["at"])):
+                    kinds.setdefault(r["kind"], []).append(r["payload"])
+                now["run"] = started_runs(kinds, [p])[0] if 0 in kinds else None
+        done = now["delays"].next * p.batch_size
+        for i, x, last in zip(rows["sample_idx"], rows["channels"], rows["is_last"], strict=True):
+            if i >= done:
+                now["held"].setdefault(int(i), np.asarray(x, dtype=float))
+            if last:
+                now["end"] = int(i)
         found = []
-        latest = max(now["held"], default=-1)
-        while (now["next"] + 1) * p.batch_size <= latest + 1:
-            found += _batch(now, p)
+        while now["run"] is not None and now["held"]:
+            size = min(p.batch_size, max(now["held"]) + 1 - now["delays"].next * p.batch_size)
+            if size < p.batch_size and (now["end"] is None or max(now["held"]) < now["end"]):
+                break
+            found += _batch(now, size)
         state.update((pickle.dumps(now),))
         yield pd.DataFrame([(key[0], *f) for f in found], columns=["recording_id", "unit", "batch_idx", "sample_idx"])
 
     schema = "recording_id string, unit int, batch_idx long, sample_idx long"
-    return stream.select("recording_id", "sample_idx", "channels").groupBy("recording_id").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("recording_id").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def _batch(now: dict, p: Params) -> list[tuple[int, int, int]]:
-    """Take the next full batch out of what is held and move the model on."""
-    b = now["next"]
-    width = len(next(iter(now["held"].values()))) if now["held"] else now["tail"].shape[1]
-    raw = np.stack([now["held"].pop(i, np.zeros(width)) for i in range(b * p.batch_size, (b + 1) * p.batch_size)])
-    tail = now["tail"] if now["tail"] is not None else np.zeros((p.ext_fact - 1, width))
-    long = np.concatenate([tail, raw])
-    x = np.hstack([long[p.ext_fact - 1 - i : len(long) - i] for i in range(p.ext_fact)])
-    now["tail"], now["next"] = long[len(long) - (p.ext_fact - 1) :], b + 1
-    skip = p.ext_fact if b == 0 else 0
-    x = x[skip:]
+def _batch(now: dict, size: int) -> list[tuple[int, int, int]]:
+    """Take the next batch out of what is held and move the model on."""
+    delays, b = now["delays"], now["delays"].next
+    first = b * delays.p.batch_size
+    width = len(next(iter(now["held"].values())))
+    x, skip = delays.batch(np.stack([now["held"].pop(i, np.zeros(width)) for i in range(first, first + size)]))
     if not len(x):
         return []
-    z = x @ now["w"].T
-    if len(x) > 1:
-        now["w"], now["c"] = whiten_step(now["w"], now["c"], np.cov(x.T), p)
-    found = []
-    for u in now["units"]:
-        _, peaks, hit, *after = unit_step(*u[1:], z, p)
-        u[1:] = after
-        found += [(u[0], b, b * p.batch_size + skip + int(i)) for i in peaks[hit]]
-    return found
+    done = now["run"].batch(x)
+    return [(u[0], b, first + skip + int(i)) for u in done["units"] for i in u[2]]

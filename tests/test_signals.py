@@ -4,11 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plain_loops as loops
 from spikeframe.operators import adapt as ad
+from spikeframe.operators import decompose as dc
 from spikeframe.operators import filters as fl
 from spikeframe.operators import frames as fr
 from spikeframe.operators import model as md
 from spikeframe.operators import peaks as pk
+from spikeframe.operators import sweep as sw
 from spikeframe.sources import recordings as rec
 
 RNG = np.random.default_rng(3)
@@ -67,7 +70,7 @@ def test_peaks_of_plateaus_ends_and_ties(spark):
     top = pk.local_maxima(df)
     assert sorted(r.sample_idx for r in top.collect()) == [3, 6, 8]
     assert sorted(r.sample_idx for r in pk.refractory(top, 3).collect()) == [3, 8]  # of equal ones the later
-    assert ad.find_peaks(np.array(v, float), 0, 10, 3).tolist() == [3, 8]
+    assert ad.find_peaks(np.array(v, float), 0, 10, 3).tolist() == loops.peaks(v, 0, 10, 3) == [3, 8]
 
 
 def test_refractory_is_greedy(spark):
@@ -76,33 +79,135 @@ def test_refractory_is_greedy(spark):
         v = rng.integers(0, 6, 200).astype(float)
         df = spark.createDataFrame([("r", 0, 0, i, float(x)) for i, x in enumerate(v)], "recording_id string, unit int, batch_idx long, sample_idx long, value double")
         got = sorted(r.sample_idx for r in pk.refractory(pk.local_maxima(df), 6).collect())
-        assert got == ad.find_peaks(v, -1, 99, 6).tolist()
-
-
-def test_adaptation_is_the_sequential_loop(spark):
-    n, ch, ext = 230, 2, 2
-    x = RNG.normal(size=(n, ch)) ** 3
-    p = ad.Params(batch_size=50, ext_fact=ext, spike_dist=4, sv_learning_rate=0.05)
-    size = ch * ext
-    b = np.ones(size) / 2
-    extended = fr.assign_batches(fr.extend_delays(signal(spark, x), ext), p.batch_size).select("recording_id", "sample_idx", "batch_idx", "x")
-    eye = np.eye(size).ravel().tolist()
-    start = spark.createDataFrame([("r", eye, eye)], "recording_id string, w array<double>, c array<double>")
-    units = spark.createDataFrame([("r", 0, b.tolist(), 0.5, 4.0, 2.25)], "recording_id string, unit int, w array<double>, base_centr double, spikes_centr double, height double")
-    out = ad.decompose_adaptive(extended, start, units, p, size)
-    steps = out["steps"].orderBy("batch_idx").collect()
-    # the loop, one batch after another
-    long = np.vstack([np.zeros((ext - 1, ch)), x])
-    full = np.hstack([long[ext - 1 - i : len(long) - i] for i in range(ext)])
-    w, c, state = np.eye(size), np.eye(size), (b, 0.5, 4.0, 2.25)
-    for k, step in enumerate(steps):
-        rows = np.arange(max(ext, k * 50), min(n, (k + 1) * 50))
-        z = full[rows] @ w.T
-        assert np.allclose(step.ipts, z @ state[0], atol=1e-6)
-        assert np.isclose(step.height, state[3])
-        ipt, at, hit, *state = ad.unit_step(*state, z, p)
-        assert list(step.spikes) == rows[at[hit]].tolist()
-        w, c = ad.whiten_step(w, c, np.cov(full[rows].T), p)
+        assert got == ad.find_peaks(v, -1, 99, 6).tolist() == loops.peaks(v.tolist(), -1, 99, 6)
+
+
+def model_tables(spark, w, c, units, kl=(None, None), names=("r",)):
+    start = spark.createDataFrame([(r, np.ravel(w).tolist(), np.ravel(c).tolist(), *kl) for r in names], "recording_id string, w array<double>, c array<double>, kl_mean double, kl_std double")
+    rows = [(r, u["unit"], list(map(float, u["w"])), u["base"], u["spikes"], u["height"], u["mean"], u["std"]) for r in names for u in units]
+    return start, spark.createDataFrame(rows, "recording_id string, unit int, w array<double>, base_centr double, spikes_centr double, height double, contrast_mean double, contrast_std double")
+
+
+def a_model(k, size, rng):
+    """A whitening of k rows over size entries, its covariance, and three units."""
+    w = np.eye(k, size) + rng.normal(size=(k, size)) / 10
+    units = []
+    for u in range(3):
+        v = rng.normal(size=k)
+        units.append({"unit": u, "w": v / np.linalg.norm(v), "base": 0.5, "spikes": 4.0 + u, "height": 2.25 + u / 2, "mean": 0.9, "std": 0.4 + u})
+    return w, np.eye(k) * 1.1, units
+
+
+def close(a, b):
+    return a is None and b is None or a is not None and b is not None and np.isclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("how", [{}, {"kind": "cube"}, {"adapt_wh": False, "epochs": 3, "sv": 0.2}, {"adapt_sv": False, "adapt_sd": False}])
+@pytest.mark.parametrize("n", [230, 151, 100])
+def test_adaptation_is_the_sequential_loop(spark, monkeypatch, n, how):
+    rng = np.random.default_rng(n)
+    ch, ext, batch = 2, 3, 50
+    x = {r: rng.normal(size=(n, ch)) ** 3 for r in "ab"}
+    w, c, units = a_model(5, ch * ext, rng)
+    names = {"kind": "contrast", "sv": "sv_learning_rate", "wh": "wh_learning_rate", "epochs": "sv_epochs"}
+    p = ad.Params(batch_size=batch, ext_fact=ext, spike_dist=4, **{names.get(k, k): v for k, v in how.items()})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # rows come in pieces that no batch agrees with
+    both = signal(spark, x["a"], "a").unionByName(signal(spark, x["b"], "b")).orderBy(F.rand(2))
+    out = ad.decompose_adaptive(both, *model_tables(spark, w, c, units, (2.0, 0.7), "ab"), p, with_w=True)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    steps = {(r.recording_id, r.batch_idx, r.unit): r for r in out["steps"].collect()}
+    metrics = {(r.recording_id, r.batch_idx): r for r in out["batch_metrics"].collect()}
+    course = {(r.recording_id, r.version): r.w for r in out["model_whitening"].collect()}
+    seen = 0
+    for r in "ab":
+        for want in loops.adapt(x[r], w, c, units, batch=batch, ext=ext, distance=4, kl_calib=(2.0, 0.7), **how):
+            b = want["batch"]
+            assert np.allclose(course[r, b], want["w"].ravel(), atol=1e-9)
+            assert close(metrics[r, b].wh_loss, want["wh_loss"]) and close(metrics[r, b].total_loss, want["total"])
+            for u, unit in want["units"].items():
+                got = steps[r, b, u]
+                assert list(got.samples) == want["rows"] and np.allclose(got.ipts, unit["ipt"], atol=1e-9)
+                assert list(got.spikes) == unit["spikes"] and np.allclose(got.w, unit["w"], atol=1e-9)
+                assert np.isclose(got.height, unit["height"]) and np.isclose(got.base_centr, unit["base"]) and close(got.sv_loss, unit["sv_loss"])
+                seen += len(got.spikes)
+    assert seen > 20 and len(steps) == 3 * len(metrics) == 3 * 2 * -(-n // batch)
+
+
+def test_trials_of_a_sweep_are_runs_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(ad, "TRIALS_PER_GROUP", 2)
+    rng = np.random.default_rng(9)
+    x = {r: rng.normal(size=(205, 2)) ** 3 for r in "ab"}
+    w, c, units = a_model(4, 4, rng)
+    p = ad.Params(batch_size=50, ext_fact=2, spike_dist=4)
+    tables = model_tables(spark, w, c, units, (2.0, 0.7), "ab")
+    trials = sw.trial_grid(spark, {"wh_learning_rate": [0.0, 0.05], "sv_learning_rate": [0.003, 0.3], "cov_alpha": [0.1, 0.6]})
+    both = signal(spark, x["a"], "a").unionByName(signal(spark, x["b"], "b"))
+    for batches in (None, 2):
+        got = {(r.trial_id, r.recording_id): r.loss for r in sw.run_sweep(both, *tables, trials, p, batches).collect()}
+        assert len(got) == 16 and len(set(got.values())) > 8
+        for t in trials.collect():
+            for r in "ab":
+                steps = loops.adapt(x[r][: 50 * batches if batches else None], w, c, units, batch=50, ext=2, distance=4, kl_calib=(2.0, 0.7), wh=t.wh_learning_rate, sv=t.sv_learning_rate, alpha=t.cov_alpha)
+                assert np.isclose(got[t.trial_id, r], loops.loss_of(steps))
+    with pytest.raises(ValueError):
+        ad.adaptive_steps(both, *tables, [(0, p), (1, ad.with_params(p, batch_size=60))])
+
+
+def test_gaps_repeats_and_recordings_without_a_model(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 2)) ** 3
+    w, c, units = a_model(4, 4, rng)
+    p = ad.Params(batch_size=30, ext_fact=2, spike_dist=4)
+    rows = signal(spark, x, "r").where("sample_idx not in (40, 41) and (sample_idx < 60 or sample_idx >= 90)")
+    rows = rows.unionByName(signal(spark, x, "r").where("sample_idx = 7")).unionByName(signal(spark, x, "other"))
+    out = ad.decompose_adaptive(rows, *model_tables(spark, w, c, units, (2.0, 0.7)), p)
+    y = x.copy()
+    y[40:42], y[60:90] = 0, 0
+    want = loops.adapt(y, w, c, units, batch=30, ext=2, distance=4, kl_calib=(2.0, 0.7))
+    got = {(r.batch_idx, r.unit): r.spikes for r in out["steps"].collect()}
+    assert got == {(s["batch"], u): v["spikes"] for s in want for u, v in s["units"].items()}
+    assert ad.decompose_adaptive(rows.limit(0), *model_tables(spark, w, c, units), p)["spikes"].isEmpty()
+
+
+def test_full_whitening_and_fused_models(spark):
+    rng = np.random.default_rng(12)
+    ch, ext, n = 3, 4, 300
+    x = {r: rng.normal(size=(n, ch)) for r in "ab"}
+    w = {r: rng.normal(size=(7, ch * ext)) for r in "ab"}
+    b = {r: rng.normal(size=(2, 7)) for r in "ab"}
+    sig = signal(spark, x["a"], "a").unionByName(signal(spark, x["b"], "b"))
+    matrices = spark.createDataFrame([(r, i, row.tolist()) for r in "ab" for i, row in enumerate(w[r])], "recording_id string, row_idx int, w array<double>")
+    units = spark.createDataFrame([(r, i, row.tolist()) for r in "ab" for i, row in enumerate(b[r])], "recording_id string, unit int, w array<double>")
+    full = {r: loops.extend(x[r], ext) for r in "ab"}
+    z = md.whiten_by(fr.extend_delays(sig, ext), matrices, block=64)
+    for r in z.collect():
+        assert np.allclose(r.z, w[r.recording_id] @ full[r.recording_id][r.sample_idx])
+    by_batch = fr.assign_batches(fr.extend_delays(sig, ext), 100)
+    changing = matrices.withColumn("version", F.explode(F.array(*[F.lit(v) for v in range(3)]))).withColumn("w", F.transform("w", lambda v: v * (F.col("version") + 1)))
+    for r in md.whiten_by(by_batch, changing).collect():
+        assert np.allclose(r.z, (r.sample_idx // 100 + 1) * (w[r.recording_id] @ full[r.recording_id][r.sample_idx]))
+    rows = dc.fuse(units, matrices)
+    for ipts in (dc.frozen_ipts(sig, rows, ch, ext, 100), dc.frozen_ipts_wide(sig, rows, ch, ext, 100, block=64)):
+        got = ipts.collect()
+        assert len(got) == 2 * 2 * (n - ext)
+        for r in got:
+            assert np.isclose(r.ipt, b[r.recording_id][r.unit] @ w[r.recording_id] @ full[r.recording_id][r.sample_idx]) and r.batch_idx == r.sample_idx // 100
+
+
+@pytest.mark.parametrize("size", [3, 9])
+def test_covariances_and_their_course(spark, size):
+    x = RNG.normal(size=(250, size)) @ RNG.normal(size=(size, size))
+    df = fr.assign_batches(signal(spark, x), 50)
+    cov = md.batch_covariance(df, "channels", size)
+    start = md.batch_covariance(df, "channels", size, ("recording_id",))
+    course = md.ewma_covariance(cov, start, 0.2)
+    got = {(r.batch_idx, r.i, r.j): r.cov for r in course.collect()}
+    kl = {r.batch_idx: r.kl for r in md.kl_to_identity(course, size).collect()}
+    c = np.cov(x.T)
+    for b in range(5):
+        c = 0.8 * c + 0.2 * np.cov(x[50 * b : 50 * (b + 1)].T)
+        assert all(np.isclose(got[b, i, j], c[i, j]) for i in range(size) for j in range(i, size))
+        assert np.isclose(kl[b], 0.5 * (np.trace(c) - size - np.linalg.slogdet(c)[1]))
 
 
 def test_params_and_layouts(spark):
@@ -140,12 +245,20 @@ def test_model_source_and_start(spark, tmp_path):
     assert units[1].w == [2.0, 5.0] and units[2].base_centr == 0.7 and units[0].height == 2.5
     assert np.allclose(array(tables["signal"]), emg.T)
     assert sorted((r.unit, r.sample_idx) for r in tables["spikes"].collect()) == [(0, 0), (0, 10), (0, 29), (1, 4)]
-    z = tables["signal"].withColumn("z", F.col("channels"))
-    model, whole = md.build_model(tables, z, 8, 0.1, 2)
+    model, whole = md.build_model(tables, 1, 8, 0.1, 2)
     got = {r.unit: r for r in model.collect()}
     want = np.log(np.cosh(ipts[0][[0, 10, 29]]))
     assert np.isclose(got[0].contrast_mean, want.mean()) and np.isclose(got[0].contrast_std, want.std(ddof=1))
-    assert got[1].contrast_std is None and whole.first().kl_mean is not None
+    assert got[1].contrast_std is None
+    # five batches of eight without the first and the last, from the covariance of the whole
+    whole, c, kl = whole.first(), np.cov(emg), []
+    for b in range(5):
+        c = 0.9 * c + 0.1 * np.cov(emg[:, 8 * b : 8 * b + 8])
+        kl.append(0.5 * (np.trace(c) - 2 - np.linalg.slogdet(c)[1]))
+    assert np.allclose(whole.w, np.eye(2).ravel()) and np.allclose(whole.c, np.cov(emg).ravel())
+    assert np.isclose(whole.kl_mean, np.mean(kl[1:-1])) and np.isclose(whole.kl_std, np.std(kl[1:-1], ddof=1))
+    steps = ad.decompose_adaptive(tables["signal"], spark.createDataFrame([whole]), model.fillna(1.0), ad.Params(batch_size=8, ext_fact=1))
+    assert steps["steps"].count() == 15 and steps["batch_metrics"].where("wh_loss is null").isEmpty()
 
 
 def test_outputs_and_metrics(spark, tmp_path):

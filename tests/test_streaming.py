@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import plain_loops as loops
 from spikeframe.operators import adapt as ad
 from spikeframe.operators import filters as fl
 from spikeframe.streaming import online
@@ -13,6 +15,7 @@ SCHEMA = "recording_id string, sample_idx long, channels array<double>"
 
 def feed(spark, tmp_path, x, cuts):
     path = tmp_path / f"in{len(cuts)}"
+    tmp_path.mkdir(exist_ok=True)
     for a, b in zip([0, *cuts], [*cuts, len(x)], strict=True):
         rows = [("r", i, x[i].tolist()) for i in range(a, b)]
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(path))
@@ -35,20 +38,20 @@ def test_filter_stream(spark, tmp_path, cuts):
     assert np.allclose(y, fl.run(system, x, np.zeros((2, 2)))[0])
 
 
+@pytest.mark.parametrize("n", [150, 155, 181])
 @pytest.mark.parametrize("cuts", [[], [25, 61], [10, 20, 110]])
-def test_decompose_stream(spark, tmp_path, cuts):
-    x = np.random.default_rng(8).normal(size=(150, 2)) ** 3
+def test_decompose_stream(spark, tmp_path, cuts, n):
+    x = np.random.default_rng(8).normal(size=(n, 2)) ** 3
     p = ad.Params(batch_size=30, ext_fact=2, spike_dist=3)
-    units = [(0, np.ones(4) / 2, 0.5, 4.0, 2.25)]
-    model = {"r": {"w": np.eye(4), "c": np.eye(4), "units": units}}
-    got = collect(online.decompose_stream(feed(spark, tmp_path, x, cuts), model, p), f"d{len(cuts)}", tmp_path)
-    found = sorted(r.sample_idx for r in got.collect())
-    from spikeframe.operators import frames as fr
-
-    rows = spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
-    ext = fr.assign_batches(fr.extend_delays(rows, 2), 30).select("recording_id", "sample_idx", "batch_idx", "x")
+    unit = {"unit": 0, "w": np.ones(4) / 2, "base": 0.5, "spikes": 4.0, "height": 2.25, "mean": 1.0, "std": 1.0}
     eye = np.eye(4).ravel().tolist()
     start = spark.createDataFrame([("r", eye, eye)], "recording_id string, w array<double>, c array<double>")
-    table = spark.createDataFrame([("r", 0, [0.5] * 4, 0.5, 4.0, 2.25)], "recording_id string, unit int, w array<double>, base_centr double, spikes_centr double, height double")
-    want = sorted(r.sample_idx for r in ad.decompose_adaptive(ext, start, table, p, 4)["spikes"].collect())
-    assert found == want and found
+    units = spark.createDataFrame([("r", 0, [0.5] * 4, 0.5, 4.0, 2.25)], "recording_id string, unit int, w array<double>, base_centr double, spikes_centr double, height double")
+    stream = feed(spark, tmp_path, x, cuts).withColumn("is_last", F.col("sample_idx") == n - 1)
+    got = collect(online.decompose_stream(stream, start, units, p), f"d{len(cuts)}x{n}", tmp_path)
+    want = [t for s in loops.adapt(x, np.eye(4), np.eye(4), [unit], batch=30, ext=2, distance=3) for t in s["units"][0]["spikes"]]
+    assert sorted(r.sample_idx for r in got.collect()) == want and max(want) >= n - n % 30 - 30
+    if n == 155:
+        # without the mark of the end the last, shorter batch waits
+        open_end = collect(online.decompose_stream(feed(spark, tmp_path / "open", x, cuts), start, units, p), f"o{len(cuts)}", tmp_path)
+        assert sorted(r.sample_idx for r in open_end.collect()) == [t for t in want if t < 150]
