@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +47,30 @@ def isi_cov(spikes: DataFrame, gap: float = 0.25, min_isi: float | None = None,
     return used.groupBy(*keys).agg((100 * F.stddev_pop("isi") / F.nullif(F.avg("isi"), F.lit(0.0))).alias("isi_cov"))
 
 
-def inst_discharge_rate(spikes: DataFrame, lengths: DataFrame, fs: int, keys: tuple[str, ...] = UNIT) -> DataFrame:
+def inst_discharge_rate(spikes: DataFrame, lengths: DataFrame, fs: int, keys: tuple[str, ...] = UNIT, block: int = 1 << 14) -> DataFrame:
     """(keys, sample_idx, rate) where not zero: twice the spikes smoothed by a window of one second.
 
-    lengths (recording_id, n_samples) crops the ends. Each spike spreads its window's weights.
+    lengths (recording_id, n_samples) crops the ends. A spike goes to the blocks of samples that its
+    window reaches; a block adds up its spikes' windows.
     """
     size = round(fs)
-    middle = (size - 1) // 2
-    weights = F.from_json(F.lit(str(hann(size))), "array<double>")
-    near = spikes.join(lengths, "recording_id")
-    spread = near.select(*keys, "n_samples", F.col("sample_idx").alias("k"), F.posexplode(weights).alias("pos", "weight"))
-    at = spread.withColumn("sample_idx", F.col("k") + F.col("pos") - middle).where((F.col("sample_idx") >= 0) & (F.col("sample_idx") < F.col("n_samples")))
-    return at.groupBy(*keys, "sample_idx").agg((2 * F.sum("weight")).alias("rate")).where(F.col("rate") != 0)
+    middle, weights = (size - 1) // 2, np.array(hann(size))
+    near = spikes.join(lengths, "recording_id").withColumn("__from", F.col("sample_idx") - middle)
+    reach = F.sequence(F.floor(F.greatest("__from", F.lit(0)) / block), F.floor(F.least(F.col("__from") + size - 1, F.col("n_samples") - 1) / block))
+    near = near.where((F.col("__from") < F.col("n_samples")) & (F.col("__from") + size > 0)).select(*keys, "n_samples", "__from", F.explode(reach).alias("__block"))
+
+    def smooth(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[-1]) * block
+        n = min(block, int(pdf["n_samples"].iat[0]) - first)
+        total = np.zeros(n)
+        for at in pdf["__from"].to_numpy() - first:
+            a, b = max(at, 0), min(at + size, n)
+            total[a:b] += weights[a - at : b - at]
+        on = np.flatnonzero(total)
+        return pd.DataFrame({**{k: [v] * len(on) for k, v in zip(keys, key, strict=False)}, "sample_idx": first + on, "rate": 2 * total[on]})
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in near.select(*keys).dtypes) + ", sample_idx long, rate double"
+    return near.groupBy(*keys, "__block").applyInPandas(smooth, schema)
 
 
 def _levels(spikes: DataFrame, ipts: DataFrame, ext_fact: int) -> tuple[DataFrame, DataFrame]:

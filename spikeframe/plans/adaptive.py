@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import adapt as ad
+from ..operators import decompose as dc
 from ..operators import filters as fl
 from ..operators import frames as fr
 from ..operators import model as md
@@ -179,3 +180,22 @@ def sweep_halving(spark, d):
     # no recording of these tables has more than 8 batches: the last rung sees all of them
     out = sw.successive_halving(sw.trial_grid(spark, SPACE), evaluate, start=2, stop=8)
     return out.select("trial_id", "rung", "budget", r6("loss").alias("loss"), "kept")
+
+
+WIDE = ad.Params(batch_size=100, ext_fact=10, spike_dist=DIST, spike_height_mult=MULT)
+
+
+@query()
+def adaptive_wide(spark, d):
+    """The adaptive decomposition of the 64-channel frames: 640 entries in an extended sample."""
+    size, sig = 64 * WIDE.ext_fact, materialise(fx.frames(spark, d), "frames")
+    tiled = md.scales(sig).select("recording_id", F.flatten(F.array_repeat("scale", WIDE.ext_fact)).alias("scale"))
+    row = lambda i, value: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(k == i, value).otherwise(0.0))
+    diagonal = tiled.select("recording_id", F.posexplode("scale").alias("row_idx", "s")).select("recording_id", "row_idx", row(F.col("row_idx"), F.col("s")).alias("w"))
+    eye = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: row(i, F.lit(1.0))))
+    start = tiled.select("recording_id", F.flatten(F.transform("scale", lambda s, i: row(i, s))).alias("w"), eye.alias("c"))
+    vectors = F.array(*[F.struct(F.lit(u).alias("unit"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (F.pmod(7 * k + 3 * u, F.lit(11)) - 5) / 80.0).alias("w")) for u in range(3)])
+    units = sig.select("recording_id").distinct().select("recording_id", F.inline(vectors))
+    ipts = materialise(dc.frozen_ipts_wide(sig, dc.fuse(units, diagonal), 64, WIDE.ext_fact, WIDE.batch_size), "ipts")
+    units = md.init_heights(units.join(md.centroids(ipts), ["recording_id", "unit"]))
+    return ad.decompose_adaptive(sig, start, units, WIDE)["spikes"].select("recording_id", "unit", "batch_idx", "sample_idx")

@@ -59,6 +59,20 @@ def outputs_roundtrip(spark, d):
     return a.unionByName(back["ipts"].select(*cols, F.lit("ipts").alias("kind"), r6("ipt").alias("value")))
 
 
+@query(f"""WITH {SIG} SELECT recording_id, sample_idx, round(sample_idx / 100.0::DOUBLE, 6) AS t, round(c0, 6) AS angle, round(c1, 6) AS force, 100 AS fs, sample_idx % 50 = 0 AS fires FROM sig""")
+def dataset_roundtrip(spark, d):
+    sig = fx.signal(spark, d).withColumn("source", F.lit("run"))
+    path = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    profile = sig.select("recording_id", "sample_idx", (F.col("sample_idx") / 100.0).alias("t"), F.get("channels", F.lit(0)).alias("angle"), F.get("channels", F.lit(1)).alias("force"))
+    truth = sig.where("sample_idx % 50 = 0").select("recording_id", F.lit("gt").alias("source"), F.lit(0).alias("unit"), "sample_idx")
+    about = sig.select("recording_id", F.lit(100).alias("fs"), F.lit(EXT).alias("ext_fact")).distinct()
+    rec.write_dataset({"signal": sig, "profile": profile, "spikes": truth, "recordings": about}, path)
+    back = rec.read_dataset(spark, path)
+    rows = back["signal"].select("recording_id", "sample_idx").join(back["profile"], ["recording_id", "sample_idx"]).join(back["recordings"], "recording_id")
+    rows = rows.join(back["spikes"].select("recording_id", "sample_idx", F.lit(True).alias("hit")), ["recording_id", "sample_idx"], "left")
+    return rows.select("recording_id", "sample_idx", *[r6(c).alias(c) for c in ("t", "angle", "force")], "fs", F.coalesce("hit", F.lit(False)).alias("fires"))
+
+
 _PRESETS = ", ".join(f"('{n}', {w!r}::DOUBLE, {s!r}::DOUBLE, {a})" for n, w, s, a in rec.PRESETS)
 
 

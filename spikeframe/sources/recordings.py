@@ -20,6 +20,51 @@ def read_recordings(spark: SparkSession, path: str, layout: str = "array") -> Da
     return {"array": lambda d: d, "wide": from_wide, "long": from_long}[layout](df)
 
 
+#: Tables of a data set beside the signal, with the columns that each must have.
+TABLES = {
+    "recordings": ("recording_id", "fs"),
+    "profile": ("recording_id", "sample_idx", "t"),
+    "spikes": ("recording_id", "source", "unit", "sample_idx"),
+}
+
+
+def write_dataset(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """Write signal, recordings, profile and spikes (those given) where read_dataset finds them."""
+    unknown = set(tables) - {"signal", *TABLES}
+    if unknown:
+        raise ValueError(f"unknown tables {', '.join(sorted(unknown))}")
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(f"{path}/{name}")
+
+
+def read_dataset(spark: SparkSession, path: str, layout: str = "array") -> dict[str, DataFrame]:
+    """Tables of a folder of recordings: the signal (in any layout), and of the others those that are there.
+
+    recordings holds the metadata (fs, ext_fact, channel map, bad channels, further arrays by name), profile
+    the tasks' courses (t, angle, force), spikes the ground truth (source "gt").
+    """
+    out = {"signal": read_recordings(spark, f"{path}/signal", layout)}
+    for name, columns in TABLES.items():
+        df = _there(spark, f"{path}/{name}")
+        if df is None:
+            continue
+        missing = [c for c in columns if c not in df.columns]
+        if missing:
+            raise ValueError(f"table {name} lacks {', '.join(missing)}")
+        out[name] = df
+    return out
+
+
+def _there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
 def from_wide(df: DataFrame, prefix: str = "ch") -> DataFrame:
     names = sorted((c for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))
     rest = [c for c in df.columns if c not in names]
@@ -107,13 +152,27 @@ COMMON = {
 }
 
 
-def load_params(spark: SparkSession, overrides: dict | None = None) -> DataFrame:
-    """One row for each preset, overrides applied to known names only, derived columns last."""
+#: Names that settings files use for parameters here.
+ALIASES = {"contrast_fun": "contrast"}
+
+
+def load_params(spark: SparkSession, overrides: dict | None = None, path: str | None = None) -> DataFrame:
+    """One row for each preset, or the one of a YAML file of defaults; overrides applied to known names only, derived columns last."""
     rows = [{"preset": n, "wh_learning_rate": w, "sv_learning_rate": s, "adapt_wh": a, "adapt_sv": a, "adapt_sd": a} | COMMON for n, w, s, a in PRESETS]
     known = set(rows[0]) - {"preset"}
-    fit = {k: v for k, v in (overrides or {}).items() if k in known}
-    table = spark.createDataFrame([r | fit for r in rows])
-    return derive(table)
+    fitting = lambda values: {ALIASES.get(k, k): v for k, v in (values or {}).items() if ALIASES.get(k, k) in known}
+    if path is not None:
+        rows = [rows[0] | {"preset": path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]} | fitting(_yaml(spark, path))]
+    plain = lambda row: {k: type(rows[0][k])(v) for k, v in row.items()}
+    return derive(spark.createDataFrame([plain(r | fitting(overrides)) for r in rows]))
+
+
+def _yaml(spark: SparkSession, path: str) -> dict:
+    try:
+        import yaml
+    except ImportError as error:
+        raise ValueError("reading a settings file takes PyYAML") from error
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first().value) or {}
 
 
 def derive(params: DataFrame) -> DataFrame:
@@ -133,19 +192,12 @@ def read_outputs(spark: SparkSession, path: str, names: list[str]) -> dict[str,
 
 def append_params(df: DataFrame, path: str) -> None:
     """Append snapshots (recording_id, version, ...); those that the table has already are left out."""
-    spark = df.sparkSession
-    try:
-        have = spark.read.parquet(path).select("recording_id", "version").distinct()
-    except Exception as error:  # the first snapshot makes the table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        have = None
-    fresh = df if have is None else df.join(have, ["recording_id", "version"], "left_anti")
+    have = _there(df.sparkSession, path)
+    fresh = df if have is None else df.join(have.select("recording_id", "version").distinct(), ["recording_id", "version"], "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
-def log_metrics(tables: dict[str, DataFrame], path: str) -> None:
-    """Append metric rows and run summaries, a table for each kind."""
+def log_metrics(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
+    """Write metric rows and run summaries of a run, a table for each kind; a run written again replaces its rows."""
     for name, df in tables.items():
-        df.write.mode("append").parquet(f"{path}/{name}")
-
+        df.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")

@@ -225,6 +225,26 @@ def test_params_and_layouts(spark):
     assert rec.from_wide(wide).first().channels == [1.0, 2.0]
 
 
+def test_params_of_a_file(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "mine.yml").write_text("fs: 1000\ncontrast_fun: cube\nwh_learning_rate: 1.0e-3\nspike_height_mult: 4.0\ndevice: null\nother: 3\n")
+    row = rec.load_params(spark, {"cov_alpha": 0.5}, str(tmp_path / "mine.yml")).first()
+    assert (row.preset, row.fs, row.contrast, row.wh_learning_rate, row.spike_height_mult, row.cov_alpha, row.batch_size) == ("mine", 1000, "cube", 1e-3, 4, 0.5, 100)
+
+
+def test_datasets(spark, tmp_path):
+    sig = spark.createDataFrame([("r", 0, 1.0, 2.0)], "recording_id string, sample_idx long, ch0 double, ch1 double")
+    about = spark.createDataFrame([("r", 2048)], "recording_id string, fs int")
+    rec.write_dataset({"signal": sig, "recordings": about}, str(tmp_path / "d"))
+    back = rec.read_dataset(spark, str(tmp_path / "d"), "wide")
+    assert set(back) == {"signal", "recordings"} and back["signal"].first().channels == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        rec.write_dataset({"other": sig}, str(tmp_path / "e"))
+    about.drop("fs").write.parquet(str(tmp_path / "d/profile"))
+    with pytest.raises(ValueError, match="lacks sample_idx"):
+        rec.read_dataset(spark, str(tmp_path / "d"), "wide")
+
+
 def test_one_row_batch_and_flat_channel(spark):
     df = fr.assign_batches(signal(spark, np.ones((3, 2))), 2)
     cov = md.batch_covariance(df, "channels", 2)
@@ -268,8 +288,8 @@ def test_outputs_and_metrics(spark, tmp_path):
     assert {(r.recording_id, r.unit, r.sample_idx) for r in back.collect()} == {("1", 0, 5), ("2", 1, 7)}
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         rec.write_outputs({"spikes": spikes}, str(tmp_path / "out"))
-    for _ in range(2):
-        rec.log_metrics({"run_summary": spikes}, str(tmp_path / "metrics"))
+    for run in ("a", "b", "b"):
+        rec.log_metrics({"run_summary": spikes}, str(tmp_path / "metrics"), run)
     assert spark.read.parquet(str(tmp_path / "metrics/run_summary")).count() == 4
     snapshots = spikes.select("recording_id", F.col("unit").alias("version"))
     for _ in range(2):

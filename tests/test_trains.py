@@ -56,6 +56,59 @@ def test_lag_and_assignment(spark):
     assert [(r.unit_ref, r.unit_test, r.roa) for r in within if r.roa == 1] == [(0, 1, 1.0)]
 
 
+def within_by_hand(units, tol, tol_train):
+    """Pairs of one set by their best correlation at any lag; a lag beyond tol_train counts as 0."""
+    table = {}
+    names = sorted(units)
+    for i, u in enumerate(names):
+        for v in names[i + 1 :]:
+            corr = {}
+            for a in units[u]:
+                for b in units[v]:
+                    for s in range(-(tol - 1), tol):
+                        corr[a - b + s] = corr.get(a - b + s, 0) + tol - abs(s)
+            if corr:
+                best = max(corr.values())
+                lag = min(k for k, n in corr.items() if n == best)
+                table[u, v] = (best, 0 if abs(lag) > tol_train else lag)
+    out = {}
+    while table:
+        u, v = min(table, key=lambda k: (-table[k][0], k))
+        lag = table[u, v][1]
+        moved = [b + lag for b in units[v]]
+        n = len(greedy(units[u], moved, tol))
+        out[u, v] = (lag, n, n / (len(units[u]) + len(moved) - n))
+        table = {k: x for k, x in table.items() if not set(k) & {u, v}}
+    return out
+
+
+def test_agreement_within_a_set_at_any_lag(spark):
+    rng = np.random.default_rng(17)
+    base = sorted(set(rng.integers(0, 3000, 60).tolist()))
+    other = sorted(set(rng.integers(0, 3000, 50).tolist()))
+    units = {0: base, 1: [t + 500 for t in base], 2: other, 3: [t - 6 for t in other], 4: sorted(set(rng.integers(0, 3000, 40).tolist()))}
+    got = {(r.unit_ref, r.unit_test): (r.lag, r.n_common, r.roa) for r in ag.agreement_within(spikes(spark, units), 2, 12).collect()}
+    want = within_by_hand(units, 2, 12)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert got[0, 1][0] == 0 and got[2, 3][0] == 6 and got[2, 3][2] == 1
+
+
+def test_inst_rate_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(3)
+    n, fs = 700, 50
+    trains = {u: sorted(set(rng.integers(0, n, 40).tolist()) | {0, n - 1}) for u in range(2)}
+    df = spikes(spark, trains)
+    lengths = spark.createDataFrame([("r", n)], "recording_id string, n_samples long")
+    window = np.hanning(fs)
+    for block in (64, 1 << 14):
+        got = {(r.unit, r.sample_idx): r.rate for r in tr.inst_discharge_rate(df, lengths, fs, ("recording_id", "unit"), block).collect()}
+        for u, ts in trains.items():
+            train = np.zeros(n)
+            train[ts] = 1
+            want = 2 * np.convolve(train, window, "full")[(fs - 1) // 2 :][:n]
+            assert all(np.isclose(got.get((u, i), 0.0), want[i], atol=1e-12) for i in range(n))
+
+
 def test_rates(spark):
     rows = [("r", "s", 0, t) for t in (0.0, 0.1, 0.2, 5.0, 5.1)] + [("r", "s", 1, 3.0)] + [("r", "s", 2, t) for t in (0.0, 9.0)]
     df = spark.createDataFrame(rows, "recording_id string, source string, unit int, t double")
