@@ -174,7 +174,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def components(rows):
+def components(rows, percent=85):
     up = {i: i for i, _ in rows}
 
     def root(i):
@@ -185,15 +185,17 @@ def components(rows):
     sets = [(i, shingles(t)) for i, t in rows]
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     return {i: root(i) for i, _ in rows}, dict(sets)
 
 
-@pytest.mark.parametrize("block", [500, 10])
-def test_near_components_are_those_of_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,meeting", [(80, 250), (3, 4), (1, 1)])
+def test_near_components_are_those_of_brute_force(spark, monkeypatch, block, meeting):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "MEETING", meeting)
+    monkeypatch.setattr(near_dedup, "VISITORS", 2)
     rng = random.Random(4)
     rows = []
     for _ in range(12):
@@ -234,6 +236,37 @@ def test_near_components_of_repeated_and_null_ids(spark):
     assert set(got.values()) == {1}
 
 
+def test_a_large_family_and_its_likes(spark, monkeypatch):
+    """Hundreds of near copies, a second family that shares most of their words, chains, and many null ids."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "MEETING", 30)
+    rng = random.Random(21)
+    base = words(rng, 200, 10**6).split()
+    other = base[:150] + words(rng, 50, 10**6).split()
+    rows = []
+    for k in range(400):
+        copy = list(base if k % 4 else other)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"n{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(copy)))
+    chain = words(rng, 150, 10**6).split()
+    for k in range(60):
+        rows.append((1000 + k, " ".join(chain)))
+        chain = chain[2:] + [f"c{k}", f"d{k}"]
+    want, _ = components(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) < 300
+
+
+def test_many_null_ids(spark):
+    texts = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *[F.hash("id", F.lit(k)) for k in range(9)]).alias("text"))
+    twins = spark.range(50).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the very same text in many rows here").alias("text"))
+    got = near_dedup.near_components(texts.unionByName(twins))
+    assert got.count() == 100_050 and got.where("component_id is not null").isEmpty()
+    left = near_dedup.drop_near_copies(twins.unionByName(spark.createDataFrame([(4, "the very same text in many rows here"), (None, "x")], "doc_id long, text string")))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "x"), (4, "the very same text in many rows here")]
+
+
 def test_signatures_estimate_resemblance():
     rng = random.Random(6)
     a = words(rng, 600, 10**6).split()
