@@ -87,7 +87,7 @@ def telling(counts: DataFrame, rows0: int, rows1: int) -> DataFrame:
     return counts.where((F.col("n0") + F.col("n1") >= MIN_ROWS) & (apart >= MIN_Z))
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, ratio: np.ndarray, rounds: int = 150, penalty: float = 2e-3) -> Model:
+def regress(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, ratio: np.ndarray, rounds: int = 400, penalty: float = 2e-3) -> Model:
     """Logistic regression on the n-grams of each row, scaled by ratio; share: what each row stands for."""
     prior = (share[y > 0].sum() + 0.5) / (share.sum() + 1)
     flat = np.concatenate(rows).astype(np.int64)

@@ -91,6 +91,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == sum(r.predicted == 0 for r in got.values())
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="no test tables")
+def test_toxicity_of_the_documents_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.toxicity_report(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in got if r.toxic == 1], [r for r in got if r.toxic == 0]
+    assert len(toxic) > 50 and len(clean) > 500
+    assert np.mean([r.predicted for r in toxic]) >= 0.75 and np.mean([r.predicted for r in clean]) <= 0.01
+    ranked = sorted(got, key=lambda r: r.score)
+    below = sum(sum(c.toxic == 0 for c in ranked[:k]) for k, r in enumerate(ranked) if r.toxic == 1)
+    assert below / (len(toxic) * len(clean)) >= 0.97
+
+
+def test_training_counts_and_ratios_are_those_of_brute_force(spark, monkeypatch):
+    rows = toxic_rows(300, 9)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "regress", lambda rows, y, share, ratio: seen.update(rows=rows, y=y, ratio=ratio))
+    toxicity.train(docs, labels)
+    stamp = np.zeros(1 << toxicity.BITS, dtype=np.int64)
+    used = [(sorted(toxicity.features(t, stamp).tolist()), b) for i, t, b in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts, sizes = [{}, {}], [sum(b == c for _, b in used) for c in (0, 1)]
+    for slots, b in used:
+        for s in slots:
+            counts[b][s] = counts[b].get(s, 0) + 1
+    ratio = {}
+    for s in set(counts[0]) | set(counts[1]):
+        n0, n1 = counts[0].get(s, 0), counts[1].get(s, 0)
+        share = (n0 + n1) / sum(sizes)
+        error = max(share * (1 - share), 1e-9) ** 0.5 * (1 / sizes[0] + 1 / sizes[1]) ** 0.5
+        if n0 + n1 >= toxicity.MIN_ROWS and abs(n1 / sizes[1] - n0 / sizes[0]) / error >= toxicity.MIN_Z:
+            whole = [sum(c.values()) + (1 << toxicity.BITS) for c in counts]
+            ratio[s] = np.log((n1 + 1) / whole[1]) - np.log((n0 + 1) / whole[0])
+    assert {s: float(seen["ratio"][s]) for s in np.flatnonzero(seen["ratio"])} == pytest.approx(ratio, rel=1e-5) and ratio
+    assert sorted((int(b), r.tolist()) for r, b in zip(seen["rows"], seen["y"])) == sorted((b, [s for s in slots if s in ratio]) for slots, b in used)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
