@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
 A text is cut into units that no piece crosses (a space belongs to what follows
-it). Units that a task has not met yet are grouped by length, and all units of a
-group advance together: at each end position the hashes of the substrings that end
+it; long units are cut further between characters that no piece holds side by side). Units that a
+task has not met yet are grouped by length, and all units of a
+group advance together (where only a few share a length, one after another by the same search): at each end position the hashes of the substrings that end
 there probe the sorted keys of the pieces, and the best candidate of each unit is
 kept as its backpointer. For unigram models the best is the largest sum of scores.
 For BPE models a candidate must fit the piece before it, that is, merging the two
@@ -13,6 +14,7 @@ everywhere, and it is the one that merging finds.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Units that a worker remembers, and cells of one group that advance at once.
-REMEMBERED, GROUP_CELLS = 500_000, 1 << 21
+#: Units that a worker remembers, their longest length, and cells of one group that advance at once.
+REMEMBERED, LONGEST_REMEMBERED, GROUP_CELLS = 500_000, 64, 1 << 21
+#: Units of one length that go one after another, and characters of text that are encoded together.
+FEW, CHUNK_CHARS = 4, 4 << 20
 #: Slots of the table of key bits that is looked at before the keys, and of the table of pairs of pieces.
 BITS_SEEN, BITS_PAIRS = 22, 20
 UNIGRAM, BPE = 1, 2
@@ -66,6 +70,9 @@ class Codec:
     model: Pieces
     memory: dict = field(default_factory=dict)
     blanks: dict = field(default_factory=dict)
+    #: Answers of _fit_one, and units that are forgotten after their texts.
+    fitting: dict = field(default_factory=dict)
+    passing: list = field(default_factory=list)
 
     def __post_init__(self):
         m = self.model
@@ -99,6 +106,8 @@ class Codec:
             self._split()
             self.pair_key = np.full(1 << BITS_PAIRS, -1, dtype=np.int64)
             self.pair_fits = np.zeros(1 << BITS_PAIRS, dtype=bool)
+        self.usable = {t: r for r, t in enumerate(self.text) if m.kind != BPE or self.made[r]}
+        self.lowest = self.score.min() - 10
         #: Neighbours that some piece holds; between any others no piece goes on.
         self.inside = {t[i : i + 2] for t in self.text for i in range(len(t) - 1)}
         self.decoded = [self._plain(i) for i in range(len(m.pieces))]
@@ -133,9 +142,9 @@ class Codec:
             parts = self._merge(self.text[r], r)
             if len(parts) == 2:
                 self.left[r], self.right[r] = parts
-        made = (self.left != np.arange(len(self.text))) | (self.length == 1)
+        self.made = (self.left != np.arange(len(self.text))) | (self.length == 1)
         # a piece that merging never makes is no candidate
-        self.key_rank = np.where(made[self.key_rank], self.key_rank, -1)
+        self.key_rank = np.where(self.made[self.key_rank], self.key_rank, -1)
 
     def _merge(self, text: str, below: int) -> list[int]:
         """Ranks after all merges of ranks less than ``below``, plainly; only for pieces."""
@@ -201,26 +210,25 @@ class Codec:
         best = np.full((size + 1, rows), -np.inf)
         best[0] = 0
         for j in range(1, size + 1):
-            for n in range(min(self.longest, j), 0, -1):
+            # all substrings that end here, the longest first
+            lengths = np.arange(min(self.longest, j), 0, -1)
+            hashes = prefix[j] - prefix[j - lengths] * self.power[lengths, None]
+            found = self.probe(hashes.ravel(), np.repeat(lengths, rows)).reshape(len(lengths), rows)
+            can = (found >= 0) & (best[j - lengths] > -np.inf)
+            can[-1] |= best[j - 1] > -np.inf
+            for k in np.flatnonzero(can.any(axis=1)).tolist():
+                n = int(lengths[k])
                 i = j - n
-                found = self.probe(prefix[j] - prefix[i] * self.power[n], n)
-                can = best[i] > -np.inf
-                if n > 1:
-                    can &= found >= 0
                 if self.model.kind == BPE:
-                    can &= best[j] == -np.inf
-                    at = np.flatnonzero(can)
-                    if not len(at):
-                        continue
-                    ids = found[at]
-                    if i:
-                        at = at[self.fits(last[i, at], ids)]
+                    at = np.flatnonzero(can[k] & (best[j] == -np.inf))
+                    if i and len(at):
+                        at = at[self.fits(last[i, at], found[k, at])]
                     best[j, at] = 0
                 else:
-                    value = best[i] + np.where(found >= 0, self.score[found], self.score.min() - 10)
-                    at = np.flatnonzero(can & (value > best[j]))
+                    value = best[i] + np.where(found[k] >= 0, self.score[found[k]], self.lowest)
+                    at = np.flatnonzero(can[k] & (value > best[j]))
                     best[j, at] = value[at]
-                last[j, at], step[j, at] = found[at], n
+                last[j, at], step[j, at] = found[k, at], n
         # all units walk back together; each leaves its pieces from the last to the first
         rank, count = np.full((rows, size), -2, dtype=np.int64), np.zeros(rows, dtype=np.int64)
         at, live = np.full(rows, size), np.arange(rows)
@@ -234,52 +242,105 @@ class Codec:
         ends = np.cumsum(count).tolist()
         return [flat[e - n : e] for e, n in zip(ends, count.tolist(), strict=True)]
 
+    def _fit_one(self, a: int, b: int) -> bool:
+        pair = (a, b)
+        if pair not in self.fitting:
+            if len(self.fitting) > REMEMBERED:
+                self.fitting.clear()
+            self.fitting[pair] = bool(self._fits(np.array([a]), np.array([b]))[0])
+        return self.fitting[pair]
+
+    def _walk(self, unit: str) -> list[int]:
+        """What _viterbi gives for one unit."""
+        bpe, usable, low = self.model.kind == BPE, self.usable, self.lowest
+        last, step, best = [-1] * (len(unit) + 1), [0] * (len(unit) + 1), [-np.inf] * (len(unit) + 1)
+        best[0] = 0.0
+        for j in range(1, len(unit) + 1):
+            for n in range(min(self.longest, j), 0, -1):
+                i = j - n
+                if best[i] == -np.inf:
+                    continue
+                r = usable.get(unit[i:j], -1)
+                if n > 1 and r < 0:
+                    continue
+                if bpe:
+                    if i and r >= 0 and last[i] >= 0 and not self._fit_one(last[i], r):
+                        continue
+                    best[j], last[j], step[j] = 0.0, r, n
+                    break
+                value = best[i] + (self.score[r] if r >= 0 else low)
+                if value > best[j]:
+                    best[j], last[j], step[j] = value, r, n
+        ranks, at = [], len(unit)
+        while at:
+            ranks.append(last[at])
+            at -= step[at]
+        return ranks[::-1]
+
+    def _parts(self, unit: str) -> list[str]:
+        """A unit cut where no piece goes on: a long one everywhere, others before a last character such as a full stop."""
+        inside = self.inside
+        if len(unit) > LONGEST_REMEMBERED:
+            cuts = [0, *(i for i in range(1 + (unit[0] == SPACE), len(unit)) if unit[i - 1 : i + 1] not in inside), len(unit)]
+            return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
+        if len(unit) > 2 and unit[-2:] not in inside and unit[-2] != SPACE:
+            return [unit[:-1], unit[-1]]
+        return [unit]
+
     def _learn(self, units: list[str]) -> None:
-        """Encode units that are not remembered yet; a last character that joins no other, such as a full stop, goes by itself."""
-        ended = [u for u in units if len(u) > 2 and u[-2:] not in self.inside and u[-2] != SPACE]
-        parts = {u[:-1] for u in ended} | {u[-1] for u in ended}
-        parts.update(set(units).difference(ended))
+        """Put into memory the ids of units that are not there yet."""
+        inside, memory = self.inside, self.memory
+        cut = {u: self._parts(u) for u in units if len(u) > 2 and (u[-2:] not in inside or len(u) > LONGEST_REMEMBERED)}
+        fresh = set(units).difference(cut)
+        fresh.update(part for parts in cut.values() for part in parts if part not in memory)
         by_length: dict[int, list[str]] = {}
-        for u in parts:
-            if u not in self.memory:
-                by_length.setdefault(len(u), []).append(u)
+        for part in fresh:
+            by_length.setdefault(len(part), []).append(part)
         for size, group in by_length.items():
+            if len(group) <= FEW:
+                for unit in group:
+                    self._remember(unit, self._to_ids(unit, self._walk(unit)))
+                continue
             block = max(1, GROUP_CELLS // (size + 1) // 16)
             for at in range(0, len(group), block):
                 part = group[at : at + block]
                 for unit, ranks in zip(part, self._viterbi(part), strict=True):
-                    self.memory[unit] = self._to_ids(unit, ranks)
-        for u in ended:
-            self.memory[u] = self.memory[u[:-1]] + self.memory[u[-1]]
+                    self._remember(unit, self._to_ids(unit, ranks))
+        for u, parts in cut.items():
+            if len(parts) > 1:
+                self._remember(u, b"".join(map(memory.__getitem__, parts)))
+
+    def _remember(self, unit: str, ids: bytes) -> None:
+        self.memory[unit] = ids
+        if len(unit) > LONGEST_REMEMBERED:
+            self.passing.append(unit)
 
-    def _to_ids(self, unit: str, ranks: list[int]) -> tuple[int, ...]:
+    def _to_ids(self, unit: str, ranks: list[int]) -> bytes:
         if -1 not in ranks:
             if "".join(map(self.text.__getitem__, ranks)) != unit:
                 raise ValueError(f"two substrings have one key: {unit!r}")
-            return tuple(map(self.ids.__getitem__, ranks))
-        ids, at = [], 0
+            return array("i", map(self.ids.__getitem__, ranks)).tobytes()
+        ids, at = array("i"), 0
         for r in ranks:
             if r >= 0:
                 ids.append(self.ids[r])
                 at += len(self.text[r])
             else:
                 raw = unit[at].encode("utf-8", "surrogatepass")
-                ids += [self.bytes[b] if self.bytes[b] >= 0 else self.unknown for b in raw]
+                ids.extend(self.bytes[b] if self.bytes[b] >= 0 else self.unknown for b in raw)
                 at += 1
-        return tuple(ids)
+        return ids.tobytes()
 
-    def _blank_run(self, n: int) -> list[int]:
+    def _blank_run(self, n: int) -> bytes:
         """Ids of n blanks in a row: the leftmost pair that makes a piece is joined first."""
         if n not in self.blanks:
             parts: list[int] = []
-            rest = n
-            while rest:
+            for _ in range(n):
                 parts.append(1)
-                rest -= 1
                 # all that stands to the left is final as soon as no join is left there
                 while len(parts) > 1 and parts[-2] + parts[-1] in self.blank:
                     parts[-2:] = [parts[-2] + parts[-1]]
-            self.blanks[n] = [self.blank[p] for p in parts]
+            self.blanks[n] = array("i", (self.blank[p] for p in parts)).tobytes()
         return self.blanks[n]
 
     def _cut(self, text: str) -> list[str]:
@@ -293,21 +354,30 @@ class Codec:
         marked = text.replace(" ", sign + SPACE).replace("\n", f"{sign}\n{sign}")
         return (SPACE + marked if self.model.dummy_prefix else marked).split(sign)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit integers one after another."""
         cut = [self._cut(t) for t in texts]
         memory = self.memory
         if len(memory) > REMEMBERED:
             memory.clear()
-        memory.setdefault("", ())
+        memory.setdefault("", b"")
         fresh = set(chain.from_iterable(cut))
         fresh.discard(SPACE)
         self._learn([u for u in fresh if u not in memory])
-        return [self._assemble(u) if SPACE in u else list(chain.from_iterable(map(memory.__getitem__, u))) for u in cut]
+        out = [self._assemble(u) if SPACE in u else b"".join(map(memory.__getitem__, u)) for u in cut]
+        for u in self.passing:
+            memory.pop(u, None)
+        self.passing.clear()
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b, dtype=np.int32).tolist() for b in self.encode_bytes(texts)]
 
-    def _assemble(self, units: list[str]) -> list[int]:
+    def _assemble(self, units: list[str]) -> bytes:
         """Ids of units with runs of blanks among them."""
-        ids: list[int] = []
-        memory, lone, blanks = self.memory, self.blank.get(1), 0
+        ids: list[bytes] = []
+        memory, blanks = self.memory, 0
+        lone = array("i", [self.blank.get(1, -1)]).tobytes()
         for u in units:
             if u == SPACE:
                 blanks += 1
@@ -315,14 +385,16 @@ class Codec:
             got = memory[u]
             if blanks and u:
                 # a blank that no piece of the unit takes belongs to the run before it
-                if got[0] == lone and u[0] == SPACE:
-                    ids += self._blank_run(blanks + 1)
-                    got = got[1:]
+                if got[:4] == lone and u[0] == SPACE:
+                    ids.append(self._blank_run(blanks + 1))
+                    got = got[4:]
                 else:
-                    ids += self._blank_run(blanks)
+                    ids.append(self._blank_run(blanks))
                 blanks = 0
-            ids += got
-        return ids + self._blank_run(blanks) if blanks else ids
+            ids.append(got)
+        if blanks:
+            ids.append(self._blank_run(blanks))
+        return b"".join(ids)
 
     def decode(self, ids: list[int]) -> str:
         plain = self.decoded
@@ -342,7 +414,24 @@ def _codec(sent) -> Codec:
     return _codecs[key]
 
 
-def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str = DEFAULT_MODEL, rows: int = 512) -> DataFrame:
+def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of a batch with their texts, about CHUNK_CHARS of them at a time."""
+    start, size, texts = 0, 0, []
+    for k in range(batch.num_rows):
+        texts.append(batch.column(at)[k].as_py() or "")
+        size += len(texts[-1])
+        if size >= CHUNK_CHARS or k == batch.num_rows - 1:
+            yield batch.slice(start, k + 1 - start), texts
+            start, size, texts = k + 1, 0, []
+
+
+def _lists(ids: list[bytes]) -> pa.Array:
+    """The ids of texts as an Arrow array of lists."""
+    offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+
+
+def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str = DEFAULT_MODEL) -> DataFrame:
     """docs with the ids of each whole text (array<int>); a null text has none, like an empty one."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain, at = docs.toDF(*names), docs.columns.index(text_col)
@@ -351,10 +440,8 @@ def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "token
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                ids = codec.encode([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+            for part, texts in _chunks(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(codec.encode_bytes(texts))], names=[*names, "ids"])
 
     schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", ids array<int>"
     return plain.mapInArrow(task, schema).toDF(*docs.columns, out_col)
@@ -376,13 +463,14 @@ def decode_column(docs: DataFrame, ids_col: str = "token_ids", out_col: str = "d
     return plain.mapInArrow(task, schema).toDF(*docs.columns, out_col)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_MODEL, rows: int = 512) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_MODEL) -> DataFrame:
     """One row per input row: id, n_tokens, token_ids, decoded_sha256, round_trip.
 
     Ids are those that the model's own library gives; decoding follows in the same pass.
     round_trip tells whether it gives the text back (a text with the blank sign U+2581
-    itself gets a space for it). A null or empty text has no tokens. Repeated rows each
-    get theirs; an empty table gives no rows.
+    itself gets a space for it). A null or empty text has no tokens, a long one is encoded whole, with
+    or without blanks. Repeated rows each get theirs; other columns are not read. An empty table
+    gives no rows.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(Pieces.load(path))
@@ -390,14 +478,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                texts = part.column(1).to_pylist()
-                ids = codec.encode(texts)
-                back = [codec.decode(x) for x in ids]
+            for part, texts in _chunks(batch, 1):
+                ids = codec.encode_bytes(texts)
+                back = [codec.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in ids]
                 digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
                 same = [a == b for a, b in zip(back, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["id", "token_ids", "decoded_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["id", "token_ids", "decoded_sha256", "round_trip"])
 
     kind = plain.schema["id"].dataType.simpleString()
     made = plain.mapInArrow(task, f"id {kind}, token_ids array<int>, decoded_sha256 string, round_trip boolean")

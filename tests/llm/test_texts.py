@@ -32,6 +32,31 @@ def test_pieces_are_the_librarys():
     assert [codec.decode(i) for i in codec.encode(texts)] == [t.replace("▁", " ") for t in texts]
 
 
+@needs_model
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_units_go_together_or_alone(monkeypatch, few):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "FEW", few)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    codec = pieces.Codec(pieces.Pieces.load(MODEL))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdeinrst  ,.-é漢字か0") for _ in range(rng.randint(1, 300))) for _ in range(200)]
+    texts += ["".join(rng.choice("abcdeinrst") for _ in range(900)), "a" * 1500, "漢字" * 700, "." * 300, "ab" * 40 + "é" + "ion" * 40, " " * 99 + "ing" * 99 + " "]
+    assert codec.encode(texts) == library.encode(texts)
+    assert all(len(u) <= pieces.LONGEST_REMEMBERED for u in codec.memory)
+
+
+@needs_model
+def test_long_texts_without_blanks():
+    codec = pieces.Codec(pieces.Pieces.load(MODEL))
+    rng = random.Random(3)
+    texts = ["漢字かな交じり文" * 20_000, "".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "a" * 50_000]
+    began = time.process_time()
+    ids = codec.encode(texts)
+    assert time.process_time() - began < 20 and [codec.decode(i) for i in ids] == texts
+
+
 def test_unigram_takes_the_best_sum():
     names = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "aba"]
     scores = [0.0, -3.0, -2.0, -2.5, -3.0, -3.2, -2.9, -9.0]
@@ -48,8 +73,10 @@ def test_unigram_takes_the_best_sum():
                         top[j], paths[j] = value, [*paths[i], names.index(text[i:j])]
         return paths[-1]
 
-    for text in ("abab", "aab", "babaab", "a"):
-        assert codec.encode([text])[0] == best("▁" + text)
+    texts = ["abab", "aab", "babaab", "a", *("".join(random.Random(k).choices("ab", k=9)) for k in range(40))]
+    assert codec.encode(texts) == [best("▁" + t) for t in texts]  # many of one length together
+    for text in texts:
+        assert pieces.Codec(codec.model).encode([text])[0] == best("▁" + text)  # one alone
 
 
 @needs_model
