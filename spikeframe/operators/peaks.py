@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import BLOCK, with_history
+
 KEYS = ("recording_id", "unit", "batch_idx")
 
 
@@ -20,6 +22,25 @@ def local_maxima(df: DataFrame, value: str = "value", keys: tuple[str, ...] = KE
     return runs.where(peak).select(*keys, F.floor((F.col("__a") + F.col("__b")) / 2).cast("long").alias("sample_idx"), "value")
 
 
+def local_maxima_long(df: DataFrame, value: str = "value", keys: tuple[str, ...] = ("recording_id", "unit"), block: int = BLOCK) -> DataFrame:
+    """The same as local_maxima for series of any length, by blocks of samples without gaps.
+
+    A peak's run begins with a rise and ends with a fall. Changes are found within blocks; where a block's last
+    one has its next in a later block, that comes from a table of the blocks' first changes.
+    """
+    rows = with_history(df.select(*keys, "sample_idx", F.col(value).alias("value")), 1, keys, block)
+    order = Window.partitionBy(*keys, "block").orderBy("sample_idx")
+    change = F.signum(F.col("value") - F.lag("value").over(order))
+    changes = rows.withColumn("turn", change).where("not halo and turn <> 0")
+    after = F.struct("sample_idx", "turn")
+    firsts = changes.groupBy(*keys, "block").agg(F.min(after).alias("__first"))
+    firsts = firsts.select(*keys, "block", F.lead("__first").over(Window.partitionBy(*keys).orderBy("block")).alias("__next"))
+    near = changes.withColumn("__within", F.lead(after).over(order)).join(firsts, [*keys, "block"])
+    near = near.withColumn("__end", F.coalesce("__within", "__next"))
+    middle = F.floor((F.col("sample_idx") + F.col("__end.sample_idx") - 1) / 2).cast("long")
+    return near.where((F.col("turn") > 0) & (F.col("__end.turn") < 0)).select(*keys, middle.alias("sample_idx"), "value")
+
+
 def height_filter(peaks: DataFrame, model: DataFrame, mult: float) -> DataFrame:
     """Peaks between base_centr / mult and mult * spikes_centr, both included."""
     near = peaks.join(model.select("recording_id", "unit", "base_centr", "spikes_centr"), ["recording_id", "unit"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hann
 from .frames import values_at_spikes
-from .peaks import local_maxima
+from .peaks import local_maxima_long
 
 UNIT = ("recording_id", "source", "unit")
 
@@ -81,7 +81,7 @@ def _levels(spikes: DataFrame, ipts: DataFrame, ext_fact: int) -> tuple[DataFram
     at = values_at_spikes(ipts, spikes).where(late).select(*keys, "sample_idx", "value")
     lowest = at.groupBy(*keys).agg(F.min("value").alias("lowest"))
     squares = ipts.select(*keys, "sample_idx", (F.col("ipt") * F.col("ipt")).alias("value"))
-    low = local_maxima(squares, "value", tuple(keys)).join(lowest, keys).where(F.col("value") <= F.col("lowest")).drop("lowest")
+    low = local_maxima_long(squares, "value", tuple(keys)).join(lowest, keys).where(F.col("value") <= F.col("lowest")).drop("lowest")
     bare = lowest.select(*keys).join(low.select(*keys).distinct(), keys, "left_anti")
     rest = squares.join(bare, keys).join(spikes.select(*keys, "sample_idx"), [*keys, "sample_idx"], "left_anti")
     return at, low.select(*keys, "sample_idx", "value").unionByName(rest.select(*keys, "sample_idx", "value")).where(late)

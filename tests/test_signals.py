@@ -73,6 +73,18 @@ def test_peaks_of_plateaus_ends_and_ties(spark):
     assert ad.find_peaks(np.array(v, float), 0, 10, 3).tolist() == loops.peaks(v, 0, 10, 3) == [3, 8]
 
 
+@pytest.mark.parametrize("block", [4, 7, 1 << 16])
+def test_peaks_of_long_series_do_not_depend_on_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    series = {0: rng.integers(0, 3, 120), 1: np.repeat(rng.integers(0, 4, 12), 10), 2: np.zeros(50), 3: np.array([1, 2, *[5] * 40, 1])}
+    df = spark.createDataFrame([("r", u, i, float(x)) for u, v in series.items() for i, x in enumerate(v)], "recording_id string, unit int, sample_idx long, value double")
+    got = {}
+    for r in pk.local_maxima_long(df, block=block).collect():
+        got.setdefault(r.unit, []).append(r.sample_idx)
+        assert r.value == series[r.unit][r.sample_idx]
+    assert {u: sorted(t) for u, t in got.items()} == {u: loops.peaks(v.tolist(), -1, 99, 1) for u, v in series.items() if loops.peaks(v.tolist(), -1, 99, 1)}
+
+
 def test_refractory_is_greedy(spark):
     for seed in range(3):
         rng = np.random.default_rng(seed)
