@@ -3,7 +3,8 @@
 Every participant of a dialogue in turn is the assistant: the dialogue is rendered
 once for each, with that speaker's turns as the assistant's, all others as named
 users, and the mask on what the assistant says. Long dialogues come in parts of
-consecutive turns, with positions in the whole rendering.
+consecutive turns, with positions in the whole rendering; turns are placed by prefix sums over
+a range sort, so that a dialogue of any length is cut without meeting in one task.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, running, with_defaults
+from .common import prefix_sums, with_defaults
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Roles that frame a dialogue and never take part in it.
 FRAMES = ("system",)
-#: Turn numbers in one part.
+#: Turns in one part.
 PART_TURNS = 256
 
 
@@ -40,7 +41,6 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         "conv_id",
         "perspective",
         "turn",
-        F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit((1 << 31) - 1)).cast("long").alias("part"),
         own.alias("masked"),
         F.concat(F.lit(OPEN), name, F.lit("\n")).alias("head"),
         F.concat("body", F.lit(CLOSE)).alias("body"),
@@ -50,29 +50,31 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 def render(turns: DataFrame, **columns) -> DataFrame:
     """One row per dialogue, perspective and part: n_turns, start, n_chars, text, mask.
 
-    start is the part's position in the whole rendering (code points) and mask its
+    A part has PART_TURNS turns, the last one the rest. start is the part's position in the whole rendering (code points) and mask its
     assistant spans there, "begin:end" with commas: what the assistant says with its end mark.
     Turns go by number, null last; turns of equal number by role and text. Repeated
-    rows are repeated turns. An empty table gives no rows.
+    rows are repeated turns, long texts are rendered whole. Other columns are not read. An empty table gives no rows.
     """
-    piece = F.struct(F.col("turn").isNull().alias("late"), "turn", "head", "body", "masked")
-    parts = rotate(turns, **columns).groupBy("conv_id", "perspective", "part").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    rows = rotate(turns, **columns).withColumn("late", F.col("turn").isNull())
+    order = [F.col(c) for c in ("conv_id", "perspective", "late", "turn", "head", "body", "masked")]
+    length = F.char_length("head") + F.char_length("body") + 1
+    placed = prefix_sums(rows, order, "chat-turns", "dealt", place=F.lit(1).cast("long"), at=length.cast("long"))
+    # where each dialogue begins, told to the range parts that it goes through
+    keys = ("conv_id", "perspective", "dealt")
+    begun = placed.groupBy(*keys).agg(F.min("place").alias("__place"), F.min("at").alias("__at"))
+    whole = Window.partitionBy("conv_id", "perspective")
+    begun = begun.select(*[F.col(k).alias(f"__{k}") for k in keys], F.min("__place").over(whole).alias("__place"), F.min("__at").over(whole).alias("__at"))
+    near = placed.join(begun, (F.col("dealt") == F.col("__dealt")) & (F.col("perspective") == F.col("__perspective")) & F.col("conv_id").eqNullSafe(F.col("__conv_id")))
+    begin = F.col("at") - F.col("__at")
+    piece = F.struct("place", begin.alias("at"), "head", "body", "masked")
+    near = near.select("conv_id", "perspective", F.floor((F.col("place") - F.col("__place")) / PART_TURNS).alias("part"), piece.alias("piece"))
+    parts = near.groupBy("conv_id", "perspective", "part").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
 
-    lengths = F.transform("pieces", lambda p: (F.char_length(p["head"]) + F.char_length(p["body"]) + 1).cast("long"))
+    def span(p: Column) -> Column:
+        start = p["at"] + F.char_length(p["head"])
+        return F.concat_ws(":", start, start + F.char_length(p["body"]))
 
-    def spans(before: Column) -> Column:
-        def span(p: Column, i: Column) -> Column:
-            begin = F.get(before, i) + F.char_length(p["head"])
-            return F.struct(p["masked"].alias("masked"), begin.alias("begin"), (begin + F.char_length(p["body"])).alias("end"))
-
-        return F.filter(F.transform("pieces", span), lambda s: s["masked"])
-
-    parts = parts.withColumns({
-        "text": F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), ""),
-        "spans": let(running(lengths), spans),
-    })
-    parts = parts.select("conv_id", "perspective", "part", F.size("pieces").cast("long").alias("n_turns"), F.char_length("text").cast("long").alias("n_chars"), "text", "spans")
-    before = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("start", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
-    mask = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"] + F.col("start"), s["end"] + F.col("start"))), ",")
-    return parts.select("conv_id", "perspective", "part", "n_turns", "start", "n_chars", "text", mask.alias("mask"))
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
+    mask = F.array_join(F.transform(F.filter("pieces", lambda p: p["masked"]), span), ",")
+    out = parts.select("conv_id", "perspective", "part", F.size("pieces").cast("long").alias("n_turns"), F.get("pieces", F.lit(0))["at"].alias("start"), text.alias("text"), mask.alias("mask"))
+    return out.select("conv_id", "perspective", "part", "n_turns", "start", F.char_length("text").cast("long").alias("n_chars"), "text", "mask")

@@ -20,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 shared_dir = shared_folder
 
 
-def prefix_sums(df: DataFrame, order: list[Column], name: str, **sums: Column) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list[Column], name: str, part: str | None = None, **sums: Column) -> DataFrame:
     """df with a column for each of sums: its total over all rows before, in the order given.
 
     Rows are range-sorted into parts and written; what meets in one task is a part, or one total for each part.
+    part: name for the number of a row's part, if it is wanted.
     """
     rows = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), name)
     totals = rows.groupBy("__part").agg(*[F.sum(v).alias(f"__{k}") for k, v in sums.items()])
@@ -31,7 +32,8 @@ def prefix_sums(df: DataFrame, order: list[Column], name: str, **sums: Column) -
     before = totals.select("__part", *[F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__{k}") for k in sums])
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumns({f"__in_{k}": F.coalesce(F.sum(v).over(within), F.lit(0)) for k, v in sums.items()})
-    return inside.join(before, "__part").select(*df.columns, *[(F.col(f"__in_{k}") + F.col(f"__{k}")).alias(k) for k in sums])
+    kept = [F.col("__part").alias(part)] if part else []
+    return inside.join(before, "__part").select(*df.columns, *kept, *[(F.col(f"__in_{k}") + F.col(f"__{k}")).alias(k) for k in sums])
 
 
 def with_defaults(text: str | Column) -> Column:

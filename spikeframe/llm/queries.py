@@ -118,13 +118,14 @@ WITH t AS (
   SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '<|', '<\\|') AS body FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS NOT NULL AND speaker <> 'system'),
 r AS (
-  SELECT t.conv_id, perspective, turn, coalesce(floor(turn / 256), 2147483647)::BIGINT AS part,
+  SELECT t.conv_id, perspective, turn,
     speaker IS NOT DISTINCT FROM perspective AS own,
     '<|im_start|>' || CASE WHEN speaker IS NOT DISTINCT FROM perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
       WHEN speaker IS NULL THEN 'user' ELSE 'user name=' || speaker END || chr(10) AS head, body || '<|im_end|>' AS body
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS begin_at, sum(length(head) + length(body) + 1) OVER w - 1 AS end_at
+  SELECT *, ((row_number() OVER w - 1) // 256)::BIGINT AS part,
+    sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS begin_at, sum(length(head) + length(body) + 1) OVER w - 1 AS end_at
   FROM r WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, head, body, own ROWS UNBOUNDED PRECEDING)),
 g AS (
   SELECT conv_id, perspective, part, count(*)::BIGINT AS n_turns, sum(length(head) + length(body) + 1)::BIGINT AS n_chars,

@@ -205,6 +205,31 @@ def test_chat_rotation(spark):
     assert chat.render(turns.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("part", [3, 256])
+def test_chat_parts_are_cut_from_the_whole(spark, monkeypatch, part):
+    monkeypatch.setattr(chat, "PART_TURNS", part)
+    rng = random.Random(part)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, None, *range(40)]), rng.choice(["ann", "bob", "system", None]), "é" * rng.randint(0, 9)) for _ in range(400)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = {}
+    for r in chat.render(turns).collect():
+        got.setdefault((r.conv_id, r.perspective), []).append(r)
+    names = {None: "user", "system": "system"}
+    for conv in (1, 2, None):
+        for who in ("ann", "bob"):
+            head = lambda role: f"<|im_start|>{'assistant' if role == who else names.get(role, f'user name={role}')}\n"  # noqa: B023, E731
+            own = sorted(((t is None, t or 0, head(role), f"{text}<|im_end|>", role == who) for c, t, role, text in rows if c == conv))
+            parts = sorted(got[conv, who], key=lambda r: r.part)
+            assert [r.part for r in parts] == list(range(-(-len(own) // part)))
+            full, at, mask = "".join(h + b + "\n" for _, _, h, b, _ in own), 0, []
+            for _, _, h, b, mine in own:
+                mask += [f"{at + len(h)}:{at + len(h) + len(b)}"] * mine
+                at += len(h) + len(b) + 1
+            assert "".join(r.text for r in parts) == full and ",".join(r.mask for r in parts if r.mask) == ",".join(mask)
+            for k, r in enumerate(parts):
+                assert r.n_chars == len(r.text) and full[r.start : r.start + r.n_chars] == r.text and r.n_turns == len(own[k * part : (k + 1) * part])
+
+
 PAGES = "page_id long, url string, html string"
 
 
