@@ -36,7 +36,7 @@ PERCENT, DROP_PERCENT = 85, 80
 MISS_BANDS, MISS_AGREE = 5e-7, 1.5e-6
 #: Documents in a block of a large bucket, members of the bucket that visit every block, and documents
 #: in a block where blocks of open buckets meet.
-BLOCK, VISITORS, MEETING = 80, 6, 250
+BLOCK, VISITORS, MEETING = 160, 16, 400
 LAST_ID = (1 << 63) - 1
 #: A key with more than this share of all rows is joined by broadcast: there are at most so many.
 HOT_KEYS = 1000
