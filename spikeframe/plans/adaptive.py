@@ -36,17 +36,63 @@ def _out(df):
     return df.select("recording_id", "sample_idx", *[r6(F.get(F.col("channels"), F.lit(i))).alias(f"c{i}") for i in range(CH)])
 
 
-@query()
+def _filtered(system: fl.System, source: str, name: str, settled: bool = False) -> str:
+    """SQL: table ``name`` of ``source`` (recording_id, sample_idx from 0, c0...) filtered sample by sample, states as columns."""
+    n = len(system.b)
+    num = lambda v: f"({float(v)!r}::DOUBLE)"
+
+    def line(row, gain, x: str, state) -> str:
+        terms = [f"{num(k)} * {state(j)}" for j, k in enumerate(row) if k] + [f"{num(gain)} * {x}"] * bool(gain)
+        return " + ".join(terms) or "0.0::DOUBLE"
+
+    def columns(x, state) -> str:
+        ys = [f"{line(system.c, system.d, x(c), lambda j, c=c: state(c, j))} AS y{c}" for c in range(CH)]
+        return ", ".join(ys + [f"{line(system.a[i], system.b[i], x(c), lambda j, c=c: state(c, j))} AS s{c}_{i}" for c in range(CH) for i in range(n)])
+
+    first = columns(lambda c: f"c{c}", lambda c, j: f"({num(system.rest[j] if settled else 0.0)} * c{c})")
+    then = columns(lambda c: f"x.c{c}", lambda c, j: f"f.s{c}_{j}")
+    return f"""{name}_run AS (
+  SELECT recording_id, sample_idx, {first} FROM {source} WHERE sample_idx = 0
+  UNION ALL
+  SELECT x.recording_id, x.sample_idx, {then} FROM {name}_run f JOIN {source} x ON x.recording_id = f.recording_id AND x.sample_idx = f.sample_idx + 1),
+{name} AS (SELECT recording_id, sample_idx, {", ".join(f"y{c} AS c{c}" for c in range(CH))} FROM {name}_run)"""
+
+
+_C = ", ".join(f"c{c}" for c in range(CH))
+_BAND = fl.butterworth("band", 4, (2.0, 20.0), FS)
+_NOTCH = fl.butterworth("stop", 2, (24.5, 25.5), FS)
+_NARROW = fl.butterworth("band", 2, (2.0, 20.0), FS)
+
+
+def _rounded(source: str) -> str:
+    return f"SELECT recording_id, sample_idx, {', '.join(f'round(c{c}, 6) AS c{c}' for c in range(CH))} FROM {source}"
+
+
+@query(f"WITH RECURSIVE {SIG}, {_filtered(_BAND, 'sig', 'band')} {_rounded('band')}")
 def filter_bandpass(spark, d):
     return _out(fl.bandpass(fx.signal(spark, d), FS, 2.0, 20.0, zero=False))
 
 
-@query()
+@query(f"WITH RECURSIVE {SIG}, {_filtered(_NOTCH, 'sig', 'notched')} {_rounded('notched')}")
 def filter_notch(spark, d):
     return _out(fl.notch(fx.signal(spark, d), FS, 25.0, zero=False))
 
 
-@query()
+_PAD = 3 * (len(_NARROW.b) + 1)
+_ODD = lambda end: ", ".join(f"2 * {end}.c{c} - sig.c{c} AS c{c}" for c in range(CH))
+
+
+@query(f"""WITH RECURSIVE {SIG}, ends AS (SELECT recording_id, max(sample_idx) AS last FROM sig GROUP BY 1),
+head AS (SELECT * FROM sig WHERE sample_idx = 0), tail AS (SELECT sig.* FROM sig JOIN ends USING (recording_id) WHERE sample_idx = last),
+padded AS (
+  SELECT recording_id, sample_idx + {_PAD} AS sample_idx, {_C} FROM sig
+  UNION ALL SELECT recording_id, {_PAD} - sig.sample_idx, {_ODD("head")} FROM sig JOIN head USING (recording_id) WHERE sig.sample_idx BETWEEN 1 AND {_PAD}
+  UNION ALL SELECT recording_id, 2 * tail.sample_idx - sig.sample_idx + {_PAD}, {_ODD("tail")} FROM sig JOIN tail USING (recording_id) WHERE sig.sample_idx < tail.sample_idx AND sig.sample_idx >= tail.sample_idx - {_PAD}),
+{_filtered(_NARROW, 'padded', 'once', True)},
+turned AS (SELECT recording_id, last + {2 * _PAD} - sample_idx AS sample_idx, {_C} FROM once JOIN ends USING (recording_id)),
+{_filtered(_NARROW, 'turned', 'twice', True)},
+back AS (SELECT recording_id, last + {_PAD} - sample_idx AS sample_idx, last, {_C} FROM twice JOIN ends USING (recording_id))
+{_rounded('back')} WHERE sample_idx BETWEEN 0 AND last""")
 def filter_zero_phase(spark, d):
     return _out(fl.bandpass(fx.signal(spark, d), FS, 2.0, 20.0, order=2))
 
@@ -74,7 +120,10 @@ def filter_lowpass(spark, d):
     return _out(fl.lowpass(fx.signal(spark, d), FS, 10.0, order=1, zero=False))
 
 
-@query()
+_MEANS = ", ".join(f"c{c} - avg(c{c}) OVER (PARTITION BY recording_id) AS c{c}" for c in range(CH))
+
+
+@query(f"WITH RECURSIVE {SIG}, {_filtered(_BAND, 'sig', 'band')}, {_filtered(_NOTCH, 'band', 'notched')}, level AS (SELECT recording_id, sample_idx, {_MEANS} FROM notched) {_rounded('level')}")
 def preprocess(spark, d):
     return _out(fl.preprocess(fx.signal(spark, d), FS, 2.0, 20.0, 25.0)[0])
 

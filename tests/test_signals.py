@@ -56,6 +56,23 @@ def test_filter_design():
         fl.butterworth("low", 2, 60.0, 100.0)
 
 
+@pytest.mark.parametrize("kind,order,cut", [("low", 2, 10.0), ("high", 3, 10.0), ("band", 4, (2.0, 20.0)), ("stop", 2, (24.5, 25.5))])
+def test_filters_have_butterworth_responses(kind, order, cut):
+    system, fs = fl.butterworth(kind, order, cut, 100.0), 100.0
+    n = len(system.b)
+
+    def gain(f):
+        z = np.exp(2j * np.pi * f / fs)
+        return abs(system.c @ np.linalg.solve(z * np.eye(n) - system.a, system.b) + system.d)
+
+    edges = np.atleast_1d(cut)
+    assert np.allclose([gain(f) for f in edges], np.sqrt(0.5), atol=1e-6)
+    w = np.tan(np.pi * np.array([0.5, 5.0, 15.0, 30.0, 45.0]) / fs)
+    e = np.tan(np.pi * edges / fs)
+    ratio = {"low": lambda: w / e[0], "high": lambda: e[0] / w, "band": lambda: (w**2 - e[0] * e[1]) / (w * (e[1] - e[0])), "stop": lambda: w * (e[1] - e[0]) / (e[0] * e[1] - w**2)}[kind]()
+    assert np.allclose([gain(f) for f in (0.5, 5.0, 15.0, 30.0, 45.0)], 1 / np.sqrt(1 + ratio ** (2 * order)), atol=1e-6)
+
+
 @pytest.mark.parametrize("block", [5, 64])
 def test_delays_do_not_depend_on_blocks(spark, block):
     x = RNG.normal(size=(40, 2))
