@@ -67,9 +67,12 @@ def find_peaks(x: np.ndarray, low: float, high: float, distance: int) -> np.ndar
 
 
 def kl_of(c: np.ndarray) -> float:
-    """Divergence of a covariance from the identity; NaN where its determinant isn't positive."""
-    sign, log = np.linalg.slogdet(c)
-    return (np.trace(c) - log - len(c)) / 2 if sign > 0 else np.nan
+    """Divergence of a covariance from the identity; NaN where it isn't positive definite."""
+    try:
+        log = 2 * np.log(np.diagonal(np.linalg.cholesky(c))).sum()
+    except np.linalg.LinAlgError:
+        return np.nan
+    return (np.trace(c) - log - len(c)) / 2
 
 
 def unit_step(b: np.ndarray, base: float, spikes: float, height: float, ipt: np.ndarray, z: np.ndarray, p: Params):
@@ -133,7 +136,7 @@ class Run:
         if p.compute_loss:
             out["wh_loss"] = ((kl_of(self.c) - self.kl_mean) / self.kl_std) ** 2 if self.kl_std else np.nan
         if p.adapt_wh and len(z) > 1:
-            self.w = self.w - p.wh_learning_rate * (self.c - np.eye(len(self.c))) @ self.w
+            self.w = self.w + p.wh_learning_rate * (self.w - self.c @ self.w)
         total = 1e10 if np.isnan(out["wh_loss"]) else out["wh_loss"]
         ipts = z @ np.stack([u.w for u in self.units]).T if self.units else np.zeros((len(z), 0))
         for u, ipt in zip(self.units, ipts.T, strict=True):
