@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,26 +141,28 @@ def agreement_paired(ref: DataFrame, test: DataFrame, tol_spike: int, tol_train:
 
 
 def assign_units(corr: DataFrame, within: bool = False) -> DataFrame:
-    """(recording_id, unit_ref, unit_test, corr): the largest correlation left is taken, and its row and column go.
+    """(recording_id, unit_ref, unit_test, corr, lag): the largest correlation left is taken, and its row and column go.
 
-    Equal ones go by reference, then test unit. within: both sides are one set. A
-    recording's table of unit pairs is one group.
+    Equal ones go by reference, then test unit. within: both sides are one set. In each round all
+    pairs go that are the best left of both their units: taking them one after another gives the same. No
+    task meets more than one unit's pairs.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["corr"] > 0].sort_values(["corr", "unit_ref", "unit_test"], ascending=[False, True, True])
-        refs, tests, keep = set(), set(), []
-        tests = refs if within else tests
-        for r, t in zip(pdf["unit_ref"], pdf["unit_test"], strict=True):
-            ok = r not in refs and t not in tests
-            keep.append(ok)
-            if ok:
-                refs.add(r)
-                tests.add(t)
-        return pdf[keep] if len(pdf) else pdf
-
+    rank = F.struct((-F.col("corr")).alias("down"), "unit_ref", "unit_test").alias("rank")
     cols = corr.select("recording_id", "unit_ref", "unit_test", F.col("corr").cast("double").alias("corr"), F.col("lag").cast("long").alias("lag"))
-    return cols.groupBy("recording_id").applyInPandas(fold, cols.schema)
+    # a row for each end of a pair
+    end = lambda side, unit: F.struct(F.lit(0 if within else side).alias("side"), F.col(unit).alias("unit"))
+    live = cols.where("corr > 0").select("*", rank, F.explode(F.array(end(0, "unit_ref"), end(1, "unit_test"))).alias("end"))
+    of_unit, of_pair = Window.partitionBy("recording_id", "end"), Window.partitionBy("recording_id", "rank")
+    rounds: list[DataFrame] = []
+    while True:
+        live = live.withColumn("take", F.min("rank").over(of_unit) == F.col("rank"))
+        live = live.withColumn("take", F.min("take").over(of_pair))
+        live = live.withColumn("gone", F.max("take").over(of_unit))
+        state = materialise(live.withColumn("gone", F.max("gone").over(of_pair)), "assigned")
+        rounds.append(state.where("take").select(*cols.columns).distinct())
+        live = state.where("not gone").drop("take", "gone")
+        if live.isEmpty():
+            return functools.reduce(DataFrame.unionByName, rounds)
 
 
 def agreement(ref: DataFrame, test: DataFrame, tol_spike: int, max_lag: int | None = None) -> DataFrame:
