@@ -1,6 +1,9 @@
 """Mixing, exact and near deduplication, fingerprints, secrets: small cases and brute force."""
 
+import base64
 import hashlib
+import math
+import os
 import random
 import re
 
@@ -383,3 +386,77 @@ def test_secrets(spark):
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
     assert f"markov:4:{4 + len(loose)}" in got[10].spans
     assert "markov" not in got[11].spans and not got[90].spans
+
+
+def markov_by_hand(rows):
+    """All spans of every text: base ones, and runs whose ratio under two models trained on these rows is large."""
+    assign, access, hexes = ASSIGN, re.compile("AKIA[A-Z0-9]{16,}"), re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
+    letters, pair_counts = secrets.ALPHABET, [{}, {}]
+
+    def learn(which, string):
+        for pair in {string[i : i + 2] for i in range(len(string) - 1)}:
+            pair_counts[which][pair] = pair_counts[which].get(pair, 0) + 1
+
+    for i, t in rows:
+        t = t or ""
+        for m in assign.finditer(t):
+            if len(m[2]) >= 6:
+                learn(0, m[2])
+        for m in [*access.finditer(t), *hexes.finditer(t)]:
+            learn(0, m[0])
+        learn(0, base64.b64encode(hashlib.sha256(("" if i is None else str(i)).encode()).digest()).decode())
+        for pattern in (assign, access, hexes):
+            t = pattern.sub(" ", t)
+        for word in re.findall("[A-Za-z0-9+/_=-]{4,}", t):
+            learn(1, word)
+
+    def chance(which, a, b):
+        smooth = secrets.PRIOR / len(letters)
+        return (pair_counts[which].get(a + b, 0) + smooth) / sum(pair_counts[which].get(a + c, 0) + smooth for c in letters)
+
+    known = {}
+
+    def ratio(run):
+        total = 0
+        for pair in zip(run, run[1:]):
+            if pair not in known:
+                known[pair] = math.log(chance(0, *pair)) - math.log(chance(1, *pair))
+            total += known[pair]
+        return total
+
+    out = {}
+    for i, t in rows:
+        base = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_spans(t or "").split(",") if x)]
+        more = [(m.start(), m.end(), "markov") for m in re.finditer("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", t or "") if ratio(m[0]) >= secrets.MIN_LLR]
+        more = [m for m in more if not any(b[0] < m[1] and m[0] < b[1] for b in base)]
+        rank = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
+        out[i] = ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(base + more, key=lambda x: (x[0], rank[x[2]])))
+    return out
+
+
+def test_secrets_by_both_models_are_those_of_brute_force(spark):
+    rng = random.Random(41)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    letters, low = secrets.ALPHABET[:-1], "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(200):
+        parts = ["".join(rng.choice(["ra", "ti", "on", "the", "er", "in", "Al", "es"]) for _ in range(rng.randint(2, 9))) for _ in range(60)] + ["snake_case_name", "getValueOf"] * 3
+        parts += [pick(letters, rng.randint(16, 60))] * (rng.random() < 0.3) + [f"token={pick(letters, 30)}"] * (rng.random() < 0.4)
+        parts += [pick(low, 40)] * (rng.random() < 0.1) + ["Donaudampfschifffahrtsgesellschaft", pick("0123456789abcdef", 32)] * (rng.random() < 0.1)
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(900, None), (901, "secret=abcdefgh12 " * 4000), (902, pick(letters, 5_000))]
+    want = markov_by_hand(rows)
+    got = {r.doc_id: r.spans for r in secrets.secret_report(docs(spark, rows)).collect()}
+    assert got == want and sum("markov" in x for x in want.values()) >= 5
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no test tables")
+def test_models_of_the_documents_table_tell_random_strings(spark):
+    model = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(5)
+    strings = [(kind, "".join(rng.choice(letters) for _ in range(24))) for kind, letters in (("any", secrets.ALPHABET[:64]), ("hex", "0123456789abcdef"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) for _ in range(100)]
+    df = spark.createDataFrame(strings, "kind string, s string")
+    got = df.select("kind", (secrets.log_ratio(F.col("s"), model) >= secrets.MIN_LLR).cast("int").alias("hit")).groupBy("kind").agg(F.avg("hit").alias("share")).collect()
+    share = {r.kind: r.share for r in got}
+    assert min(share["any"], share["hex"], share["upper"]) >= 0.95, share
