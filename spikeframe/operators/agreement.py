@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..sources.storage import materialise
 
 PAIR = ("recording_id", "unit_ref", "unit_test")
-#: Samples of a unit's firings that meet others' as one list, parts that a recording's lists are dealt to, and counts sent on at once.
-SPAN, SALTS, CHUNK = 1024, 16, 100_000
+#: Parts that a recording's units are dealt to, and pairs of firings that are looked at together.
+SALTS, DENSE = 16, 1 << 18
 
 
 def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
@@ -25,34 +25,44 @@ def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width:
     return left.join(right, [*keys, "__bin"]).where(F.abs(F.col("a") - F.col("b")) <= width).drop("__bin")
 
 
-def _all_differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(recording_id, unit_ref, unit_test, d, n): how often each difference a - b occurs, of all firings of a recording.
-
-    Lists of firings meet, dealt by salts, and differences are counted list by list; no pair of firings is a row.
+def _best_of(x: np.ndarray, y: np.ndarray, tol: int) -> tuple[int, int]:
+    """(lag, corr): the largest correlation of two trains widened to tol samples at any lag, of equal ones the lowest lag."""
+    offsets = np.arange(-(tol - 1), tol)
+    if len(x) * len(y) <= DENSE:
+        lags, at = np.unique(np.subtract.outer(x, y)[..., None] + offsets, return_inverse=True)
+        corr = np.bincount(at.ravel(), np.broadcast_to(tol - np.abs(offsets), (len(x), len(y), len(offsets))).ravel())
+        best = int(corr.argmax())
+        return int(lags[best]), int(corr[best])
+    # long trains: all differences counted over their range, some firings of x at a time
+    low = int(x.min() - y.max())
+    counts = np.zeros(int(x.max() - y.min()) - low + 1, dtype=np.int64)
+    for k in range(0, len(x), step := max(1, DENSE // len(y))):
+        counts += np.bincount((np.subtract.outer(x[k : k + step], y) - low).ravel(), minlength=len(counts))
+    corr = np.convolve(counts, tol - np.abs(offsets))
+    best = int(corr.argmax())
+    return low - (tol - 1) + best, int(corr[best])
+
+
+def _best_at_any_lag(a: DataFrame, b: DataFrame, tol: int, within: bool) -> DataFrame:
+    """(recording_id, unit_ref, unit_test, lag, corr) of every pair of units of a recording that both fire.
+
+    A unit's firings are one list; lists meet, dealt by salts, and each pair is searched where it meets: no
+    pair of firings and no difference is a row.
     """
-    lists = lambda df, unit, t: df.groupBy("recording_id", unit, F.floor(F.col(t) / SPAN).alias("span")).agg(F.collect_list(F.col(t).cast("long")).alias(t))
-    left = lists(a, "unit_ref", "a").withColumn("salt", F.pmod(F.xxhash64("unit_ref", "span"), F.lit(SALTS)).cast("int")).drop("span")
-    right = lists(b, "unit_test", "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("span")
-    both = left.join(right, ["recording_id", "salt"]).select(*PAIR, "a", "b")
+    lists = lambda df, unit, t: df.groupBy("recording_id", unit).agg(F.collect_list(F.col(t).cast("long")).alias(t))
+    left = lists(a, "unit_ref", "a").withColumn("salt", F.pmod(F.xxhash64("unit_ref"), F.lit(SALTS)).cast("int"))
+    right = lists(b, "unit_test", "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = left.join(right, ["recording_id", "salt"]).where(F.col("unit_ref") < F.col("unit_test") if within else F.lit(True)).select(*PAIR, "a", "b")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, ds, ns, size = [], [], [], 0
-            for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
-                d, n = np.unique(np.subtract.outer(x, y), return_counts=True)
-                at.append(np.full(len(d), k))
-                ds.append(d)
-                ns.append(n)
-                size += len(d)
-                if size >= CHUNK or k == batch.num_rows - 1:
-                    rows = pa.array(np.concatenate(at))
-                    own = [batch.column(c).take(rows) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(ds), pa.int64()), pa.array(np.concatenate(ns), pa.int64())], names=[*PAIR, "d", "n"])
-                    at, ds, ns, size = [], [], [], 0
-
-    schema = ", ".join(f"{c} {t}" for c, t in both.select(*PAIR).dtypes) + ", d long, n long"
-    return both.mapInArrow(count, schema).groupBy(*PAIR, "d").agg(F.sum("n").alias("n"))
+            trains = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in (3, 4)]
+            found = [_best_of(x, y, tol) for x, y in zip(*trains, strict=True)]
+            made = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), *made], names=[*PAIR, "lag", "corr"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in both.select(*PAIR).dtypes) + ", lag long, corr long"
+    return both.mapInArrow(search, schema)
 
 
 def lag_correlogram(ref: DataFrame, test: DataFrame, tol: int, max_lag: int, keys: tuple[str, ...] = PAIR) -> DataFrame:
@@ -191,21 +201,17 @@ def agreement_within(spikes: DataFrame, tol_spike: int, tol_train: int) -> DataF
 def unit_pairs(a: DataFrame, b: DataFrame, tol: int, max_lag: int | None = None, within: bool = False) -> DataFrame:
     """(recording_id, unit_ref, unit_test, corr, lag): the units that belong together, by their best correlation at any lag, or up to max_lag."""
     if max_lag is None:
-        diffs = _all_differences(a, b)
-    else:
-        near = _pairs_within(a, b, ("recording_id",), max_lag + tol - 1)
-        diffs = near.groupBy(*PAIR, (F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n"))
+        return assign_units(_best_at_any_lag(a, b, tol, within), within)
+    near = _pairs_within(a, b, ("recording_id",), max_lag + tol - 1)
+    diffs = near.groupBy(*PAIR, (F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n"))
     if within:
         diffs = diffs.where(F.col("unit_ref") < F.col("unit_test"))
     return assign_units(best_lag(_spread(diffs, tol, max_lag, PAIR)), within)
 
 
-def _spread(diffs: DataFrame, tol: int, max_lag: int | None, keys: tuple[str, ...]) -> DataFrame:
+def _spread(diffs: DataFrame, tol: int, max_lag: int, keys: tuple[str, ...]) -> DataFrame:
     """Counts of differences (keys, d, n) as triangles over the lags."""
-    low, high = F.col("d") - (tol - 1), F.col("d") + (tol - 1)
-    if max_lag is not None:
-        low, high = F.greatest(low, F.lit(-max_lag).cast("long")), F.least(high, F.lit(max_lag).cast("long"))
-    lags = F.sequence(low, high)
+    lags = F.sequence(F.greatest(F.col("d") - (tol - 1), F.lit(-max_lag).cast("long")), F.least(F.col("d") + (tol - 1), F.lit(max_lag).cast("long")))
     spread = diffs.select(*keys, "d", "n", F.explode(lags).alias("lag"))
     return spread.groupBy(*keys, "lag").agg(F.sum(F.col("n") * (tol - F.abs(F.col("lag") - F.col("d")))).alias("corr"))
 
