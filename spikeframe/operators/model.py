@@ -95,11 +95,14 @@ def batch_covariance(df: DataFrame, x: str = "channels", size: int = 2, keys: tu
 def ewma_covariance(cov: DataFrame, start: DataFrame, alpha: float) -> DataFrame:
     """(recording_id, batch_idx, i, j, cov): C <- (1-a) C + a cov along the batches.
 
-    Entries are independent: an entry's batches go through a task in order, as a stream.
+    A recording's batches go through a task in order, as a stream, with all entries of a batch as one row.
     """
-    entry = F.concat_ws("|", "i", "j", "recording_id").alias("recording_id")
-    head = start.select(entry, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.array("cov").alias("payload"))
-    body = cov.select(entry, F.lit(1).alias("kind"), F.col("batch_idx").alias("at"), F.array("cov").alias("payload"))
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "cov")))
+    first = start.groupBy("recording_id").agg(cells.alias("cells"))
+    flat = lambda c: F.transform(c, lambda x: F.coalesce(x["cov"], F.lit(float("nan"))))
+    head = first.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), flat("cells").alias("payload"))
+    each = cov.groupBy("recording_id", "batch_idx").agg(cells.alias("cells"))
+    body = each.select("recording_id", F.lit(1).alias("kind"), F.col("batch_idx").alias("at"), flat("cells").alias("payload"))
 
     def fold():
         c = None
@@ -107,19 +110,21 @@ def ewma_covariance(cov: DataFrame, start: DataFrame, alpha: float) -> DataFrame
         def step(key, kind, ats, payloads):
             nonlocal c
             if kind == 0:
-                c = float(payloads[0][0])
+                c = np.array(payloads[0], dtype=float)
             if kind != 1 or c is None:
                 return []
-            i, j, recording = key.split("|", 2)
             out = []
-            for b, (v,) in zip(ats, payloads, strict=True):
-                c = (1 - alpha) * c + alpha * float(v)
-                out.append((recording, b, int(i), int(j), c))
+            for b, v in zip(ats, payloads, strict=True):
+                c = (1 - alpha) * c + alpha * np.asarray(v, dtype=float)
+                out.append((key, b, c))
             return out
 
         return step
 
-    return in_order(head.unionByName(body), fold, "recording_id string, batch_idx long, i int, j int, cov double")
+    course = in_order(head.unionByName(body), fold, "recording_id string, batch_idx long, covs array<double>")
+    named = first.select(F.col("recording_id").alias("of"), F.transform("cells", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"))).alias("places"))
+    rows = course.join(named, F.col("recording_id") == F.col("of")).select("recording_id", "batch_idx", F.inline(F.arrays_zip("places", "covs")))
+    return rows.select("recording_id", "batch_idx", "places.i", "places.j", F.when(~F.isnan("covs"), F.col("covs")).alias("cov"))
 
 
 @F.pandas_udf(T.DoubleType())
