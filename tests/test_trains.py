@@ -134,9 +134,9 @@ def test_trials(spark):
     assert [(r.trial_id, r.budget) for r in out if r.kept and r.budget == 4] == [(0, 4)]
 
 
-def test_units_meet_at_any_lag(spark, monkeypatch):
-    monkeypatch.setattr(ag, "SPAN", 100)
-    monkeypatch.setattr(ag, "CHUNK", 50)
+@pytest.mark.parametrize("dense", [1 << 18, 200, 1])
+def test_units_meet_at_any_lag(spark, monkeypatch, dense):
+    monkeypatch.setattr(ag, "DENSE", dense)
     rng, tol = np.random.default_rng(9), 3
     base = {u: np.unique(rng.integers(0, 3000, 60)) for u in range(3)}
     moved = {2 - u: np.concatenate([t + s, rng.integers(3600, 3900, 5)]) for (u, t), s in zip(base.items(), (700, -450, 5), strict=True)}
