@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import materialise, shared_folder
 
-__all__ = ["WORD", "let", "materialise", "prefix_sums", "running", "shared_dir", "shingle_hashes", "table", "with_defaults", "words_of"]
+__all__ = ["WORD", "let", "materialise", "meet", "prefix_sums", "running", "shared_dir", "shingle_hashes", "table", "with_defaults", "words_of"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,26 @@ def prefix_sums(df: DataFrame, order: list[Column], name: str, part: str | None
     return inside.join(before, "__part").select(*df.columns, *kept, *[(F.col(f"__in_{k}") + F.col(f"__{k}")).alias(k) for k in sums])
 
 
+#: A key of more than one row in so many counts as hot.
+HOT_SHARE = 1000
+
+
+def meet(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with ``one``, which has at most one row for each value of keys (none of them null).
+
+    rows: a written table. A key that more than one row in HOT_SHARE has (there are fewer than HOT_SHARE of these) meets its
+    row of ``one`` by broadcast; the others are shuffled, where no key has more rows than that.
+    """
+    total = rows.count()
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") * HOT_SHARE > total).select(*keys)
+    hot = materialise(hot, "hot-keys")
+    if hot.isEmpty():
+        return rows.join(one, keys)
+    few = one.join(F.broadcast(hot), keys, "left_semi")
+    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(one, keys)
+    return rows.join(F.broadcast(few), keys).unionByName(rest)
+
+
 def with_defaults(text: str | Column) -> Column:
     """The text, a null one as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

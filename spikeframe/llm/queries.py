@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, main_text, mixing, near_dedup, pieces, secrets, toxicity, warc
+from . import chat, collocations, exact_dedup, fingerprints, main_text, mixing, near_dedup, pieces, secrets, toxicity, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_exact_dedup": op2_exact_dedup,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_near_dedup": op10_near_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -135,5 +140,29 @@ g AS (
 SELECT conv_id, perspective, part, n_turns, n_chars, text, mask,
   coalesce(sum(n_chars) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
 FROM g
+""",
+    "op13_collocations": r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+c AS (SELECT lang, ws, len(ws) AS m FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p) WHERE len(ws) > 0),
+total AS (SELECT lang, sum(m)::BIGINT AS n FROM c GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f
+  FROM c, unnest(range(1, 6)) AS u(k), unnest(range(1, m - k + 2)) AS v(i) GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, k, phrase, f AS a FROM f WHERE k >= 2),
+cuts AS (
+  SELECT lang, k, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS head, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS rest
+  FROM cand, unnest(range(1, k)) AS u(cut)),
+s AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM cand x WHERE x.lang = b.lang AND x.k > b.k AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * x.a >= 100 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """,
 }
