@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, exact_dedup, fingerprints, main_text, mixing, near_dedup, pieces, secrets, toxicity, warc
+from . import chat, collocations, exact_dedup, fingerprints, main_text, mixing, near_dedup, pieces, secrets, toxicity, trie, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_near_dedup": op10_near_dedup,
+    "op12_trie": op12_trie,
     "op13_collocations": op13_collocations,
 }
 
@@ -140,6 +145,32 @@ g AS (
 SELECT conv_id, perspective, part, n_turns, n_chars, text, mask,
   coalesce(sum(n_chars) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
 FROM g
+""",
+    "op12_trie": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, role, digest) AS turns, list(words ORDER BY turn NULLS FIRST, role, digest) AS words,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 4 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns, list_concat(coalesce(b.words[1:c.h], []), c.words[c.h + 1:]) AS words
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d, len(turns) AS size, turns[1:d] AS path, coalesce(words[d], 0) AS w FROM r, unnest(range(0, len(turns) + 1)) AS u(d)),
+nodes AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(w) AS w,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = size), '') AS ends
+  FROM p GROUP BY d, path),
+kids AS (SELECT d - 1 AS d, path[1:d - 1] AS path, count(*)::BIGINT AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, path)),
+below AS (
+  SELECT a AS d, path[1:a] AS path, count(*) FILTER (n_children = 0)::BIGINT AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens
+  FROM known, unnest(range(0, d + 1)) AS u(a) GROUP BY ALL)
+SELECT k.conv_id, k.d::BIGINT AS depth, up.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, sha256(k.ends) AS ends_sha256
+FROM known k JOIN below USING (d, path) LEFT JOIN nodes up ON up.d = k.d - 1 AND up.path = k.path[1:k.d - 1]
 """,
     "op13_collocations": r"""
 WITH t AS (
