@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, exact_dedup, fingerprints, main_text, mixing, near_dedup, pieces, secrets, toxicity, trie, warc
+from . import chat, collocations, exact_dedup, fingerprints, main_text, mixing, near_dedup, neighbours, pieces, secrets, toxicity, trie, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_near_dedup": op10_near_dedup,
+    "op11_neighbours": op11_neighbours,
     "op12_trie": op12_trie,
     "op13_collocations": op13_collocations,
 }
