@@ -3,12 +3,12 @@
 Only windows of MAX_WORDS words are counted: each word with the words 1 to 4 places on beside it as
 lead columns, padded where its piece ends. ROLLUP over the lead columns then sums the counts of
 ever shorter prefixes: the total of (w1, w2, w3) over all that follows is the number of times that
-these three words occur in a row. No n-gram of another length is ever made from the text.
+these three words occur in a row. No n-gram of another length is ever made into rows.
 
-A window is padded as well behind a pair of words that can't occur often enough (a phrase
-is no more frequent than any pair of neighbours in it), so that most windows are short and equal. Which pairs
-can is read from counts by hash slot, an upper bound of each pair's own count: the
-counts of what remains are exact whatever the number of slots.
+A window is padded as well where two or three words in a row can't occur often enough, as no phrase around them can
+then: most windows are short and equal, and add up before they move. Which pairs and triples can is read from counts by hash
+slot, an upper bound of each one's own count; what is counted of the rest is exact whatever the number of
+slots. Before the ROLLUP, windows lose the last words with which they turned out to be too rare.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import materialise, meet
 
 MAX_WORDS = 5
-#: Slots of the counts of pairs: 2 to this power, a byte for every 8 of which goes to each worker.
-SLOT_BITS = 22
+#: Slots of the counts of pairs and triples, as powers of 2: from words in the table, about one slot for 16. A bit of each goes to the workers.
+LEAST_BITS, MOST_BITS, PER_SLOT = 16, 27, 16
+#: Lengths that are counted by slots, and slots that travel as one row.
+GATED, SPAN = (2, 3), 1 << 16
 #: Parts that a language's phrases are ranked in before they meet.
 RANK_PARTS = 256
 LEADS = tuple(f"w{k}" for k in range(1, MAX_WORDS + 1))
@@ -44,7 +46,7 @@ CHUNK = 1 << 22
 class _Words:
     """The words of texts end to end: codes into their own dictionary, with language and words left in the piece."""
 
-    def __init__(self, lang: pa.Array, text: pa.Array, bits: int):
+    def __init__(self, lang: pa.Array, text: pa.Array):
         text = pc.ascii_lower(pc.fill_null(text, ""))
         at = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1]
         data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]]
@@ -64,16 +66,34 @@ class _Words:
         piece = np.cumsum((ends == 2).astype(np.int64) + begins)[first]
         last = np.flatnonzero(np.diff(piece, append=-1))
         self.left = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(first)) + 1  # words up to the piece's end
-        hashes = lambda values: pd.util.hash_array(np.array(values.to_pylist(), dtype=object), categorize=False)
-        pair = np.flatnonzero(self.left > 1)
-        self.pair, self.slot = pair, np.zeros(0, dtype=np.int64)
-        if len(pair):
-            h, g = hashes(self.words), hashes(self.langs)
-            mixed = (h[self.code[pair]] * _A ^ h[self.code[pair + 1]]) * _B + g[self.lang[pair]]
-            self.slot = ((mixed * _A) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[_Words]:
+        self.hash = self._hashes(self.words)[self.code] + self._hashes(self.langs)[self.lang] * _B
+
+    @staticmethod
+    def _hashes(values: pa.Array) -> np.ndarray:
+        return pd.util.hash_array(np.array(values.to_pylist(), dtype=object), categorize=False)
+
+    def slots(self, at: np.ndarray, k: int, bits: int) -> np.ndarray:
+        """Slots of the k words from each place on."""
+        mixed = self.hash[at]
+        for j in range(1, k):
+            mixed = (mixed * _A) ^ (self.hash[at + j] * _B)
+            mixed ^= mixed >> np.uint64(29)
+        return ((mixed * _A) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def on(self, k: int, masks: dict[int, np.ndarray], bits: int, shorter: np.ndarray | None = None) -> np.ndarray:
+        """Places where the k words from there on may be frequent, by what the masks say of two and three words in a row."""
+        if k == 1:
+            return np.ones(len(self.code), dtype=bool)
+        shorter = self.on(k - 1, masks, bits) if shorter is None else shorter
+        out = shorter & np.append(shorter[1:], False) & (self.left >= k)
+        if k in masks:
+            at = np.flatnonzero(out)
+            slot = self.slots(at, k, bits)
+            out[at] = (masks[k][slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+        return out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
     """The words of (lang, text) batches, whole texts of up to CHUNK bytes together."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -81,53 +101,76 @@ def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[_Words]:
         while begin < batch.num_rows:
             done = int(sizes[begin - 1]) if begin else 0
             end = max(begin + 1, int(np.searchsorted(sizes, done + CHUNK, "right")))
-            words = _Words(batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), bits)
+            words = _Words(batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin))
             if len(words.code):
                 yield words
             begin = end
 
 
-def _slot_counts(texts: DataFrame, bits: int) -> DataFrame:
-    """(slot, n): how many pairs of neighbours fall into each slot; a task adds up all its own first."""
+def frequent_slots(texts: DataFrame, k: int, masks: dict[int, np.ndarray], least: int, bits: int) -> np.ndarray:
+    """A bit for each slot: whether at least ``least`` runs of k words fall into it.
+
+    A task counts all its own runs by slot, up to ``least``, and sends spans of slots; spans add up as they come.
+    """
+    kind = np.min_scalar_type(least)
+    span = min(SPAN, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
-        for words in _chunks(batches, bits):
-            at, n = np.unique(words.slot, return_counts=True)
-            total[at] += n
-        seen = np.flatnonzero(total)
-        for k in range(0, len(seen), 1 << 16):
-            part = seen[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], names=["slot", "n"])
-
-    return texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-
-
-def frequent_slots(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """The slots with at least ``least`` pairs, a bit for each: 2 ** bits / 8 bytes at any size of the input."""
-    there = _slot_counts(texts, bits).where(F.col("n") >= least)
-    packed = there.groupBy(F.shiftright("slot", 5).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 as int)))").alias("set"))
-    mask = np.zeros(max(1, (1 << bits) >> 5), dtype=np.uint32)
-    for r in packed.toLocalIterator():
-        mask[r.at] = r.set
+        total = np.zeros(1 << bits, dtype=kind)
+        for words in _chunks(batches):
+            at, n = np.unique(words.slots(np.flatnonzero(words.on(k, masks, bits)), k, bits), return_counts=True)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, least)
+        for i in range(0, len(total), span):
+            part = total[i : i + span]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // span]), pa.array([part.tobytes()], pa.binary())], names=["span", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["span", "bits"])
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if at != now:
+                    if now is not None:
+                        yield packed()
+                    now, total = at, np.zeros(span, dtype=np.int64)
+                total += np.frombuffer(counts.as_buffer(), dtype=kind)
+        if now is not None:
+            yield packed()
+
+    sent = texts.mapInArrow(count, "span long, counts binary").repartition("span").sortWithinPartitions("span")
+    mask = np.zeros(((1 << bits) + 7) // 8, dtype=np.uint8)
+    # 2 ** MOST_BITS bits at most
+    for r in sent.mapInArrow(add, "span long, bits binary").toLocalIterator():
+        part = np.frombuffer(r.bits, dtype=np.uint8)
+        mask[r.span * span // 8 : r.span * span // 8 + len(part)] = part
     return mask
 
 
-def counted_windows(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> DataFrame:
-    """(lang, w1 to w5, n) of texts (lang, text): every word with those behind it, padded with empty strings, and how often that occurs."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent_slots(texts, least, bits))
+def slot_bits(texts: DataFrame) -> int:
+    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(1 + words / PER_SLOT)))))
+
+
+def counted_windows(texts: DataFrame, least: int, bits: int | None = None) -> DataFrame:
+    """(lang, w1 to w5, n) of texts (lang, text): every word with those behind it, padded with empty strings, and how often that occurs.
+
+    A window may come in several rows, all of them in one part of the table with those that agree in the first three words.
+    """
+    bits, masks = slot_bits(texts) if bits is None else bits, {}
+    for k in GATED:
+        masks[k] = frequent_slots(texts, k, masks, least, bits)
+    sent = texts.sparkSession.sparkContext.broadcast(masks)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = sent.value
-        for w in _chunks(batches, bits):
-            on = np.zeros(len(w.code), dtype=bool)
-            on[w.pair] = (mask[w.slot >> 5] >> (w.slot & 31).astype(np.uint32)) & 1
-            leads, live = [w.code], np.arange(len(w.code))
+        for w in _chunks(batches):
+            leads, on = [w.code], w.on(1, sent.value, bits)
             group = pd.factorize(w.lang.astype(np.int64) * len(w.words) + w.code)[0]
-            for k in range(1, MAX_WORDS):
-                live = live[on[live + k - 1]]
+            for k in range(2, MAX_WORDS + 1):
+                on = w.on(k, sent.value, bits, on)
+                live = np.flatnonzero(on)
                 lead = np.full(len(w.code), -1, dtype=np.int64)
-                lead[live] = w.code[live + k]
+                lead[live] = w.code[live + k - 1]
                 leads.append(lead)
                 # equal windows so far, numbered as they come
                 group = pd.factorize(group * (len(w.words) + 1) + lead + 1)[0]
@@ -137,7 +180,18 @@ def counted_windows(texts: DataFrame, least: int, bits: int = SLOT_BITS) -> Data
             yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[first])), *leads, pa.array(n)], names=["lang", *LEADS, "n"])
 
     schema = ", ".join(f"{c} string" for c in ("lang", *LEADS)) + ", n long"
-    return texts.mapInArrow(windows, schema).groupBy("lang", *LEADS).agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(windows, schema).repartition("lang", *LEADS[:3])
+
+
+def shortened(windows: DataFrame, least: int) -> DataFrame:
+    """windows (counted_windows) without the last words with which they occur less than ``least`` times, down to pairs. Nothing moves."""
+    rows = windows.groupBy("lang", *LEADS).agg(F.sum("n").alias("n"))
+    for k in range(MAX_WORDS, 2, -1):
+        # how often the first k words occur, whatever follows
+        often = F.sum("n").over(Window.partitionBy("lang", *LEADS[:k])) >= least
+        rows = rows.withColumn("__often", often).withColumn(LEADS[k - 1], F.when(F.col("__often"), F.col(LEADS[k - 1])).otherwise(""))
+        rows = rows.groupBy("lang", *LEADS).agg(F.sum("n").alias("n"))
+    return rows
 
 
 def phrase_counts(windows: DataFrame, least: int) -> DataFrame:
@@ -187,7 +241,7 @@ def without_parts(rows: DataFrame, share: int = 100) -> DataFrame:
     return kept.drop("__most")
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, share: int = 100, text_col: str = "text", lang_col: str = "lang", bits: int = SLOT_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, share: int = 100, text_col: str = "text", lang_col: str = "lang", bits: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of two to five words.
 
     a is the number of times the phrase occurs, l and r those of its two parts at the cut with the lowest
@@ -199,7 +253,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, share: int
     rows count each time, and other columns are not read. Texts of any length are read whole.
     """
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    phrases = materialise(phrase_counts(counted_windows(texts, least, bits), least), "phrases")
+    phrases = materialise(phrase_counts(shortened(counted_windows(texts, least, bits), least), least), "phrases")
     rows = without_parts(materialise(scored(phrases), "scored"), share)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the first of each part, then the first of those
