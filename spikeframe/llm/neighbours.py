@@ -7,7 +7,8 @@ finds every code within r; those are compared in full, and by their vectors.
 
 The radius comes from the query: two vectors at an angle differ in a share angle / pi of their bits, so one
 that is no farther than the fifth known so far lies, up to MARGIN deviations, within a radius. The fifth known comes
-from a sample first, then from a search with a small radius; only queries whose radius is larger search again.
+from a sample first, then from a search with a small radius; only queries whose radius is larger search again, and those that
+find fewer than five then look at every code.
 
 An index is dealt to cells by the leading CELL_BITS bits of its substring. A query goes to the cells that
 its substring radius reaches, and there to every block of up to BLOCK codes; where the radius reaches all cells
@@ -55,7 +56,7 @@ def entries(rows: DataFrame, k: int) -> DataFrame:
 
 
 def learned_rotation(x: np.ndarray, dims: int, rounds: int = 30) -> np.ndarray:
-    """(dims, BITS): columns of rotations that bring the unit vectors x near the corners of a cube, one after another.
+    """(dims, BITS): columns of a rotation that brings the unit vectors x near the corners of a cube; short vectors get random ones behind it.
 
     In each round the signs are fixed and the rotation fits them best, then the other way around. Without vectors a random
     rotation stays. Seeded.
@@ -63,7 +64,7 @@ def learned_rotation(x: np.ndarray, dims: int, rounds: int = 30) -> np.ndarray:
     rng, cols = np.random.default_rng(20), []
     while sum(c.shape[1] for c in cols) < BITS:
         r = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
-        for _ in range(rounds if len(x) else 0):
+        for _ in range(rounds if len(x) and not cols else 0):
             u, _, w = np.linalg.svd(x.T @ np.where(x @ r > 0, 1.0, -1.0))
             r = u @ w
         cols.append(r)
@@ -264,12 +265,16 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     marked = known.join(of_entry.select("entry").distinct().withColumn("queried", F.lit(True)), "entry", "left").withColumn("queried", F.coalesce("queried", F.lit(False)))
     codes = coded(marked, fitted(known), k)
     first = codes.where("queried").withColumn("radius", F.lit(FIRST_RADIUS))
+    sizes = known.select("entry", "n")
     near = materialise(search(codes, first, k), "near")
-    members = known.select("entry", "n")
-    reached = _reached(near.join(members, "entry"), k)
-    wider = materialise(_with_radius(first.drop("radius").join(reached.withColumnRenamed("query", "entry"), "entry", "left")).where(F.col("radius") > FIRST_RADIUS), "wider")
-    again = search(codes, wider.drop("sure"), k)
-    found = near.join(wider.select(F.col("entry").alias("query")), "query", "left_anti").unionByName(again)
+    reached = _reached(near.join(sizes, "entry"), k).withColumnRenamed("query", "entry")
+    wider = materialise(_with_radius(first.drop("radius").join(reached, "entry", "left")).where(F.col("radius") > FIRST_RADIUS), "wider")
+    found = materialise(_replaced(near, wider, search(codes, wider, k)), "found")
+    # a radius is right but for its margin: who has too few at its end looks at every code
+    enough = _reached(found.join(sizes, "entry"), k).select(F.col("query").alias("entry"))
+    rest = materialise(first.withColumn("radius", F.lit(BITS)).join(enough, "entry", "left_anti"), "rest")
+    if not rest.isEmpty():
+        found = _replaced(found, rest, search(codes, rest, k))
     lists = found.join(known.select("entry", "members"), "entry").groupBy("query").agg(F.collect_list(F.struct("score", "members")).alias("found"))
     lists = lists.withColumnRenamed("query", "entry")
     answers = meet(of_entry, lists, ["entry"])
@@ -279,6 +284,10 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("m.id").alias(id_col), "score")
 
 
+def _replaced(found: DataFrame, queries: DataFrame, again: DataFrame) -> DataFrame:
+    return found.join(queries.select(F.col("entry").alias("query")), "query", "left_anti").unionByName(again)
+
+
 def _reached(found: DataFrame, k: int) -> DataFrame:
     """(query, sure): the score that k rows other than the query's own reach, of those found; missing where there are fewer."""
     order = Window.partitionBy("query").orderBy(F.desc("score"), "entry").rowsBetween(Window.unboundedPreceding, 0)
