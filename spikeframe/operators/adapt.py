@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialise
@@ -59,11 +59,12 @@ def find_peaks(x: np.ndarray, low: float, high: float, distance: int) -> np.ndar
     top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
     at = (starts[top] + ends[top] - 1) // 2
     at = at[(x[at] >= low) & (x[at] <= high)]
-    kept: list[int] = []
-    for i in sorted(at.tolist(), key=lambda i: (-x[i], -i)):
-        if all(abs(i - k) >= distance for k in kept):
-            kept.append(i)
-    return np.array(sorted(kept), dtype=int)
+    free, kept = np.ones(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+    for i in at[np.lexsort((-at, -x[at]))].tolist():
+        if free[i]:
+            kept[i] = True
+            free[max(0, i - distance + 1) : i + distance] = False
+    return np.flatnonzero(kept)
 
 
 def kl_of(c: np.ndarray) -> float:
@@ -129,23 +130,33 @@ class Run:
 
         A batch of one row leaves the covariance, and with it the whitening, as it is.
         """
+        out = self.whiten(x)
+        made = self.separate(out.pop("z"))
+        total = 1e10 if np.isnan(out["wh_loss"]) else out["wh_loss"]
+        total += sum(0 if np.isnan(u[-1]) else u[-1] for u in made)
+        return out | {"units": made, "total_loss": total if self.p.compute_loss else np.nan}
+
+    def whiten(self, x: np.ndarray) -> dict:
+        """The batch whitened, with the whitening and covariance from before it and the loss; both move on."""
         p, z = self.p, x @ self.w.T
-        out = {"w": self.w, "wh_loss": np.nan, "units": []}
+        out = {"z": z, "w": self.w, "c": self.c, "wh_loss": np.nan}
         if len(z) > 1:
             self.c = (1 - p.cov_alpha) * self.c + p.cov_alpha * np.atleast_2d(np.cov(z.T))
         if p.compute_loss:
             out["wh_loss"] = ((kl_of(self.c) - self.kl_mean) / self.kl_std) ** 2 if self.kl_std else np.nan
         if p.adapt_wh and len(z) > 1:
             self.w = self.w + p.wh_learning_rate * (self.w - self.c @ self.w)
-        total = 1e10 if np.isnan(out["wh_loss"]) else out["wh_loss"]
+        return out
+
+    def separate(self, z: np.ndarray) -> list[tuple]:
+        """(unit, ipt, places of spikes, w, base, spikes, height, loss) of each unit over a whitened batch; the units move on."""
+        made = []
         ipts = z @ np.stack([u.w for u in self.units]).T if self.units else np.zeros((len(z), 0))
         for u, ipt in zip(self.units, ipts.T, strict=True):
             before = (u.w, u.base, u.spikes, u.height)
-            at, hit, u.w, u.base, u.spikes, u.height = unit_step(*before, ipt, z, p)
-            loss = self._sv_loss(u, ipt[at[hit]]) if p.compute_loss else np.nan
-            total += 0 if np.isnan(loss) else loss
-            out["units"].append((u.unit, ipt, at[hit], *before, loss))
-        return out | {"total_loss": total if p.compute_loss else np.nan}
+            at, hit, u.w, u.base, u.spikes, u.height = unit_step(*before, ipt, z, self.p)
+            made.append((u.unit, ipt, at[hit], *before, self._sv_loss(u, ipt[at[hit]]) if self.p.compute_loss else np.nan))
+        return made
 
     def _sv_loss(self, u: Unit, heights: np.ndarray) -> float:
         """Distance of the mean spike's contrast from the calibration's; NaN without spikes."""
@@ -160,15 +171,19 @@ class Delays:
     def __init__(self, p: Params):
         self.p, self.tail, self.next = p, None, 0
 
+    def start(self, first: int, before: np.ndarray | None = None) -> None:
+        """Begin with batch ``first``; before: the samples right before it, none of them zeros."""
+        self.next, self.tail = first, before
+
     def batch(self, raw: np.ndarray) -> tuple[np.ndarray, int]:
         """Extended rows of the next batch, and how many of its first ones were left out."""
-        p = self.p
+        p, depth = self.p, self.p.ext_fact - 1
         if self.tail is None:
-            self.tail = np.zeros((p.ext_fact - 1, raw.shape[1]))
+            self.tail = np.zeros((depth, raw.shape[1]))
         whole = np.concatenate([self.tail, raw])
-        x = np.hstack([whole[p.ext_fact - 1 - i : len(whole) - i] for i in range(p.ext_fact)])
+        x = np.hstack([whole[depth - i : len(whole) - i] for i in range(p.ext_fact)])
         skip = min(len(raw), p.ext_fact) if self.next == 0 else 0
-        self.tail, self.next = whole[len(whole) - (p.ext_fact - 1) :], self.next + 1
+        self.tail, self.next = whole[len(whole) - depth :], self.next + 1
         return x[skip:], skip
 
 
@@ -193,26 +208,39 @@ def batch_covariances(df: DataFrame, size: int) -> DataFrame:
     return sums.groupBy("recording_id", "batch_idx").applyInPandas(total, "recording_id string, batch_idx long, n long, cov array<double>")
 
 
-def in_order(rows: DataFrame, fold: Callable[[], Callable[[str, int, np.ndarray, np.ndarray], list[tuple]]], schema: str) -> DataFrame:
+#: Bytes of arrays in rows that a fold puts out together.
+OUT_BYTES = 1 << 24
+
+
+def in_order(rows: DataFrame, fold: Callable[[], Callable[[str, int, np.ndarray, np.ndarray], Iterator[tuple]]], schema: str) -> DataFrame:
     """rows (recording_id, kind, at, payload) of a recording in order of kind and at, through one fold each, as a stream.
 
     fold() makes a function that is called as f(recording_id, kind, ats, payloads) with consecutive rows,
-    and at the end with kind -1; it returns rows of ``schema``. A task holds one recording's fold at a time.
+    and at the end with kind -1; it gives rows of ``schema`` one after another. A task holds one recording's fold at a time, and
+    rows of about OUT_BYTES.
     """
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         key, step, none = None, None, np.empty(0)
         for pdf in batches:
-            out = []
             for (recording, kind), part in pdf.groupby(["recording_id", "kind"], sort=False):
                 if recording != key:
-                    out += step(key, -1, none, none) if step else []
+                    if step:
+                        yield from step(key, -1, none, none)
                     key, step = recording, fold()
-                out += step(key, int(kind), part["at"].to_numpy(), part["payload"].to_numpy())
-            if out:
+                yield from step(key, int(kind), part["at"].to_numpy(), part["payload"].to_numpy())
+        if step:
+            yield from step(key, -1, none, none)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for row in made(batches):
+            out.append(row)
+            size += 64 + sum(v.nbytes for v in row if isinstance(v, np.ndarray))
+            if size > OUT_BYTES:
                 yield pd.DataFrame(out, columns=names)
-        out = step(key, -1, none, none) if step else []
+                out, size = [], 0
         if out:
             yield pd.DataFrame(out, columns=names)
 
@@ -224,10 +252,11 @@ def _null(v) -> float | None:
     return None if v is None or np.isnan(v) else float(v)
 
 
-def adapt_whitening(covs: DataFrame, start: DataFrame, p: Params) -> DataFrame:
+def adapt_whitening(covs: DataFrame, start: DataFrame, p: Params, every: int = 1) -> DataFrame:
     """(recording_id, version, w, c): whitening (flat) valid before batch ``version``, and the running covariance after it.
 
     covs: what batch_covariances returns; start (recording_id, w, c) flat. A batch of one row leaves both as they are.
+    every: only of each so many batches.
     """
     head = start.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.concat("w", "c").alias("payload"))
     body = covs.select("recording_id", F.lit(1).alias("kind"), F.col("batch_idx").alias("at"), F.col("cov").alias("payload"))
@@ -241,50 +270,119 @@ def adapt_whitening(covs: DataFrame, start: DataFrame, p: Params) -> DataFrame:
                 n = int(np.sqrt(len(payloads[0]) // 2))
                 w, c = np.array(payloads[0]).reshape(2, n, n)
             if kind != 1 or w is None:
-                return []
-            out = []
+                return
             for b, flat in zip(ats, payloads, strict=True):
                 was, x = w, np.asarray(flat).reshape(w.shape)
                 if np.isfinite(x).all():
                     c = (1 - p.cov_alpha) * c + p.cov_alpha * (w @ x @ w.T)
                     w = w - p.wh_learning_rate * (c - np.eye(len(c))) @ w if p.adapt_wh else w
-                out.append((key, b, was.ravel(), c.ravel()))
-            return out
+                if b % every == 0:
+                    yield key, b, was.ravel(), c.ravel()
 
         return step
 
     return in_order(head.unionByName(body), fold, "recording_id string, version long, w array<double>, c array<double>")
 
 
-STEP = "recording_id string, trial_id int, batch_idx long, unit int, samples array<long>, ipts array<double>, spikes array<long>, w array<double>, base_centr double, spikes_centr double, height double, sv_loss double, wh_loss double, total_loss double"
+STEP = "recording_id string, trial_id int, batch_idx long, unit int, samples array<long>, ipts array<double>, spikes array<long>, w array<double>, c array<double>, base_centr double, spikes_centr double, height double, sv_loss double, wh_loss double, total_loss double"
 
 
 def start_rows(start: DataFrame, units: DataFrame) -> DataFrame:
     """The rows of a fold that come before the samples: kind 0 the whitening, kind 1 the units."""
-    there = lambda df, name: F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
-    nan = lambda df, name: F.coalesce(there(df, name), F.lit(float("nan")))
-    whole = start.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.concat(F.array(nan(start, "kl_mean"), nan(start, "kl_std")), "w", "c").alias("payload"))
-    values = [F.col("unit").cast("double"), *[F.col(c).cast("double") for c in ("base_centr", "spikes_centr", "height")], nan(units, "contrast_mean"), nan(units, "contrast_std")]
-    return whole.unionByName(units.select("recording_id", F.lit(1).alias("kind"), F.col("unit").cast("long").alias("at"), F.concat(F.array(*values), "w").alias("payload")))
+    whole = start.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.concat(F.array(_or_nan(start, "kl_mean"), _or_nan(start, "kl_std")), "w", "c").alias("payload"))
+    return whole.unionByName(_unit_payloads(units))
+
+
+def _or_nan(df: DataFrame, name: str) -> Column:
+    there = F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
+    return F.coalesce(there, F.lit(float("nan")))
+
 
+def _unit_payloads(units: DataFrame) -> DataFrame:
+    values = [F.col("unit").cast("double"), *[F.col(c).cast("double") for c in ("base_centr", "spikes_centr", "height")], _or_nan(units, "contrast_mean"), _or_nan(units, "contrast_std")]
+    return units.select("recording_id", F.lit(1).alias("kind"), F.col("unit").cast("long").alias("at"), F.concat(F.array(*values), "w").alias("payload"))
 
-def started_runs(rows: dict[int, list[np.ndarray]], settings: list[Params]) -> list[Run]:
-    """A run for each setting from the payloads of kinds 0 and 1."""
+
+def _unit_of(payload: np.ndarray) -> Unit:
+    return Unit(int(payload[0]), np.array(payload[6:]), *map(float, payload[1:6]))
+
+
+def started_runs(rows: dict[int, list[np.ndarray]], settings: list[Params], entries: int) -> list[Run]:
+    """A run for each setting from the payloads of kinds 0 and 1; entries: of an extended sample."""
     whole = np.asarray(rows[0][0])
-    k = len(rows[1][0]) - 6 if rows.get(1) else int(np.sqrt((len(whole) - 2) // 2))
-    size = len(whole) - 2 - k * k
+    # k rows of the whitening and k x k covariances
+    k = round((np.sqrt(entries * entries + 4 * (len(whole) - 2)) - entries) / 2)
+    size = k * entries
     w, c = whole[2 : 2 + size].reshape(k, -1), whole[2 + size :].reshape(k, k)
-    units = lambda: [Unit(int(u[0]), np.array(u[6:]), *map(float, u[1:6])) for u in map(np.asarray, rows.get(1, []))]
+    units = lambda: [_unit_of(np.asarray(u)) for u in rows.get(1, [])]
     return [Run(p, w, c, units(), whole[0], whole[1]) for p in settings]
 
 
-def adaptive_steps(signal: DataFrame, start: DataFrame, units: DataFrame, trials: list[tuple[int, Params]], whole: bool = True, with_w: bool = False, last_batch: int | None = None) -> DataFrame:
+class Batches:
+    """Samples of a recording in order, cut into batches: gaps are zeros, of repeated samples the first counts.
+
+    A recording begins with the batch of its first sample.
+    """
+
+    def __init__(self, size: int, now: int | None = None):
+        self.size, self.now = size, now
+        self.at, self.x = np.empty(0, dtype=np.int64), None
+
+    def add(self, at: np.ndarray, payloads: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(batch, its samples) of the batches that are full or over with these samples."""
+        x = np.stack(payloads).astype(float, copy=False)
+        if self.x is not None and len(self.x):
+            at, x = np.concatenate([self.at, at]), np.concatenate([self.x, x])
+        fresh = np.diff(at, prepend=at[0] - 1) > 0
+        at, x = at[fresh], x[fresh]
+        self.now = int(at[0]) // self.size if self.now is None else self.now
+        last = int(at[-1]) // self.size
+        while self.now < last:
+            n = int(np.searchsorted(at, (self.now + 1) * self.size))
+            yield self.now, self.filled(at[:n], x[:n], self.size)
+            at, x, self.now = at[n:], x[n:], self.now + 1
+        self.at, self.x = at, x
+
+    def until(self, end: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The batches before ``end``, all of them full."""
+        x = np.zeros((0, width)) if self.x is None else self.x
+        while self.now < end:
+            n = int(np.searchsorted(self.at, (self.now + 1) * self.size))
+            yield self.now, self.filled(self.at[:n], x[:n], self.size)
+            self.at, x, self.now = self.at[n:], x[n:], self.now + 1
+        self.x = x
+
+    def rest(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The last batch, as long as its samples reach."""
+        if len(self.at):
+            yield self.now, self.filled(self.at, self.x, int(self.at[-1]) + 1 - self.now * self.size)
+
+    def filled(self, at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, x.shape[1]))
+        out[at - self.now * self.size] = x
+        return out
+
+
+def unit_rows(name: str, trial: int, batch: int, at: np.ndarray, made: list[tuple], whole: bool = True) -> Iterator[tuple]:
+    """STEP rows of the units of a batch (Run.separate)."""
+    for unit, ipt, hits, w, base, spikes, height, loss in made:
+        arrays = (at, ipt, at[hits], w) if whole else (None, None, None, None)
+        yield name, trial, batch, unit, *arrays, None, base, spikes, height, _null(loss), None, None
+
+
+def _batch_row(name: str, trial: int, batch: int, done: dict, keep: bool) -> tuple:
+    w, c = (done["w"].ravel(), done["c"].ravel()) if keep else (None, None)
+    return name, trial, batch, None, None, None, None, w, c, None, None, None, None, _null(done["wh_loss"]), _null(done.get("total_loss"))
+
+
+def adaptive_steps(signal: DataFrame, start: DataFrame, units: DataFrame, trials: list[tuple[int, Params]], whole: bool = True, snapshots: int | None = None, last_batch: int | None = None) -> DataFrame:
     """STEP rows: for each trial and batch one for every unit, and one (unit null) for the batch itself.
 
     signal (recording_id, sample_idx, channels); start (recording_id, w, c flat; kl_mean and kl_std of the
     calibration); units (recording_id, unit, w, base_centr, spikes_centr, height; contrast_mean and contrast_std).
     w need not be square. Parameters in a row are those from before its batch. whole: samples, ipts, spikes and vectors
-    too, not losses alone; with_w: the whitening in the batches' own rows. Gaps in the samples are zeros, of repeated ones the first counts;
+    too, not losses alone; snapshots: whitening and covariance in the own row of each so many batches. Gaps in the samples are zeros, of repeated
+    ones the first counts, and a recording begins with the batch of its first sample;
     recordings without a model give no rows. Trials are few and go to the tasks as they are; sizes of batches and delays
     are the same for all.
     """
@@ -293,62 +391,141 @@ def adaptive_steps(signal: DataFrame, start: DataFrame, units: DataFrame, trials
         raise ValueError("trials must share batch_size and ext_fact")
     if last_batch is not None:
         signal = signal.where(F.col("sample_idx") < last_batch * p.batch_size)
-    samples = signal.select("recording_id", F.lit(2).alias("kind"), F.col("sample_idx").alias("at"), F.col("channels").alias("payload"))
-    rows = start_rows(start, units).unionByName(samples)
+    rows = start_rows(start, units).unionByName(_sample_rows(signal))
     groups = [trials[i : i + TRIALS_PER_GROUP] for i in range(0, len(trials), TRIALS_PER_GROUP)]
     if len(groups) > 1:
         rows = rows.withColumn("recording_id", F.explode(F.array(*[F.concat(F.lit(f"{g}|"), "recording_id") for g in range(len(groups))])))
 
     def fold():
-        begun, runs, delays, held, now, width = {}, None, Delays(p), {}, 0, 0
+        begun, runs, delays, cut = {}, None, Delays(p), Batches(p.batch_size)
 
-        def flush(key: str, size: int) -> list[tuple]:
-            nonlocal now, held
-            first = now * p.batch_size
-            raw = np.stack([held.get(first + i, np.zeros(width)) for i in range(size)]).astype(float)
+        def done(key: str, batch: int, raw: np.ndarray) -> Iterator[tuple]:
+            if delays.tail is None:
+                delays.start(batch)
             x, skip = delays.batch(raw)
-            out, name = [], key.split("|", 1)[1] if len(groups) > 1 else key
-            if len(x):
-                at = np.arange(first + skip, first + size)
-                for trial, run in runs:
-                    done = run.batch(x)
-                    for unit, ipt, hits, w, base, spikes, height, loss in done["units"]:
-                        arrays = (at, ipt, at[hits], w) if whole else (None, None, None, None)
-                        out.append((name, trial, now, unit, *arrays, base, spikes, height, _null(loss), None, None))
-                    out.append((name, trial, now, None, None, None, None, done["w"].ravel() if with_w else None, None, None, None, None, _null(done["wh_loss"]), _null(done["total_loss"])))
-            held, now = {}, now + 1
-            return out
+            if not len(x):
+                return
+            name = key.split("|", 1)[1] if len(groups) > 1 else key
+            at = np.arange(batch * p.batch_size + skip, batch * p.batch_size + len(raw))
+            for trial, run in runs:
+                out = run.batch(x)
+                yield from unit_rows(name, trial, batch, at, out["units"], whole)
+                yield _batch_row(name, trial, batch, out, snapshots is not None and batch % snapshots == 0)
 
         def step(key, kind, ats, payloads):
-            nonlocal runs, width
-            out = []
+            nonlocal runs
             if kind in (0, 1):
                 begun.setdefault(kind, []).extend(payloads)
             elif 0 in begun and kind == 2:
                 if runs is None:
                     mine = groups[int(key.split("|", 1)[0])] if len(groups) > 1 else trials
-                    runs = list(zip([t for t, _ in mine], started_runs(begun, [q for _, q in mine]), strict=True))
-                width = len(payloads[0])
-                for i, x in zip(ats.tolist(), payloads, strict=True):
-                    while i >= (now + 1) * p.batch_size:
-                        out += flush(key, p.batch_size)
-                    held.setdefault(i, x)
-            elif kind == -1 and held:
-                out += flush(key, max(held) + 1 - now * p.batch_size)
-            return out
+                    runs = list(zip([t for t, _ in mine], started_runs(begun, [q for _, q in mine], len(payloads[0]) * p.ext_fact), strict=True))
+                for batch, raw in cut.add(ats, payloads):
+                    yield from done(key, batch, raw)
+            elif kind == -1:
+                for batch, raw in cut.rest():
+                    yield from done(key, batch, raw)
 
         return step
 
     return in_order(rows, fold, STEP)
 
 
-def decompose_adaptive(signal: DataFrame, start: DataFrame, units: DataFrame, p: Params, with_w: bool = False) -> dict[str, DataFrame]:
+def _sample_rows(signal: DataFrame) -> DataFrame:
+    return signal.select("recording_id", F.lit(2).alias("kind"), F.col("sample_idx").alias("at"), F.col("channels").alias("payload"))
+
+
+WHITENED = "recording_id string, batch_idx long, first long, n int, z array<double>, wh_loss double, w array<double>, c array<double>"
+
+
+def whitened_batches(signal: DataFrame, start: DataFrame, p: Params, snapshots: int | None = None) -> DataFrame:
+    """A row for each batch: its samples whitened (flat) by the course that the whitening takes alone, from sample ``first`` on.
+
+    Vectors and thresholds of units never reach the whitening, so that this is the part of the adaptation that a recording's
+    units share. snapshots: as in adaptive_steps.
+    """
+    none = start.sparkSession.createDataFrame([], "recording_id string, unit int, w array<double>, base_centr double, spikes_centr double, height double")
+    rows = start_rows(start, none).unionByName(_sample_rows(signal))
+
+    def fold():
+        begun, run, delays, cut = {}, None, Delays(p), Batches(p.batch_size)
+
+        def done(key: str, batch: int, raw: np.ndarray) -> Iterator[tuple]:
+            if delays.tail is None:
+                delays.start(batch)
+            x, skip = delays.batch(raw)
+            if len(x):
+                out = run.whiten(x)
+                kept = (out["w"].ravel(), out["c"].ravel()) if snapshots is not None and batch % snapshots == 0 else (None, None)
+                yield key, batch, batch * p.batch_size + skip, len(x), out["z"].ravel(), _null(out["wh_loss"]), *kept
+
+        def step(key, kind, ats, payloads):
+            nonlocal run
+            if kind == 0:
+                begun[0] = list(payloads)
+            elif 0 in begun and kind == 2:
+                run = started_runs(begun, [p], len(payloads[0]) * p.ext_fact)[0] if run is None else run
+                for batch, raw in cut.add(ats, payloads):
+                    yield from done(key, batch, raw)
+            elif kind == -1:
+                for batch, raw in cut.rest():
+                    yield from done(key, batch, raw)
+
+        return step
+
+    return in_order(rows, fold, WHITENED)
+
+
+def separated_batches(whitened: DataFrame, units: DataFrame, p: Params, units_per_task: int) -> DataFrame:
+    """STEP rows of the units over whitened batches (whitened_batches): units are dealt to groups, each of which goes through the batches by itself."""
+    of = units.groupBy("recording_id").agg(F.count("*").alias("__n"))
+    groups = of.select("recording_id", F.ceil(F.col("__n") / units_per_task).cast("int").alias("groups"))
+    name = F.concat(F.col("group").cast("string"), F.lit("|"), "recording_id").alias("recording_id")
+    nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("unit")) - 1
+    mine = units.withColumn("group", F.floor(nth / units_per_task).cast("int")).withColumn("recording_id", name)
+    head = _unit_payloads(mine)
+    each = whitened.join(groups, "recording_id").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    payload = F.concat(F.array(F.col("first").cast("double"), F.col("n").cast("double")), "z")
+    body = each.select(name, F.lit(2).alias("kind"), F.col("batch_idx").alias("at"), payload.alias("payload"))
+
+    def fold():
+        run = Run(p, np.empty(0), np.empty(0), [])
+
+        def step(key, kind, ats, payloads):
+            if kind == 1:
+                run.units += [_unit_of(u) for u in payloads]
+            elif kind == 2:
+                for batch, row in zip(ats.tolist(), payloads, strict=True):
+                    first, n = int(row[0]), int(row[1])
+                    made = run.separate(np.asarray(row[2:]).reshape(n, -1))
+                    yield from unit_rows(key.split("|", 1)[1], 0, batch, np.arange(first, first + n), made)
+
+        return step
+
+    return in_order(head.unionByName(body), fold, STEP)
+
+
+def decompose_adaptive(signal: DataFrame, start: DataFrame, units: DataFrame, p: Params, with_w: bool = False, snapshots: int | None = None, units_per_task: int | None = None) -> dict[str, DataFrame]:
     """Outputs of the adaptive decomposition: ipts, spikes, losses by batch and by unit, and the course of the parameters.
 
-    Inputs as in adaptive_steps. All outputs come from one written table, so that the fold runs once.
+    Inputs as in adaptive_steps. All outputs come from one written table, so that the fold runs once. with_w: the whitening of
+    every batch; snapshots: of each so many. With units_per_task a recording is not one task but one for the
+    whitening and then one for each so many units, which pays where units are many; results are the same.
     """
-    steps = materialise(adaptive_steps(signal, start, units, [(0, p)], with_w=with_w), "steps")
-    of_units, of_batches = steps.where("unit is not null"), steps.where("unit is null")
+    snapshots = 1 if with_w and snapshots is None else snapshots
+    if units_per_task is None:
+        steps = materialise(adaptive_steps(signal, start, units, [(0, p)], snapshots=snapshots), "steps")
+        return outputs_of(steps.where("unit is not null"), steps.where("unit is null"))
+    whitened = materialise(whitened_batches(signal, start, p, snapshots), "whitened")
+    of_units = materialise(separated_batches(whitened, units, p, units_per_task), "unit-steps")
+    added = of_units.groupBy("recording_id", "batch_idx").agg(F.sum("sv_loss").alias("sv"))
+    total = (F.coalesce("wh_loss", F.lit(1e10)) + F.coalesce("sv", F.lit(0.0))) if p.compute_loss else F.lit(None).cast("double")
+    of_batches = whitened.drop("z").join(added, ["recording_id", "batch_idx"], "left").withColumn("total_loss", total)
+    return outputs_of(of_units, of_batches)
+
+
+def outputs_of(of_units: DataFrame, of_batches: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a run, of its STEP rows."""
     keys = ("recording_id", "batch_idx")
     return {
         "steps": of_units,
@@ -357,9 +534,86 @@ def decompose_adaptive(signal: DataFrame, start: DataFrame, units: DataFrame, p:
         "batch_metrics": of_batches.select(*keys, "wh_loss", "total_loss"),
         "unit_metrics": of_units.select(*keys, "unit", "sv_loss"),
         "model_units": of_units.select("recording_id", F.col("batch_idx").alias("version"), "unit", "w", "base_centr", "spikes_centr", "height"),
-        "model_whitening": of_batches.select("recording_id", F.col("batch_idx").alias("version"), "w").where("w is not null"),
+        "model_whitening": of_batches.select("recording_id", F.col("batch_idx").alias("version"), "w", "c").where("w is not null"),
     }
 
 
+def replay(signal: DataFrame, start: DataFrame, units: DataFrame, whitening: DataFrame, course: DataFrame, p: Params) -> dict[str, DataFrame]:
+    """The outputs of a run again, from its stored snapshots: stretches between snapshots run side by side.
+
+    whitening (recording_id, version, w, c): snapshots from before the batches ``version``, as decompose_adaptive(snapshots=k) gives
+    them in model_whitening; course: its model_units, of which the versions with a snapshot are read. start and
+    units as in the run, for the statistics of the calibration. Each batch goes with the last snapshot at or before it, and
+    batches before the first one are left out.
+    """
+    marks = materialise(whitening.select("recording_id", "version").distinct(), "snapshots")
+    batches = signal.groupBy("recording_id", F.floor(F.col("sample_idx") / p.batch_size).cast("long").alias("batch")).agg(F.max(F.size("channels")).alias("width"))
+    batches = materialise(batches, "batches")
+    # the last snapshot at or before each batch, from one ordered pass over both
+    both = batches.select("recording_id", "batch", F.lit(None).cast("long").alias("version")).unionByName(marks.select("recording_id", F.col("version").alias("batch"), "version"))
+    asof = Window.partitionBy("recording_id").orderBy("batch", F.col("version").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    places = both.withColumn("from", F.last("version", ignorenulls=True).over(asof)).where("version is null and `from` is not null").select("recording_id", "batch", "from")
+    places = materialise(places, "stretches")
+    name = F.concat(F.col("from").cast("string"), F.lit("|"), "recording_id").alias("recording_id")
+    rows = signal.withColumn("batch", F.floor(F.col("sample_idx") / p.batch_size).cast("long"))
+    own = rows.join(places, ["recording_id", "batch"]).select(name, F.lit(2).alias("kind"), F.col("sample_idx").alias("at"), F.col("channels").alias("payload"))
+    # the samples before a stretch that its first delays reach back to
+    near = rows.where(F.col("sample_idx") % p.batch_size >= p.batch_size - p.ext_fact + 1).withColumn("from", F.col("batch") + 1).join(marks.withColumnRenamed("version", "from"), ["recording_id", "from"])
+    near = near.select(name, F.lit(2).alias("kind"), F.col("sample_idx").alias("at"), F.col("channels").alias("payload"))
+    # where a stretch ends: at the next snapshot, whether samples come up to there or not
+    ends = marks.withColumn("end", F.lead("version").over(Window.partitionBy("recording_id").orderBy("version"))).where("`end` is not null").withColumnRenamed("version", "from")
+    ends = ends.join(batches.groupBy("recording_id").agg(F.max("width").alias("width")), "recording_id")
+    ends = ends.select(name, F.lit(3).alias("kind"), F.col("end").alias("at"), F.array(F.col("width").cast("double")).alias("payload"))
+    calib = start.drop("w", "c").join(whitening.select("recording_id", F.col("version").alias("from"), "w", "c"), "recording_id").withColumn("recording_id", name).drop("from")
+    stats = units.select("recording_id", "unit", *[c for c in ("contrast_mean", "contrast_std") if c in units.columns])
+    then = course.withColumnRenamed("version", "from").join(marks.withColumnRenamed("version", "from"), ["recording_id", "from"]).join(stats, ["recording_id", "unit"])
+    then = then.withColumn("recording_id", name).drop("from")
+
+    def fold():
+        begun, run, delays, cut = {}, None, Delays(p), None
+
+        def done(key: str, batch: int, raw: np.ndarray) -> Iterator[tuple]:
+            x, skip = delays.batch(raw)
+            if len(x):
+                out = run.batch(x)
+                recording = key.split("|", 1)[1]
+                yield from unit_rows(recording, 0, batch, np.arange(batch * p.batch_size + skip, batch * p.batch_size + len(raw)), out["units"])
+                yield _batch_row(recording, 0, batch, out, False)
+
+        def begin(first: int, width: int) -> None:
+            nonlocal run, cut
+            if run is None:
+                run, cut = started_runs(begun, [p], width * p.ext_fact)[0], Batches(p.batch_size, first)
+                delays.start(first)
+
+        def step(key, kind, ats, payloads):
+            if kind in (0, 1):
+                begun.setdefault(kind, []).extend(payloads)
+            elif 0 in begun and kind == 2:
+                first = int(key.split("|", 1)[0])
+                begin(first, len(payloads[0]))
+                early = ats < first * p.batch_size
+                if early.any():
+                    tail = np.zeros((p.ext_fact - 1, len(payloads[0]))) if delays.tail is None else delays.tail
+                    tail[ats[early] - (first * p.batch_size - p.ext_fact + 1)] = np.stack(payloads[early])
+                    delays.start(first, tail)
+                if not early.all():
+                    for batch, raw in cut.add(ats[~early], payloads[~early]):
+                        yield from done(key, batch, raw)
+            elif 0 in begun and kind == 3:
+                width = int(payloads[0][0])
+                begin(int(key.split("|", 1)[0]), width)
+                for batch, raw in cut.until(int(ats[0]), width):
+                    yield from done(key, batch, raw)
+            elif kind == -1 and cut is not None:
+                for batch, raw in cut.rest():
+                    yield from done(key, batch, raw)
+
+        return step
+
+    steps = materialise(in_order(start_rows(calib, then).unionByName(own).unionByName(near).unionByName(ends), fold, STEP), "replayed")
+    return outputs_of(steps.where("unit is not null"), steps.where("unit is null"))
+
+
 def with_params(p: Params, **changes) -> Params:
     return Params(**(asdict(p) | changes))

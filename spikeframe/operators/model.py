@@ -112,12 +112,10 @@ def ewma_covariance(cov: DataFrame, start: DataFrame, alpha: float) -> DataFrame
             if kind == 0:
                 c = np.array(payloads[0], dtype=float)
             if kind != 1 or c is None:
-                return []
-            out = []
+                return
             for b, v in zip(ats, payloads, strict=True):
                 c = (1 - alpha) * c + alpha * np.asarray(v, dtype=float)
-                out.append((key, b, c))
-            return out
+                yield key, b, c
 
         return step
 

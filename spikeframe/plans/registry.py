@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import adaptive, signals, trains
+from . import adaptive, signals, streams, trains
 
-QUERIES = {**signals.QUERIES, **trains.QUERIES, **adaptive.QUERIES}
-ORACLES: dict[str, str] = {**signals.ORACLES, **trains.ORACLES, **adaptive.ORACLES}
+QUERIES = {**signals.QUERIES, **trains.QUERIES, **adaptive.QUERIES, **streams.QUERIES}
+ORACLES: dict[str, str] = {**signals.ORACLES, **trains.ORACLES, **adaptive.ORACLES, **streams.ORACLES}

@@ -201,3 +201,21 @@ def log_metrics(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
     """Write metric rows and run summaries of a run, a table for each kind; a run written again replaces its rows."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
+
+
+def write_stream(rows: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = (), **options):
+    """A started query (options: of writeStream, as trigger's) that writes each trigger's rows as a table of its own, path/trigger=<number>.
+
+    A trigger that runs again after a failure replaces its table, so that it leaves one copy; nothing that is stored is
+    read, and triggers don't meet.
+    """
+
+    def commit(df: DataFrame, trigger: int) -> None:
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/trigger={trigger}")
+
+    return rows.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
+
+
+def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All triggers' rows of write_stream, without the trigger's number."""
+    return spark.read.schema(schema).parquet(path)

@@ -1,89 +1,301 @@
-"""Streaming: causal filters and the adaptive decomposition with state between micro-batches."""
+"""Streaming: causal filters and the adaptive decomposition, with state between micro-batches and event time.
+
+Samples may come in any order, in any cut, and not at all. Those of a recording wait in state, by batch of samples,
+until their batch is full and the one before it is done; where samples are missing, until the watermark has passed the
+end of the batch: then a timer goes off and the gaps count as zeros. What comes for a batch that is done is late: it
+is left out and counted.
+
+State is typed and in pieces, so that a micro-batch writes what it changed: the place in the recording, the samples that wait
+(a map by batch), and what the operator itself carries on. Queries need the RocksDB state store (``state_store``).
+"""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.adapt import Delays, Params, start_rows, started_runs
+from ..operators.adapt import Delays, Params, Run, Unit, start_rows, started_runs
 from ..operators.filters import System, run
 
 
-def filter_stream(stream: DataFrame, system: System) -> DataFrame:
-    """(recording_id, sample_idx, channels) filtered forwards; the filter's state is kept for each recording.
+def state_store(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB, which these operators need; for queries started from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Ordered(StatefulProcessor):
+    """Samples of a recording put in order, batch by batch; what happens to a batch is for subclasses to say.
 
-    Samples of a recording come in order from one micro-batch to the next; within one they are sorted.
+    Input rows: recording_id, sample_idx, channels, at (event time in microseconds). A sample's time is that of sample 0 plus its
+    number over ``rate``; a batch ends with its last sample's.
     """
 
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("sample_idx")
-        x = np.stack(rows["channels"].to_numpy())
-        now = pickle.loads(state.get[0]) if state.exists else np.zeros((len(system.b), x.shape[1]))
-        y, now = run(system, x, now)
-        state.update((pickle.dumps(now),))
-        yield rows[["recording_id", "sample_idx"]].assign(channels=list(y))
+    columns: list[str] = []
 
-    schema = "recording_id string, sample_idx long, channels array<double>"
-    return stream.select("recording_id", "sample_idx", "channels").groupBy("recording_id").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, size: int, rate: float):
+        self.size, self.rate = size, rate
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # next batch (null: none yet), the time of sample 0, channels, and the timer that is set
+        self.place = handle.getValueState("place", "next long, zero long, width int, timer long")
+        self.waiting = handle.getMapState("waiting", "batch long", "at array<long>, values array<double>")
 
-def decompose_stream(stream: DataFrame, start: DataFrame, units: DataFrame, p: Params) -> DataFrame:
-    """Spikes (recording_id, unit, batch_idx, sample_idx) of the adaptive decomposition, batch by batch.
+    def close(self) -> None:
+        pass
 
-    stream (recording_id, sample_idx, channels, and is_last where a recording's end is known); start and units are
-    tables as in adapt.adaptive_steps, which join the stream by recording with a recording's first samples. State
-    is the whole model, the last delays and the samples of the batch that isn't full yet. Samples of
-    batches that are done are dropped; a batch is done when a later sample comes, its gaps are zeros. A sample with
-    is_last ends its recording: what is held then is a last, shorter batch.
-    """
-    first = F.col("sample_idx") == 0
-    ends = F.coalesce("is_last", F.lit(False)) if "is_last" in stream.columns else F.lit(False)
-    models = start_rows(start, units).groupBy("recording_id").agg(F.collect_list(F.struct("kind", "at", "payload")).alias("model"))
-    # a recording's first sample alone takes the model with it
-    joined = stream.withColumn("__of", F.when(first, F.col("recording_id"))).join(models.withColumnRenamed("recording_id", "__name"), F.col("__of") == F.col("__name"), "left")
-    rows = joined.select("recording_id", "sample_idx", "channels", ends.alias("is_last"), "model")
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        now = pickle.loads(state.get[0]) if state.exists else {"run": None, "delays": Delays(p), "held": {}, "end": None}
-        for model in rows["model"]:
-            if now["run"] is None and model is not None:
-                kinds: dict[int, list] = {}
-                for r in sorted(model, key=lambda r: (r["kind"], r["at"])):
-                    kinds.setdefault(r["kind"], []).append(r["payload"])
-                now["run"] = started_runs(kinds, [p])[0] if 0 in kinds else None
-        done = now["delays"].next * p.batch_size
-        for i, x, last in zip(rows["sample_idx"], rows["channels"], rows["is_last"], strict=True):
-            if i >= done:
-                now["held"].setdefault(int(i), np.asarray(x, dtype=float))
-            if last:
-                now["end"] = int(i)
-        found = []
-        while now["run"] is not None and now["held"]:
-            size = min(p.batch_size, max(now["held"]) + 1 - now["delays"].next * p.batch_size)
-            if size < p.batch_size and (now["end"] is None or max(now["held"]) < now["end"]):
+    def known(self) -> bool:
+        """Whether the recording is worth keeping at all."""
+        return True
+
+    def begin(self, batch: int, width: int) -> None:
+        """Called once, before the first batch."""
+
+    def batch(self, key: str, batch: int, raw: np.ndarray, there: np.ndarray) -> Iterator[tuple]:
+        """Rows (without recording) for a batch's samples, gaps as zeros; there: which samples came."""
+        raise NotImplementedError
+
+    def late(self, batch: int, n: int) -> Iterator[tuple]:
+        """Rows for n samples that came after their batch was done."""
+        return iter(())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        pdf = pdf[pdf["channels"].notna() & pdf["sample_idx"].notna() & pdf["at"].notna()]
+        if pdf.empty or not self.known():
+            return
+        at = pdf["sample_idx"].to_numpy(dtype=np.int64)
+        x = np.stack(pdf["channels"].to_numpy()).astype(float)
+        now = self._now()
+        if now["zero"] is None:
+            # the earliest is what the clock of the recording starts from
+            now["zero"] = int((pdf["at"].to_numpy(dtype=np.int64) - np.round(at * 1e6 / self.rate)).min())
+            now["width"] = x.shape[1]
+        out: list[tuple] = []
+        batches = at // self.size
+        for b in np.unique(batches).tolist():
+            mine = batches == b
+            if now["next"] is not None and b < now["next"]:
+                out += self.late(b, int(mine.sum()))
+                continue
+            held = self.waiting.getValue((b,))
+            all_at, all_x = at[mine], x[mine]
+            if held is not None:
+                all_at = np.concatenate([np.asarray(held[0], dtype=np.int64), all_at])
+                all_x = np.concatenate([np.asarray(held[1], dtype=float).reshape(-1, now["width"]), all_x])
+            # of repeated samples the first one counts
+            all_at, first = np.unique(all_at, return_index=True)
+            self.waiting.updateValue((b,), (all_at.tolist(), all_x[first].ravel().tolist()))
+        out += self._go_on(key[0], now, timerValues.getCurrentWatermarkInMs())
+        yield self._frame(key[0], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = self._now()
+        if now["timer"] == expiredTimerInfo.getExpiryTimeInMs():
+            now["timer"] = None
+        yield self._frame(key[0], self._go_on(key[0], now, timerValues.getCurrentWatermarkInMs()))
+
+    def _frame(self, name: str, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(name, *r) for r in rows], columns=["recording_id", *self.columns])
+
+    def _now(self) -> dict:
+        names = ("next", "zero", "width", "timer")
+        return dict(zip(names, self.place.get(), strict=True)) if self.place.exists() else dict.fromkeys(names)
+
+    def _end(self, now: dict, batch: int) -> int:
+        """When all of the batch should have come, in milliseconds."""
+        return int(np.ceil((now["zero"] + (batch + 1) * self.size * 1e6 / self.rate) / 1000))
+
+    def _go_on(self, key: str, now: dict, watermark: int) -> list[tuple]:
+        """Do what can be done; set a timer for the rest."""
+        out: list[tuple] = []
+        waiting = {int(k[0]): None for k in self.waiting.keys()}
+        timer = None
+        while waiting:
+            earliest = min(waiting)
+            if now["next"] is None:
+                # a batch before the earliest may still come
+                if earliest > 0 and watermark < self._end(now, earliest - 1):
+                    timer = self._end(now, earliest - 1)
+                    break
+                now["next"] = earliest
+                self.begin(earliest, now["width"])
+            b = now["next"]
+            held = self.waiting.getValue((b,)) if b in waiting else None
+            at = np.asarray(held[0] if held else [], dtype=np.int64) - b * self.size
+            if len(at) < self.size and watermark < self._end(now, b):
+                timer = self._end(now, b)
                 break
-            found += _batch(now, size)
-        state.update((pickle.dumps(now),))
-        yield pd.DataFrame([(key[0], *f) for f in found], columns=["recording_id", "unit", "batch_idx", "sample_idx"])
-
-    schema = "recording_id string, unit int, batch_idx long, sample_idx long"
-    return rows.groupBy("recording_id").applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def _batch(now: dict, size: int) -> list[tuple[int, int, int]]:
-    """Take the next batch out of what is held and move the model on."""
-    delays, b = now["delays"], now["delays"].next
-    first = b * delays.p.batch_size
-    width = len(next(iter(now["held"].values())))
-    x, skip = delays.batch(np.stack([now["held"].pop(i, np.zeros(width)) for i in range(first, first + size)]))
-    if not len(x):
-        return []
-    done = now["run"].batch(x)
-    return [(u[0], b, first + skip + int(i)) for u in done["units"] for i in u[2]]
+            n = self.size if len(waiting) > (b in waiting) else int(at.max()) + 1
+            raw, there = np.zeros((n, now["width"])), np.zeros(n, dtype=bool)
+            if len(at):
+                raw[at], there[at] = np.asarray(held[1], dtype=float).reshape(-1, now["width"]), True
+            out += self.batch(key, b, raw, there)
+            if b in waiting:
+                del waiting[b]
+                self.waiting.removeKey((b,))
+            now["next"] = b + 1
+        self.finish()
+        if timer != now["timer"]:
+            if now["timer"] is not None:
+                self.handle.deleteTimer(now["timer"])
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            now["timer"] = timer
+        self.place.update(tuple(now[c] for c in ("next", "zero", "width", "timer")))
+        return out
+
+    def finish(self) -> None:
+        """Called when no more can be done: what was carried along goes to state."""
+
+
+class Filtering(Ordered):
+    """Forward filtering; samples that never came are zeros for the filter and give no rows."""
+
+    columns = ["sample_idx", "channels"]
+
+    def __init__(self, system: System, size: int, rate: float):
+        super().__init__(size, rate)
+        self.system = system
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("filter", "state array<double>")
+
+    def batch(self, key, batch, raw, there):
+        states = len(self.system.b)
+        now = np.asarray(self.kept.get()[0], dtype=float).reshape(states, -1) if self.kept.exists() else np.zeros((states, raw.shape[1]))
+        y, now = run(self.system, raw, now)
+        self.kept.update((now.ravel().tolist(),))
+        first = batch * self.size
+        return [(first + i, y[i]) for i in np.flatnonzero(there).tolist()]
+
+
+def _arrivals(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
+    """The stream under its watermark, the event time as a plain number: Spark itself then drops no late row, and they can be counted."""
+    marked = stream.withWatermark(time_col, delay)
+    return marked.select("recording_id", "sample_idx", "channels", (F.unix_micros(time_col) + F.lit(0)).alias("at"))
+
+
+def filter_stream(stream: DataFrame, system: System, rate: float, time_col: str = "ts", delay: str = "10 seconds", size: int = 256) -> DataFrame:
+    """(recording_id, sample_idx, channels) filtered forwards, the filter's state carried from one micro-batch to the next.
+
+    stream (recording_id, sample_idx, channels, and a timestamp); samples may come in any order up to the delay. They leave in
+    batches of ``size``; the last, shorter one of a recording leaves when the watermark passes its end.
+    """
+    rows = _arrivals(stream, time_col, delay)
+    return rows.groupBy("recording_id").transformWithStateInPandas(Filtering(system, size, rate), "recording_id string, sample_idx long, channels array<double>", "append", "eventTime")
+
+
+#: Rows of decompose_stream. kind: unit, batch or late.
+ONLINE = "recording_id string, kind string, batch_idx long, unit int, samples array<long>, ipts array<double>, spikes array<long>, w array<double>, c array<double>, base_centr double, spikes_centr double, height double, sv_loss double, wh_loss double, total_loss double, n_samples long, n_missing long, n_late long"
+
+
+class Decomposing(Ordered):
+    """The adaptive decomposition; whitening, delays and each unit are states of their own, written when batches were done."""
+
+    columns = [c.strip().split(" ")[0] for c in ONLINE.split(",")][1:]
+
+    def __init__(self, p: Params, rate: float, snapshots: int | None):
+        super().__init__(p.batch_size, rate)
+        self.p, self.snapshots = p, snapshots
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.whitening = handle.getValueState("whitening", "w array<double>, c array<double>, kl_mean double, kl_std double")
+        self.units = handle.getMapState("units", "unit int", "w array<double>, base double, spikes double, height double, mean double, std double")
+        self.tail = handle.getValueState("tail", "next long, values array<double>")
+        self.run = self.delays = None
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        kinds: dict[int, list] = {}
+        for r in initialState.sort_values(["kind", "at"]).itertuples():
+            kinds.setdefault(r.kind, []).append(np.asarray(r.payload, dtype=float))
+        if 0 not in kinds:
+            return
+        whole, rows = kinds[0][0], kinds.get(1, [])
+        entries = int(initialState["entries"].iat[0])
+        run = started_runs({0: [whole], 1: rows}, [self.p], entries)[0]
+        self._write(run)
+
+    def known(self) -> bool:
+        return self.whitening.exists()
+
+    def _write(self, run: Run) -> None:
+        self.whitening.update((run.w.ravel().tolist(), run.c.ravel().tolist(), float(run.kl_mean), float(run.kl_std)))
+        for u in run.units:
+            self.units.updateValue((u.unit,), (u.w.tolist(), *map(float, (u.base, u.spikes, u.height, u.mean, u.std))))
+
+    def _read(self, width: int) -> None:
+        w, c, mean, std = self.whitening.get()
+        k = round(np.sqrt(len(c)))
+        units = [Unit(int(k_[0]), np.asarray(v[0], dtype=float), *map(float, v[1:])) for k_, v in self.units.iterator()]
+        units.sort(key=lambda u: u.unit)
+        self.run = Run(self.p, np.asarray(w, dtype=float).reshape(k, -1), np.asarray(c, dtype=float).reshape(k, k), units, mean, std)
+        self.delays = Delays(self.p)
+        if self.tail.exists():
+            first, values = self.tail.get()
+            self.delays.start(int(first), np.asarray(values, dtype=float).reshape(self.p.ext_fact - 1, width))
+
+    def begin(self, batch: int, width: int) -> None:
+        self._read(width)
+        self.delays.start(batch, np.zeros((self.p.ext_fact - 1, width)))
+
+    def batch(self, key, batch, raw, there):
+        if self.run is None:
+            self._read(raw.shape[1])
+        x, skip = self.delays.batch(raw)
+        first, out = batch * self.size + skip, []
+        counts = (int(there.sum()), int((~there).sum()), 0)
+        none = lambda n: (None,) * n
+        if len(x):
+            done = self.run.batch(x)
+            at = np.arange(first, first + len(x))
+            for unit, ipt, hits, w, base, spikes, height, loss in done["units"]:
+                out.append(("unit", batch, unit, at, ipt, at[hits], w, None, base, spikes, height, _null(loss), *none(2), *none(3)))
+            keep = self.snapshots is not None and batch % self.snapshots == 0
+            w, c = (done["w"].ravel(), done["c"].ravel()) if keep else none(2)
+            out.append(("batch", batch, *none(4), w, c, *none(4), _null(done["wh_loss"]), _null(done["total_loss"]), *counts))
+        return out
+
+    def late(self, batch, n):
+        return [("late", batch, *(None,) * 14, n)]
+
+    def finish(self) -> None:
+        if self.run is not None:
+            self._write(self.run)
+            self.tail.update((self.delays.next, self.delays.tail.ravel().tolist()))
+            self.run = None
+
+
+def _null(v: float) -> float | None:
+    return None if np.isnan(v) else float(v)
+
+
+def decompose_stream(stream: DataFrame, start: DataFrame, units: DataFrame, p: Params, rate: float, time_col: str = "ts", delay: str = "10 seconds", snapshots: int | None = None) -> DataFrame:
+    """ONLINE rows of the adaptive decomposition: for each batch one for every unit (kind ``unit``) and one for itself (``batch``).
+
+    stream (recording_id, sample_idx, channels, and a timestamp). start and units are tables as in adapt.adaptive_steps, with the
+    models of all recordings that may come; recordings without one are left out and take no state. A batch is done when it is full and the
+    one before it is done, or when the watermark has passed its end; gaps are zeros (n_missing), and a recording's last batch is
+    as long as its samples reach. Rows of kind ``late`` count the samples that came later than that (n_late, by batch). A recording
+    begins with the batch of its first sample.
+    """
+    rows = _arrivals(stream, time_col, delay)
+    size = start.select("recording_id", F.size("w").alias("__w"), F.sqrt(F.size("c").cast("double")).cast("int").alias("__k"))
+    models = start_rows(start, units).join(size, "recording_id").select("recording_id", "kind", "at", "payload", F.floor(F.col("__w") / F.col("__k")).cast("int").alias("entries"))
+    return rows.groupBy("recording_id").transformWithStateInPandas(Decomposing(p, rate, snapshots), ONLINE, "append", "eventTime", models.groupBy("recording_id"))
+
+
+def trajectory(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(model_units, model_whitening) of ONLINE rows, as adapt.decompose_adaptive gives them."""
+    of_units, of_batches = rows.where("kind = 'unit'"), rows.where("kind = 'batch' and w is not null")
+    return (
+        of_units.select("recording_id", F.col("batch_idx").alias("version"), "unit", "w", "base_centr", "spikes_centr", "height"),
+        of_batches.select("recording_id", F.col("batch_idx").alias("version"), "w", "c"),
+    )

@@ -162,6 +162,56 @@ def test_adaptation_is_the_sequential_loop(spark, monkeypatch, n, how):
     assert seen > 20 and len(steps) == 3 * len(metrics) == 3 * 2 * -(-n // batch)
 
 
+def rows_of(df, *keys):
+    return {tuple(r[k] for k in keys): r for r in df.collect()}
+
+
+def test_units_in_tasks_of_their_own(spark):
+    rng = np.random.default_rng(31)
+    x = {r: rng.normal(size=(230, 2)) ** 3 for r in "ab"}
+    w, c, units = a_model(5, 6, rng)
+    p = ad.Params(batch_size=50, ext_fact=3, spike_dist=4)
+    both = signal(spark, x["a"], "a").unionByName(signal(spark, x["b"], "b"))
+    tables = model_tables(spark, w, c, units, (2.0, 0.7), "ab")
+    whole = ad.decompose_adaptive(both, *tables, p, snapshots=2)
+    for n in (1, 2, 5):
+        apart = ad.decompose_adaptive(both, *tables, p, snapshots=2, units_per_task=n)
+        for name, keys in (("steps", ("recording_id", "batch_idx", "unit")), ("batch_metrics", ("recording_id", "batch_idx")), ("model_whitening", ("recording_id", "version"))):
+            got, want = rows_of(apart[name], *keys), rows_of(whole[name], *keys)
+            assert got.keys() == want.keys()
+            for key, r in want.items():
+                for col, v in r.asDict().items():
+                    assert np.allclose(got[key][col], v) if isinstance(v, (list, float)) else got[key][col] == v
+    whitened = ad.whitened_batches(both, tables[0], p)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    groups = ad.separated_batches(whitened, tables[1], p, 1).select(F.spark_partition_id().alias("task")).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert groups > 1
+
+
+@pytest.mark.parametrize("every", [1, 2, 3, 50])
+def test_replay_from_snapshots_is_the_run(spark, every):
+    rng = np.random.default_rng(32)
+    x = {r: rng.normal(size=(n, 2)) ** 3 for r, n in (("a", 430), ("b", 51), ("c", 205))}
+    w, c, units = a_model(5, 8, rng)
+    p = ad.Params(batch_size=50, ext_fact=4, spike_dist=4)
+    sig = signal(spark, x["a"], "a").unionByName(signal(spark, x["b"], "b")).unionByName(signal(spark, x["c"], "c"))
+    sig = sig.where("recording_id <> 'a' or not (sample_idx between 97 and 103 or sample_idx between 210 and 330)").where("recording_id <> 'c' or sample_idx >= 60")
+    tables = model_tables(spark, w, c, units, (2.0, 0.7), "abc")
+    ran = ad.decompose_adaptive(sig, *tables, p, snapshots=every)
+    again = ad.replay(sig, *tables, ran["model_whitening"], ran["model_units"], p)
+    for name, keys in (("steps", ("recording_id", "batch_idx", "unit")), ("batch_metrics", ("recording_id", "batch_idx"))):
+        got = rows_of(again[name], *keys)
+        # recordings that begin after a batch with a snapshot are there from the first snapshot on
+        first = {r.recording_id: r.version for r in ran["model_whitening"].groupBy("recording_id").agg(F.min("version").alias("version")).collect()}
+        want = {k: r for k, r in rows_of(ran[name], *keys).items() if k[0] in first and k[1] >= first[k[0]]}
+        assert got.keys() == want.keys() and len(want) > 0
+        for key, r in want.items():
+            for col, v in r.asDict().items():
+                if col != "c":
+                    assert np.allclose(got[key][col], v) if isinstance(v, (list, float)) else got[key][col] == v
+
+
 def test_trials_of_a_sweep_are_runs_by_themselves(spark, monkeypatch):
     monkeypatch.setattr(ad, "TRIALS_PER_GROUP", 2)
     rng = np.random.default_rng(9)
