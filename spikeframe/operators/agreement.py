@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialise
+from .frames import BLOCK
 
 PAIR = ("recording_id", "unit_ref", "unit_test")
-#: Parts that a recording's units are dealt to, and pairs of firings that are looked at together.
-SALTS, DENSE = 16, 1 << 18
+#: Pairs of firings that are looked at together.
+DENSE = 1 << 18
 
 
 def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
@@ -25,44 +25,104 @@ def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width:
     return left.join(right, [*keys, "__bin"]).where(F.abs(F.col("a") - F.col("b")) <= width).drop("__bin")
 
 
+#: Units that meet in one task on each side, and lags that are counted together.
+UNITS, LAGS = 32, 1 << 20
+
+
 def _best_of(x: np.ndarray, y: np.ndarray, tol: int) -> tuple[int, int]:
-    """(lag, corr): the largest correlation of two trains widened to tol samples at any lag, of equal ones the lowest lag."""
+    """(lag, corr): the largest correlation of two trains widened to tol samples at any lag, of equal ones the lowest lag.
+
+    Lags are gone through in blocks of LAGS, in each of which only the pairs of firings that differ by so much are looked at: what is
+    held does not grow with the recording.
+    """
+    x, y = np.sort(x), np.sort(y)
+    kernel = tol - np.abs(np.arange(-(tol - 1), tol))
+    low, high = int(x[0] - y[-1]) - (tol - 1), int(x[-1] - y[0]) + (tol - 1)
+    best = (0, low)
+    for begin in range(low, high + 1, LAGS):
+        end = min(begin + LAGS, high + 1)
+        # differences that reach a lag of the block: begin - (tol - 1) <= x - y < end + tol - 1
+        first, width = begin - (tol - 1), end - begin + 2 * (tol - 1)
+        to, fro = np.searchsorted(y, x - first, "right"), np.searchsorted(y, x - first - width, "right")
+        n = to - fro
+        if not n.any():
+            continue
+        counts = np.zeros(width, dtype=np.int64)
+        upto = np.cumsum(n)
+        i = 0
+        while i < len(x):
+            k = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + DENSE, "right")))
+            for j in range(0, int(n[i]) if k == i + 1 else 1, DENSE):  # one firing may meet very many by itself
+                part = n[i:k] if k > i + 1 else np.array([min(DENSE, int(n[i]) - j)])
+                at = np.repeat(fro[i:k] + j - np.concatenate([[0], np.cumsum(part)[:-1]]), part) + np.arange(part.sum())
+                counts += np.bincount(np.repeat(x[i:k], part) - y[at] - first, minlength=width)
+            i = k
+        corr = np.convolve(counts, kernel, "valid") if tol > 1 else counts
+        at = int(corr.argmax())
+        if corr[at] > best[0]:
+            best = (int(corr[at]), begin + at)
+    return best[1], best[0]
+
+
+def _best_of_each(x: np.ndarray, ys: list[np.ndarray], tol: int) -> list[tuple[int, int]]:
+    """_best_of(x, y, tol) for each of ys; short trains all at once."""
     offsets = np.arange(-(tol - 1), tol)
-    if len(x) * len(y) <= DENSE:
-        lags, at = np.unique(np.subtract.outer(x, y)[..., None] + offsets, return_inverse=True)
-        corr = np.bincount(at.ravel(), np.broadcast_to(tol - np.abs(offsets), (len(x), len(y), len(offsets))).ravel())
-        best = int(corr.argmax())
-        return int(lags[best]), int(corr[best])
-    # long trains: all differences counted over their range, some firings of x at a time
-    low = int(x.min() - y.max())
-    counts = np.zeros(int(x.max() - y.min()) - low + 1, dtype=np.int64)
-    for k in range(0, len(x), step := max(1, DENSE // len(y))):
-        counts += np.bincount((np.subtract.outer(x[k : k + step], y) - low).ravel(), minlength=len(counts))
-    corr = np.convolve(counts, tol - np.abs(offsets))
-    best = int(corr.argmax())
-    return low - (tol - 1) + best, int(corr[best])
+    few = [k for k, y in enumerate(ys) if len(x) * len(y) * len(offsets) <= DENSE]
+    out: dict[int, tuple[int, int]] = {}
+    while few:
+        sizes = np.cumsum([len(ys[k]) for k in few]) * len(x) * len(offsets)
+        now, few = few[: (n := max(1, int(np.searchsorted(sizes, DENSE, "right"))))], few[n:]
+        y, of = np.concatenate([ys[k] for k in now]), np.repeat(np.arange(len(now)), [len(ys[k]) for k in now])
+        lags = np.subtract.outer(x, y)[..., None] + offsets
+        low, span = int(lags.min()), int(lags.max()) - int(lags.min()) + 1
+        if span >= (1 << 62) // len(now):
+            out |= {k: _best_of(x, ys[k], tol) for k in now}
+            continue
+        key, at = np.unique((lags - low) + (of * span)[None, :, None], return_inverse=True)
+        corr = np.bincount(at.ravel(), np.broadcast_to(tol - np.abs(offsets), lags.shape).ravel()).astype(np.int64)
+        unit, lag = key // span, key % span + low
+        order = np.lexsort((lag, -corr, unit))
+        first = order[np.flatnonzero(np.diff(unit[order], prepend=-1))]
+        out |= {now[u]: (int(v), int(c)) for u, v, c in zip(unit[first], lag[first], corr[first], strict=True)}
+    return [out[k] if k in out else _best_of(x, y, tol) for k, y in enumerate(ys)]
 
 
 def _best_at_any_lag(a: DataFrame, b: DataFrame, tol: int, within: bool) -> DataFrame:
     """(recording_id, unit_ref, unit_test, lag, corr) of every pair of units of a recording that both fire.
 
-    A unit's firings are one list; lists meet, dealt by salts, and each pair is searched where it meets: no
-    pair of firings and no difference is a row.
+    A unit's firings are one list. A recording's units are dealt to blocks of about UNITS, and each block of one side meets
+    each of the other in a task: a list is sent once for each block, not for each pair.
     """
-    lists = lambda df, unit, t: df.groupBy("recording_id", unit).agg(F.collect_list(F.col(t).cast("long")).alias(t))
-    left = lists(a, "unit_ref", "a").withColumn("salt", F.pmod(F.xxhash64("unit_ref"), F.lit(SALTS)).cast("int"))
-    right = lists(b, "unit_test", "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = left.join(right, ["recording_id", "salt"]).where(F.col("unit_ref") < F.col("unit_test") if within else F.lit(True)).select(*PAIR, "a", "b")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trains = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in (3, 4)]
-            found = [_best_of(x, y, tol) for x, y in zip(*trains, strict=True)]
-            made = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), *made], names=[*PAIR, "lag", "corr"])
+    def lists(df: DataFrame, unit: str, t: str) -> DataFrame:
+        rows = df.groupBy("recording_id", unit).agg(F.collect_list(F.col(t).cast("long")).alias(t))
+        return materialise(rows, "trains")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("recording_id").agg(F.ceil(F.count("*") / UNITS).cast("int").alias(name))
+
+    def dealt(rows: DataFrame, unit: str, own: str, other: str) -> DataFrame:
+        placed = rows.join(counts, "recording_id").withColumn(own, F.pmod(F.xxhash64(unit), F.col(f"n_{own}")).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop("n_left", "n_right")
+
+    left, right = lists(a, "unit_ref", "a"), lists(b, "unit_test", "b")
+    counts = blocks(left, "n_left").join(blocks(right, "n_right"), "recording_id")
+    keys = ["recording_id", "left", "right"]
+
+    def search(refs: pd.DataFrame, tests: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        trains = [np.asarray(v) for v in tests["b"]]
+        for recording, unit, x in refs[["recording_id", "unit_ref", "a"]].itertuples(index=False):
+            mine = [k for k, u in enumerate(tests["unit_test"]) if not within or unit < u]
+            if mine:
+                found = _best_of_each(np.asarray(x), [trains[k] for k in mine], tol)
+                out += [(recording, unit, tests["unit_test"].iat[k], *f) for k, f in zip(mine, found, strict=True)]
+        return pd.DataFrame(out, columns=[*PAIR, "lag", "corr"]) if out else pd.DataFrame()
 
-    schema = ", ".join(f"{c} {t}" for c, t in both.select(*PAIR).dtypes) + ", lag long, corr long"
-    return both.mapInArrow(search, schema)
+    types = dict(left.dtypes) | dict(right.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in PAIR) + ", lag long, corr long"
+    refs, tests = dealt(left, "unit_ref", "left", "right"), dealt(right, "unit_test", "right", "left")
+    return refs.groupBy(*keys).cogroup(tests.groupBy(*keys)).applyInPandas(search, schema)
 
 
 def lag_correlogram(ref: DataFrame, test: DataFrame, tol: int, max_lag: int, keys: tuple[str, ...] = PAIR) -> DataFrame:
@@ -82,29 +142,69 @@ def best_lag(correlogram: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
     return correlogram.groupBy(*keys).agg(best.alias("x")).select(*keys, F.col("x.lag").alias("lag"), (-F.col("x.down")).alias("corr"))
 
 
-def match_firings(ref: DataFrame, test: DataFrame, tol: int, keys: tuple[str, ...] = PAIR) -> DataFrame:
+def _matched(a: np.ndarray, b: np.ndarray, tol: int) -> tuple[list[int], list[int]]:
+    """Places of the firings of a and of b (both sorted) that are matched: each of a in order with the nearest of b left within tol."""
+    right = np.searchsorted(b, a, "right").tolist()
+    # the nearest place with a firing left, at or after each place and before it; paths are shortened as they are walked
+    after, before = list(range(len(b) + 1)), list(range(len(b) + 1))
+
+    def find(links: list[int], i: int) -> int:
+        root = i
+        while links[root] != root:
+            root = links[root]
+        while links[i] != root:
+            links[i], i = root, links[i]
+        return root
+
+    times, taken = b.tolist(), ([], [])
+    for i, (t, place) in enumerate(zip(a.tolist(), right, strict=True)):
+        up, down = find(after, place), find(before, place) - 1  # before[k] stands for place k - 1
+        far = times[up] - t if up < len(times) else tol + 1
+        near = t - times[down] if down >= 0 else tol + 1
+        if min(far, near) > tol:
+            continue
+        k = down if near <= far else up
+        after[k], before[k + 1] = k + 1, k
+        taken[0].append(i)
+        taken[1].append(k)
+    return taken
+
+
+def match_firings(ref: DataFrame, test: DataFrame, tol: int, keys: tuple[str, ...] = PAIR, block: int = BLOCK) -> DataFrame:
     """(keys, a, b): each firing of ref in order takes the nearest test firing left within tol.
 
-    ref (keys, a), test (keys, b). Firings more than tol apart never interact, so the merged
-    train falls into islands; each is folded by itself. Of two test firings equally near
+    ref (keys, a), test (keys, b). Firings more than tol apart never interact, so the merged train falls into islands.
+    Time is cut into blocks; a task has the islands that begin in one block, so that no task holds a
+    long train (unless it is one island), and goes through them in order. Of two test firings equally near
     the earlier is taken.
     """
-    both = ref.select(*keys, F.col("a").alias("t"), F.lit(0).alias("kind")).unionByName(test.select(*keys, F.col("b").alias("t"), F.lit(1).alias("kind")))
-    order = Window.partitionBy(*keys).orderBy("t", "kind")
-    new = F.coalesce((F.col("t") - F.lag("t").over(order) > tol).cast("int"), F.lit(1))
-    runs = both.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order))
-    pick = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("t"))))
-    runs = runs.groupBy(*keys, "__run").agg(pick(0).alias("refs"), pick(1).alias("tests")).where((F.size("refs") > 0) & (F.size("tests") > 0))
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    start = F.struct(F.col("tests").alias("left"), none.alias("done"))
-
-    def take(acc: Column, a: Column) -> Column:
-        near = F.array_min(F.transform(F.filter(acc["left"], lambda b: F.abs(b - a) <= tol), lambda b: F.struct(F.abs(b - a).alias("far"), b.alias("b"))))
-        left = F.filter(acc["left"], lambda b: b != near["b"])
-        hit = F.struct(a.alias("a"), near["b"].alias("b"))
-        return F.when(near.isNull(), acc).otherwise(F.struct(left.alias("left"), F.concat(acc["done"], F.array(hit)).alias("done")))
-
-    return runs.select(*keys, F.inline(F.aggregate("refs", start, take)["done"]))
+    both = ref.select(*keys, F.col("a").cast("long").alias("t"), F.lit(0).alias("kind")).unionByName(test.select(*keys, F.col("b").cast("long").alias("t"), F.lit(1).alias("kind")))
+    rows = both.withColumn("block", F.floor(F.col("t") / block).cast("long"))
+    # a row for each block that has firings: its last firing, known to the block after it
+    by_block = Window.partitionBy(*keys).orderBy("block")
+    ends = rows.groupBy(*keys, "block").agg(F.min("t").alias("__from"), F.max("t").alias("__to"))
+    ends = ends.withColumn("__prior", F.lag("__to").over(by_block))
+    order = Window.partitionBy(*keys, "block").orderBy("t", "kind")
+    near = rows.join(ends.select(*keys, "block", "__prior"), [*keys, "block"])
+    before = F.coalesce(F.lag("t").over(order), "__prior")
+    near = near.withColumn("__new", before.isNull() | (F.col("t") - before > tol))
+    cuts = near.where("__new").groupBy(*keys, "block").agg(F.min("t").alias("__cut"))
+    # what lies before a block's first new island belongs to the last block before it that has one
+    place = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = ends.select(*keys, "block").join(cuts, [*keys, "block"], "left")
+    known = known.withColumn("__earlier", F.last(F.when(F.col("__cut").isNotNull(), F.col("block")), ignorenulls=True).over(place))
+    dealt = rows.join(known, [*keys, "block"])
+    dealt = dealt.withColumn("__part", F.when(F.col("t") >= F.col("__cut"), F.col("block")).otherwise(F.col("__earlier"))).select(*keys, "__part", "t", "kind")
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, kind = pdf["t"].to_numpy(), pdf["kind"].to_numpy()
+        a, b = np.sort(t[kind == 0]), np.sort(t[kind == 1])
+        i, k = _matched(a, b, tol)
+        return pd.DataFrame({c: [pdf[c].iat[0]] * len(i) for c in keys} | {"a": a[i], "b": b[k]}) if i else pd.DataFrame()
+
+    types = dict(ref.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", a long, b long"
+    return dealt.groupBy(*keys, "__part").applyInPandas(match, schema)
 
 
 def rate_of_agreement(ref: DataFrame, test: DataFrame, lags: DataFrame, tol: int, keys: tuple[str, ...] = PAIR) -> DataFrame:

@@ -1,8 +1,9 @@
 """Butterworth filters along time, run in chunks of a recording side by side.
 
 A filter is linear: each chunk is filtered from rest, the states at the ends of the
-chunks are put together in order (a small table, a row for each chunk), and each
-chunk's response to the state it really starts from is added.
+chunks are put together in order, and each chunk's response to the state it really starts
+from is added. What a stretch of samples does to a state is an affine map, and maps compose: states are
+put together within spans of SPAN chunks side by side, then a recording's spans (a row each) in order.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.storage import materialise
 
 CHUNK = 512
+#: Chunks whose states are put together in one task.
+SPAN = 1024
 
 
 @dataclass(frozen=True)
@@ -33,14 +36,38 @@ class System:
         """The state that a constant input of 1 settles in."""
         return np.linalg.solve(np.eye(len(self.b)) - self.a, self.b)
 
-    def impulse(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Impulse response (n), and rows C A^k (n by states)."""
-        rows, row = [], self.c
-        for _ in range(n):
-            rows.append(row)
-            row = row @ self.a
-        rows = np.array(rows)
-        return np.concatenate([[self.d], rows[:-1] @ self.b]) if n else np.zeros(0), rows
+    def powers(self, n: int) -> Powers:
+        """What n samples do, made once in a process for each filter and n."""
+        key = (self.a.tobytes(), self.b.tobytes(), self.c.tobytes(), float(self.d), n)
+        if key not in _POWERS:
+            if len(_POWERS) >= 64:
+                _POWERS.clear()
+            _POWERS[key] = Powers.of(self, n)
+        return _POWERS[key]
+
+
+@dataclass(frozen=True)
+class Powers:
+    """n samples as matrices: outputs are ``outputs @ x + free @ state``, the state after them ``reach @ x + step @ state``."""
+
+    outputs: np.ndarray
+    free: np.ndarray
+    reach: np.ndarray
+    step: np.ndarray
+
+    @classmethod
+    def of(cls, system: System, n: int) -> Powers:
+        free, reach, step = np.zeros((n, len(system.b))), np.zeros((len(system.b), n)), np.eye(len(system.b))
+        for k in range(n):
+            free[k], reach[:, n - 1 - k] = system.c @ step, step @ system.b
+            step = system.a @ step
+        impulse = np.concatenate([[system.d], (free @ system.b)[:-1]]) if n else np.zeros(0)
+        # row i of the outputs: the impulse response turned around, up to sample i
+        lags = np.subtract.outer(np.arange(n), np.arange(n))
+        return cls(np.where(lags >= 0, impulse[np.maximum(lags, 0)], 0.0) if n else np.zeros((0, 0)), free, reach, step)
+
+
+_POWERS: dict[tuple, Powers] = {}
 
 
 def butterworth(kind: str, order: int, cut: float | tuple[float, float], fs: float) -> System:
@@ -100,57 +127,84 @@ def _chain(first: System, then: System) -> System:
 
 
 def run(system: System, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(samples, channels) filtered from a state (states, channels), and the state after."""
-    n = len(x)
-    response, rows = system.impulse(n)
-    y = rows @ state if n else np.zeros_like(x)
-    for ch in range(x.shape[1]):
-        y[:, ch] += np.convolve(x[:, ch], response)[:n]
-    powers, after = system.b, np.zeros_like(state)
-    for k in range(n - 1, -1, -1):
-        after += np.outer(powers, x[k])
-        powers = system.a @ powers
-    return y, after + np.linalg.matrix_power(system.a, n) @ state
-
-
-def apply(df: DataFrame, system: System, chunk: int = CHUNK, settled: bool = False) -> DataFrame:
+    """(samples, channels) filtered from a state (states, channels), and the state after; CHUNK samples at a time."""
+    out = []
+    for i in range(0, len(x), CHUNK):
+        part = x[i : i + CHUNK]
+        m = system.powers(len(part))
+        out.append(m.outputs @ part + m.free @ state)
+        state = m.reach @ part + m.step @ state
+    return (np.concatenate(out) if out else np.zeros_like(x, dtype=float)), state
+
+
+def apply(df: DataFrame, system: System, chunk: int = CHUNK, settled: bool = False, span: int = SPAN) -> DataFrame:
     """df (recording_id, sample_idx, channels) filtered forwards in time.
 
     From rest, or settled on the first sample. Sample indices start anywhere but have no gaps.
     """
     cols = df.select("recording_id", "sample_idx", "channels").withColumn("chunk", F.floor(F.col("sample_idx") / chunk).cast("long"))
+    states = len(system.b)
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_idx")
         x = np.stack(pdf["channels"].to_numpy())
-        y, end = run(system, x, np.zeros((len(system.b), x.shape[1])))
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iat[0]], "chunk": [pdf["chunk"].iat[0]], "start": [int(pdf["sample_idx"].iat[0])], "n": [len(x)], "first": [x[0].tolist()], "y": [y.ravel().tolist()], "state": [end.ravel().tolist()]})
+        y, end = run(system, x, np.zeros((states, x.shape[1])))
+        return pd.DataFrame({"recording_id": [pdf["recording_id"].iat[0]], "chunk": [pdf["chunk"].iat[0]], "start": [int(pdf["sample_idx"].iat[0])], "n": [len(x)], "first": [x[0]], "y": [y.ravel()], "state": [end.ravel()]})
 
     schema = "recording_id string, chunk long, start long, n int, first array<double>, y array<double>, state array<double>"
-    # read twice, by the fold of the states and by the correction
+    # read twice, to put the states together and by the correction
     parts = materialise(cols.groupBy("recording_id", "chunk").applyInPandas(local, schema), "filter-chunks")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each chunk's state as if its span began at rest, the samples of the span before it, and a row (chunk null) for the whole span."""
         pdf = pdf.sort_values("chunk")
+        state, done, rows = np.zeros((states, len(pdf["first"].iat[0]))), 0, []
+        for at, n, end in zip(pdf["chunk"], pdf["n"], pdf["state"], strict=True):
+            rows.append((at, done, state.ravel(), None))
+            state = np.asarray(end).reshape(state.shape) + system.powers(int(n)).step @ state
+            done += int(n)
+        rows.append((None, done, state.ravel(), pdf["first"].iat[0]))
+        out = pd.DataFrame(rows, columns=["chunk", "before", "local", "first"])
+        out["chunk"] = out["chunk"].astype("Int64")
+        return out.assign(recording_id=pdf["recording_id"].iat[0], span=int(pdf["span"].iat[0]))
+
+    of_span = parts.select("recording_id", F.floor(F.col("chunk") / span).cast("long").alias("span"), "chunk", "n", "first", "state")
+    made = "chunk long, before long, local array<double>, first array<double>, recording_id string, span long"
+    put = materialise(of_span.groupBy("recording_id", "span").applyInPandas(within, made), "filter-states")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("span")
         state, starts = None, []
-        for first, end, n in zip(pdf["first"], pdf["state"], pdf["n"], strict=True):
-            end = np.asarray(end).reshape(len(system.b), -1)
+        for first, end, n in zip(pdf["first"], pdf["local"], pdf["before"], strict=True):
+            end = np.asarray(end).reshape(states, -1)
             if state is None:
                 state = np.outer(system.rest, np.asarray(first)) if settled else np.zeros_like(end)
-            starts.append(state.ravel().tolist())
+            starts.append(state.ravel())
             state = end + np.linalg.matrix_power(system.a, int(n)) @ state
-        return pd.DataFrame({"recording_id": pdf["recording_id"], "chunk": pdf["chunk"], "from_state": starts})
+        return pd.DataFrame({"recording_id": pdf["recording_id"], "span": pdf["span"], "begin": starts})
 
-    starts = parts.select("recording_id", "chunk", "n", "first", "state").groupBy("recording_id").applyInPandas(fold, "recording_id string, chunk long, from_state array<double>")
+    begins = put.where("chunk is null").groupBy("recording_id").applyInPandas(fold, "recording_id string, span long, begin array<double>")
 
     def add(batches):
         for pdf in batches:
+            out = []
             for r in pdf.itertuples():
-                y = np.asarray(r.y).reshape(r.n, -1)
-                y = y + system.impulse(r.n)[1] @ np.asarray(r.from_state).reshape(len(system.b), -1)
-                yield pd.DataFrame({"recording_id": r.recording_id, "sample_idx": np.arange(r.start, r.start + r.n), "channels": list(y)})
-
-    joined = parts.select("recording_id", "chunk", "start", "n", "y").join(starts, ["recording_id", "chunk"])
+                begin = np.asarray(r.begin).reshape(states, -1)
+                state = np.asarray(r.local).reshape(states, -1) + np.linalg.matrix_power(system.a, int(r.before)) @ begin
+                y = np.array(r.y).reshape(r.n, -1)
+                for i in range(0, r.n, CHUNK):
+                    m = system.powers(min(CHUNK, r.n - i))
+                    y[i : i + CHUNK] += m.free @ state
+                    state = m.step @ state
+                out.append(pd.DataFrame({"recording_id": r.recording_id, "sample_idx": np.arange(r.start, r.start + r.n), "channels": list(y)}))
+                if len(out) >= 32:
+                    yield pd.concat(out)
+                    out = []
+            if out:
+                yield pd.concat(out)
+
+    states_of = put.where("chunk is not null").join(begins, ["recording_id", "span"]).select("recording_id", "chunk", "before", "local", "begin")
+    joined = parts.select("recording_id", "chunk", "start", "n", "y").join(states_of, ["recording_id", "chunk"])
     return joined.mapInPandas(add, "recording_id string, sample_idx long, channels array<double>")
 
 

@@ -162,6 +162,20 @@ def test_adaptation_is_the_sequential_loop(spark, monkeypatch, n, how):
     assert seen > 20 and len(steps) == 3 * len(metrics) == 3 * 2 * -(-n // batch)
 
 
+@pytest.mark.parametrize("span", [1, 3, 1024])
+def test_filter_states_are_put_together_by_spans(spark, span):
+    x = np.random.default_rng(3).normal(size=(200, 2)) + 1
+    s = fl.butterworth("band", 2, (2.0, 20.0), 100.0)
+    for settled in (False, True):
+        state = np.outer(s.rest, x[0]) if settled else np.zeros((len(s.b), 2))
+        want = []
+        for v in x:
+            want.append(s.c @ state + s.d * v)
+            state = s.a @ state + np.outer(s.b, v)
+        got = fl.apply(signal(spark, x), s, 7, settled, span)
+        assert np.allclose(array(got), want)
+
+
 def rows_of(df, *keys):
     return {tuple(r[k] for k in keys): r for r in df.collect()}
 

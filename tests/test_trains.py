@@ -1,5 +1,8 @@
 """Agreement against plain loops, and the edges of the metrics."""
 
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -160,3 +163,54 @@ def test_units_meet_at_any_lag(spark, monkeypatch, dense):
     assert {(r.unit_ref, r.unit_test): r.lag for r in got} == want == {(0, 2): -700, (1, 1): 450, (2, 0): -5}
     assert all(r.n_common >= len(base[r.unit_ref]) for r in got)
     assert {r.unit for r in ag.evaluate_run(a, b, 10**6, tol, None, 12).collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
+def test_matching_by_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    a, b = (np.unique(np.concatenate([rng.integers(0, 900, 90), rng.integers(-200, 0, 30)])) for _ in range(2))
+    ref = spikes(spark, {0: a, 1: b}).withColumnRenamed("sample_idx", "a")
+    test = spikes(spark, {0: b, 1: a, 2: a}).withColumnRenamed("sample_idx", "b")
+    got = [(r.unit, r.a, r.b) for r in ag.match_firings(ref, test, 4, ("recording_id", "unit"), block).collect()]
+    assert sorted(got) == [(0, *p) for p in greedy(a.tolist(), b.tolist(), 4)] + [(1, *p) for p in greedy(b.tolist(), a.tolist(), 4)]
+
+
+def test_a_long_island_is_matched_in_time_that_grows_with_it():
+    rng = np.random.default_rng(2)
+    a, b = np.sort(rng.integers(0, 200_000, 100_000)), np.sort(rng.integers(0, 200_000, 100_000))
+    began = time.time()
+    i, k = ag._matched(a, b, 50)
+    assert time.time() - began < 10 and len(i) > 80_000 and (np.abs(a[i] - b[k]) <= 50).all() and len(set(k)) == len(k)
+    few = ag._matched(a[:300], b[:300], 9)
+    assert [(int(a[x]), int(b[y])) for x, y in zip(*few, strict=True)] == greedy(a[:300].tolist(), b[:300].tolist(), 9)
+
+
+@pytest.mark.parametrize("lags", [5, 64, 1 << 20])
+@pytest.mark.parametrize("dense", [1, 50, 1 << 18])
+@pytest.mark.parametrize("tol", [1, 4])
+def test_best_lag_by_blocks(monkeypatch, lags, dense, tol):
+    monkeypatch.setattr(ag, "LAGS", lags)
+    monkeypatch.setattr(ag, "DENSE", dense)
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 30):
+        x, ys = rng.integers(0, 150, n), [rng.integers(-40, 90, m) for m in (1, 5, 25)]
+        want = []
+        for y in ys:
+            corr = {}
+            for d in np.subtract.outer(x, y).ravel().tolist():
+                for lag in range(d - tol + 1, d + tol):
+                    corr[lag] = corr.get(lag, 0) + tol - abs(lag - d)
+            best = min(corr, key=lambda k: (-corr[k], k))
+            want.append((best, corr[best]))
+        assert [ag._best_of(x, y, tol) for y in ys] == want == ag._best_of_each(x, ys, tol)
+
+
+def test_best_lag_of_a_day_holds_little():
+    rng = np.random.default_rng(8)
+    day = 24 * 3600 * 2048
+    x = np.sort(rng.integers(0, day, 3000))
+    y = np.concatenate([x[::2] - 123_456, rng.integers(0, day, 1000)])
+    tracemalloc.start()
+    assert ag._best_of(x, y, 2)[0] == 123_456
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
