@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import materialise, shared_folder
 
-__all__ = ["WORD", "let", "materialise", "meet", "prefix_sums", "running", "shared_dir", "shingle_hashes", "table", "with_defaults", "words_of"]
+__all__ = ["WORD", "by_place", "let", "materialise", "meet", "prefix_sums", "running", "shared_dir", "shingle_hashes", "table", "with_defaults", "words_of"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +61,12 @@ def with_defaults(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def by_place(docs: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named c0, c1, ... by their place, and the new names of ``cols``: no column of docs clashes with a name used inside."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in cols]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it in a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_defaults
+from .common import by_place, materialise, with_defaults
 
 #: Rounds at most, and runs that meet in one at least.
 ROUNDS, FAN = 3, 8
@@ -107,15 +107,20 @@ def copies_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all their columns as they are (of rows equal in id and text any one)."""
+    """The rows of docs that exact_dedup keeps, all their columns as they are, whatever these are called (of rows equal in id and text any one).
+
+    A null text equals an empty one, a null id loses against any other, and an empty table gives no rows.
+    """
+    names = docs.columns
+    docs, (id_col, text_col) = by_place(docs, id_col, text_col)
     own = materialise(copies_by_id(docs, id_col, text_col, keep).where(F.col("id").eqNullSafe(F.col("keep_id"))), "keepers")
     winners = own.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("rows").alias("__rows"))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest_of_row") == F.col("__digest"))
     marked = docs.withColumn("__digest_of_row", F.sha2(with_defaults(text_col).cast("binary"), 256))
     single = marked.join(winners, same, "left_semi")
     if own.where("rows > 1").isEmpty():
-        return single.drop("__digest_of_row")
+        return single.drop("__digest_of_row").toDF(*names)
     # rows repeated with id and text: one of them
     single = marked.join(winners.where("__rows = 1"), same, "left_semi")
     repeated = marked.join(winners.where("__rows > 1"), same, "left_semi").dropDuplicates([id_col, "__digest_of_row"])
-    return single.unionByName(repeated).drop("__digest_of_row")
+    return single.unionByName(repeated).drop("__digest_of_row").toDF(*names)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, prefix_sums, with_defaults
+from .common import WORD, by_place, materialise, prefix_sums, with_defaults
 
 WEIGHTS = (5, 2, 1)
 SHARE, EPOCHS, SEED = 1.5, 2, "mix-1"
@@ -93,8 +93,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document that the cut shortens keeps the words before the cut, and its
     length_col (if docs has one) follows. Rows are found again by id, source and a hash of all their
-    columns (but maps); rows that agree in these are the same row repeated.
+    columns (but maps); rows that agree in these are the same row repeated. Columns keep their values, whatever they are called.
+    A null or empty text has no words and is never taken; null sources are one source, and an empty table gives no rows.
     """
+    names = docs.columns
+    docs, (id_col, text_col, source_col) = by_place(docs, id_col, text_col, source_col)
+    length_col = docs.columns[names.index(length_col)] if length_col in names else None
     hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
     keys = ("__id", "__source", "__print")
     plan = mix(docs, id_col, text_col, source_col, fingerprint=hashed, **how).where("taken > 0")
@@ -119,9 +123,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = taken.withColumn("__words", F.explode(passes))
     cut = F.when(F.col("__words") >= F.col("__size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("__words")))
     out = taken.withColumns({text_col: cut})
-    if length_col in docs.columns:
+    if length_col:
         out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import by_place, materialise
 
 WIDTH, COORDS = 5, 125
 #: Links hold from this share (in hundredths) of shared shingles on: op10's, and what copies are dropped by.
@@ -37,7 +37,6 @@ MISS_BANDS, MISS_AGREE = 5e-7, 1.5e-6
 #: Documents in a block of a large bucket, members of the bucket that visit every block, and documents
 #: in a block where blocks of open buckets meet.
 BLOCK, VISITORS, MEETING = 160, 16, 400
-LAST_ID = (1 << 63) - 1
 #: A key with more than this share of all rows is joined by broadcast: there are at most so many.
 HOT_KEYS = 1000
 
@@ -276,10 +275,24 @@ def _alike_in(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return materialise(signed.groupBy("bucket", "p", "q").applyInArrow(_alike(percent), PART_COLUMNS), "alike")
 
 
-def _sets_of(tags: DataFrame, nodes: DataFrame, text: DataFrame) -> DataFrame:
-    """(tag, shingles): the full sets of these tags, each from one text that has it, as a written table."""
-    wanted = tags.join(nodes, "tag").select("tag", F.when(F.col("id") < LAST_ID, F.col("id")).alias("own"), F.col("print").alias("own_print"))
-    found = text.join(wanted, F.col("id").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print"))).select("tag", "text")
+def _repeated(sketches: DataFrame) -> DataFrame | None:
+    """(often_id, often_print) of the rows, equal in both, that make up more than one in HOT_KEYS: fewer than HOT_KEYS; None if there are none."""
+    total = sketches.count()
+    often = sketches.groupBy("id", "print").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") * HOT_KEYS > total))
+    often = materialise(often.select(F.col("id").alias("often_id"), F.col("print").alias("often_print")), "repeated")
+    return None if often.isEmpty() else often
+
+
+def _sets_of(tags: DataFrame, nodes: DataFrame, text: DataFrame, often: DataFrame | None = None) -> DataFrame:
+    """(tag, shingles): the full sets of these tags, each from one text that has it, as a written table; often: what _repeated returns."""
+    wanted = tags.join(nodes, "tag").select("tag", F.col("id").alias("own"), F.col("print").alias("own_print"))
+    same = F.col("id").eqNullSafe(F.col("own")) & (F.col("print") == F.col("own_print"))
+    found = text.join(wanted, same).select("tag", "text")
+    if often is not None:
+        # a row that is repeated very often: its texts become one in each task before they meet
+        of = F.col("id").eqNullSafe(F.col("often_id")) & (F.col("print") == F.col("often_print"))
+        one = text.join(F.broadcast(often), of, "left_semi").groupBy("id", "print").agg(F.first("text").alias("text"))
+        found = text.join(F.broadcast(often), of, "left_anti").join(wanted, same).select("tag", "text").unionByName(one.join(wanted, same).select("tag", "text"))
     sets = materialise(found.mapInArrow(_sets, "tag binary, shingles binary"), "sets")
     # rows repeated with id and text give theirs more than once
     return sets.dropDuplicates(["tag"]) if sets.count() > wanted.count() else sets
@@ -334,14 +347,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     sketches = materialise(text.mapInArrow(_sketch, f"id {kind}, print long, size long, tag binary, sign binary"), "sketches")
     # of equal sets the least id, and of its texts one
-    best = F.min(F.struct(F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)).alias("id"), "print"))
+    best = F.min(F.struct(F.col("id").isNull().alias("missing"), F.col("id").cast("long").alias("id"), "print"))
     nodes = sketches.where("size > 0").groupBy("tag").agg(best.alias("best"), F.first("sign").alias("sign"), F.first("size").alias("size"))
-    nodes = materialise(nodes.select("tag", "best.id", "best.print", "sign", "size", F.struct("best.id", "tag").alias("node")), "nodes")
+    nodes = materialise(nodes.select("tag", "best.id", "best.print", "sign", "size", F.struct("best.missing", "best.id", "tag").alias("node")), "nodes")
     members = materialise(_buckets(nodes, percent), "buckets")
     alike = _alike_in(_dealt(members), nodes, percent)
     # texts move once: members of large buckets may be needed when their blocks meet
     wanted = alike.select("tag").union(members.where(F.col("members") > BLOCK).select("tag")).distinct()
-    sets = _sets_of(wanted, nodes, text)
+    sets = _sets_of(wanted, nodes, text, _repeated(sketches))
     labels = components(_confirmed(alike, sets, percent), nodes.select("tag", "node"))
     again = _dealt_again(members, labels)
     if again is not None:
@@ -367,7 +380,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     theirs. Other columns are not read. An empty table gives no rows.
     """
     rows = _labelled(docs, id_col, text_col, percent)
-    label = F.when(F.col("value").isNull(), F.col("id").cast("long")).when(F.col("value.id") < LAST_ID, F.col("value.id"))
+    label = F.when(F.col("value").isNull(), F.col("id").cast("long")).otherwise(F.col("value.id"))
     out = rows.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), label.alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
@@ -377,10 +390,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents are linked from ``percent`` % of shared five-word runs on, by default 80, where near_components takes 85.
     Texts without words all stay. Of a component one set of runs stays: rows that share it and the
-    id, such as repeated rows, stay together.
+    id, such as repeated rows, stay together. Columns keep their values, whatever they are called; an empty table gives no rows.
     """
+    names = docs.columns
+    docs, (id_col, text_col) = by_place(docs, id_col, text_col)
     rows = _labelled(docs, id_col, text_col, percent)
-    first = (F.col("value.tag") == F.col("tag")) & (F.coalesce(F.col("id").cast("long"), F.lit(LAST_ID)) == F.col("value.id"))
+    first = (F.col("value.tag") == F.col("tag")) & F.col("id").cast("long").eqNullSafe(F.col("value.id"))
     kept = rows.where(F.col("value").isNull() | first).select(F.col("id").alias("__id"), F.col("print").alias("__print")).distinct()
     marked = docs.withColumn("__print_of_row", F.xxhash64(text_col))
-    return marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__print_of_row") == F.col("__print")), "left_semi").drop("__print_of_row")
+    return marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__print_of_row") == F.col("__print")), "left_semi").drop("__print_of_row").toDF(*names)

@@ -432,7 +432,12 @@ def _lists(ids: list[bytes]) -> pa.Array:
 
 
 def encode_column(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", path: str = DEFAULT_MODEL) -> DataFrame:
-    """docs with the ids of each whole text (array<int>); a null text has none, like an empty one."""
+    """docs with the ids of each whole text (array<int>) as ``out_col``, in place of a column of that name (in any case).
+
+    A null text has no ids, like an empty one; long texts are encoded whole, repeated rows each, and an empty table gives no rows.
+    Of pieces with equal sums the longest wins. Other columns stay as they are, whatever they are called.
+    """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out_col.lower()])
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain, at = docs.toDF(*names), docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(Pieces.load(path))

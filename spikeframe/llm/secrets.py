@@ -28,7 +28,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 #: A run is a secret from this log-likelihood ratio on, in nats.
 MIN_LLR = 12.0
-#: Rows for training, about: their share of the table is taken by a hash of the id.
+#: Rows for training, about: their share of the table is taken by a hash of id and text.
 SECRET_ROWS, ORDINARY_ROWS = 100_000, 4_000
 #: Weight of a uniform distribution in each row of transitions.
 PRIOR = 20.0
@@ -97,7 +97,8 @@ def _pairs(strings: DataFrame, col: str) -> DataFrame:
 
     A string counts once for each pair that it has anywhere, so that no single long one decides.
     """
-    two = F.transform(F.sequence(F.lit(1), F.char_length(col) - 1), lambda i: F.substring(F.col(col), i, F.lit(2)))
+    # one look at each character, however long the string
+    two = let(F.split(col, ""), lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i))))
     pairs = strings.where(F.char_length(col) > 1).select(F.explode(F.array_distinct(two)).alias("pair"))
     return pairs.groupBy("pair").count()
 
@@ -109,7 +110,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secre
     def sample(rows: int) -> DataFrame:
         if rows >= total:
             return docs
-        return docs.where(F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+        return docs.where(F.pmod(F.xxhash64(F.lit("train"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
 
     cut = lambda span: F.substring(F.col("text"), span["start"] + 1, span["stop"] - span["start"])
     secrets = _scan(sample(secret_rows), id_col, text_col).select("text", F.explode(F.concat("assign", "access", "hex")).alias("span"))
@@ -134,11 +135,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secre
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
-    """Sum of the model's ratios over the token's transitions."""
+    """Sum of the model's ratios over the token's transitions; those with a character outside ALPHABET count 0."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    steps = F.sequence(F.lit(2), F.char_length(token))
-    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(table, (place(i - 1) - 1) * len(ALPHABET) + place(i) - 1), F.lit(0.0)))
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+    def total(at: Column) -> Column:
+        known = lambda i: (F.get(at, i - 1) > 0) & (F.get(at, i) > 0)
+        ratio = lambda i: F.when(known(i), F.get(table, (F.get(at, i - 1) - 1) * len(ALPHABET) + F.get(at, i) - 1)).otherwise(0.0)
+        return F.aggregate(F.sequence(F.lit(1), F.size(at) - 1), F.lit(0.0), lambda acc, i: acc + ratio(i))
+
+    return F.when(F.char_length(token) > 1, let(places, total)).otherwise(0.0)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None, min_llr: float = MIN_LLR) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_defaults
+from .common import by_place, materialise, with_defaults
 
 BITS, ORDERS = 18, (3, 4, 5)
 #: Most labelled ids of each class that training takes, about.
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score double (0 to 1), of the whole text; a null text is scored as an empty one."""
+    """docs with __score double (0 to 1), of the whole text; a null text is scored as an empty one. docs has no column of that name."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     at = docs.columns.index(text_col)
 
@@ -203,6 +203,12 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below THRESHOLD, as they are."""
-    scored = score(docs, train(docs, labels, id_col, text_col), text_col)
-    return scored.where(F.col("__score") < THRESHOLD).drop("__score")
+    """The rows of docs that score below THRESHOLD, as they are, with all their columns, whatever these are called.
+
+    A null text is scored as an empty one, null ids are never trained on, repeated rows all stay or all go, and an empty
+    table gives none.
+    """
+    model = train(docs, labels, id_col, text_col)
+    plain, (text_col,) = by_place(docs, text_col)
+    scored = score(plain, model, text_col)
+    return scored.where(F.col("__score") < THRESHOLD).drop("__score").toDF(*docs.columns)

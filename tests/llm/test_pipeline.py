@@ -127,3 +127,20 @@ def test_stages_of_empty_tables(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables}/documents.parquet").withColumns({c: F.lit(1) for c in ("id", "tag", "print", "key", "run", "part")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(9), tables).columns == docs.columns
+
+
+CLASHES = ("token_ids", "n_tokens", "__score", "__print_of_row", "__digest_of_row", "__words", "__part", "__id", "__source", "__print", "__passes", "__last", "__size", "c0", "id", "text_", "before", "taken", "size")
+
+
+def test_stages_with_clashing_columns(spark, tables, outputs):
+    """Columns of any name keep their values; token_ids and n_tokens are replaced."""
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = spark.read.parquet(f"{tables}/stage{k - 1}" if k else f"{tables}/documents.parquet")
+        extra = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in CLASHES})
+        got = stage(spark, extra, tables)
+        keep = [c for c in CLASHES if k < 4 or c not in ("token_ids", "n_tokens")]
+        assert set(got.columns) == {*docs.columns, *CLASHES}
+        rows = got.collect()
+        assert all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in keep)
+        assert sorted(str(r.asDict()["text"]) for r in rows) == sorted(str(r.text) for r in outputs[k][2])
+        assert k < 4 or all(r.n_tokens == len(r.token_ids) for r in rows)

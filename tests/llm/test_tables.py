@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -460,3 +461,54 @@ def test_models_of_the_documents_table_tell_random_strings(spark):
     got = df.select("kind", (secrets.log_ratio(F.col("s"), model) >= secrets.MIN_LLR).cast("int").alias("hit")).groupBy("kind").agg(F.avg("hit").alias("share")).collect()
     share = {r.kind: r.share for r in got}
     assert min(share["any"], share["hex"], share["upper"]) >= 0.95, share
+
+
+def test_a_long_run_is_scanned_in_time_that_grows_with_it(spark):
+    rng = random.Random(12)
+    run = "".join(rng.choice(secrets.ALPHABET) for _ in range(1_000_000))
+    rows = [(1, f"see {run} and {run[:40]}"), (2, run[:2000])]
+    began = time.time()
+    got = {r.id: r for r in secrets.scan_secrets(docs(spark, rows), model=[0.01] * len(secrets.ALPHABET) ** 2).collect()}
+    pairs = {r.pair for r in secrets._pairs(docs(spark, rows[:1]).select(F.lit(run).alias("s")), "s").collect()}
+    assert time.time() - began < 30
+    assert [(s.start, s.stop) for s in got[1].spans if s.kind == "markov"] == [(4, 1_000_004)] and len(got[2].spans) == 1
+    assert pairs == {a + b for a, b in zip(run, run[1:])}
+
+
+def test_ratio_of_a_token_is_the_sum_over_its_pairs(spark):
+    rng = random.Random(13)
+    n = len(secrets.ALPHABET)
+    model = [round(rng.uniform(-3, 3), 6) for _ in range(n * n)]
+    tokens = ["", "a", "ab", "é", "aéb", "A-_=/+z"] + ["".join(rng.choice(secrets.ALPHABET) for _ in range(k)) for k in (16, 300)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for r in df.select("t", secrets.log_ratio(F.col("t"), model).alias("v")).collect():
+        places = [secrets.ALPHABET.find(c) for c in r.t]
+        want = sum(model[a * n + b] for a, b in zip(places, places[1:]) if a >= 0 and b >= 0)
+        assert math.isclose(r.v, want, abs_tol=1e-9)
+
+
+def test_a_row_repeated_often_gives_one_set(spark, monkeypatch):
+    rng = random.Random(14)
+    base = words(rng, 200, 10**6)
+    near = base.rsplit(" ", 1)[0] + " other"
+    rows = [(1, base)] * 500 + [(2, near), (3, words(rng, 200, 10**6))]
+    seen = []
+    whole = near_dedup._sets_of
+    monkeypatch.setattr(near_dedup, "_sets_of", lambda *a: seen.append(whole(*a)) or seen[-1])
+    made = []
+    write = near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, name: made.append((name, out := write(df, name))) or out)
+    got = near_dedup.near_components(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)} and len(got) == 502
+    assert [df.count() for name, df in made if name == "sets"] == [2]
+
+
+def test_the_largest_id_is_an_id(spark):
+    last = (1 << 63) - 1
+    text = "one two three four five six seven"
+    got = near_dedup.near_components(docs(spark, [(last, text), (None, text), (None, "alone by itself")])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [(str(last), str(last)), ("None", str(last)), ("None", "None")]
+    only = near_dedup.near_components(docs(spark, [(last, text)])).first()
+    assert only.component_id == last and only.kept
+    left = near_dedup.drop_near_copies(docs(spark, [(last, text), (None, text)])).collect()
+    assert [r.doc_id for r in left] == [last]
