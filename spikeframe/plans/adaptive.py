@@ -16,7 +16,7 @@ from ..operators import sweep as sw
 from ..sources import fixtures as fx
 from ..sources import recordings as rec
 from ..sources.storage import materialise, shared_folder
-from .common import BATCH, CH, DIST, EXT, MULT, SCALES, SIG, SIZE, fixture, r6, unit_rows, whitening
+from .common import BATCH, CH, DIST, EXT, IPTS, MIX, MODEL, MULT, SCALES, SIG, SIZE, VECTORS, fixture, r6, unit_rows, whitening
 
 QUERIES, ORACLES = {}, {}
 FS = 100.0
@@ -179,14 +179,77 @@ def start_model(spark, d):
     return sig, materialise(start, "start"), materialise(vectors, "vectors")
 
 
-@query()
+_ROWS, _COLS = range(SIZE), range(1, SIZE + 1)
+_EXTENDED = ", ".join(f"coalesce(lag(c{k % CH}, {k // CH}) OVER w, 0)" if k >= CH else f"c{k}" for k in _ROWS)
+_PRODUCT = "list_transform({a}, lambda r: list_transform({b}, lambda q: list_inner_product(r, q)))"  # rows of a by rows of b
+
+
+def _adaptation(adapt_wh: bool) -> str:
+    """The adaptation of the fixture's model in SQL, matrices as lists of rows.
+
+    ``course``: whitening and covariance before each batch (as they are all the way without adapt_wh); ``unit_course``: each unit before each batch, and
+    the spikes of the batch before.
+    """
+    start = "[" + ", ".join("[" + ", ".join(f"{m!r}::DOUBLE * s{k % CH}" for k, m in enumerate(row)) + "]" for row in MIX) + "]"
+    vectors = "[" + ", ".join("[" + ", ".join(f"{v!r}::DOUBLE" for v in row) + "]" for row in VECTORS) + "]"
+    product = lambda x, y: _PRODUCT.format(a=x, b=y)
+    cells = lambda keys, where: f"""SELECT {keys}list(line ORDER BY i) AS v, any_value(n) AS n FROM (
+    SELECT {keys}i, list(v ORDER BY j) AS line, any_value(n) AS n FROM (
+      SELECT {keys}i, j, coalesce(covar_samp(x[i], x[j]), 0) AS v, count(*) AS n FROM ext, range(1, {SIZE + 1}) a(i), range(1, {SIZE + 1}) b(j) {where} GROUP BY {keys}i, j)
+    GROUP BY {keys}i) GROUP BY {keys.rstrip(', ')}"""
+    mixed = "list_transform(c, lambda r, i: list_transform(r, lambda v, j: 0.9::DOUBLE * v + 0.1::DOUBLE * z[i][j]))"
+    moved = f"list_transform(w, lambda r, i: list_transform(r, lambda v, j: v + {PARAMS.wh_learning_rate!r}::DOUBLE * (v - cw[i][j])))"
+    turned = f"list_transform(range(1, {SIZE + 1}), lambda k: list_transform(w, lambda r: r[k]))"
+    course = f"""cov AS MATERIALIZED ({cells("recording_id, b, ", f"WHERE sample_idx >= {EXT}")}),
+whole AS ({cells("recording_id, ", "")}),
+course AS (
+  SELECT recording_id, 0::BIGINT AS b, w, {product(product("w", "v"), "w")} AS c FROM w0 JOIN whole USING (recording_id)
+  UNION ALL
+  SELECT recording_id, b + 1, CASE WHEN n > 1 THEN {moved} ELSE w END, c FROM (
+    SELECT *, {product("c", turned)} AS cw FROM (
+      SELECT recording_id, b, w, n, CASE WHEN n > 1 THEN {mixed} ELSE c END AS c FROM (
+        SELECT course.recording_id, course.b, w, c, n, {product(product("w", "v"), "w")} AS z FROM course JOIN cov ON cov.recording_id = course.recording_id AND cov.b = course.b))))"""
+    still = "course AS (SELECT recording_id, b, w FROM w0 JOIN (SELECT DISTINCT recording_id, b FROM batches) USING (recording_id))"
+    mean = lambda of, value: f"coalesce(list_avg(list_transform({of}, lambda i: {value})), 0)"
+    grad = f"list_transform(range(1, {SIZE + 1}), lambda k: w[k] + {PARAMS.sv_learning_rate!r}::DOUBLE * {mean('hits', 'z[i][k] * tanh(ipt[i])')})"
+    weighted = lambda old, of: f"({PARAMS.spike_prev_weight} * {old} + len(hits) * {mean(of, 'sq[i]')}) / ({PARAMS.spike_prev_weight} + len(hits))"
+    return f"""WITH RECURSIVE {IPTS}, {MODEL},
+ext AS (SELECT recording_id, sample_idx, sample_idx // {BATCH} AS b, [{_EXTENDED}] AS x FROM sig WINDOW w AS (PARTITION BY recording_id ORDER BY sample_idx)),
+batches AS MATERIALIZED (SELECT recording_id, b, min(sample_idx) AS first, list(x ORDER BY sample_idx) AS xs FROM ext WHERE sample_idx >= {EXT} GROUP BY recording_id, b),
+w0 AS (SELECT recording_id, {start} AS w FROM sc),
+{course if adapt_wh else still},
+zs AS MATERIALIZED (SELECT recording_id, b, first, list_transform(xs, lambda x: list_transform(w, lambda r: list_inner_product(r, x))) AS z FROM batches JOIN course USING (recording_id, b)),
+unit_course AS (
+  SELECT recording_id, unit, 0::BIGINT AS b, ({vectors})[unit + 1] AS w, base_centr, spikes_centr, height, []::BIGINT[] AS spikes FROM model
+  UNION ALL
+  SELECT recording_id, unit, b + 1, w, base_centr, spikes_centr, CASE WHEN len(kept) > 0 THEN spikes_centr - (spikes_centr - base_centr) / 2 ELSE height END, list_transform(hits, lambda i: first + i - 1) FROM (
+    SELECT recording_id, unit, b, first, kept, hits, height,
+      CASE WHEN len(hits) > 0 THEN list_transform(moved, lambda v: v / sqrt(list_inner_product(moved, moved))) ELSE w END AS w,
+      CASE WHEN len(rest) > 0 THEN {weighted('base_centr', 'rest')} ELSE base_centr END AS base_centr,
+      CASE WHEN len(hits) > 0 THEN {weighted('spikes_centr', 'hits')} ELSE spikes_centr END AS spikes_centr FROM (
+      SELECT *, {grad} AS moved FROM (
+        SELECT *, list_filter(kept, lambda i: sq[i] > height) AS hits, list_filter(kept, lambda i: sq[i] <= height) AS rest FROM (
+          SELECT *, list_reduce(list_prepend([]::BIGINT[], ranked), lambda acc, v: CASE WHEN len(list_filter(acc, lambda k: abs(k - v[1]) < {DIST})) = 0 THEN list_append(acc, v[1]) ELSE acc END) AS kept FROM (
+            SELECT *, list_transform(list_sort(list_transform(tops, lambda i: {{'down': -sq[i], 'late': -i}})), lambda t: [-t.late]) AS ranked FROM (
+              SELECT *, list_filter(range(2, len(sq)), lambda i: sq[i] > sq[i - 1] AND sq[i] > sq[i + 1] AND sq[i] BETWEEN base_centr / {MULT} AND {MULT} * spikes_centr) AS tops FROM (
+                SELECT *, list_transform(ipt, lambda v: v * v) AS sq FROM (
+                  SELECT u.*, first, z, list_transform(z, lambda v: list_inner_product(v, u.w)) AS ipt
+                  FROM unit_course u JOIN zs ON zs.recording_id = u.recording_id AND zs.b = u.b))))))))),
+known AS (SELECT u.* FROM unit_course u JOIN zs USING (recording_id, b))"""
+
+
+ADAPTED_SPIKES = f"{_adaptation(True)} SELECT recording_id, unit, b - 1 AS batch_idx, unnest(spikes) AS sample_idx FROM unit_course"
+TRAJECTORY = f"{_adaptation(True)} SELECT recording_id, b AS version, unit, round(base_centr, 6) AS base_centr, round(spikes_centr, 6) AS spikes_centr FROM known"
+
+
+@query(f"{_adaptation(False)} SELECT recording_id, b AS version, unit, round(w[1], 6) AS first_weight, round(height, 6) AS height FROM known")
 def adaptive_separation(spark, d):
     p = ad.with_params(PARAMS, adapt_wh=False, compute_loss=False)
     out = ad.decompose_adaptive(*start_model(spark, d), p)["model_units"]
     return out.select("recording_id", "version", "unit", r6(F.get("w", F.lit(0))).alias("first_weight"), r6("height").alias("height"))
 
 
-@query()
+@query(ADAPTED_SPIKES)
 def decompose_adaptive(spark, d):
     out = ad.decompose_adaptive(*start_model(spark, d), PARAMS)
     return out["spikes"].select("recording_id", "unit", "batch_idx", "sample_idx")
@@ -199,7 +262,7 @@ def adaptive_losses(spark, d):
     return out["batch_metrics"].join(added, ["recording_id", "batch_idx"], "left").select("recording_id", "batch_idx", *[r6(c).alias(c) for c in ("wh_loss", "sv_loss", "total_loss")])
 
 
-@query()
+@query(TRAJECTORY)
 def param_trajectory(spark, d):
     out = ad.decompose_adaptive(*start_model(spark, d), PARAMS)["model_units"]
     path = f"{shared_folder(spark)}/params-{uuid.uuid4().hex}"

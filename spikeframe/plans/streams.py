@@ -82,21 +82,21 @@ def _online(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, sig, lambda s: online.decompose_stream(s, start, units, pa.PARAMS, pa.FS, snapshots=4), ("kind",))
 
 
-@query()
+@query(pa.ADAPTED_SPIKES)
 def decompose_stream(spark, d):
     """The rows of decompose_adaptive, from the stream."""
     out = _online(spark, d).where("kind = 'unit'")
     return out.select("recording_id", "unit", "batch_idx", F.explode("spikes").alias("sample_idx"))
 
 
-@query()
+@query(pa.TRAJECTORY)
 def stream_trajectory(spark, d):
     """The rows of param_trajectory, as the stream writes them."""
     units, _ = online.trajectory(_online(spark, d))
     return units.select("recording_id", "version", "unit", r6("base_centr").alias("base_centr"), r6("spikes_centr").alias("spikes_centr"))
 
 
-@query()
+@query(pa.ADAPTED_SPIKES)
 def replay_snapshots(spark, d):
     """The rows of decompose_adaptive again, from the stored snapshots of every third batch."""
     sig, start, units = pa.start_model(spark, d)
@@ -105,7 +105,7 @@ def replay_snapshots(spark, d):
     return out["spikes"].select("recording_id", "unit", "batch_idx", "sample_idx")
 
 
-@query()
+@query(pa.ADAPTED_SPIKES)
 def adaptive_by_units(spark, d):
     """The rows of decompose_adaptive, each unit in a task of its own."""
     out = ad.decompose_adaptive(*pa.start_model(spark, d), pa.PARAMS, units_per_task=1)
