@@ -180,10 +180,16 @@ def derive(params: DataFrame) -> DataFrame:
     return params.withColumns({"batch_size": per_ms("batch_ms"), "spike_dist": per_ms("spike_dist_ms")})
 
 
-def write_outputs(outputs: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
-    """One Parquet table for each output, partitioned by recording. An existing one is an error unless mode says otherwise."""
+def write_outputs(outputs: dict[str, DataFrame], path: str, mode: str = "errorifexists", rows_per_file: int = 1 << 22) -> None:
+    """One Parquet table for each output, partitioned by recording. An existing one is an error unless mode says otherwise.
+
+    Rows are dealt by ranges of recording and place in it, so that a long recording is written by many tasks, in files of at most
+    rows_per_file rows.
+    """
     for name, df in outputs.items():
-        df.repartition("recording_id").write.mode(mode).partitionBy("recording_id").parquet(f"{path}/{name}")
+        place = [c for c in ("sample_idx", "batch_idx", "version", "unit") if c in df.columns]
+        rows = df.repartitionByRange("recording_id", *place)
+        rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("recording_id").parquet(f"{path}/{name}")
 
 
 def read_outputs(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:

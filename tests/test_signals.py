@@ -381,6 +381,10 @@ def test_outputs_and_metrics(spark, tmp_path):
     assert {(r.recording_id, r.unit, r.sample_idx) for r in back.collect()} == {("1", 0, 5), ("2", 1, 7)}
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         rec.write_outputs({"spikes": spikes}, str(tmp_path / "out"))
+    long = spark.range(1000).selectExpr("'r' AS recording_id", "0 AS unit", "id AS sample_idx")
+    rec.write_outputs({"spikes": long}, str(tmp_path / "long"), rows_per_file=100)
+    assert len(list((tmp_path / "long/spikes/recording_id=r").glob("*.parquet"))) >= 10
+    assert rec.read_outputs(spark, str(tmp_path / "long"), ["spikes"])["spikes"].count() == 1000
     for run in ("a", "b", "b"):
         rec.log_metrics({"run_summary": spikes}, str(tmp_path / "metrics"), run)
     assert spark.read.parquet(str(tmp_path / "metrics/run_summary")).count() == 4
