@@ -37,13 +37,15 @@ class System:
         return np.linalg.solve(np.eye(len(self.b)) - self.a, self.b)
 
     def powers(self, n: int) -> Powers:
-        """What n samples do, made once in a process for each filter and n."""
-        key = (self.a.tobytes(), self.b.tobytes(), self.c.tobytes(), float(self.d), n)
+        """What n samples do: a part of what CHUNK (or more) do, which is made once in a process for each filter."""
+        size = max(CHUNK, n)
+        key = (self.a.tobytes(), self.b.tobytes(), self.c.tobytes(), float(self.d), size)
         if key not in _POWERS:
-            if len(_POWERS) >= 64:
+            if len(_POWERS) >= 16:
                 _POWERS.clear()
-            _POWERS[key] = Powers.of(self, n)
-        return _POWERS[key]
+            _POWERS[key] = _whole(self, size)
+        outputs, free, reach, steps = _POWERS[key]
+        return Powers(outputs[:n, :n], free[:n], reach[:, size - n :], steps[n])
 
 
 @dataclass(frozen=True)
@@ -55,19 +57,21 @@ class Powers:
     reach: np.ndarray
     step: np.ndarray
 
-    @classmethod
-    def of(cls, system: System, n: int) -> Powers:
-        free, reach, step = np.zeros((n, len(system.b))), np.zeros((len(system.b), n)), np.eye(len(system.b))
-        for k in range(n):
-            free[k], reach[:, n - 1 - k] = system.c @ step, step @ system.b
-            step = system.a @ step
-        impulse = np.concatenate([[system.d], (free @ system.b)[:-1]]) if n else np.zeros(0)
-        # row i of the outputs: the impulse response turned around, up to sample i
-        lags = np.subtract.outer(np.arange(n), np.arange(n))
-        return cls(np.where(lags >= 0, impulse[np.maximum(lags, 0)], 0.0) if n else np.zeros((0, 0)), free, reach, step)
 
-
-_POWERS: dict[tuple, Powers] = {}
+def _whole(system: System, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    states = len(system.b)
+    free, reach, steps = np.zeros((n, states)), np.zeros((states, n)), np.zeros((n + 1, states, states))
+    steps[0] = np.eye(states)
+    for k in range(n):
+        free[k], reach[:, n - 1 - k] = system.c @ steps[k], steps[k] @ system.b
+        steps[k + 1] = system.a @ steps[k]
+    impulse = np.concatenate([[system.d], (free @ system.b)[:-1]])
+    # row i of the outputs: the impulse response turned around, up to sample i
+    lags = np.subtract.outer(np.arange(n), np.arange(n))
+    return np.where(lags >= 0, impulse[np.maximum(lags, 0)], 0.0), free, reach, steps
+
+
+_POWERS: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def butterworth(kind: str, order: int, cut: float | tuple[float, float], fs: float) -> System:
