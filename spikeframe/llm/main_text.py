@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -57,12 +58,19 @@ for _i, _words in enumerate(ROLES.values()):
         _ROLE_OF.setdefault(_w, []).append(_i)
 
 
+#: Slots that attribute tokens outside the lists are hashed to.
+SLOTS = 32
+
+
 @dataclass
 class Node:
     tag: str
     parent: int
     depth: int
     roles: int = 0
+    #: Slots of the attribute tokens outside ROLES, and their number.
+    slots: int = 0
+    others: int = 0
     children: list[int] = field(default_factory=list)
     chars: int = 0
     linked: int = 0
@@ -78,13 +86,17 @@ class Page:
     runs: list[tuple[int, str] | None]
 
 
-def _roles(attrs: str) -> int:
-    bits = 0
+def _tokens(attrs: str) -> tuple[int, int, int]:
+    """Roles of the tokens in class, id and role; slots of the other tokens; their number."""
+    roles, slots, others = 0, 0, 0
     for m in _ATTR.finditer(attrs):
-        for word in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()):
+        for word in filter(None, _SPLIT.split((m[1] or m[2] or m[3] or "").lower())):
             for i in _ROLE_OF.get(word, ()):
-                bits |= 1 << i
-    return bits
+                roles |= 1 << i
+            if word not in _ROLE_OF:
+                slots |= 1 << zlib.crc32(word.encode()) % SLOTS
+                others += 1
+    return roles, slots, others
 
 
 class Tags:
@@ -193,7 +205,7 @@ def parse(source: str) -> Page:
             continue
         at = stack[-1][1] if stack else 0
         if tag in BLOCKS and tag not in ("html", "body") and not hidden:
-            node = Node(tag, at, nodes[at].depth + 1, _roles(attrs) if attrs else 0, at=total)
+            node = Node(tag, at, nodes[at].depth + 1, *(_tokens(attrs) if attrs else (0, 0, 0)), at=total)
             nodes[at].children.append(len(nodes))
             at = len(nodes)
             nodes.append(node)
@@ -209,11 +221,11 @@ N_ROLES = len(ROLES)
 
 
 def features(page: Page) -> np.ndarray:
-    """A row for each node: own tag and attribute tokens, those above, subtree density, place and siblings."""
+    """A row for each node: own tag and attribute tokens, those above and below, subtree density, place and siblings."""
     nodes = page.nodes
     n = len(nodes)
     chars, linked = [x.chars for x in nodes], [x.linked for x in nodes]
-    marks, inputs, blocks = [x.marks for x in nodes], [x.inputs for x in nodes], [1] * n
+    marks, inputs, blocks, below = [x.marks for x in nodes], [x.inputs for x in nodes], [1] * n, [0] * n
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
         chars[p] += chars[i]
@@ -221,6 +233,7 @@ def features(page: Page) -> np.ndarray:
         marks[p] += marks[i]
         inputs[p] += inputs[i]
         blocks[p] += blocks[i]
+        below[p] |= below[i] | nodes[i].roles
     whole = max(chars[0], 1)
     above, tags_above, own_tag = [0] * n, [0] * n, [0] * n
     near_of = [sum(chars[k] for k in x.children) for x in nodes]
@@ -235,11 +248,11 @@ def features(page: Page) -> np.ndarray:
         kin = len(nodes[p].children) if p >= 0 else 1
         near = near_of[p] if p >= 0 else chars[i]
         alike = tags_of[p][x.tag] / kin if p >= 0 else 1.0
-        rows.append((x.depth, own_tag[i], x.roles, above[i], tags_above[i], chars[i], linked[i] / max(chars[i], 1), blocks[i], chars[i] / blocks[i], 100 * marks[i] / max(chars[i], 1), inputs[i], chars[i] / whole, x.at / whole, kin, near / kin, chars[i] / max(near, 1), alike, x.chars))
+        rows.append((x.depth, own_tag[i], x.roles, above[i], tags_above[i], chars[i], linked[i] / max(chars[i], 1), blocks[i], chars[i] / blocks[i], 100 * marks[i] / max(chars[i], 1), inputs[i], chars[i] / whole, x.at / whole, kin, near / kin, chars[i] / max(near, 1), alike, x.chars, x.others, linked[p] / max(chars[p], 1) if p >= 0 else 0.0, marks[0], below[i], x.slots))
     raw = np.array(rows, dtype=np.float64)
     bits = lambda col, count: (raw[:, col].astype(np.int64)[:, None] >> np.arange(count)) & 1
     one = raw[:, 1].astype(np.int64)[:, None] == np.arange(len(TAGS))
-    return np.hstack([raw[:, :1], one, bits(2, N_ROLES), bits(3, N_ROLES), bits(4, len(TAGS)), raw[:, 5:]]).astype(np.float32)
+    return np.hstack([raw[:, :1], one, bits(2, N_ROLES), bits(3, N_ROLES), bits(4, len(TAGS)), bits(raw.shape[1] - 2, N_ROLES), bits(raw.shape[1] - 1, SLOTS), raw[:, 5:-2]]).astype(np.float32)
 
 
 @dataclass
@@ -263,7 +276,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
     """Gradient boosting of the logistic loss with second-order leaves.
 
     A level's histograms are made for all nodes and features at once: of columns of 0 and 1 from
@@ -391,7 +404,7 @@ class Layouts:
 
     def words(self, n: int, stops: bool = True) -> str:
         r = self.rng
-        out = ["".join(r.choice("aeiounrstlmdéü") for _ in range(r.randint(1, 9))) for _ in range(n)]
+        out = ["".join(r.choices("aeiounrstlmdéü", k=r.randint(1, 9))) for _ in range(n)]
         if stops:
             out = [w + (r.choice(".,.;") if r.random() < 0.15 else "") for w in out]
         return " ".join(out)
@@ -404,6 +417,24 @@ class Layouts:
         name = r.choice([word, f"{word}-{self.words(1, False)}", f"{self.words(1, False)} {word}", f"site-{word}", f"{word}_{r.randint(1, 9)}"])
         return f' {r.choice(["class", "class", "id"])}="{name}"'
 
+    def topic(self) -> str:
+        """Attributes of a part of the article: a name of several words, which may be those of a role."""
+        r = self.rng
+        if r.random() < 0.5:
+            return r.choice(["", f' class="{self.words(1, False)}"', f' class="{r.choice(ROLES["text"])}"'])
+        words = [self.words(1, False) for _ in range(r.randint(2, 3))]
+        if r.random() < 0.7:
+            words[r.randrange(len(words) - 1)] = r.choice([w for k, of in ROLES.items() if k != "text" for w in of])
+        return f' {r.choice(["class", "id"])}="{"-".join(words)}"'
+
+    def linked(self, text: str) -> str:
+        """A text with a link around it all or around some of its words."""
+        r, words = self.rng, text.removeprefix(self.SIGN).split(" ")
+        i = 0 if r.random() < 0.5 else r.randrange(len(words))
+        j = len(words) if i == 0 else r.randint(i + 1, min(len(words), i + 4))
+        piece = lambda part: self.SIGN + " ".join(part) if part else ""
+        return f'{piece(words[:i])} <a href="/{self.words(1, False)}">{piece(words[i:j])}</a> {piece(words[j:])}'
+
     def links(self, n: int) -> str:
         item = lambda: f'<a href="/{self.words(1, False)}">{self.words(self.rng.randint(1, 4), False)}</a>'
         if self.rng.random() < 0.7:
@@ -412,10 +443,10 @@ class Layouts:
 
     def rest(self, role: str) -> str:
         r = self.rng
-        tag = {"nav": ["nav", "div", "ul"], "head": ["header", "div"], "foot": ["footer", "div"], "side": ["aside", "div", "section"], "note": ["div", "section", "p"], "ad": ["div", "aside", "p"], "form": ["form", "div"], "talk": ["section", "div"], "share": ["div", "p", "ul"]}[role]
+        tag = {"nav": ["nav", "div", "ul"], "head": ["header", "header", "div"], "foot": ["footer", "footer", "div"], "side": ["aside", "div", "section"], "note": ["div", "section", "p"], "ad": ["div", "aside", "p"], "form": ["form", "div"], "talk": ["section", "div"], "share": ["div", "p", "ul"]}[role]
         tag = r.choice(tag)
         body = {
-            "nav": lambda: self.links(r.randint(2, 12)),
+            "nav": lambda: self.links(r.choice([1, 2, 3, r.randint(2, 12), r.randint(2, 12)])),
             "head": lambda: f"<h1>{self.words(r.randint(1, 6), False)}</h1>" * (r.random() < 0.4) + f"<p>{self.words(r.randint(2, 12))}</p>",
             "foot": lambda: f"&copy; {self.words(r.randint(3, 30))}" + self.links(r.randint(1, 6)) * (r.random() < 0.4),
             "side": lambda: f"<h3>{self.words(r.randint(1, 4), False)}</h3>" + r.choice([self.links(r.randint(2, 8)), f"<p>{self.words(r.randint(8, 60))}</p>"]),
@@ -427,24 +458,69 @@ class Layouts:
         }[role]()
         if tag in ("p", "ul") and "<" in body:
             tag = "div"
-        return f"<{tag}{self.attrs(role)}>{body}</{tag}>"
-
-    def article(self) -> str:
+        attrs = self.attrs(role)
+        while tag == "p" and not attrs:
+            attrs = self.attrs(role)
+        return f"<{tag}{attrs}>{body}</{tag}>"
+
+    def part(self, text: str) -> str:
+        """One block of an article."""
+        kind, r = self.rng.random(), self.rng
+        if r.random() < 0.1:
+            text = self.linked(text)
+        if kind < 0.1:
+            head = self.SIGN + self.words(3, False)
+            return f"<h2>{self.linked(head) if r.random() < 0.2 else head}</h2>"
+        if kind < 0.16:
+            items = [self.SIGN + self.words(r.randint(2, 14)) for _ in range(r.randint(1, 6))]
+            if r.random() < 0.25:
+                items = [self.linked(i) for i in items]
+            return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
+        if kind < 0.2:
+            return f"<blockquote>{text}</blockquote>"
+        if kind < 0.26:
+            return f"<p><b>{text}<br>"
+        if kind < 0.34:
+            inner = text if r.random() < 0.5 else "".join(f"<p>{self.SIGN}{self.words(r.randint(20, 90))}</p>" for _ in range(r.randint(1, 3)))
+            return f"<{(tag := r.choice(['div', 'div', 'section']))}{self.topic()}>{inner}</{tag}>"
+        if kind < 0.36:
+            return f"<table><tr><td>{text}</td><td>{self.SIGN}{self.words(3)}</td></tr></table>"
+        return f"<p{self.topic() if r.random() < 0.05 else ''}>{text}</p>"
+
+    def article(self, few: bool = False) -> str:
+        """An article; few: of one to three blocks."""
         r = self.rng
-        parts = [f"<h1>{self.SIGN}{self.words(r.randint(2, 9), False)}</h1>"] if r.random() < 0.8 else []
-        short = r.random() < 0.12
-        for _ in range(r.randint(0, 1) if short else r.randint(1, 14)):
-            kind, text = r.random(), self.SIGN + self.words(r.choice([1, 3, 6] if short else [2, 8, 20, 60, 120]))
-            parts.append(f"<h2>{self.SIGN}{self.words(3, False)}</h2>" if kind < 0.1 else "<ul>" + "".join(f"<li>{self.SIGN}{self.words(r.randint(2, 14))}</li>" for _ in range(r.randint(2, 6))) + "</ul>" if kind < 0.16 else f"<blockquote>{text}</blockquote>" if kind < 0.2 else f"<p><b>{text}<br>" if kind < 0.26 else f"<div>{text}</div>" if kind < 0.3 else f"<table><tr><td>{text}</td><td>{self.SIGN}{self.words(3)}</td></tr></table>" if kind < 0.32 else f"<p>{text}</p>")
-            if r.random() < 0.06:
+        head = self.SIGN + self.words(r.randint(2, 9), False)
+        parts = [f"<h1>{self.linked(head) if r.random() < 0.1 else head}</h1>"] if r.random() < (0.4 if few else 0.8) else []
+        short = r.random() < 0.12 and not few
+        for _ in range(r.randint(1, 3) if few else r.randint(0, 1) if short else r.randint(1, 14)):
+            text = self.SIGN + self.words(r.choice([1, 3, 6] if short else [3, 6, 12, 20, 60] if few else [2, 8, 20, 60, 120]))
+            parts.append(f"<p>{self.linked(text) if r.random() < 0.15 else text}</p>" if few and r.random() < 0.5 else self.part(text))
+            if r.random() < 0.12:
                 parts.append(self.rest(r.choice(["ad", "share", "note", "form", "side"])))
-        if r.random() < 0.1:
+        if r.random() < 0.15:
             parts.append(self.rest("talk"))
         tag, role = r.choice([("article", None), ("article", "text"), ("div", "text"), ("main", "text"), ("section", "text"), ("main", None)])
         return f"<{tag}{self.attrs(role)}>{''.join(parts)}</{tag}>"
 
+    def bare(self) -> str:
+        """A page that is nearly all article: no wrapper or little around it."""
+        r = self.rng
+        head, body = self.SIGN + self.words(r.randint(1, 8), False), self.article(few=r.random() < 0.7)
+        if r.random() < 0.4:
+            body = f"<h1>{head}</h1>" * (r.random() < 0.4) + "".join(f"<p>{self.SIGN}{self.words(r.choice([6, 12, 20, 60]))}</p>" for _ in range(r.choice([1, 1, 2, 4])))
+        around = [self.rest(k) if r.random() < 0.3 else "" for k in ("nav", "ad", "foot")]
+        return f"<html><body>{around[0]}{around[1]}{body}{around[2]}</body></html>"
+
+    def empty(self) -> str:
+        """A page without an article."""
+        return "<html><body>" + "".join(self.rest(k) for k in ROLES if k != "text" and self.rng.random() < 0.25) + "</body></html>"
+
     def page(self) -> str:
         r = self.rng
+        kind = r.random()
+        if kind < 0.2:
+            return self.bare() if kind < 0.16 else self.empty()
         before = [self.rest(k) for k in ("nav", "head", "note", "ad", "form", "side") if r.random() < 0.5]
         after = [self.rest(k) for k in ("talk", "side", "share", "form", "ad", "nav", "foot") if r.random() < 0.5]
         r.shuffle(before)
@@ -456,7 +532,7 @@ class Layouts:
         return f"<html><head><title>{self.words(4)}</title></head><body>{''.join(before)}{middle}{''.join(after)}</body></html>"
 
 
-def train(pages: int = 1000, seed: int = 7) -> Model:
+def train(pages: int = 1500, seed: int = 7) -> Model:
     """Fit both ensembles on generated pages; pages and seed fix the result."""
     layouts = Layouts(seed)
     x, mixed, pure = [], [], []
@@ -478,7 +554,7 @@ def train(pages: int = 1000, seed: int = 7) -> Model:
 _models: dict[tuple, Model] = {}
 
 
-def default_model(pages: int = 1000, seed: int = 7) -> Model:
+def default_model(pages: int = 1500, seed: int = 7) -> Model:
     if (pages, seed) not in _models:
         _models[pages, seed] = train(pages, seed)
     return _models[pages, seed]
