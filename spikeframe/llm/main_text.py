@@ -458,9 +458,8 @@ class Layouts:
         }[role]()
         if tag in ("p", "ul") and "<" in body:
             tag = "div"
-        attrs = self.attrs(role)
-        while tag == "p" and not attrs:
-            attrs = self.attrs(role)
+        # a paragraph tells its role by its name alone
+        attrs = f' class="{r.choice(ROLES[role])}"' if tag == "p" else self.attrs(role)
         return f"<{tag}{attrs}>{body}</{tag}>"
 
     def part(self, text: str) -> str:
@@ -519,7 +518,7 @@ class Layouts:
     def page(self) -> str:
         r = self.rng
         kind = r.random()
-        if kind < 0.2:
+        if kind < 0.22:
             return self.bare() if kind < 0.16 else self.empty()
         before = [self.rest(k) for k in ("nav", "head", "note", "ad", "form", "side") if r.random() < 0.5]
         after = [self.rest(k) for k in ("talk", "side", "share", "form", "ad", "nav", "foot") if r.random() < 0.5]
