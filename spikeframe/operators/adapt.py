@@ -615,5 +615,100 @@ def replay(signal: DataFrame, start: DataFrame, units: DataFrame, whitening: Dat
     return outputs_of(steps.where("unit is not null"), steps.where("unit is null"))
 
 
+def recording_bounds(signal: DataFrame, batch_size: int) -> DataFrame:
+    """(recording_id, begin, end, width): first batch, last sample and number of channels."""
+    begin = F.floor(F.min("sample_idx") / batch_size).cast("long").alias("begin")
+    return signal.groupBy("recording_id").agg(begin, F.max("sample_idx").alias("end"), F.max(F.size("channels")).alias("width"))
+
+
+STRETCH = "recording_id string, trial_id int, batch_idx long, unit int, wh_loss double, sv_loss double, kind int, at long, payload array<double>"
+#: The trial of states that serve all trials alike.
+ANY_TRIAL = -1
+
+
+def adaptive_stretch(signal: DataFrame, begun: DataFrame, bounds: DataFrame, state: DataFrame | None, trials: list[tuple[int, Params]], first: int, last: int) -> DataFrame:
+    """The batches first to last - 1 of adaptive_steps, from the state that the batches before left: STRETCH rows.
+
+    Rows with a batch_idx are losses (unit null: of the batch itself), those with a kind are the state (trial_id, kind, at, payload) that
+    the next stretch takes. begun: start_rows, for recordings that begin within the stretch; bounds: recording_bounds; state: those rows
+    of the stretch before, None for the first one. Stretches put together give the losses of one run, gaps included.
+    """
+    p = trials[0][1]
+    groups = [trials[i : i + TRIALS_PER_GROUP] for i in range(0, len(trials), TRIALS_PER_GROUP)]
+    begin, end = first * p.batch_size, last * p.batch_size
+    live = bounds.where((F.col("begin") < last) & (F.col("end") >= begin))
+    fresh = begun.join(live.where(F.col("begin") >= first).select("recording_id"), "recording_id", "left_semi")
+    states = fresh.withColumn("trial_id", F.lit(ANY_TRIAL))
+    if state is not None:
+        going = state.join(live.select("recording_id"), "recording_id", "left_semi").where(F.col("trial_id").isin([t for t, _ in trials]))
+        states = states.unionByName(going.select(*states.columns))
+    every = F.array(*[F.lit(g) for g in range(len(groups))])
+    group_of = F.create_map(*[F.lit(v) for g, of in enumerate(groups) for t, _ in of for v in (t, g)])
+    of_trial = F.when(F.col("trial_id") == ANY_TRIAL, every).otherwise(F.array(F.element_at(group_of, F.col("trial_id"))))
+    head = states.select("recording_id", "kind", "at", F.concat(F.array(F.col("trial_id").cast("double")), "payload").alias("payload"), F.explode(of_trial).alias("group"))
+    own = signal.where((F.col("sample_idx") > begin - p.ext_fact) & (F.col("sample_idx") < end))
+    on = live.where(F.col("end") >= end).select("recording_id", F.lit(3).alias("kind"), F.lit(last).cast("long").alias("at"), F.array(F.col("width").cast("double")).alias("payload"))
+    rows = _sample_rows(own).unionByName(on).withColumn("group", F.explode(every)).unionByName(head)
+    rows = rows.withColumn("recording_id", F.concat_ws("|", "group", "recording_id"))
+
+    def fold():
+        states, runs, delays, cut, goes_on = {}, [], Delays(p), None, False
+
+        def done(name: str, batch: int, raw: np.ndarray) -> Iterator[tuple]:
+            if delays.tail is None:
+                delays.start(batch)
+            x, skip = delays.batch(raw)
+            for trial, run in runs if len(x) else ():
+                out = run.batch(x)
+                yield from ((name, trial, batch, u[0], None, _null(u[-1]), None, None, None) for u in out["units"])
+                yield name, trial, batch, None, _null(out["wh_loss"]), None, None, None, None
+
+        def begin_at(key: str, width: int) -> None:
+            nonlocal runs, cut
+            for trial, q in groups[int(key.split("|", 1)[0])]:
+                of = trial if (0, trial) in states else ANY_TRIAL
+                if (0, of) in states:
+                    runs.append((trial, started_runs({k: states.get((k, of), []) for k in (0, 1)}, [q], width * p.ext_fact)[0]))
+            known = (0, ANY_TRIAL) not in states
+            cut = Batches(p.batch_size, first if known else None)
+            if known:
+                delays.start(first, np.zeros((p.ext_fact - 1, width)))
+
+        def step(key, kind, ats, payloads):
+            nonlocal goes_on
+            name = key.split("|", 1)[1]
+            if kind in (0, 1):
+                for row in payloads:
+                    states.setdefault((kind, int(row[0])), []).append(row[1:])
+            elif kind == 2 and states:
+                if cut is None:
+                    begin_at(key, len(payloads[0]))
+                early = ats < begin
+                for at, row in zip(ats[early][::-1], payloads[early][::-1], strict=True):  # of repeated samples the first counts
+                    delays.tail[at - (begin - p.ext_fact + 1)] = row
+                if not early.all():
+                    for batch, raw in cut.add(ats[~early], payloads[~early]):
+                        yield from done(name, batch, raw)
+            elif kind == 3 and states:
+                if cut is None:
+                    begin_at(key, int(payloads[0][0]))
+                goes_on = True
+                for batch, raw in cut.until(last, int(payloads[0][0])):
+                    yield from done(name, batch, raw)
+            elif kind == -1 and cut is not None:
+                if not goes_on:
+                    for batch, raw in cut.rest():
+                        yield from done(name, batch, raw)
+                for trial, run in runs if goes_on else ():
+                    whole = np.concatenate([[run.kl_mean, run.kl_std], run.w.ravel(), run.c.ravel()])
+                    yield name, trial, None, None, None, None, 0, 0, whole
+                    for u in run.units:
+                        yield name, trial, None, None, None, None, 1, u.unit, np.concatenate([[u.unit, u.base, u.spikes, u.height, u.mean, u.std], u.w])
+
+        return step
+
+    return in_order(rows, fold, STRETCH)
+
+
 def with_params(p: Params, **changes) -> Params:
     return Params(**(asdict(p) | changes))

@@ -283,17 +283,19 @@ def sweep_losses(spark, d):
 
 @query()
 def sweep_halving(spark, d):
-    model = start_model(spark, d)
-
-    def evaluate(trials, budget):
-        losses = sw.run_sweep(*model, trials, PARAMS, budget)
-        return losses.groupBy("trial_id").agg(F.avg("loss").alias("loss"))
-
+    rungs = sw.Rungs(*start_model(spark, d), PARAMS)
     # no recording of these tables has more than 8 batches: the last rung sees all of them
-    out = sw.successive_halving(sw.trial_grid(spark, SPACE), evaluate, start=2, stop=8)
+    out = sw.successive_halving(sw.trial_grid(spark, SPACE), rungs.evaluate, start=2, stop=8)
     return out.select("trial_id", "rung", "budget", r6("loss").alias("loss"), "kept")
 
 
+@query()
+def sweep_hyperband(spark, d):
+    model = start_model(spark, d)
+    out = sw.hyperband(sw.trial_grid(spark, SPACE), lambda: sw.Rungs(*model, PARAMS).evaluate, stop=8, keep=2, brackets=3)
+    return out.select("bracket", "trial_id", "rung", "budget", r6("loss").alias("loss"), "kept")
+
+
 WIDE = ad.Params(batch_size=100, ext_fact=10, spike_dist=DIST, spike_height_mult=MULT)
 
 

@@ -246,6 +246,39 @@ def test_trials_of_a_sweep_are_runs_by_themselves(spark, monkeypatch):
         ad.adaptive_steps(both, *tables, [(0, p), (1, ad.with_params(p, batch_size=60))])
 
 
+@pytest.mark.parametrize("stops", [(1, 2, 9), (3, 4), (9,)])
+def test_rungs_go_on_where_they_stopped(spark, monkeypatch, stops):
+    monkeypatch.setattr(ad, "TRIALS_PER_GROUP", 2)
+    rng = np.random.default_rng(17)
+    w, c, units = a_model(6, 6, rng)
+    p = ad.Params(batch_size=50, ext_fact=3, spike_dist=4)
+    tables = model_tables(spark, w, c, units, (2.0, 0.7), "abc")
+    x = {r: rng.normal(size=(n, 2)) ** 3 for r, n in zip("abcd", (205, 430, 60, 90), strict=True)}
+    both = signal(spark, x["a"], "a").unionByName(signal(spark, x["c"], "c")).unionByName(signal(spark, x["d"], "d"))
+    # a gap over whole batches and over a border, a late beginning, a repeated sample
+    both = both.unionByName(signal(spark, x["b"], "b").where("sample_idx >= 70 and (sample_idx < 98 or sample_idx > 101) and (sample_idx < 190 or sample_idx >= 320)"))
+    both = both.unionByName(both.where("recording_id = 'a' and sample_idx = 99"))
+    trials = sw.trial_grid(spark, {"wh_learning_rate": [0.0, 0.05], "sv_learning_rate": [0.003, 0.3]})
+    whole = ad.adaptive_steps(both, *tables, sw._settings(trials, p), whole=False)
+    key = lambda r: (r.recording_id, r.trial_id, r.batch_idx, r.unit)
+    rungs = sw.Rungs(both, *tables, p)
+    live = trials
+    for k, stop in enumerate(stops):
+        live = live.where(F.col("trial_id") != k) if k else live
+        losses = {r.trial_id: r.loss for r in rungs.evaluate(live, stop).collect()}
+        ids = {r.trial_id for r in live.collect()}
+        want = whole.where(F.col("batch_idx") < stop).where(F.col("trial_id").isin(list(ids)))
+        got = rungs.steps.where(F.col("trial_id").isin(list(ids)))
+        assert got.count() == want.count()  # each batch once
+        got, want = {key(r): r for r in got.collect()}, {key(r): r for r in want.collect()}
+        assert got.keys() == want.keys() and {k[0] for k in got} <= set("abc") and losses.keys() == ids
+        for at, r in want.items():
+            for col in ("wh_loss", "sv_loss"):
+                assert got[at][col] == r[col] or np.isclose(got[at][col], r[col])
+    with pytest.raises(ValueError):
+        rungs.evaluate(live, stops[-1])
+
+
 def test_gaps_repeats_and_recordings_without_a_model(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(120, 2)) ** 3

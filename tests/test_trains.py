@@ -137,6 +137,22 @@ def test_trials(spark):
     assert [(r.trial_id, r.budget) for r in out if r.kept and r.budget == 4] == [(0, 4)]
 
 
+def test_brackets(spark):
+    assert sw.bracket_budgets(27, 3, 3) == [3, 9, 27] and sw.bracket_budgets(2, 3, 3) == [1, 1, 2]
+    grid, calls = sw.trial_grid(spark, {"a": range(17)}), []
+
+    def evaluate():
+        calls.append([])
+        return lambda t, budget: (calls[-1].append(budget), t.selectExpr("trial_id", "a AS loss"))[1]
+
+    out = sw.hyperband(grid, evaluate, 9, 3, 3).collect()
+    assert calls == [[1, 3, 9], [3, 9], [9]]
+    first = {b: [r.trial_id for r in out if r.bracket == b and r.rung == 0] for b in range(3)}
+    assert [len(v) for v in first.values()] == [9, 5, 3] and sorted(sum(first.values(), [])) == list(range(17))
+    assert [(r.trial_id, r.budget) for r in out if r.kept and r.budget == 9 and r.bracket == 0] == [(0, 9)]
+    assert sw.hyperband(grid.limit(0), evaluate, 9).isEmpty()
+
+
 @pytest.mark.parametrize("dense", [1 << 18, 200, 1])
 def test_units_meet_at_any_lag(spark, monkeypatch, dense):
     monkeypatch.setattr(ag, "DENSE", dense)
