@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, with_defaults
+from .common import HOT_SHARE, materialise, prefix_sums, with_defaults
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Roles that frame a dialogue and never take part in it.
 FRAMES = ("system",)
+#: Tasks that the turns of a hot dialogue are dealt to.
+SALTS = 64
 #: Turns in one part.
 PART_TURNS = 256
 
@@ -34,7 +36,15 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.replace(with_defaults(text_col), F.lit("<|"), F.lit("<\\|")).alias("body"),
     )
     people = rows.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*frames)).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
-    seen = rows.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    # a dialogue of more than one turn in HOT_SHARE meets its participants in SALTS places; there are fewer than HOT_SHARE of these
+    many = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
+    hot = materialise(many.where(F.col("n") * HOT_SHARE > rows.count()).select(F.col("conv_id").alias("hot"), F.lit(True).alias("is_hot")), "hot-dialogues")
+    marked = lambda df, key: df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("hot")), "left").drop("hot")
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("turn", "speaker", "body"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    places = F.when(F.col("is_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    turns_at = marked(rows, "conv_id").withColumn("salt", salt).drop("is_hot")
+    people_at = marked(people, "of").select("of", "perspective", F.explode(places).alias("place"))
+    seen = turns_at.join(people_at, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("place"))).drop("of", "salt", "place")
     own = F.col("speaker").eqNullSafe(F.col("perspective"))
     name = F.when(own, "assistant").when(F.col("speaker").isin(*frames), F.col("speaker")).when(F.col("speaker").isNull(), "user").otherwise(F.concat(F.lit("user name="), "speaker"))
     return seen.select(

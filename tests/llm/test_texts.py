@@ -206,9 +206,10 @@ def test_chat_rotation(spark):
     assert chat.render(turns.limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("part", [3, 256])
-def test_chat_parts_are_cut_from_the_whole(spark, monkeypatch, part):
+@pytest.mark.parametrize("part, hot", [(3, 1000), (256, 0), (256, 3)])  # all dialogues are hot, none, the one of three in five turns alone
+def test_chat_parts_are_cut_from_the_whole(spark, monkeypatch, part, hot):
     monkeypatch.setattr(chat, "PART_TURNS", part)
+    monkeypatch.setattr(chat, "HOT_SHARE", hot)
     rng = random.Random(part)
     rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, None, *range(40)]), rng.choice(["ann", "bob", "system", None]), "é" * rng.randint(0, 9)) for _ in range(400)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
