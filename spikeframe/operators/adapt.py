@@ -244,7 +244,9 @@ def in_order(rows: DataFrame, fold: Callable[[], Callable[[str, int, np.ndarray,
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    dealt = rows.select("recording_id", "kind", "at", "payload").repartition("recording_id").sortWithinPartitions("recording_id", "kind", "at")
+    # dealt by a hash of the name: a union of tables that lie by recording_id already counts as dealt by it, but its parts are
+    # coalesced each by itself, so that a recording's rows of different kinds would reach different tasks
+    dealt = rows.select("recording_id", "kind", "at", "payload").repartition(F.xxhash64("recording_id")).sortWithinPartitions("recording_id", "kind", "at")
     return dealt.mapInPandas(task, schema)
 
 

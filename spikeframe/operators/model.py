@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import contrast_of, dot
+from ..sources.storage import materialise
 from .adapt import batch_covariances, in_order
 from .frames import BLOCK, assign_batches, extend_delays, trim_edges
 
 
-#: Entries of a sample from which on covariances add up as whole matrices.
-WIDE = 8
+#: Entries of a sample from which on covariances add up as whole matrices, and matrices whose divergences are taken at once.
+WIDE, TOGETHER = 8, 64
 
 
 def project(df: DataFrame, rows: DataFrame, x: str, size: int | None = None, key: str = "unit", out: str = "ipt") -> DataFrame:
@@ -70,40 +71,93 @@ def whiten_by(df: DataFrame, whitening: DataFrame, x: str = "x", block: int = BL
     return made.applyInPandas(product, "recording_id string, sample_idx long, z array<double>")
 
 
-def moments(df: DataFrame, keys: list[str], x: str, size: int) -> DataFrame:
-    """(keys, i, j, n, si, sj, sij): sums for covariances, added up before the shuffle."""
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.get(F.col(x), F.lit(i)).alias("a"), F.get(F.col(x), F.lit(j)).alias("b")) for i in range(size) for j in range(i, size)]
-    rows = df.select(*keys, F.inline(F.array(*cells)))
-    return rows.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"), F.sum("a").alias("si"), F.sum("b").alias("sj"), F.sum(F.col("a") * F.col("b")).alias("sij"))
+def covariances(df: DataFrame, x: str, size: int, keys: tuple[str, ...] = ("recording_id", "batch_idx")) -> DataFrame:
+    """(keys, n, cov): the unbiased covariance of each group's ``size`` entries, upper triangle by row; NULL for one row.
+
+    One aggregation with a sum for each entry: no row is cut into cells.
+    """
+    at = lambda i: F.get(F.col(x), F.lit(i))
+    places = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = [F.sum(at(i)).alias(f"__s{i}") for i in range(size)] + [F.sum(at(i) * at(j)).alias(f"__s{i}_{j}") for i, j in places]
+    m = df.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    cov = [(F.col(f"__s{i}_{j}") - F.col(f"__s{i}") * F.col(f"__s{j}") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0)) for i, j in places]
+    return m.select(*keys, "n", F.array(*cov).alias("cov"))
 
 
 def batch_covariance(df: DataFrame, x: str = "channels", size: int = 2, keys: tuple[str, ...] = ("recording_id", "batch_idx")) -> DataFrame:
     """(keys, i, j, cov): the unbiased covariance of each batch, upper triangle; NULL for one row.
 
-    Small samples are cut into products that add up before the shuffle; of large ones whole matrices do.
+    Small samples add up as columns; of large ones whole matrices do.
     """
     if size > WIDE:
         wide = df.select("recording_id", (F.col("batch_idx") if "batch_idx" in keys else F.lit(0).cast("long")).alias("batch_idx"), F.col(x).alias("x"))
         flat = batch_covariances(wide, size).select("recording_id", "batch_idx", F.posexplode("cov").alias("k", "cov"))
         cells = flat.select(*keys, F.floor(F.col("k") / size).cast("int").alias("i"), F.pmod("k", F.lit(size)).cast("int").alias("j"), F.when(~F.isnan("cov"), F.col("cov")).alias("cov"))
         return cells.where("i <= j")
-    m = moments(df, list(keys), x, size)
-    cov = (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
-    return m.select(*keys, "i", "j", cov.alias("cov"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(size) for j in range(i, size)])
+    cells = covariances(df, x, size, keys).select(*keys, F.inline(F.arrays_zip(places.alias("at"), "cov")))
+    return cells.select(*keys, "at.i", "at.j", "cov")
 
 
 def ewma_covariance(cov: DataFrame, start: DataFrame, alpha: float) -> DataFrame:
     """(recording_id, batch_idx, i, j, cov): C <- (1-a) C + a cov along the batches.
 
-    A recording's batches go through a task in order, as a stream, with all entries of a batch as one row.
+    A recording's batches go through a task in order, as a stream, with all entries of a batch as one row; the places of
+    the entries come with the first row, so that nothing is joined afterwards.
     """
     cells = F.array_sort(F.collect_list(F.struct("i", "j", "cov")))
-    first = start.groupBy("recording_id").agg(cells.alias("cells"))
     flat = lambda c: F.transform(c, lambda x: F.coalesce(x["cov"], F.lit(float("nan"))))
-    head = first.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), flat("cells").alias("payload"))
+    place = lambda c, at: F.transform(c, lambda x: x[at].cast("double"))
+    first = start.groupBy("recording_id").agg(cells.alias("cells"))
+    head = first.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.concat(place("cells", "i"), place("cells", "j"), flat("cells")).alias("payload"))
     each = cov.groupBy("recording_id", "batch_idx").agg(cells.alias("cells"))
     body = each.select("recording_id", F.lit(1).alias("kind"), F.col("batch_idx").alias("at"), flat("cells").alias("payload"))
 
+    def fold():
+        c = i = j = None
+
+        def step(key, kind, ats, payloads):
+            nonlocal c, i, j
+            if kind == 0:
+                i, j, c = np.array(payloads[0], dtype=float).reshape(3, -1)
+                i, j = i.astype(np.int32), j.astype(np.int32)
+            if kind != 1 or c is None:
+                return
+            for b, v in zip(ats, payloads, strict=True):
+                c = (1 - alpha) * c + alpha * np.asarray(v, dtype=float)
+                yield key, b, i, j, c
+
+        return step
+
+    course = in_order(head.unionByName(body), fold, "recording_id string, batch_idx long, i array<int>, j array<int>, cov array<double>")
+    rows = course.select("recording_id", "batch_idx", F.inline(F.arrays_zip("i", "j", "cov")))
+    return rows.withColumn("cov", F.when(~F.isnan("cov"), F.col("cov")))
+
+
+def divergences(z: DataFrame, batch_size: int, alpha: float, size: int) -> DataFrame:
+    """(recording_id, batch_idx, kl): the running covariance's divergence from the identity after each full batch of z.
+
+    The same as kl_to_identity of ewma_covariance of batch_covariance, from the whole recording's covariance on, without
+    cells: a batch is one row all the way, and its divergence comes out of the fold.
+    """
+    batches = assign_batches(z, batch_size)
+    if size > WIDE:
+        of = lambda at: batch_covariances(batches.select("recording_id", at.cast("long").alias("batch_idx"), F.col("z").alias("x")), size)
+        start, each = of(F.lit(0)), of(F.col("batch_idx"))
+    else:
+        start, each = covariances(z, "z", size, ("recording_id",)), covariances(batches, "z", size)
+    flat = F.transform("cov", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("payload")
+    head = start.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), flat)
+    body = each.where(F.col("n") == batch_size).select("recording_id", F.lit(1).alias("kind"), F.col("batch_idx").alias("at"), flat)
+    upper = np.triu_indices(size)
+
+    def matrices(rows: np.ndarray) -> np.ndarray:
+        if rows.shape[1] == size * size:
+            return rows.reshape(-1, size, size)
+        out = np.zeros((len(rows), size, size))
+        out[:, upper[0], upper[1]] = out[:, upper[1], upper[0]] = rows
+        return out
+
     def fold():
         c = None
 
@@ -113,16 +167,20 @@ def ewma_covariance(cov: DataFrame, start: DataFrame, alpha: float) -> DataFrame
                 c = np.array(payloads[0], dtype=float)
             if kind != 1 or c is None:
                 return
-            for b, v in zip(ats, payloads, strict=True):
-                c = (1 - alpha) * c + alpha * np.asarray(v, dtype=float)
-                yield key, b, c
+            for at in range(0, len(ats), TOGETHER):
+                course = []
+                for v in payloads[at : at + TOGETHER]:
+                    c = (1 - alpha) * c + alpha * np.asarray(v, dtype=float)
+                    course.append(c)
+                m = matrices(np.stack(course))
+                sign, log = np.linalg.slogdet(m)
+                kl = (np.trace(m, axis1=1, axis2=2) - log - size) / 2
+                for b, s, v in zip(ats[at : at + TOGETHER], sign, kl, strict=True):
+                    yield key, b, float(v) if s > 0 else None
 
         return step
 
-    course = in_order(head.unionByName(body), fold, "recording_id string, batch_idx long, covs array<double>")
-    named = first.select(F.col("recording_id").alias("of"), F.transform("cells", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"))).alias("places"))
-    rows = course.join(named, F.col("recording_id") == F.col("of")).select("recording_id", "batch_idx", F.inline(F.arrays_zip("places", "covs")))
-    return rows.select("recording_id", "batch_idx", "places.i", "places.j", F.when(~F.isnan("covs"), F.col("covs")).alias("cov"))
+    return in_order(head.unionByName(body), fold, "recording_id string, batch_idx long, kl double")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -155,14 +213,19 @@ def whitening_loss(kl: DataFrame, calib: DataFrame) -> DataFrame:
     return kl.join(calib, "recording_id").select("recording_id", "batch_idx", (z * z).alias("wh_loss"))
 
 
+def _at_spikes(ipts: DataFrame, spikes: DataFrame) -> DataFrame:
+    """The ipts at the spikes; spikes that have theirs already (values_at_spikes) are taken as they are."""
+    return spikes if "ipt" in spikes.columns else ipts.join(spikes.select("recording_id", "unit", "sample_idx"), ["recording_id", "unit", "sample_idx"])
+
+
 def separation_loss(ipts: DataFrame, spikes: DataFrame, calib: DataFrame, contrast: str = "logcosh") -> DataFrame:
     """(recording_id, batch_idx, unit, sv_loss): contrast of the mean spike height against the calibration.
 
     Batches without spikes have the contrast 0, which counts as missing.
     """
-    marked = ipts.join(spikes.select("recording_id", "unit", "sample_idx", F.lit(1).alias("hit")), ["recording_id", "unit", "sample_idx"], "left")
-    height = F.sum(F.when(F.col("hit") == 1, F.col("ipt")).otherwise(0.0)) / (F.count("hit") + 1e-6)
-    means = marked.groupBy("recording_id", "batch_idx", "unit").agg(height.alias("height"))
+    batch = ["recording_id", "batch_idx", "unit"]
+    sums = _at_spikes(ipts, spikes).groupBy(*batch).agg((F.sum("ipt") / (F.count("*") + 1e-6)).alias("height"))
+    means = ipts.select(*batch).distinct().join(sums, batch, "left").withColumn("height", F.coalesce("height", F.lit(0.0)))
     value = F.nullif(contrast_of(F.col("height"), contrast), F.lit(0.0))
     z = (value - F.col("contrast_mean")) / F.nullif(F.col("contrast_std"), F.lit(0.0))
     return means.join(calib, ["recording_id", "unit"]).select("recording_id", "batch_idx", "unit", (z * z).alias("sv_loss"))
@@ -177,8 +240,7 @@ def total_loss(wh: DataFrame, sv: DataFrame) -> DataFrame:
 
 def calibrate_contrast(ipts: DataFrame, spikes: DataFrame, contrast: str = "logcosh") -> DataFrame:
     """(recording_id, unit, contrast_mean, contrast_std) of the contrast at the spikes."""
-    keys = ["recording_id", "unit", "sample_idx"]
-    at = ipts.join(spikes.select(*keys), keys).withColumn("value", contrast_of(F.col("ipt"), contrast))
+    at = _at_spikes(ipts, spikes).withColumn("value", contrast_of(F.col("ipt"), contrast))
     return at.groupBy("recording_id", "unit").agg(F.avg("value").alias("contrast_mean"), F.stddev_samp("value").alias("contrast_std"))
 
 
@@ -187,12 +249,15 @@ def init_heights(model: DataFrame) -> DataFrame:
     return model.withColumn("height", F.col("spikes_centr") - (F.col("spikes_centr") - F.col("base_centr")) / 2)
 
 
+def calibration(kl: DataFrame) -> DataFrame:
+    """(recording_id, kl_mean, kl_std) of divergences (recording_id, batch_idx, kl), without the first and last batch of each recording."""
+    return trim_edges(kl).groupBy("recording_id").agg(F.avg("kl").alias("kl_mean"), F.stddev_samp("kl").alias("kl_std"))
+
+
 def calibrate_whitening(z: DataFrame, batch_size: int, alpha: float, size: int) -> DataFrame:
     """(recording_id, kl_mean, kl_std) of the calibration: full batches, without the first and last."""
-    start = batch_covariance(z, "z", size, ("recording_id",))
-    cov = batch_covariance(assign_batches(z, batch_size, drop_last=True), "z", size)
-    kl = trim_edges(kl_to_identity(ewma_covariance(cov, start, alpha), size))
-    return kl.groupBy("recording_id").agg(F.avg("kl").alias("kl_mean"), F.stddev_samp("kl").alias("kl_std"))
+    # read twice: for the ends and for the values between them
+    return calibration(materialise(divergences(z, batch_size, alpha, size), "divergences"))
 
 
 def orthonormalise(units: DataFrame) -> DataFrame:
