@@ -25,8 +25,8 @@ def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width:
     return left.join(right, [*keys, "__bin"]).where(F.abs(F.col("a") - F.col("b")) <= width).drop("__bin")
 
 
-#: Units that meet in one task on each side, and lags that are counted together.
-UNITS, LAGS = 32, 1 << 20
+#: Units, and firings of theirs, that meet in one task on each side, and lags that are counted together.
+UNITS, FIRINGS, LAGS = 128, 1 << 22, 1 << 20
 
 
 def _best_of(x: np.ndarray, y: np.ndarray, tol: int) -> tuple[int, int]:
@@ -65,25 +65,46 @@ def _best_of(x: np.ndarray, y: np.ndarray, tol: int) -> tuple[int, int]:
 
 
 def _best_of_each(x: np.ndarray, ys: list[np.ndarray], tol: int) -> list[tuple[int, int]]:
-    """_best_of(x, y, tol) for each of ys; short trains all at once."""
-    offsets = np.arange(-(tol - 1), tol)
-    few = [k for k, y in enumerate(ys) if len(x) * len(y) * len(offsets) <= DENSE]
+    """_best_of(x, y, tol) for each of ys; short trains all at once.
+
+    A pair's differences are sorted as one row. The lowest lag of the largest correlation is one of them: as a sum of triangles the
+    correlation can only stop rising where one of these has its top. So each difference adds up those nearer than tol, found a few places to either side.
+    """
+    few = sorted((k for k, y in enumerate(ys) if len(x) * len(y) <= DENSE), key=lambda k: len(ys[k]))
     out: dict[int, tuple[int, int]] = {}
     while few:
-        sizes = np.cumsum([len(ys[k]) for k in few]) * len(x) * len(offsets)
-        now, few = few[: (n := max(1, int(np.searchsorted(sizes, DENSE, "right"))))], few[n:]
-        y, of = np.concatenate([ys[k] for k in now]), np.repeat(np.arange(len(now)), [len(ys[k]) for k in now])
-        lags = np.subtract.outer(x, y)[..., None] + offsets
-        low, span = int(lags.min()), int(lags.max()) - int(lags.min()) + 1
-        if span >= (1 << 62) // len(now):
+        n = 1
+        while n < len(few) and (n + 1) * len(x) * len(ys[few[n]]) <= DENSE:
+            n += 1
+        now, few = few[:n], few[n:]
+        sizes = np.array([len(ys[k]) for k in now])
+        there = np.arange(sizes.max()) < sizes[:, None]
+        y = np.full(there.shape, ys[now[0]][0], dtype=np.int64)
+        y[there] = np.concatenate([ys[k] for k in now])
+        d = x[None, :, None] - y[:, None, :]
+        low, span = int(d.min()), int(d.max()) - int(d.min())
+        d -= low
+        # what fills short trains up lies behind all differences, far from each other
+        filled = np.broadcast_to(~there[:, None, :], d.shape)
+        top = span + tol * (d[0].size + 2)
+        if top >= 1 << 62:
             out |= {k: _best_of(x, ys[k], tol) for k in now}
             continue
-        key, at = np.unique((lags - low) + (of * span)[None, :, None], return_inverse=True)
-        corr = np.bincount(at.ravel(), np.broadcast_to(tol - np.abs(offsets), lags.shape).ravel()).astype(np.int64)
-        unit, lag = key // span, key % span + low
-        order = np.lexsort((lag, -corr, unit))
-        first = order[np.flatnonzero(np.diff(unit[order], prepend=-1))]
-        out |= {now[u]: (int(v), int(c)) for u, v, c in zip(unit[first], lag[first], corr[first], strict=True)}
+        if filled.any():
+            d = np.where(filled, span + tol * (1 + np.arange(d[0].size).reshape(d[0].shape)), d)
+        d = d.reshape(len(now), -1)
+        d = np.sort(d.astype(np.int32) if top < 1 << 31 else d, axis=1)
+        corr = np.full(d.shape, tol, dtype=np.int64)
+        for s in range(1, d.shape[1]):
+            near = tol - (d[:, s:] - d[:, :-s])
+            if near.max() <= 0:
+                break
+            np.maximum(near, 0, out=near)
+            corr[:, :-s] += near
+            corr[:, s:] += near
+        at = corr.argmax(1)
+        rows = np.arange(len(now))
+        out |= {k: (int(v) + low, int(c)) for k, v, c in zip(now, d[rows, at], corr[rows, at], strict=True)}
     return [out[k] if k in out else _best_of(x, y, tol) for k, y in enumerate(ys)]
 
 
@@ -99,7 +120,7 @@ def _best_at_any_lag(a: DataFrame, b: DataFrame, tol: int, within: bool) -> Data
         return materialise(rows, "trains")
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("recording_id").agg(F.ceil(F.count("*") / UNITS).cast("int").alias(name))
+        return rows.groupBy("recording_id").agg(F.ceil(F.greatest(F.count("*") / UNITS, F.sum(F.size(rows.columns[-1])) / FIRINGS)).cast("int").alias(name))
 
     def dealt(rows: DataFrame, unit: str, own: str, other: str) -> DataFrame:
         placed = rows.join(counts, "recording_id").withColumn(own, F.pmod(F.xxhash64(unit), F.col(f"n_{own}")).cast("int"))
