@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialise
+from .frames import BLOCK, in_runs, put_together, with_history
 
 #: Trials that go through a recording together.
 TRIALS_PER_GROUP = 8
@@ -199,17 +200,65 @@ def batch_covariances(df: DataFrame, size: int) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["recording_id", "batch_idx", "n", "s", "ss"])
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, s, ss = pdf["n"].sum(), np.sum(np.stack(pdf["s"].to_numpy()), 0), np.sum(np.stack(pdf["ss"].to_numpy()), 0)
+    def total(group: dict[str, np.ndarray]) -> Iterator[tuple]:
+        n, s, ss = int(group["n"].sum()), np.sum(np.stack(group["s"]), 0), np.sum(np.stack(group["ss"]), 0)
         cov = (ss - np.outer(s, s).ravel() / n) / (n - 1) if n > 1 else np.full(size * size, np.nan)
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iat[0]], "batch_idx": [pdf["batch_idx"].iat[0]], "n": [n], "cov": [cov]})
+        yield group["recording_id"][0], int(group["batch_idx"][0]), n, cov
 
     sums = df.select("recording_id", "batch_idx", "x").mapInPandas(partial, "recording_id string, batch_idx long, n long, s array<double>, ss array<double>")
-    return sums.groupBy("recording_id", "batch_idx").applyInPandas(total, "recording_id string, batch_idx long, n long, cov array<double>")
+    return in_runs(sums, ("recording_id", "batch_idx"), None, total, "recording_id string, batch_idx long, n long, cov array<double>")
 
 
-#: Bytes of arrays in rows that a fold puts out together.
-OUT_BYTES = 1 << 24
+#: Kinds of the rows of delayed_moments.
+OF_WHOLE, OF_BATCH = 1, 2
+
+
+def delayed_moments(signal: DataFrame, ext_fact: int, batch_size: int, block: int = BLOCK) -> DataFrame:
+    """(recording_id, kind, at, payload): number, sums and sums of products (upper triangle by row) of extended samples.
+
+    OF_WHOLE: of a block of the recording, OF_BATCH: of batch ``at`` within a block; those of one recording or batch are to be added.
+    Extended as by frames.extend_delays, within blocks of a recording that lie in order.
+    """
+    depth = ext_fact - 1
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        key = tail = at = sums = total = upper = None
+        for pdf in batches:
+            names, blocks, halo, index = (pdf[c].to_numpy() for c in ("recording_id", "block", "halo", "sample_idx"))
+            channels, halo = pdf["channels"].to_numpy(), halo.astype(bool)
+            change = (names[1:] != names[:-1]) | (blocks[1:] != blocks[:-1])
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(pdf)] if len(pdf) else []
+            for a, b in zip(edges, edges[1:], strict=False):
+                raw = np.stack(channels[a:b])
+                if (names[a], blocks[a]) != key:
+                    if sums is not None:
+                        yield key[0], OF_BATCH, at, sums
+                        yield key[0], OF_WHOLE, 0, total + sums
+                    key, tail, at, sums, total = (names[a], blocks[a]), np.zeros((depth, raw.shape[1])), None, None, 0.0
+                    upper = np.triu_indices(raw.shape[1] * ext_fact)
+                whole = np.concatenate([tail, raw])
+                x = np.hstack([whole[depth - i : len(whole) - i] for i in range(ext_fact)])[~halo[a:b]]
+                tail = whole[len(whole) - depth :]
+                of = index[a:b][~halo[a:b]] // batch_size
+                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else []
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    part = x[i:j]
+                    more = np.concatenate([[j - i], part.sum(0), (part.T @ part)[upper]])
+                    if at == of[i]:
+                        sums = sums + more
+                        continue
+                    if sums is not None:
+                        yield key[0], OF_BATCH, at, sums
+                        total = total + sums
+                    at, sums = int(of[i]), more
+        if sums is not None:
+            yield key[0], OF_BATCH, at, sums
+            yield key[0], OF_WHOLE, 0, total + sums
+
+    near = with_history(signal.select("recording_id", "sample_idx", "channels"), depth, block=block)
+    dealt = near.repartition(F.xxhash64("recording_id", "block")).sortWithinPartitions("recording_id", "block", "sample_idx")
+    names = ["recording_id", "kind", "at", "payload"]
+    return dealt.mapInPandas(lambda batches: put_together(moments(batches), names), "recording_id string, kind int, at long, payload array<double>")
 
 
 def in_order(rows: DataFrame, fold: Callable[[], Callable[[str, int, np.ndarray, np.ndarray], Iterator[tuple]]], schema: str) -> DataFrame:
@@ -217,7 +266,7 @@ def in_order(rows: DataFrame, fold: Callable[[], Callable[[str, int, np.ndarray,
 
     fold() makes a function that is called as f(recording_id, kind, ats, payloads) with consecutive rows,
     and at the end with kind -1; it gives rows of ``schema`` one after another. A task holds one recording's fold at a time, and
-    rows of about OUT_BYTES.
+    rows of about frames.OUT_BYTES.
     """
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
@@ -234,15 +283,7 @@ def in_order(rows: DataFrame, fold: Callable[[], Callable[[str, int, np.ndarray,
             yield from step(key, -1, none, none)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, size = [], 0
-        for row in made(batches):
-            out.append(row)
-            size += 64 + sum(v.nbytes for v in row if isinstance(v, np.ndarray))
-            if size > OUT_BYTES:
-                yield pd.DataFrame(out, columns=names)
-                out, size = [], 0
-        if out:
-            yield pd.DataFrame(out, columns=names)
+        return put_together(made(batches), names)
 
     # dealt by a hash of the name: a union of tables that lie by recording_id already counts as dealt by it, but its parts are
     # coalesced each by itself, so that a recording's rows of different kinds would reach different tasks

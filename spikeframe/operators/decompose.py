@@ -6,27 +6,32 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import UNROLLED
 from .frames import BLOCK, assign_batches, trim_warmup, with_history
 from .peaks import detect_spikes
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _products(b: pd.Series, m: pd.Series, rows: pd.Series) -> pd.Series:
+    """Flat products of flat matrices, the second with so many rows."""
+    return pd.Series([(np.reshape(x, (-1, k)) @ np.reshape(y, (k, -1))).ravel() for x, y, k in zip(b, m, rows, strict=True)], dtype=object)
+
+
 def fuse(units: DataFrame, whitening: DataFrame) -> DataFrame:
     """Rows of B W: units with w over the extended sample, from w over the whitened one.
 
-    whitening (recording_id, row_idx, w): full matrices, as read_model gives them. One matrix meets one task.
+    whitening (recording_id, row_idx, w): full matrices, as read_model gives them. A recording's units and its matrix meet as one row.
     """
     cols = [c for c in units.columns if c != "w"]
-    made = ", ".join(f"`{n}` {t}" for n, t in units.select(*cols).dtypes) + ", w array<double>"
-
-    def product(b: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        if b.empty or w.empty:
-            return pd.DataFrame({c: [] for c in [*cols, "w"]})
-        rows = np.stack(b["w"].to_numpy()) @ np.stack(w.sort_values("row_idx")["w"].to_numpy())
-        return b[cols].assign(w=list(rows))
-
-    return units.groupBy("recording_id").cogroup(whitening.select("recording_id", "row_idx", "w").groupBy("recording_id")).applyInPandas(product, made)
+    lines = F.array_sort(F.collect_list(F.struct("row_idx", "w")))
+    matrices = whitening.groupBy("recording_id").agg(F.transform(lines, lambda r: r["w"]).alias("m"))
+    of = units.groupBy("recording_id").agg(F.collect_list(F.struct(*[c for c in units.columns if c != "recording_id"])).alias("u"))
+    near = of.join(matrices, "recording_id").withColumn("made", _products(F.flatten(F.transform("u", lambda u: u["w"])), F.flatten("m"), F.size("m")))
+    size = (F.size("made") / F.size("u")).cast("int")
+    each = near.select("recording_id", "made", size.alias("size"), F.posexplode("u").alias("i", "u"))
+    return each.select(*[F.col("recording_id") if c == "recording_id" else F.col(f"u.{c}").alias(c) for c in cols], F.slice("made", F.col("i") * F.col("size") + 1, F.col("size")).alias("w"))
 
 
 def whitened_rows(units: DataFrame, scales: DataFrame, ext_fact: int) -> DataFrame:

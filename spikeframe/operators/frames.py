@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Samples in a block of a recording; what looks back gets the rows it needs from the block before.
 BLOCK = 1 << 16
+#: Bytes of arrays in rows that a task puts out together.
+OUT_BYTES = 1 << 24
 
 
 def slice_time(df: DataFrame, start: float, stop: float, fs: float) -> DataFrame:
@@ -96,3 +102,47 @@ def extend_delays(df: DataFrame, ext_fact: int, block: int = BLOCK) -> DataFrame
     delayed = [F.col("channels")] + [F.coalesce(F.lag("channels", i).over(order), zeros) for i in range(1, ext_fact)]
     rows = with_history(df, ext_fact - 1, block=block).withColumn("x", F.flatten(F.array(*delayed)))
     return rows.where("not halo").drop("block", "halo")
+
+
+def put_together(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as tables of about OUT_BYTES."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += 64 + sum(v.nbytes for v in row if isinstance(v, np.ndarray))
+        if size > OUT_BYTES:
+            yield pd.DataFrame(out, columns=names)
+            out, size = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=names)
+
+
+def in_runs(df: DataFrame, keys: tuple[str, ...], order: str | None, make: Callable[[dict[str, np.ndarray]], Iterator[tuple]], schema: str) -> DataFrame:
+    """make(columns) of each group of rows equal in ``keys``, by ``order``; it gives rows of ``schema``.
+
+    Groups lie one after another in their partition and are cut out of its Arrow batches, so that a small group costs
+    little more than its numbers. A group is held whole.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+        held: list[dict[str, np.ndarray]] = []
+        whole = lambda: {c: np.concatenate([part[c] for part in held]) for c in held[0]} if len(held) > 1 else held[0]
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            change = np.any([cols[k][1:] != cols[k][:-1] for k in keys], axis=0)
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(pdf)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if held and any(held[0][k][0] != cols[k][a] for k in keys):
+                    yield whole()
+                    held = []
+                held.append({c: v[a:b] for c, v in cols.items()})
+        if held:
+            yield whole()
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return put_together((row for group in groups(batches) for row in make(group)), names)
+
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *([order] if order else [])).mapInPandas(task, schema)

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import contrast_of, dot
 from ..sources.storage import materialise
-from .adapt import batch_covariances, in_order
-from .frames import BLOCK, assign_batches, extend_delays, trim_edges
+from .adapt import OF_BATCH, OF_WHOLE, batch_covariances, delayed_moments, in_order
+from .frames import BLOCK, assign_batches, trim_edges
 
 
 #: Entries of a sample from which on covariances add up as whole matrices, and matrices whose divergences are taken at once.
@@ -260,6 +260,83 @@ def calibrate_whitening(z: DataFrame, batch_size: int, alpha: float, size: int)
     return calibration(materialise(divergences(z, batch_size, alpha, size), "divergences"))
 
 
+def calibrate_full(signal: DataFrame, whitening: DataFrame, ext_fact: int, batch_size: int, alpha: float, size: int) -> DataFrame:
+    """(recording_id, w, c, kl_mean, kl_std): flat whitening, covariance of the whitened signal, and what calibrate_whitening gives of it.
+
+    whitening (recording_id, row_idx, w), ``size`` rows for each recording. Whitened samples are never made: cov(W x) = W cov(x) W', so that one pass over the samples
+    gives the moments of batches and one fold the rest. A recording without samples or whitening gives no row.
+    """
+    lines = F.array_sort(F.collect_list(F.struct("row_idx", "w")))
+    flat = whitening.groupBy("recording_id").agg(F.transform(lines, lambda r: r["w"]).alias("m"))
+    head = flat.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.flatten("m").alias("payload"))
+
+    def fold():
+        w = whole = at = held = last = c = None
+        waiting, n, mean, square = [], 0, 0.0, 0.0
+
+        def covariance(rows: np.ndarray) -> np.ndarray:
+            d = w.shape[1]
+            ss, count, s = np.zeros((len(rows), d, d)), rows[:, 0, None, None], rows[:, 1 : d + 1]
+            i, j = np.triu_indices(d)
+            ss[:, i, j] = ss[:, j, i] = rows[:, d + 1 :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                x = (ss - s[:, :, None] * s[:, None, :] / count) / np.where(count > 1, count - 1, np.nan)
+            return w @ x @ w.T
+
+        def run() -> None:
+            """The divergences of the batches that wait; the last one of a recording is never added, nor the first."""
+            nonlocal c, last, n, mean, square
+            rows = [(b, v) for b, v in waiting if v[0] == batch_size]
+            waiting.clear()
+            if not rows:
+                return
+            course = []
+            for v in covariance(np.stack([v for _, v in rows])):
+                c = (1 - alpha) * c + alpha * v
+                course.append(c)
+            m = np.stack(course)
+            sign, log = np.linalg.slogdet(m)
+            kl = (np.trace(m, axis1=1, axis2=2) - log - len(c)) / 2
+            for (b, _), s, v in zip(rows, sign, kl, strict=True):
+                if last is not None and last[0] >= 1 and last[1] is not None:
+                    n += 1
+                    off = last[1] - mean
+                    mean += off / n
+                    square += off * (last[1] - mean)
+                last = b, float(v) if s > 0 else None
+
+        def step(key, kind, ats, payloads):
+            nonlocal w, whole, at, held, c
+            if kind == 0:
+                w = np.array(payloads[0]).reshape(size, -1)
+            elif w is None:
+                return
+            elif kind == OF_WHOLE:
+                for v in payloads:
+                    whole = v if whole is None else whole + v
+            elif kind == OF_BATCH:
+                c = covariance(whole[None])[0] if c is None else c
+                for b, v in zip(ats.tolist(), payloads, strict=True):
+                    if b == at:
+                        held = held + v
+                        continue
+                    if held is not None:
+                        waiting.append((at, held))
+                    at, held = b, v
+                    if len(waiting) == TOGETHER:
+                        run()
+            elif whole is not None:
+                waiting.append((at, held))
+                first = covariance(whole[None])[0]
+                run()
+                yield key, w.ravel(), first.ravel(), mean if n else None, float(np.sqrt(square / (n - 1))) if n > 1 else None
+
+        return step
+
+    rows = head.unionByName(delayed_moments(signal, ext_fact, batch_size))
+    return in_order(rows, fold, "recording_id string, w array<double>, c array<double>, kl_mean double, kl_std double")
+
+
 def orthonormalise(units: DataFrame) -> DataFrame:
     """Each recording's vectors (recording_id, unit, w) made orthogonal to those before, of length 1; zeros for one that those before span."""
 
@@ -285,10 +362,14 @@ def centroids(ipts: DataFrame, share: float = 0.9) -> DataFrame:
     return near.groupBy("recording_id", "unit").agg(F.avg(F.when(sq <= F.col("cut"), sq)).alias("base_centr"), F.avg(F.when(sq > F.col("cut"), sq)).alias("spikes_centr"))
 
 
-def scales(df: DataFrame, x: str = "channels") -> DataFrame:
-    """(recording_id, scale): one over each channel's deviation, 0 for a constant one."""
+def scales(df: DataFrame, x: str = "channels", size: int | None = None) -> DataFrame:
+    """(recording_id, scale): one over each channel's deviation, 0 for a constant one; with a known number of channels no row is cut into cells."""
+    scale_of = lambda value: F.coalesce(1.0 / F.nullif(F.stddev_pop(value), F.lit(0.0)), F.lit(0.0))
+    if size is not None:
+        made = df.groupBy("recording_id").agg(*[scale_of(F.get(F.col(x), F.lit(i))).alias(f"__s{i}") for i in range(size)])
+        return made.select("recording_id", F.array(*[F.col(f"__s{i}") for i in range(size)]).alias("scale"))
     cells = df.select("recording_id", F.posexplode(x).alias("channel", "value"))
-    one = cells.groupBy("recording_id", "channel").agg(F.coalesce(1.0 / F.nullif(F.stddev_pop("value"), F.lit(0.0)), F.lit(0.0)).alias("s"))
+    one = cells.groupBy("recording_id", "channel").agg(scale_of("value").alias("s"))
     pairs = F.array_sort(F.collect_list(F.struct("channel", "s")))
     return one.groupBy("recording_id").agg(F.transform(pairs, lambda p: p["s"]).alias("scale"))
 
@@ -302,9 +383,4 @@ def build_model(tables: dict[str, DataFrame], ext_fact: int, batch_size: int, al
     """
     stats = calibrate_contrast(tables["ipts"], tables["spikes"], contrast)
     units = init_heights(tables["model_units"]).drop("version").join(stats, ["recording_id", "unit"], "left")
-    z = whiten_by(extend_delays(tables["signal"].drop("source"), ext_fact), tables["model_whitening"].drop("version"))
-    kl = calibrate_whitening(z, batch_size, alpha, size)
-    c = batch_covariances(z.select("recording_id", F.lit(0).cast("long").alias("batch_idx"), F.col("z").alias("x")), size).select("recording_id", F.col("cov").alias("c"))
-    rows = F.array_sort(F.collect_list(F.struct("row_idx", "w")))
-    w = tables["model_whitening"].groupBy("recording_id").agg(F.flatten(F.transform(rows, lambda r: r["w"])).alias("w"))
-    return units, w.join(c, "recording_id").join(kl, "recording_id", "left")
+    return units, calibrate_full(tables["signal"], tables["model_whitening"], ext_fact, batch_size, alpha, size)

@@ -161,7 +161,7 @@ def adaptive_whitening(spark, d):
     x = fr.assign_batches(fr.trim_warmup(sig, 1), BATCH).withColumn("x", F.col("channels"))
     diagonal = F.flatten(F.transform("scale", lambda s, i: F.transform("scale", lambda _, j: F.when(i == j, s).otherwise(0.0))))
     unit = F.array(*[F.lit(1.0 if i == j else 0.0) for i, j in _SQUARE])
-    start = md.scales(sig).select("recording_id", diagonal.alias("w"), unit.alias("c"))
+    start = md.scales(sig, size=CH).select("recording_id", diagonal.alias("w"), unit.alias("c"))
     course = ad.adapt_whitening(ad.batch_covariances(x, CH), start, ONE)
     return course.select("recording_id", "version", *[r6(F.get("w", F.lit(CH * i + j))).alias(f"w{i}{j}") for i, j in _SQUARE])
 

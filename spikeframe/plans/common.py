@@ -42,7 +42,7 @@ def whitening(signal: DataFrame) -> DataFrame:
     """(recording_id, version, row_idx, w): the fixture's whitening over the extended sample, a full matrix."""
     rows = F.array(*[F.struct(F.lit(i).alias("row_idx"), F.array(*map(F.lit, row)).alias("m")) for i, row in enumerate(MIX)])
     tiled = F.flatten(F.array_repeat("scale", EXT))
-    each = model.scales(signal).select("recording_id", tiled.alias("scale"), F.explode(rows).alias("r"))
+    each = model.scales(signal, size=CH).select("recording_id", tiled.alias("scale"), F.explode(rows).alias("r"))
     return each.select("recording_id", F.lit(0).cast("long").alias("version"), "r.row_idx", F.zip_with("r.m", "scale", lambda a, b: a * b).alias("w"))
 
 

@@ -455,3 +455,34 @@ def test_folds_of_tables_that_lie_by_recording(spark):
         for b in range(6):
             c = 0.9 * c + 0.1 * np.cov(x[10 * b : 10 * b + 10].T)
             assert got[f"r{r}", b] == pytest.approx((np.trace(c) - np.linalg.slogdet(c)[1] - 4) / 2)
+
+
+def test_calibration_and_fused_models_take_no_task_for_each_group(spark):
+    """Moments of batches that blocks cut, put together, and no Python call of Spark's for each recording or batch."""
+    rng = np.random.default_rng(8)
+    ch, ext, size, n, alpha = 2, 3, 4, 250, 0.2
+    x = {r: rng.normal(size=(n, ch)) for r in "ab"}
+    w = {r: rng.normal(size=(size, ch * ext)) for r in "ab"}
+    sig = signal(spark, x["a"], "a").unionByName(signal(spark, x["b"], "b"))
+    matrices = spark.createDataFrame([(r, i, row.tolist()) for r in "ab" for i, row in enumerate(w[r])], "recording_id string, row_idx int, w array<double>")
+    units = matrices.where("row_idx < 2").select("recording_id", F.col("row_idx").alias("unit"), F.slice("w", 1, size).alias("w"))
+    start, rows = md.calibrate_full(sig, matrices, ext, 40, alpha, size), dc.fuse(units, matrices)
+    for df in (start, rows, ad.batch_covariances(fr.assign_batches(sig, 40).withColumn("x", F.col("channels")), ch)):
+        assert "GroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in start.collect():
+        z = loops.extend(x[r.recording_id], ext) @ w[r.recording_id].T
+        c, kl = np.cov(z.T), []
+        assert np.allclose(r.c, c.ravel()) and np.allclose(r.w, w[r.recording_id].ravel())
+        for b in range(6):
+            c = (1 - alpha) * c + alpha * np.cov(z[40 * b : 40 * b + 40].T)
+            kl.append(0.5 * (np.trace(c) - size - np.linalg.slogdet(c)[1]))
+        assert np.isclose(r.kl_mean, np.mean(kl[1:-1])) and np.isclose(r.kl_std, np.std(kl[1:-1], ddof=1))
+    total = {}
+    for r in ad.delayed_moments(sig, ext, 40, block=64).collect():
+        key = r.recording_id, r.kind, r["at"]
+        total[key] = total.get(key, 0) + np.array(r.payload)
+    for r in "ab":
+        full, upper = loops.extend(x[r], ext), np.triu_indices(ch * ext)
+        for key, part in {(r, ad.OF_WHOLE, 0): full, **{(r, ad.OF_BATCH, b): full[40 * b : 40 * b + 40] for b in range(7)}}.items():
+            assert np.allclose(total.pop(key), np.concatenate([[len(part)], part.sum(0), (part.T @ part)[upper]]))
+    assert not total
