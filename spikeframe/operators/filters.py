@@ -11,11 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialise
+from .frames import in_runs, offsets, put_together, remove_offset
 
 CHUNK = 512
 #: Chunks whose states are put together in one task.
@@ -149,73 +149,70 @@ def apply(df: DataFrame, system: System, chunk: int = CHUNK, settled: bool = Fal
     cols = df.select("recording_id", "sample_idx", "channels").withColumn("chunk", F.floor(F.col("sample_idx") / chunk).cast("long"))
     states = len(system.b)
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        x = np.stack(pdf["channels"].to_numpy())
+    def local(group):
+        x = np.stack(group["channels"])
         y, end = run(system, x, np.zeros((states, x.shape[1])))
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iat[0]], "chunk": [pdf["chunk"].iat[0]], "start": [int(pdf["sample_idx"].iat[0])], "n": [len(x)], "first": [x[0]], "y": [y.ravel()], "state": [end.ravel()]})
+        yield group["recording_id"][0], int(group["chunk"][0]), int(group["sample_idx"][0]), len(x), x[0], y.ravel(), end.ravel()
 
     schema = "recording_id string, chunk long, start long, n int, first array<double>, y array<double>, state array<double>"
     # read twice, to put the states together and by the correction
-    parts = materialise(cols.groupBy("recording_id", "chunk").applyInPandas(local, schema), "filter-chunks")
+    parts = materialise(in_runs(cols, ("recording_id", "chunk"), "sample_idx", local, schema), "filter-chunks")
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(group):
         """Each chunk's state as if its span began at rest, the samples of the span before it, and a row (chunk null) for the whole span."""
-        pdf = pdf.sort_values("chunk")
-        state, done, rows = np.zeros((states, len(pdf["first"].iat[0]))), 0, []
-        for at, n, end in zip(pdf["chunk"], pdf["n"], pdf["state"], strict=True):
-            rows.append((at, done, state.ravel(), None))
-            state = np.asarray(end).reshape(state.shape) + system.powers(int(n)).step @ state
-            done += int(n)
-        rows.append((None, done, state.ravel(), pdf["first"].iat[0]))
-        out = pd.DataFrame(rows, columns=["chunk", "before", "local", "first"])
-        out["chunk"] = out["chunk"].astype("Int64")
-        return out.assign(recording_id=pdf["recording_id"].iat[0], span=int(pdf["span"].iat[0]))
+        recording, of = group["recording_id"][0], int(group["span"][0])
+        state, done = np.zeros((states, len(group["first"][0]))), 0
+        for at, n, end in zip(group["chunk"].tolist(), group["n"].tolist(), group["state"], strict=True):
+            yield at, done, state.ravel(), None, recording, of
+            state = np.asarray(end).reshape(state.shape) + system.powers(n).step @ state
+            done += n
+        yield None, done, state.ravel(), group["first"][0], recording, of
 
     of_span = parts.select("recording_id", F.floor(F.col("chunk") / span).cast("long").alias("span"), "chunk", "n", "first", "state")
     made = "chunk long, before long, local array<double>, first array<double>, recording_id string, span long"
-    put = materialise(of_span.groupBy("recording_id", "span").applyInPandas(within, made), "filter-states")
+    put = materialise(in_runs(of_span, ("recording_id", "span"), "chunk", within, made), "filter-states")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("span")
-        state, starts = None, []
-        for first, end, n in zip(pdf["first"], pdf["local"], pdf["before"], strict=True):
+    def fold(group):
+        state = None
+        for of, first, end, n in zip(group["span"].tolist(), group["first"], group["local"], group["before"].tolist(), strict=True):
             end = np.asarray(end).reshape(states, -1)
             if state is None:
                 state = np.outer(system.rest, np.asarray(first)) if settled else np.zeros_like(end)
-            starts.append(state.ravel())
-            state = end + np.linalg.matrix_power(system.a, int(n)) @ state
-        return pd.DataFrame({"recording_id": pdf["recording_id"], "span": pdf["span"], "begin": starts})
+            yield group["recording_id"][0], of, state.ravel()
+            state = end + np.linalg.matrix_power(system.a, n) @ state
 
-    begins = put.where("chunk is null").groupBy("recording_id").applyInPandas(fold, "recording_id string, span long, begin array<double>")
+    spans = put.where("chunk is null").drop("chunk")
+    begins = in_runs(spans, ("recording_id",), "span", fold, "recording_id string, span long, begin array<double>")
 
-    def add(batches):
+    def added(batches):
         for pdf in batches:
-            out = []
             for r in pdf.itertuples():
                 begin = np.asarray(r.begin).reshape(states, -1)
-                state = np.asarray(r.local).reshape(states, -1) + np.linalg.matrix_power(system.a, int(r.before)) @ begin
+                state = np.asarray(r.local).reshape(states, -1)
+                if begin.any():
+                    state = state + np.linalg.matrix_power(system.a, int(r.before)) @ begin
                 y = np.array(r.y).reshape(r.n, -1)
-                for i in range(0, r.n, CHUNK):
+                for i in range(0, r.n if state.any() else 0, CHUNK):
                     m = system.powers(min(CHUNK, r.n - i))
                     y[i : i + CHUNK] += m.free @ state
                     state = m.step @ state
-                out.append(pd.DataFrame({"recording_id": r.recording_id, "sample_idx": np.arange(r.start, r.start + r.n), "channels": list(y)}))
-                if len(out) >= 32:
-                    yield pd.concat(out)
-                    out = []
-            if out:
-                yield pd.concat(out)
+                yield r.recording_id, r.start, r.n, y.ravel()
+
+    def add(batches):
+        return put_together(added(batches), ["recording_id", "start", "n", "y"])
 
     states_of = put.where("chunk is not null").join(begins, ["recording_id", "span"]).select("recording_id", "chunk", "before", "local", "begin")
     joined = parts.select("recording_id", "chunk", "start", "n", "y").join(states_of, ["recording_id", "chunk"])
-    return joined.mapInPandas(add, "recording_id string, sample_idx long, channels array<double>")
+    whole = joined.mapInPandas(add, "recording_id string, start long, n int, y array<double>")
+    # a chunk is cut into its samples by Spark
+    width = (F.size("y") / F.col("n")).cast("int").alias("width")
+    each = whole.select("recording_id", "start", "y", width, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return each.select("recording_id", (F.col("start") + F.col("i")).alias("sample_idx"), F.slice("y", F.col("i") * F.col("width") + 1, F.col("width")).alias("channels"))
 
 
-def _reverse(df: DataFrame) -> DataFrame:
-    """Time turned around in each recording, from 0 on."""
-    ends = df.groupBy("recording_id").agg(F.max("sample_idx").alias("__last"))
-    return df.join(ends, "recording_id").withColumn("sample_idx", F.col("__last") - F.col("sample_idx")).drop("__last")
+def _reverse(df: DataFrame, ends: DataFrame) -> DataFrame:
+    """Time turned around in each recording, from its last sample (recording_id, last) on."""
+    return df.join(ends, "recording_id").withColumn("sample_idx", F.col("last") - F.col("sample_idx")).drop("last")
 
 
 def _padded(df: DataFrame, pad: int) -> DataFrame:
@@ -231,8 +228,13 @@ def _padded(df: DataFrame, pad: int) -> DataFrame:
 def zero_phase(df: DataFrame, system: System, chunk: int = CHUNK) -> DataFrame:
     """Filtered forwards, then backwards. Recordings must be longer than the padding of 3 (states + 1)."""
     pad = 3 * (len(system.b) + 1)
+    # read several times below
+    df = materialise(df.select("recording_id", "sample_idx", "channels"), "unfiltered")
+    bounds = materialise(df.groupBy("recording_id").agg(F.min("sample_idx").alias("a"), F.max("sample_idx").alias("b")), "bounds")
+    last = bounds.select("recording_id", (F.col("b") + 2 * pad).alias("last"))
+    turned = bounds.select("recording_id", (F.col("b") + 2 * pad - F.col("a")).alias("last"))
     once = apply(_padded(df, pad), system, chunk, settled=True)
-    twice = _reverse(apply(_reverse(once), system, chunk, settled=True)).withColumn("sample_idx", F.col("sample_idx") - pad)
+    twice = _reverse(apply(_reverse(once, last), system, chunk, settled=True), turned).withColumn("sample_idx", F.col("sample_idx") - pad)
     return twice.join(df.select("recording_id", "sample_idx"), ["recording_id", "sample_idx"])
 
 
@@ -258,9 +260,9 @@ def notch(df: DataFrame, fs: float, freq: float = 50, width: float = 1, order: i
 
 def preprocess(df: DataFrame, fs: float, lo: float, hi: float, powerline: float | None) -> tuple[DataFrame, DataFrame]:
     """Band-pass, notch if asked for, both forwards only, then the offset taken off; the offsets too."""
-    from .frames import offsets, remove_offset
-
     out = bandpass(df, fs, lo, hi, zero=False)
     if powerline is not None:
         out = notch(out, fs, powerline, zero=False)
+    # read for the offsets and by their subtraction
+    out = materialise(out, "filtered")
     return remove_offset(out), offsets(out)

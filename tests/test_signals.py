@@ -486,3 +486,10 @@ def test_calibration_and_fused_models_take_no_task_for_each_group(spark):
         for key, part in {(r, ad.OF_WHOLE, 0): full, **{(r, ad.OF_BATCH, b): full[40 * b : 40 * b + 40] for b in range(7)}}.items():
             assert np.allclose(total.pop(key), np.concatenate([[len(part)], part.sum(0), (part.T @ part)[upper]]))
     assert not total
+
+
+def test_filters_take_no_task_for_each_chunk(spark):
+    x = RNG.normal(size=(300, 2))
+    out = fl.apply(signal(spark, x), fl.butterworth("band", 2, (2.0, 20.0), 100.0), 64)
+    assert "GroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose(array(out), loop(fl.butterworth("band", 2, (2.0, 20.0), 100.0), x))
