@@ -123,7 +123,7 @@ def in_runs(df: DataFrame, keys: tuple[str, ...], order: str | None, make: Calla
     Groups lie one after another in their partition and are cut out of its Arrow batches, so that a small group costs
     little more than its numbers. A group is held whole.
     """
-    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    names = [c.strip().split(" ")[0].strip("`") for c in schema.split(", ")]
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
         held: list[dict[str, np.ndarray]] = []

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hann
-from .frames import values_at_spikes
+from .frames import in_runs, values_at_spikes
 from .peaks import local_maxima_long
 
 UNIT = ("recording_id", "source", "unit")
@@ -59,18 +58,19 @@ def inst_discharge_rate(spikes: DataFrame, lengths: DataFrame, fs: int, keys: tu
     reach = F.sequence(F.floor(F.greatest("__from", F.lit(0)) / block), F.floor(F.least(F.col("__from") + size - 1, F.col("n_samples") - 1) / block))
     near = near.where((F.col("__from") < F.col("n_samples")) & (F.col("__from") + size > 0)).select(*keys, "n_samples", "__from", F.explode(reach).alias("__block"))
 
-    def smooth(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(key[-1]) * block
-        n = min(block, int(pdf["n_samples"].iat[0]) - first)
+    def smooth(group):
+        first = int(group["__block"][0]) * block
+        n = min(block, int(group["n_samples"][0]) - first)
         total = np.zeros(n)
-        for at in pdf["__from"].to_numpy() - first:
+        for at in group["__from"] - first:
             a, b = max(at, 0), min(at + size, n)
             total[a:b] += weights[a - at : b - at]
         on = np.flatnonzero(total)
-        return pd.DataFrame({**{k: [v] * len(on) for k, v in zip(keys, key, strict=False)}, "sample_idx": first + on, "rate": 2 * total[on]})
+        yield *(group[k][0] for k in keys), first + on, 2 * total[on]
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in near.select(*keys).dtypes) + ", sample_idx long, rate double"
-    return near.groupBy(*keys, "__block").applyInPandas(smooth, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in near.select(*keys).dtypes)
+    made = in_runs(near, (*keys, "__block"), "__from", smooth, f"{schema}, at array<long>, rates array<double>")
+    return made.select(*keys, F.inline(F.arrays_zip(F.col("at").alias("sample_idx"), F.col("rates").alias("rate"))))
 
 
 def _levels(spikes: DataFrame, ipts: DataFrame, ext_fact: int) -> tuple[DataFrame, DataFrame]:

@@ -252,3 +252,11 @@ def test_best_lags_take_little_time():
         ag._best_of_each(x, trains, 3)
     # 8,100 pairs; about 2 s before a pair's differences were sorted as a row
     assert time.process_time() - began < 0.8
+
+
+def test_inst_rate_takes_no_task_for_each_unit(spark):
+    trains = spikes(spark, {0: [3], 1: []})
+    lengths = spark.createDataFrame([("r", 100)], "recording_id string, n_samples long")
+    out = tr.inst_discharge_rate(trains, lengths, 10, ("recording_id", "unit"))
+    assert "GroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.unit for r in out.collect()} == {0}
