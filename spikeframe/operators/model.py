@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import contrast_of, dot
 from ..sources.storage import materialise
+from . import packed
 from .adapt import OF_BATCH, OF_WHOLE, batch_covariances, delayed_moments, in_order
 from .frames import BLOCK, assign_batches, trim_edges
 
@@ -183,6 +184,67 @@ def divergences(z: DataFrame, batch_size: int, alpha: float, size: int) -> DataF
     return in_order(head.unionByName(body), fold, "recording_id string, batch_idx long, kl double")
 
 
+def packed_divergences(packs: DataFrame, scales: DataFrame, batch_size: int, alpha: float) -> DataFrame:
+    """divergences of the signal under a diagonal whitening (recording_id, scale), from packs of it: cov(D x) = D cov(x) D, so that no sample is whitened."""
+    head = scales.select("recording_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.col("scale").alias("payload"))
+
+    def fold():
+        d = whole = at = held = c = None
+        waiting: list[tuple] = []
+
+        def covariance(rows: np.ndarray) -> np.ndarray:
+            size = len(d)
+            i, j = np.triu_indices(size)
+            ss, n, s = np.zeros((len(rows), size, size)), rows[:, 0, None, None], rows[:, 1 : size + 1]
+            ss[:, i, j] = ss[:, j, i] = rows[:, size + 1 :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return (ss - s[:, :, None] * s[:, None, :] / n) / np.where(n > 1, n - 1, np.nan) * np.outer(d, d)
+
+        def run() -> Iterator[tuple]:
+            nonlocal c
+            rows = [(b, v) for b, v in waiting if v[0] == batch_size]
+            waiting.clear()
+            if not rows:
+                return
+            course = []
+            for v in covariance(np.stack([v for _, v in rows])):
+                c = (1 - alpha) * c + alpha * v
+                course.append(c)
+            m = np.stack(course)
+            sign, log = np.linalg.slogdet(m)
+            kl = (np.trace(m, axis1=1, axis2=2) - log - len(d)) / 2
+            for (b, _), s, v in zip(rows, sign, kl, strict=True):
+                yield b, float(v) if s > 0 else None
+
+        def step(key, kind, ats, payloads):
+            nonlocal d, whole, at, held, c
+            if kind == 0:
+                d = np.asarray(payloads[0])
+            elif d is None:
+                return
+            elif kind == OF_WHOLE:
+                for v in payloads:
+                    whole = v if whole is None else whole + v
+            elif kind == OF_BATCH:
+                c = covariance(whole[None])[0] if c is None else c
+                for b, v in zip(ats.tolist(), payloads, strict=True):
+                    if b == at:
+                        held = held + v
+                        continue
+                    if held is not None:
+                        waiting.append((at, held))
+                    at, held = b, v
+                    if len(waiting) == TOGETHER:
+                        yield from ((key, *row) for row in run())
+            elif held is not None:
+                waiting.append((at, held))
+                yield from ((key, *row) for row in run())
+
+        return step
+
+    return in_order(head.unionByName(packed.moments(packs, 1, batch_size)), fold, "recording_id string, batch_idx long, kl double")
+
+
 @F.pandas_udf(T.DoubleType())
 def _logdet(rows: pd.Series, size: pd.Series) -> pd.Series:
     def one(values, n):
@@ -225,7 +287,8 @@ def separation_loss(ipts: DataFrame, spikes: DataFrame, calib: DataFrame, contra
     """
     batch = ["recording_id", "batch_idx", "unit"]
     sums = _at_spikes(ipts, spikes).groupBy(*batch).agg((F.sum("ipt") / (F.count("*") + 1e-6)).alias("height"))
-    means = ipts.select(*batch).distinct().join(sums, batch, "left").withColumn("height", F.coalesce("height", F.lit(0.0)))
+    batches = ipts.select(*batch) if "ipts" in ipts.columns else ipts.select(*batch).distinct()  # rows of packed.SOURCE are batches already
+    means = batches.join(sums, batch, "left").withColumn("height", F.coalesce("height", F.lit(0.0)))
     value = F.nullif(contrast_of(F.col("height"), contrast), F.lit(0.0))
     z = (value - F.col("contrast_mean")) / F.nullif(F.col("contrast_std"), F.lit(0.0))
     return means.join(calib, ["recording_id", "unit"]).select("recording_id", "batch_idx", "unit", (z * z).alias("sv_loss"))
@@ -260,11 +323,11 @@ def calibrate_whitening(z: DataFrame, batch_size: int, alpha: float, size: int)
     return calibration(materialise(divergences(z, batch_size, alpha, size), "divergences"))
 
 
-def calibrate_full(signal: DataFrame, whitening: DataFrame, ext_fact: int, batch_size: int, alpha: float, size: int) -> DataFrame:
+def calibrate_full(signal: DataFrame, whitening: DataFrame, ext_fact: int, batch_size: int, alpha: float, size: int, packs: DataFrame | None = None) -> DataFrame:
     """(recording_id, w, c, kl_mean, kl_std): flat whitening, covariance of the whitened signal, and what calibrate_whitening gives of it.
 
     whitening (recording_id, row_idx, w), ``size`` rows for each recording. Whitened samples are never made: cov(W x) = W cov(x) W', so that one pass over the samples
-    gives the moments of batches and one fold the rest. A recording without samples or whitening gives no row.
+    gives the moments of batches and one fold the rest. A recording without samples or whitening gives no row. packs: the signal's (packed.pack), if there are any.
     """
     lines = F.array_sort(F.collect_list(F.struct("row_idx", "w")))
     flat = whitening.groupBy("recording_id").agg(F.transform(lines, lambda r: r["w"]).alias("m"))
@@ -333,7 +396,7 @@ def calibrate_full(signal: DataFrame, whitening: DataFrame, ext_fact: int, batch
 
         return step
 
-    rows = head.unionByName(delayed_moments(signal, ext_fact, batch_size))
+    rows = head.unionByName(delayed_moments(signal, ext_fact, batch_size) if packs is None else packed.moments(packs, ext_fact, batch_size))
     return in_order(rows, fold, "recording_id string, w array<double>, c array<double>, kl_mean double, kl_std double")
 
 
@@ -379,8 +442,8 @@ def build_model(tables: dict[str, DataFrame], ext_fact: int, batch_size: int, al
 
     units get heights and contrast statistics. start has the whitening and its covariance over the calibration
     signal (zeros before its first sample included), both flat, with the mean and deviation of the
-    divergence. size: rows of the whitening.
+    divergence. size: rows of the whitening. The tables may hold the signal's packs, too.
     """
     stats = calibrate_contrast(tables["ipts"], tables["spikes"], contrast)
     units = init_heights(tables["model_units"]).drop("version").join(stats, ["recording_id", "unit"], "left")
-    return units, calibrate_full(tables["signal"], tables["model_whitening"], ext_fact, batch_size, alpha, size)
+    return units, calibrate_full(tables["signal"], tables["model_whitening"], ext_fact, batch_size, alpha, size, tables.get("packs"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hann
+from . import packed
 from .frames import in_runs, values_at_spikes
 from .peaks import local_maxima_long
 
@@ -74,34 +75,39 @@ def inst_discharge_rate(spikes: DataFrame, lengths: DataFrame, fs: int, keys: tu
 
 
 def _levels(spikes: DataFrame, ipts: DataFrame, ext_fact: int) -> tuple[DataFrame, DataFrame]:
-    """Squares at the spikes, and those of the baseline: peaks no higher than the lowest spike,
-    or without any the samples that are no spikes; both after the first ext_fact samples."""
+    """Squares at the spikes, and the mean square of the baseline (b): peaks no higher than the lowest spike,
+    or without any the samples that are no spikes; both after the first ext_fact samples.
+
+    ipts may be rows of packed.SOURCE, the spikes then bring their sources (packed.FOUND)."""
     keys = ["recording_id", "unit"]
     late = F.col("sample_idx") >= ext_fact + 1
+    if "ipts" in ipts.columns:
+        at = spikes.where(late & F.col("ipt").isNotNull()).select(*keys, "sample_idx", (F.col("ipt") * F.col("ipt")).alias("value"))
+        lowest = at.groupBy(*keys).agg(F.min("value").alias("lowest"))
+        return at, packed.baselines(ipts, lowest, spikes, ext_fact)
     at = values_at_spikes(ipts, spikes).where(late).select(*keys, "sample_idx", "value")
     lowest = at.groupBy(*keys).agg(F.min("value").alias("lowest"))
     squares = ipts.select(*keys, "sample_idx", (F.col("ipt") * F.col("ipt")).alias("value"))
     low = local_maxima_long(squares, "value", tuple(keys)).join(lowest, keys).where(F.col("value") <= F.col("lowest")).drop("lowest")
     bare = lowest.select(*keys).join(low.select(*keys).distinct(), keys, "left_anti")
     rest = squares.join(bare, keys).join(spikes.select(*keys, "sample_idx"), [*keys, "sample_idx"], "left_anti")
-    return at, low.select(*keys, "sample_idx", "value").unionByName(rest.select(*keys, "sample_idx", "value")).where(late)
+    base = low.select(*keys, "sample_idx", "value").unionByName(rest.select(*keys, "sample_idx", "value")).where(late)
+    return at, base.groupBy(*keys).agg(F.avg("value").alias("b"))
 
 
 def pulse_to_noise(spikes: DataFrame, ipts: DataFrame, ext_fact: int = 8) -> DataFrame:
     """20 log10 of the mean square at the spikes over that of the baseline."""
-    at, base = _levels(spikes, ipts, ext_fact)
+    at, b = _levels(spikes, ipts, ext_fact)
     keys = ["recording_id", "unit"]
     s = at.groupBy(*keys).agg(F.avg("value").alias("s"))
-    b = base.groupBy(*keys).agg(F.avg("value").alias("b"))
     return s.join(b, keys, "left").select(*keys, (20 * F.log10(F.col("s") / F.nullif("b", F.lit(0.0)))).alias("pnr"))
 
 
 def silhouette(spikes: DataFrame, ipts: DataFrame, ext_fact: int = 8) -> DataFrame:
     """(db - ds) / max(db, ds): squared distances of the spikes' squares from the baseline's and from their own mean."""
-    at, base = _levels(spikes, ipts, ext_fact)
+    at, b = _levels(spikes, ipts, ext_fact)
     keys = ["recording_id", "unit"]
     s = at.groupBy(*keys).agg(F.avg("value").alias("s"))
-    b = base.groupBy(*keys).agg(F.avg("value").alias("b"))
     near = at.join(s, keys).join(b, keys, "left")
     d = lambda m: F.sum((F.col("value") - F.col(m)) * (F.col("value") - F.col(m)))
     sums = near.groupBy(*keys).agg(d("s").alias("ds"), d("b").alias("db"))

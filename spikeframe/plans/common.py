@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decompose, model, peaks
+from ..operators import decompose, model, packed
 from ..sources import fixtures as fx
 from ..sources.storage import materialise
 
@@ -38,28 +38,39 @@ def unit_rows(signal: DataFrame) -> DataFrame:
     return signal.select("recording_id").distinct().select("recording_id", F.inline(rows))
 
 
-def whitening(signal: DataFrame) -> DataFrame:
-    """(recording_id, version, row_idx, w): the fixture's whitening over the extended sample, a full matrix."""
+def whitening(signal: DataFrame, scales: DataFrame | None = None) -> DataFrame:
+    """(recording_id, version, row_idx, w): the fixture's whitening over the extended sample, a full matrix; scales: the signal's, if known."""
     rows = F.array(*[F.struct(F.lit(i).alias("row_idx"), F.array(*map(F.lit, row)).alias("m")) for i, row in enumerate(MIX)])
     tiled = F.flatten(F.array_repeat("scale", EXT))
-    each = model.scales(signal, size=CH).select("recording_id", tiled.alias("scale"), F.explode(rows).alias("r"))
+    each = (model.scales(signal, size=CH) if scales is None else scales).select("recording_id", tiled.alias("scale"), F.explode(rows).alias("r"))
     return each.select("recording_id", F.lit(0).cast("long").alias("version"), "r.row_idx", F.zip_with("r.m", "scale", lambda a, b: a * b).alias("w"))
 
 
+def packs_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The signal's packs (written), and the scales of its recordings (recording_id, scale)."""
+    packs = materialise(packed.pack(fx.signal(spark, sf_dir), EXT - 1, packed.block_of(BATCH)), "packs")
+    return packs, materialise(packed.scales(packs), "scales")
+
+
+def calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Packs of the signal, their scales, the frozen model (recording_id, unit, w, centroids, height) and its sources by batch (packed.SOURCE)."""
+    packs, scales = packs_of(spark, sf_dir)
+    rows = materialise(decompose.fuse(unit_rows(scales), whitening(packs, scales)), "model-rows")
+    sources = materialise(packed.frozen_batches(packs, rows, EXT, BATCH), "sources")
+    units = materialise(model.init_heights(rows.join(packed.centroids(sources), ["recording_id", "unit"])), "units")
+    return packs, scales, units, sources
+
+
 def fixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signal, frozen model (recording_id, unit, w, centroids, height) and ipts with batch_idx, warm-up trimmed."""
-    # read several times below
-    sig = materialise(fx.signal(spark, sf_dir), "signal")
-    rows = materialise(decompose.fuse(unit_rows(sig), whitening(sig)), "model-rows")
-    ipts = materialise(decompose.frozen_ipts(sig, rows, CH, EXT, BATCH), "ipts")
-    units = materialise(model.init_heights(rows.join(model.centroids(ipts), ["recording_id", "unit"])), "units")
-    return sig, units, ipts
+    """Signal, frozen model and its sources with batch_idx, warm-up trimmed, as rows of samples."""
+    packs, _, units, sources = calibrated(spark, sf_dir)
+    return packed.unpack(packs), units, packed.explode_sources(sources)
 
 
 def frozen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Model, ipts and detected spikes."""
-    _, units, ipts = fixture(spark, sf_dir)
-    return units, ipts, materialise(peaks.detect_spikes(ipts, units, DIST, MULT), "spikes")
+    """Model, its sources by batch, and the detected spikes (packed.FOUND)."""
+    _, _, units, sources = calibrated(spark, sf_dir)
+    return units, sources, materialise(packed.detect_spikes(sources, units, DIST, MULT), "spikes")
 
 
 _CHANNELS = ", ".join(f"({c} - {mid!r}::DOUBLE) / {scale!r}::DOUBLE AS c{i}" for i, (c, mid, scale) in enumerate(fx.CHANNELS))

@@ -180,16 +180,20 @@ def derive(params: DataFrame) -> DataFrame:
     return params.withColumns({"batch_size": per_ms("batch_ms"), "spike_dist": per_ms("spike_dist_ms")})
 
 
-def write_outputs(outputs: dict[str, DataFrame], path: str, mode: str = "errorifexists", rows_per_file: int = 1 << 22) -> None:
+def write_outputs(outputs: dict[str, DataFrame], path: str, mode: str = "errorifexists", rows_per_file: int = 1 << 22, folders: bool = True) -> None:
     """One Parquet table for each output, partitioned by recording. An existing one is an error unless mode says otherwise.
 
     Rows are dealt by ranges of recording and place in it, so that a long recording is written by many tasks, in files of at most
-    rows_per_file rows.
+    rows_per_file rows. Without ``folders`` rows lie in that order in files that short recordings share: a folder and a file for
+    each of very many recordings take longer than their rows, and readers of some recordings skip the rest by the files' statistics.
     """
     for name, df in outputs.items():
         place = [c for c in ("sample_idx", "batch_idx", "version", "unit") if c in df.columns]
         rows = df.repartitionByRange("recording_id", *place)
-        rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("recording_id").parquet(f"{path}/{name}")
+        if not folders:
+            rows = rows.sortWithinPartitions("recording_id", *place)
+        writer = rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+        (writer.partitionBy("recording_id") if folders else writer).parquet(f"{path}/{name}")
 
 
 def read_outputs(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
