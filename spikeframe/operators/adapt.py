@@ -54,50 +54,66 @@ class Params:
 
 def find_peaks(x: np.ndarray, low: float, high: float, distance: int) -> np.ndarray:
     """Strict local maxima (plateau middles) with low <= x <= high, the highest first without those nearer than distance."""
-    change = np.flatnonzero(np.diff(x)) + 1
-    starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(x)]])
-    v = x[starts]
-    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
-    at = (starts[top] + ends[top] - 1) // 2
-    at = at[(x[at] >= low) & (x[at] <= high)]
-    free, kept = np.ones(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
-    for i in at[np.lexsort((-at, -x[at]))].tolist():
+    up = x[1:] - x[:-1]
+    if (up != 0).all():
+        at = np.flatnonzero((up[:-1] > 0) & (up[1:] < 0)) + 1
+    else:
+        starts = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+        ends, v = np.append(starts[1:], len(x)), x[starts]
+        top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+        at = (starts[top] + ends[top] - 1) // 2
+    v = x[at]
+    inside = (v >= low) & (v <= high)
+    at, v = at[inside], v[inside]
+    # of equal ones the later first: a stable sort of the reversed places
+    order = at[::-1][np.argsort(-v[::-1], kind="stable")]
+    free, none, kept = bytearray(b"\1" * len(x)), bytes(2 * distance - 1), []
+    for i in order.tolist():
         if free[i]:
-            kept[i] = True
-            free[max(0, i - distance + 1) : i + distance] = False
-    return np.flatnonzero(kept)
+            kept.append(i)
+            a, b = max(0, i - distance + 1), min(len(x), i + distance)
+            free[a:b] = none[: b - a]
+    kept.sort()
+    return np.array(kept, dtype=np.int64)
+
+
+def covariance_of(z: np.ndarray) -> np.ndarray:
+    """Unbiased covariance of rows, two at least."""
+    d = z - z.sum(0) / len(z)
+    return (d.T @ d) / (len(z) - 1)
 
 
 def kl_of(c: np.ndarray) -> float:
     """Divergence of a covariance from the identity; NaN where it isn't positive definite."""
     try:
-        log = 2 * np.log(np.diagonal(np.linalg.cholesky(c))).sum()
+        log = 2 * np.log(np.linalg.cholesky(c).diagonal()).sum()
     except np.linalg.LinAlgError:
         return np.nan
-    return (np.trace(c) - log - len(c)) / 2
+    return (c.trace() - log - len(c)) / 2
 
 
 def unit_step(b: np.ndarray, base: float, spikes: float, height: float, ipt: np.ndarray, z: np.ndarray, p: Params):
     """One unit over one batch z (samples, dims) with its ipt = z b: peaks, labels and the parameters after it."""
     sq = ipt * ipt
     at = find_peaks(sq, base / p.spike_height_mult, p.spike_height_mult * spikes, p.spike_dist)
-    hit = sq[at] > height
-    if p.adapt_sv and hit.any():
+    tops = sq[at]
+    hit = tops > height
+    n = int(hit.sum())
+    if p.adapt_sv and n:
         y = ipt[at[hit]]
         g = np.tanh(y) if p.contrast == "logcosh" else y * y / 2
-        grad = (z[at[hit]] * g[:, None]).mean(0)
+        grad = (g @ z[at[hit]]) / n
         new = b
         for _ in range(p.sv_epochs):
             old, new = new, new + p.sv_learning_rate * grad
-            new = new / np.linalg.norm(new)
+            new = new / np.sqrt(new @ new)
             if abs(abs(new @ old) - 1) < p.sv_tol:
                 break
         b = new
     if (p.adapt_sd or p.legacy_force_sd) and len(at):
-        n = hit.sum()
         mean = lambda now, old: (p.spike_prev_weight * old + n * now) / (p.spike_prev_weight + n)
-        spikes = mean(sq[at[hit]].mean(), spikes) if hit.any() else spikes
-        base = mean(sq[at[~hit]].mean(), base) if (~hit).any() else base
+        spikes = mean(tops[hit].sum() / n, spikes) if n else spikes
+        base = mean(tops[~hit].sum() / (len(at) - n), base) if n < len(at) else base
         height = spikes - (spikes - base) / 2
     return at, hit, b, base, spikes, height
 
@@ -142,7 +158,7 @@ class Run:
         p, z = self.p, x @ self.w.T
         out = {"z": z, "w": self.w, "c": self.c, "wh_loss": np.nan}
         if len(z) > 1:
-            self.c = (1 - p.cov_alpha) * self.c + p.cov_alpha * np.atleast_2d(np.cov(z.T))
+            self.c = (1 - p.cov_alpha) * self.c + p.cov_alpha * covariance_of(z)
         if p.compute_loss:
             out["wh_loss"] = ((kl_of(self.c) - self.kl_mean) / self.kl_std) ** 2 if self.kl_std else np.nan
         if p.adapt_wh and len(z) > 1:
@@ -166,6 +182,133 @@ class Run:
         return ((value - u.mean) / u.std) ** 2 if value and u.std else np.nan
 
 
+def peaks_of_rows(x: np.ndarray, low: np.ndarray, high: np.ndarray, distance: int) -> np.ndarray:
+    """find_peaks of each row of x, as a matrix of marks."""
+    kept, n = np.zeros(x.shape, dtype=bool), x.shape[1]
+    up = x[:, 1:] - x[:, :-1]
+    if not (up != 0).all():
+        for row, mine, a, b in zip(x, kept, low, high, strict=True):
+            mine[find_peaks(row, a, b, distance)] = True
+        return kept
+    middle = x[:, 1:-1]
+    row, at = np.nonzero((up[:, :-1] > 0) & (up[:, 1:] < 0) & (middle >= low[:, None]) & (middle <= high[:, None]))
+    # rows lie one after another, too far apart to touch
+    place = row * (n + distance) + at + distance
+    order = np.lexsort((-place, -middle[row, at], row))
+    free, none, taken = bytearray(b"\1" * (x.shape[0] * (n + distance) + 2 * distance)), bytes(2 * distance - 1), []
+    for i, p in zip(order.tolist(), place[order].tolist(), strict=True):
+        if free[p]:
+            taken.append(i)
+            free[p - distance + 1 : p + distance] = none
+    kept[row[taken], at[taken] + 1] = True
+    return kept
+
+
+#: Settings in which the runs of one group may differ.
+RATES = ("wh_learning_rate", "sv_learning_rate", "cov_alpha")
+
+
+class Runs:
+    """Runs over one recording whose settings differ in RATES alone: each step is taken for all of them and all their units at once."""
+
+    def __init__(self, runs: list[Run]):
+        stack = lambda of: np.array([of(r) for r in runs], dtype=float)
+        each = lambda name: stack(lambda r: [getattr(u, name) for u in r.units])
+        self.p, self.ids = runs[0].p, [u.unit for u in runs[0].units]
+        self.w, self.c, self.kl_mean, self.kl_std = stack(lambda r: r.w), stack(lambda r: r.c), [r.kl_mean for r in runs], [r.kl_std for r in runs]
+        self.b, self.base, self.spikes, self.height = each("w"), each("base"), each("spikes"), each("height")
+        self.mean, self.std = each("mean"), each("std")
+        self.wh_rate, self.sv_rate, self.alpha = (stack(lambda r, n=n: getattr(r.p, n))[:, None, None] for n in RATES)
+
+    @staticmethod
+    def fit(runs: list[Run]) -> bool:
+        """Whether these runs can go together."""
+        if not runs:
+            return False
+        common = [asdict(r.p) | dict.fromkeys(RATES) for r in runs]
+        return all(c == common[0] for c in common) and all([u.unit for u in r.units] == [u.unit for u in runs[0].units] for r in runs) and len(runs[0].units) > 0
+
+    def single(self) -> list[Run]:
+        """The runs one by one, as they are now."""
+        out = []
+        for t in range(len(self.w)):
+            units = [Unit(u, self.b[t, i], *(float(v[t, i]) for v in (self.base, self.spikes, self.height, self.mean, self.std))) for i, u in enumerate(self.ids)]
+            rates = {n: float(v[t, 0, 0]) for n, v in zip(RATES, (self.wh_rate, self.sv_rate, self.alpha), strict=True)}
+            out.append(Run(with_params(self.p, **rates), self.w[t], self.c[t], units, self.kl_mean[t], self.kl_std[t]))
+        return out
+
+    def batch(self, x: np.ndarray) -> list[dict]:
+        """What Run.batch gives, of each run."""
+        p, n = self.p, len(x)
+        z, w, c = x @ self.w.transpose(0, 2, 1), self.w, self.c
+        if n > 1:
+            d = z - z.sum(1, keepdims=True) / n
+            self.c = (1 - self.alpha) * c + self.alpha * ((d.transpose(0, 2, 1) @ d) / (n - 1))
+        wh = [((kl - mean) / std) ** 2 if std else np.nan for kl, mean, std in zip(self._divergences(), self.kl_mean, self.kl_std, strict=True)] if p.compute_loss else [np.nan] * len(w)
+        if p.adapt_wh and n > 1:
+            self.w = w + self.wh_rate * (w - self.c @ w)
+        before = (self.b, self.base, self.spikes, self.height)
+        ipt = self.b @ z.transpose(0, 2, 1)
+        hit, loss = self._separate(z, ipt)
+        total = lambda t: (1e10 if np.isnan(wh[t]) else wh[t]) + np.nansum(loss[t]) if p.compute_loss else np.nan
+        unit = lambda t, i: (self.ids[i], ipt[t, i], np.flatnonzero(hit[t, i]), *(v[t, i] for v in before), loss[t, i])
+        return [{"w": w[t], "c": c[t], "wh_loss": wh[t], "units": [unit(t, i) for i in range(len(self.ids))], "total_loss": total(t)} for t in range(len(w))]
+
+    def _divergences(self) -> list[float]:
+        try:
+            log = 2 * np.log(np.linalg.cholesky(self.c).diagonal(axis1=1, axis2=2)).sum(1)
+        except np.linalg.LinAlgError:
+            return [kl_of(c) for c in self.c]
+        return ((self.c.trace(axis1=1, axis2=2) - log - self.c.shape[1]) / 2).tolist()
+
+    def _separate(self, z: np.ndarray, ipt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marks of the spikes and the losses of all units; the units move on."""
+        p, sq = self.p, ipt * ipt
+        low, high = self.base / p.spike_height_mult, p.spike_height_mult * self.spikes
+        kept = peaks_of_rows(sq.reshape(-1, sq.shape[2]), low.ravel(), high.ravel(), p.spike_dist).reshape(sq.shape)
+        hit = kept & (sq > self.height[:, :, None])
+        n, found = hit.sum(2), kept.sum(2)
+        fired, some = n > 0, np.maximum(n, 1)
+        if p.adapt_sv and fired.any():
+            g = np.where(hit, np.tanh(ipt) if p.contrast == "logcosh" else sq / 2, 0.0)
+            grad = (g @ z) / some[:, :, None]
+            new, going = self.b, fired
+            for _ in range(p.sv_epochs):
+                then = new + self.sv_rate * grad
+                then = then / np.sqrt((then * then).sum(2, keepdims=True))
+                near = np.abs(np.abs((then * new).sum(2)) - 1) < p.sv_tol
+                new, going = np.where(going[:, :, None], then, new), going & ~near
+            self.b = new
+        if p.adapt_sd or p.legacy_force_sd:
+            weigh = lambda total, count, old: np.where(count > 0, (p.spike_prev_weight * old + n * (total / np.maximum(count, 1))) / (p.spike_prev_weight + n), old)
+            self.spikes = weigh(np.where(hit, sq, 0.0).sum(2), n, self.spikes)
+            self.base = weigh(np.where(kept & ~hit, sq, 0.0).sum(2), found - n, self.base)
+            self.height = np.where(found > 0, self.spikes - (self.spikes - self.base) / 2, self.height)
+        if not p.compute_loss:
+            return hit, np.full(n.shape, np.nan)
+        mean = np.where(hit, ipt, 0.0).sum(2) / (n + 1e-6)
+        value = np.log(np.cosh(mean)) if p.contrast == "logcosh" else mean**3 / 6
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return hit, np.where((value != 0) & (self.std != 0), ((value - self.mean) / self.std) ** 2, np.nan)
+
+
+class OneByOne:
+    """Runs over one recording that differ in more, or have no units."""
+
+    def __init__(self, runs: list[Run]):
+        self.runs = runs
+
+    def single(self) -> list[Run]:
+        return self.runs
+
+    def batch(self, x: np.ndarray) -> list[dict]:
+        return [r.batch(x) for r in self.runs]
+
+
+def together(runs: list[Run]) -> Runs | OneByOne:
+    return Runs(runs) if Runs.fit(runs) else OneByOne(runs)
+
+
 class Delays:
     """Raw samples to extended ones, batch by batch; rows that reach before the recording are left out."""
 
@@ -261,6 +404,36 @@ def delayed_moments(signal: DataFrame, ext_fact: int, batch_size: int, block: in
     return dealt.mapInPandas(lambda batches: put_together(moments(batches), names), "recording_id string, kind int, at long, payload array<double>")
 
 
+#: Kinds of the rows of a fold that hold a pack of samples, and of those that say where a stretch ends.
+PACKED, END = 4, 5
+
+
+def samples_of(kind: int, ats: np.ndarray, payloads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and values of the samples in rows of a fold (_sample_rows)."""
+    if kind != PACKED:
+        return ats, np.stack(payloads)
+    at, x = [], []
+    for first, row in zip(ats.tolist(), payloads, strict=True):
+        width, given = int(row[0]), int(row[1])
+        x.append(row[2 + given :].reshape(-1, width))
+        at.append(row[2 : 2 + given].astype(np.int64) if given else np.arange(first, first + len(x[-1])))
+    return (at[0], x[0]) if len(at) == 1 else (np.concatenate(at), np.concatenate(x))
+
+
+def between(signal: DataFrame, begin: int | None, end: int) -> DataFrame:
+    """Samples, or packs of them, from begin (if given) to end - 1; a pack without its history."""
+    if "values" not in signal.columns:
+        rows = signal.where(F.col("sample_idx") < end)
+        return rows if begin is None else rows.where(F.col("sample_idx") >= begin)
+    n = (F.size("values") / F.col("width")).cast("int") - F.col("halo")
+    count = lambda bound: F.when(F.col("at").isNull(), F.greatest(F.lit(0), F.least(n, (F.lit(bound) - F.col("first")).cast("int")))).otherwise(F.size(F.filter("at", lambda i: i < bound)))
+    rows = signal.where(F.col("first") < end).withColumns({"__a": F.lit(0) if begin is None else count(begin), "__b": count(end)}).where("__a < __b")
+    at = F.slice("at", F.col("__a") + 1, F.col("__b") - F.col("__a"))
+    first = F.when(F.col("at").isNull(), F.col("first") + F.col("__a")).otherwise(F.get(at, F.lit(0)))
+    values = F.slice("values", (F.col("halo") + F.col("__a")) * F.col("width") + 1, (F.col("__b") - F.col("__a")) * F.col("width"))
+    return rows.select("recording_id", first.alias("first"), F.lit(0).alias("halo"), "width", at.alias("at"), values.alias("values"))
+
+
 def in_order(rows: DataFrame, fold: Callable[[], Callable[[str, int, np.ndarray, np.ndarray], Iterator[tuple]]], schema: str) -> DataFrame:
     """rows (recording_id, kind, at, payload) of a recording in order of kind and at, through one fold each, as a stream.
 
@@ -373,7 +546,7 @@ class Batches:
 
     def add(self, at: np.ndarray, payloads: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(batch, its samples) of the batches that are full or over with these samples."""
-        x = np.stack(payloads).astype(float, copy=False)
+        x = (payloads if payloads.ndim == 2 else np.stack(payloads)).astype(float, copy=False)
         if self.x is not None and len(self.x):
             at, x = np.concatenate([self.at, at]), np.concatenate([self.x, x])
         fresh = np.diff(at, prepend=at[0] - 1) > 0
@@ -421,7 +594,7 @@ def _batch_row(name: str, trial: int, batch: int, done: dict, keep: bool) -> tup
 def adaptive_steps(signal: DataFrame, start: DataFrame, units: DataFrame, trials: list[tuple[int, Params]], whole: bool = True, snapshots: int | None = None, last_batch: int | None = None) -> DataFrame:
     """STEP rows: for each trial and batch one for every unit, and one (unit null) for the batch itself.
 
-    signal (recording_id, sample_idx, channels); start (recording_id, w, c flat; kl_mean and kl_std of the
+    signal (recording_id, sample_idx, channels), or packs of it; start (recording_id, w, c flat; kl_mean and kl_std of the
     calibration); units (recording_id, unit, w, base_centr, spikes_centr, height; contrast_mean and contrast_std).
     w need not be square. Parameters in a row are those from before its batch. whole: samples, ipts, spikes and vectors
     too, not losses alone; snapshots: whitening and covariance in the own row of each so many batches. Gaps in the samples are zeros, of repeated
@@ -433,14 +606,14 @@ def adaptive_steps(signal: DataFrame, start: DataFrame, units: DataFrame, trials
     if any((t.batch_size, t.ext_fact) != (p.batch_size, p.ext_fact) for _, t in trials):
         raise ValueError("trials must share batch_size and ext_fact")
     if last_batch is not None:
-        signal = signal.where(F.col("sample_idx") < last_batch * p.batch_size)
+        signal = between(signal, None, last_batch * p.batch_size)
     rows = start_rows(start, units).unionByName(_sample_rows(signal))
     groups = [trials[i : i + TRIALS_PER_GROUP] for i in range(0, len(trials), TRIALS_PER_GROUP)]
     if len(groups) > 1:
         rows = rows.withColumn("recording_id", F.explode(F.array(*[F.concat(F.lit(f"{g}|"), "recording_id") for g in range(len(groups))])))
 
     def fold():
-        begun, runs, delays, cut = {}, None, Delays(p), Batches(p.batch_size)
+        begun, runs, names, delays, cut = {}, None, [], Delays(p), Batches(p.batch_size)
 
         def done(key: str, batch: int, raw: np.ndarray) -> Iterator[tuple]:
             if delays.tail is None:
@@ -450,19 +623,20 @@ def adaptive_steps(signal: DataFrame, start: DataFrame, units: DataFrame, trials
                 return
             name = key.split("|", 1)[1] if len(groups) > 1 else key
             at = np.arange(batch * p.batch_size + skip, batch * p.batch_size + len(raw))
-            for trial, run in runs:
-                out = run.batch(x)
+            for trial, out in zip(names, runs.batch(x), strict=True):
                 yield from unit_rows(name, trial, batch, at, out["units"], whole)
                 yield _batch_row(name, trial, batch, out, snapshots is not None and batch % snapshots == 0)
 
         def step(key, kind, ats, payloads):
-            nonlocal runs
+            nonlocal runs, names
             if kind in (0, 1):
                 begun.setdefault(kind, []).extend(payloads)
-            elif 0 in begun and kind == 2:
+            elif 0 in begun and kind in (2, PACKED):
+                ats, payloads = samples_of(kind, ats, payloads)
                 if runs is None:
                     mine = groups[int(key.split("|", 1)[0])] if len(groups) > 1 else trials
-                    runs = list(zip([t for t, _ in mine], started_runs(begun, [q for _, q in mine], len(payloads[0]) * p.ext_fact), strict=True))
+                    names = [t for t, _ in mine]
+                    runs = together(started_runs(begun, [q for _, q in mine], len(payloads[0]) * p.ext_fact))
                 for batch, raw in cut.add(ats, payloads):
                     yield from done(key, batch, raw)
             elif kind == -1:
@@ -475,6 +649,12 @@ def adaptive_steps(signal: DataFrame, start: DataFrame, units: DataFrame, trials
 
 
 def _sample_rows(signal: DataFrame) -> DataFrame:
+    """The rows of a fold that are samples (kind 2), or packs of a signal (packed.pack; kind PACKED, see samples_of)."""
+    if "values" in signal.columns:
+        own = F.slice("values", F.col("halo") * F.col("width") + 1, F.size("values"))
+        at = F.coalesce(F.col("at").cast("array<double>"), F.array().cast("array<double>"))
+        payload = F.concat(F.array(F.col("width").cast("double"), F.size(at).cast("double")), at, own)
+        return signal.select("recording_id", F.lit(PACKED).alias("kind"), F.col("first").alias("at"), payload.alias("payload"))
     return signal.select("recording_id", F.lit(2).alias("kind"), F.col("sample_idx").alias("at"), F.col("channels").alias("payload"))
 
 
@@ -506,7 +686,8 @@ def whitened_batches(signal: DataFrame, start: DataFrame, p: Params, snapshots:
             nonlocal run
             if kind == 0:
                 begun[0] = list(payloads)
-            elif 0 in begun and kind == 2:
+            elif 0 in begun and kind in (2, PACKED):
+                ats, payloads = samples_of(kind, ats, payloads)
                 run = started_runs(begun, [p], len(payloads[0]) * p.ext_fact)[0] if run is None else run
                 for batch, raw in cut.add(ats, payloads):
                     yield from done(key, batch, raw)
@@ -660,6 +841,10 @@ def replay(signal: DataFrame, start: DataFrame, units: DataFrame, whitening: Dat
 
 def recording_bounds(signal: DataFrame, batch_size: int) -> DataFrame:
     """(recording_id, begin, end, width): first batch, last sample and number of channels."""
+    if "values" in signal.columns:
+        last = F.when(F.col("at").isNull(), F.col("first") + F.size("values") / F.col("width") - F.col("halo") - 1).otherwise(F.array_max("at")).cast("long")
+        begin = F.floor(F.min("first") / batch_size).cast("long").alias("begin")
+        return signal.groupBy("recording_id").agg(begin, F.max(last).alias("end"), F.max("width").alias("width"))
     begin = F.floor(F.min("sample_idx") / batch_size).cast("long").alias("begin")
     return signal.groupBy("recording_id").agg(begin, F.max("sample_idx").alias("end"), F.max(F.size("channels")).alias("width"))
 
@@ -689,29 +874,31 @@ def adaptive_stretch(signal: DataFrame, begun: DataFrame, bounds: DataFrame, sta
     group_of = F.create_map(*[F.lit(v) for g, of in enumerate(groups) for t, _ in of for v in (t, g)])
     of_trial = F.when(F.col("trial_id") == ANY_TRIAL, every).otherwise(F.array(F.element_at(group_of, F.col("trial_id"))))
     head = states.select("recording_id", "kind", "at", F.concat(F.array(F.col("trial_id").cast("double")), "payload").alias("payload"), F.explode(of_trial).alias("group"))
-    own = signal.where((F.col("sample_idx") > begin - p.ext_fact) & (F.col("sample_idx") < end))
-    on = live.where(F.col("end") >= end).select("recording_id", F.lit(3).alias("kind"), F.lit(last).cast("long").alias("at"), F.array(F.col("width").cast("double")).alias("payload"))
+    own = between(signal, begin - p.ext_fact + 1, end)
+    on = live.where(F.col("end") >= end).select("recording_id", F.lit(END).alias("kind"), F.lit(last).cast("long").alias("at"), F.array(F.col("width").cast("double")).alias("payload"))
     rows = _sample_rows(own).unionByName(on).withColumn("group", F.explode(every)).unionByName(head)
     rows = rows.withColumn("recording_id", F.concat_ws("|", "group", "recording_id"))
 
     def fold():
-        states, runs, delays, cut, goes_on = {}, [], Delays(p), None, False
+        states, runs, names, delays, cut, goes_on = {}, None, [], Delays(p), None, False
 
         def done(name: str, batch: int, raw: np.ndarray) -> Iterator[tuple]:
             if delays.tail is None:
                 delays.start(batch)
             x, skip = delays.batch(raw)
-            for trial, run in runs if len(x) else ():
-                out = run.batch(x)
+            for trial, out in zip(names, runs.batch(x), strict=True) if len(x) else ():
                 yield from ((name, trial, batch, u[0], None, _null(u[-1]), None, None, None) for u in out["units"])
                 yield name, trial, batch, None, _null(out["wh_loss"]), None, None, None, None
 
         def begin_at(key: str, width: int) -> None:
             nonlocal runs, cut
+            begun = []
             for trial, q in groups[int(key.split("|", 1)[0])]:
                 of = trial if (0, trial) in states else ANY_TRIAL
                 if (0, of) in states:
-                    runs.append((trial, started_runs({k: states.get((k, of), []) for k in (0, 1)}, [q], width * p.ext_fact)[0]))
+                    names.append(trial)
+                    begun.append(started_runs({k: states.get((k, of), []) for k in (0, 1)}, [q], width * p.ext_fact)[0])
+            runs = together(begun)
             known = (0, ANY_TRIAL) not in states
             cut = Batches(p.batch_size, first if known else None)
             if known:
@@ -723,7 +910,8 @@ def adaptive_stretch(signal: DataFrame, begun: DataFrame, bounds: DataFrame, sta
             if kind in (0, 1):
                 for row in payloads:
                     states.setdefault((kind, int(row[0])), []).append(row[1:])
-            elif kind == 2 and states:
+            elif kind in (2, PACKED) and states:
+                ats, payloads = samples_of(kind, ats, payloads)
                 if cut is None:
                     begin_at(key, len(payloads[0]))
                 early = ats < begin
@@ -732,7 +920,7 @@ def adaptive_stretch(signal: DataFrame, begun: DataFrame, bounds: DataFrame, sta
                 if not early.all():
                     for batch, raw in cut.add(ats[~early], payloads[~early]):
                         yield from done(name, batch, raw)
-            elif kind == 3 and states:
+            elif kind == END and states:
                 if cut is None:
                     begin_at(key, int(payloads[0][0]))
                 goes_on = True
@@ -742,7 +930,7 @@ def adaptive_stretch(signal: DataFrame, begun: DataFrame, bounds: DataFrame, sta
                 if not goes_on:
                     for batch, raw in cut.rest():
                         yield from done(name, batch, raw)
-                for trial, run in runs if goes_on else ():
+                for trial, run in zip(names, runs.single(), strict=True) if goes_on else ():
                     whole = np.concatenate([[run.kl_mean, run.kl_std], run.w.ravel(), run.c.ravel()])
                     yield name, trial, None, None, None, None, 0, 0, whole
                     for u in run.units:

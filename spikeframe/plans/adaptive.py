@@ -11,12 +11,12 @@ from ..operators import decompose as dc
 from ..operators import filters as fl
 from ..operators import frames as fr
 from ..operators import model as md
-from ..operators import peaks as pk
+from ..operators import packed
 from ..operators import sweep as sw
 from ..sources import fixtures as fx
 from ..sources import recordings as rec
 from ..sources.storage import materialise, shared_folder
-from .common import BATCH, CH, DIST, EXT, IPTS, MIX, MODEL, MULT, SCALES, SIG, SIZE, VECTORS, fixture, r6, unit_rows, whitening
+from .common import BATCH, CH, DIST, EXT, IPTS, MIX, MODEL, MULT, SCALES, SIG, SIZE, VECTORS, calibrated, r6, unit_rows, whitening
 
 QUERIES, ORACLES = {}, {}
 FS = 100.0
@@ -169,14 +169,20 @@ def adaptive_whitening(spark, d):
 PARAMS = ad.Params(batch_size=BATCH, ext_fact=EXT, spike_dist=DIST, spike_height_mult=MULT)
 
 
-def start_model(spark, d):
-    """Signal, start and units as adapt.adaptive_steps takes them: the fixture's model, calibrated on the signal itself."""
-    sig, units, ipts = fixture(spark, d)
-    vectors = unit_rows(sig).join(units.drop("w"), ["recording_id", "unit"])
-    spikes = pk.detect_spikes(ipts, units, DIST, MULT)
-    tables = {"signal": sig, "ipts": ipts, "spikes": spikes, "model_units": vectors, "model_whitening": whitening(sig)}
+def start_packed(spark, d):
+    """Packs of the signal, start and units as adapt.adaptive_steps takes them: the fixture's model, calibrated on the signal itself."""
+    packs, scales, units, sources = calibrated(spark, d)
+    vectors = unit_rows(scales).join(units.drop("w"), ["recording_id", "unit"])
+    spikes = packed.detect_spikes(sources, units, DIST, MULT)
+    tables = {"signal": packed.unpack(packs), "packs": packs, "ipts": sources, "spikes": spikes, "model_units": vectors, "model_whitening": whitening(packs, scales)}
     vectors, start = md.build_model(tables, EXT, BATCH, PARAMS.cov_alpha, SIZE)
-    return sig, materialise(start, "start"), materialise(vectors, "vectors")
+    return packs, materialise(start, "start"), materialise(vectors, "vectors")
+
+
+def start_model(spark, d):
+    """The same with the signal as rows of samples."""
+    packs, start, vectors = start_packed(spark, d)
+    return packed.unpack(packs), start, vectors
 
 
 _ROWS, _COLS = range(SIZE), range(1, SIZE + 1)
@@ -245,26 +251,26 @@ TRAJECTORY = f"{_adaptation(True)} SELECT recording_id, b AS version, unit, roun
 @query(f"{_adaptation(False)} SELECT recording_id, b AS version, unit, round(w[1], 6) AS first_weight, round(height, 6) AS height FROM known")
 def adaptive_separation(spark, d):
     p = ad.with_params(PARAMS, adapt_wh=False, compute_loss=False)
-    out = ad.decompose_adaptive(*start_model(spark, d), p)["model_units"]
+    out = ad.decompose_adaptive(*start_packed(spark, d), p)["model_units"]
     return out.select("recording_id", "version", "unit", r6(F.get("w", F.lit(0))).alias("first_weight"), r6("height").alias("height"))
 
 
 @query(ADAPTED_SPIKES)
 def decompose_adaptive(spark, d):
-    out = ad.decompose_adaptive(*start_model(spark, d), PARAMS)
+    out = ad.decompose_adaptive(*start_packed(spark, d), PARAMS)
     return out["spikes"].select("recording_id", "unit", "batch_idx", "sample_idx")
 
 
 @query()
 def adaptive_losses(spark, d):
-    out = ad.decompose_adaptive(*start_model(spark, d), PARAMS)
+    out = ad.decompose_adaptive(*start_packed(spark, d), PARAMS)
     added = out["unit_metrics"].groupBy("recording_id", "batch_idx").agg(F.sum("sv_loss").alias("sv_loss"))
     return out["batch_metrics"].join(added, ["recording_id", "batch_idx"], "left").select("recording_id", "batch_idx", *[r6(c).alias(c) for c in ("wh_loss", "sv_loss", "total_loss")])
 
 
 @query(TRAJECTORY)
 def param_trajectory(spark, d):
-    out = ad.decompose_adaptive(*start_model(spark, d), PARAMS)["model_units"]
+    out = ad.decompose_adaptive(*start_packed(spark, d), PARAMS)["model_units"]
     path = f"{shared_folder(spark)}/params-{uuid.uuid4().hex}"
     rec.append_params(out.where("version < 3"), path)
     rec.append_params(out, path)  # what is there already is left out
@@ -277,13 +283,13 @@ SPACE = {"wh_learning_rate": [0.0, 0.001, 0.007], "sv_learning_rate": [0.0005, 0
 
 @query()
 def sweep_losses(spark, d):
-    losses = sw.run_sweep(*start_model(spark, d), sw.trial_grid(spark, SPACE), PARAMS)
+    losses = sw.run_sweep(*start_packed(spark, d), sw.trial_grid(spark, SPACE), PARAMS)
     return losses.select("trial_id", "recording_id", r6("loss").alias("loss"))
 
 
 @query()
 def sweep_halving(spark, d):
-    rungs = sw.Rungs(*start_model(spark, d), PARAMS)
+    rungs = sw.Rungs(*start_packed(spark, d), PARAMS)
     # no recording of these tables has more than 8 batches: the last rung sees all of them
     out = sw.successive_halving(sw.trial_grid(spark, SPACE), rungs.evaluate, start=2, stop=8)
     return out.select("trial_id", "rung", "budget", r6("loss").alias("loss"), "kept")
@@ -291,7 +297,7 @@ def sweep_halving(spark, d):
 
 @query()
 def sweep_hyperband(spark, d):
-    model = start_model(spark, d)
+    model = start_packed(spark, d)
     out = sw.hyperband(sw.trial_grid(spark, SPACE), lambda: sw.Rungs(*model, PARAMS).evaluate, stop=8, keep=2, brackets=3)
     return out.select("bracket", "trial_id", "rung", "budget", r6("loss").alias("loss"), "kept")
 

@@ -108,5 +108,5 @@ def replay_snapshots(spark, d):
 @query(pa.ADAPTED_SPIKES)
 def adaptive_by_units(spark, d):
     """The rows of decompose_adaptive, each unit in a task of its own."""
-    out = ad.decompose_adaptive(*pa.start_model(spark, d), pa.PARAMS, units_per_task=1)
+    out = ad.decompose_adaptive(*pa.start_packed(spark, d), pa.PARAMS, units_per_task=1)
     return out["spikes"].select("recording_id", "unit", "batch_idx", "sample_idx")

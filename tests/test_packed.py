@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from spikeframe.operators import adapt as ad
 from spikeframe.operators import decompose as dc
 from spikeframe.operators import model as md
 from spikeframe.operators import packed as pa
@@ -89,3 +90,46 @@ def test_short_recordings_share_files(spark, tmp_path):
     assert len(list((tmp_path / "out/spikes").rglob("*.parquet"))) <= 8
     back = rec.read_outputs(spark, str(tmp_path / "out"), ["spikes"])["spikes"]
     assert back.exceptAll(rows).isEmpty() and back.count() == 3000
+
+
+def test_runs_together_are_the_runs_one_by_one():
+    rng = np.random.default_rng(6)
+    vector = lambda: (lambda v: v / np.linalg.norm(v))(rng.normal(size=6))
+    start = [(u, vector(), 0.5, 4.0, 2.0, 0.3, 0.2) for u in range(2)]
+    settings = [ad.Params(batch_size=40, wh_learning_rate=0.004 * i, cov_alpha=0.1 + 0.1 * i, sv_epochs=1 + 2 * epochs) for epochs in (0, 1) for i in range(3)]
+    make = lambda ps: [ad.Run(p, np.eye(6), np.eye(6), [ad.Unit(*u) for u in start], 1.0, 0.5) for p in ps]
+    assert isinstance(ad.together(make(settings)), ad.OneByOne)
+    batches = [rng.normal(size=(40, 6)) for _ in range(6)] + [rng.integers(-1, 2, (40, 6)).astype(float), np.zeros((40, 6)), rng.normal(size=(1, 6)), rng.normal(size=(2, 6))]
+    for ps in (settings[:3], settings[3:], settings[:1]):
+        alone, all_of_them = make(ps), ad.together(make(ps))
+        assert isinstance(all_of_them, ad.Runs)
+        for x in batches:
+            for r, got in zip(alone, all_of_them.batch(x), strict=True):
+                want = r.batch(x)
+                assert all(np.allclose(want[k], got[k], equal_nan=True) for k in ("w", "c", "wh_loss", "total_loss"))
+                for u, v in zip(want["units"], got["units"], strict=True):
+                    assert u[0] == v[0] and u[2].tolist() == v[2].tolist() and all(np.allclose(a, b, equal_nan=True) for a, b in zip(u[3:], v[3:], strict=True))
+        for r, got in zip(alone, all_of_them.single(), strict=True):
+            assert r.p == got.p and np.allclose(r.c, got.c) and all(np.allclose(u.w, v.w) and np.isclose(u.height, v.height) for u, v in zip(r.units, got.units, strict=True))
+
+
+def test_adaptive_steps_and_stretches_take_packs(spark):
+    sig, rows = tables(spark)
+    p = ad.Params(batch_size=BATCH, ext_fact=EXT)
+    packs = materialise(pa.pack(sig, EXT - 1, 2 * BATCH), "packs")
+    units = rows.select("*", F.lit(0.2).alias("base_centr"), F.lit(3.0).alias("spikes_centr"), F.lit(1.5).alias("height"))
+    eye = F.flatten(F.array(*[F.array(*[F.lit(float(i == k)) for i in range(2 * EXT)]) for k in range(2 * EXT)]))
+    start = sig.select("recording_id").distinct().select("recording_id", eye.alias("w"), eye.alias("c"), F.lit(1.0).alias("kl_mean"), F.lit(0.5).alias("kl_std"))
+    trials = [(0, p), (1, ad.with_params(p, wh_learning_rate=0.0))]
+    losses = lambda df: df.where("unit is not null").select("recording_id", "trial_id", "batch_idx", "unit", "sv_loss").fillna(-1.0)
+    for last in (None, 3):
+        same(*[losses(ad.adaptive_steps(s, start, units, trials, whole=False, last_batch=last)) for s in (sig, packs)], ["recording_id", "trial_id", "batch_idx", "unit"])
+    same(*[ad.recording_bounds(s, BATCH) for s in (sig, packs)], ["recording_id"])
+    begun = ad.start_rows(start, units)
+    whole = ad.adaptive_steps(sig, start, units, trials, whole=False)
+    made = None
+    parts = []
+    for first, last in ((0, 2), (2, 7)):
+        made = materialise(ad.adaptive_stretch(packs, begun, ad.recording_bounds(packs, BATCH), made.where("kind is not null").select("recording_id", "trial_id", "kind", "at", "payload") if made else None, trials, first, last), "rung")
+        parts.append(losses(made.where("kind is null")))
+    same(losses(whole), parts[0].unionByName(parts[1]), ["recording_id", "trial_id", "batch_idx", "unit"])
