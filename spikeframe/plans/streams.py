@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from ..operators import adapt as ad
 from ..sources import fixtures as fx
 from ..sources import recordings as rec
-from ..sources.storage import materialise, shared_folder
+from ..sources.storage import shared_folder
 from ..streaming import online
 from . import adaptive as pa
 from .common import r6
 
 QUERIES, ORACLES = {}, {}
 ARRIVING = "recording_id string, sample_idx long, channels array<double>, ts timestamp"
-#: Parts that a signal arrives in, and files of a trigger.
+#: Parts that a signal arrives in, and parts of a trigger.
 ARRIVALS, PER_TRIGGER = 8, 2
 
 
@@ -45,17 +45,24 @@ def _streamed(spark: SparkSession, signal: DataFrame, make: Callable[[DataFrame]
     At the end a row of another recording moves the clock on.
     """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = materialise(_arrivals(signal), "arrivals")
+    # a file of each part from each task, so that parts go on as they lie; a part of a recording stays together
+    sorted_rows = _arrivals(signal).sortWithinPartitions("part", "recording_id", "sample_idx")
+    sorted_rows.write.partitionBy("part").parquet(f"{folder}/arrivals")
+    rows = spark.read.schema(f"{ARRIVING}, part int").parquet(f"{folder}/arrivals")
+    files = spark.sparkContext.defaultParallelism
     clock = spark.range(1).select(F.lit("clock").alias("recording_id"), F.lit(0).cast("long").alias("sample_idx"), F.array(F.lit(0.0)).alias("channels"), (F.timestamp_micros(F.lit(1_700_000_000_000_000)) + F.expr("interval 1 day")).alias("ts"))
     store = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     online.state_store(spark)
-    schema = None
+    schema, there = None, 0
     try:
-        for half in (F.col("part") < ARRIVALS // 2, F.col("part") >= ARRIVALS // 2):
-            rows.where(half).repartition(ARRIVALS // 2, "part").drop("part").write.mode("append").parquet(f"{folder}/in")
-            schema = _run(spark, folder, make, partition_by)
+        for half in (range(ARRIVALS // 2), range(ARRIVALS // 2, ARRIVALS)):
+            for part in half:
+                rows.where(F.col("part") == part).drop("part").coalesce(files).write.mode("append").parquet(f"{folder}/in")
+            arrived = len(spark.read.schema(ARRIVING).parquet(f"{folder}/in").inputFiles())
+            schema = _run(spark, folder, make, partition_by, -(-(arrived - there) * PER_TRIGGER // len(half)))
+            there = arrived
         clock.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        _run(spark, folder, make, partition_by)
+        _run(spark, folder, make, partition_by, 1)
     finally:
         if store:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
@@ -64,8 +71,8 @@ def _streamed(spark: SparkSession, signal: DataFrame, make: Callable[[DataFrame]
     return rec.read_stream(spark, f"{folder}/out", schema)
 
 
-def _run(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame], partition_by: tuple[str, ...]):
-    stream = spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", PER_TRIGGER).parquet(f"{folder}/in")
+def _run(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame], partition_by: tuple[str, ...], per_trigger: int):
+    stream = spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/in")
     rows = make(stream)
     rec.write_stream(rows, f"{folder}/out", f"{folder}/checkpoint", partition_by).awaitTermination()
     return rows.schema

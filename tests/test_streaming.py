@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import plain_loops as loops
 from spikeframe.operators import adapt as ad
 from spikeframe.operators import filters as fl
+from spikeframe.plans import streams
 from spikeframe.sources import recordings as rec
 from spikeframe.streaming import online
 
@@ -170,3 +171,78 @@ def test_a_trigger_written_twice_leaves_one_copy(spark, tmp_path):
     for crc in (tmp_path / "ck/commits").glob(".1*"):
         crc.unlink()
     assert sorted(r.sample_idx for r in feed.run().collect()) == list(range(8))
+
+
+def put_many(spark, path, rows):
+    """rows: (recording, sample_idx, channels), one file."""
+    df = spark.createDataFrame([(n, int(i), [float(v) for v in x], float(i / RATE)) for n, i, x in rows], "recording_id string, sample_idx long, channels array<double>, s double")
+    df = df.select("recording_id", "sample_idx", "channels", F.timestamp_micros((F.col("s") * 1_000_000 + 1_000_000_000_000).cast("long")).alias("ts"))
+    df.coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+
+def run_many(spark, path, make):
+    """The rows so far, and the most state rows that the run had at once."""
+    rows = make(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+    query = rec.write_stream(rows, f"{path}/out", f"{path}/ck")
+    query.awaitTermination()
+    held = max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators)
+    return rec.read_stream(spark, f"{path}/out", rows.schema).collect(), held
+
+
+def test_recordings_share_the_state_of_their_group(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    system = fl.butterworth("band", 2, (2.0, 20.0), RATE)
+    make = lambda s: online.filter_stream(s, system, RATE, size=20, groups=2)
+    # other lengths, widths, first samples and gaps
+    signals, there = {}, {}
+    for k in range(40):
+        signals[f"r{k}"] = rng.normal(size=(50 + 3 * k, 1 + k % 3))
+        gone = set(range(k % 5)) | ({30, 31, 45} if k % 4 == 0 else set())
+        there[f"r{k}"] = [i for i in range(len(signals[f"r{k}"])) if i not in gone]
+    came = [(n, i, signals[n][i]) for n, all_i in there.items() for i in all_i]
+    came = [came[i] for i in rng.permutation(len(came))]
+    for part in (came[: len(came) // 2], came[len(came) // 2 :]):
+        put_many(spark, tmp_path, part)
+        _, held = run_many(spark, tmp_path, make)
+        # places, batches of samples and timers of two groups, not of each recording
+        assert held <= 2 * (1 + 3 * 9)
+    put_many(spark, tmp_path, [("r39", 7, signals["r39"][7] + 1)])  # once more
+    put_many(spark, tmp_path, [("clock", int(9e9), [0.0])])
+    got, _ = run_many(spark, tmp_path, make)
+    assert len(got) == len(came)
+    got = {(r.recording_id, r.sample_idx): r.channels for r in got}
+    for n, x in signals.items():
+        y = np.zeros_like(x)
+        y[there[n]] = x[there[n]]
+        want = fl.run(system, y, np.zeros((len(system.b), x.shape[1])))[0]
+        assert all(np.allclose(got[n, i], want[i]) for i in there[n])
+
+
+def test_decompose_stream_of_many_recordings_in_a_group(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    signals = {f"r{k}": rng.normal(size=(95 + 7 * k, 2)) ** 3 for k in range(6)}
+    make = lambda s: online.decompose_stream(s, *model(spark, list(signals)), P, RATE, snapshots=2, groups=1)
+    came = [(n, i, x[i]) for n, x in signals.items() for i in range(len(x))]
+    came = [came[i] for i in rng.permutation(len(came))]
+    for part in np.array_split(np.arange(len(came)), 2):
+        put_many(spark, tmp_path, [came[i] for i in part])
+        run_many(spark, tmp_path, make)
+    put_many(spark, tmp_path, [("clock", int(9e9), [0.0])])
+    got, held = run_many(spark, tmp_path, make)
+    for n, x in signals.items():
+        same([r for r in got if r.recording_id == n], wanted(x))
+    # a model for each recording; places, batches and timers are the group's
+    assert held <= len(signals) + 1 + 3 * 5
+
+
+def test_parts_of_an_arriving_signal_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "shared_folder", lambda _: str(tmp_path))
+    rows = [(f"r{r}", i, [float(i)]) for r in range(24) for i in range(37 * 8)]
+    signal = spark.createDataFrame(rows, "recording_id string, sample_idx long, channels array<double>").repartition(4, "recording_id")
+    out = streams._streamed(spark, signal, lambda s: s.select("recording_id", "sample_idx"))
+    assert sorted((r.recording_id, r.sample_idx) for r in out.where("recording_id <> 'clock'").collect()) == sorted((r, i) for r, i, _ in rows)
+    (folder,) = tmp_path.glob("stream-*")
+    files = list(folder.glob("in/*.parquet"))
+    assert len(files) > 2 * streams.ARRIVALS
+    # each run goes by two parts a trigger
+    assert len(list(folder.glob("out/trigger=*"))) == streams.ARRIVALS // streams.PER_TRIGGER + 1
