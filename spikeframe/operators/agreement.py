@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,11 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialise
-from .frames import BLOCK
+from .frames import BLOCK, in_runs
 
 PAIR = ("recording_id", "unit_ref", "unit_test")
 #: Pairs of firings that are looked at together.
 DENSE = 1 << 18
+#: The same for rows of differences that stay in a core's cache.
+ROWS = 1 << 15
 
 
 def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
@@ -26,7 +30,9 @@ def _pairs_within(ref: DataFrame, test: DataFrame, keys: tuple[str, ...], width:
 
 
 #: Units, and firings of theirs, that meet in one task on each side, and lags that are counted together.
-UNITS, FIRINGS, LAGS = 128, 1 << 22, 1 << 20
+UNITS, FIRINGS, LAGS = 512, 1 << 15, 1 << 20
+#: Pairs of a recording that are assigned at once. Where it has more, the best go first, about BEST for each unit, judged by the pairs of about SOME units.
+WAVE, BEST, SOME = 1 << 20, 128, 64
 
 
 def _best_of(x: np.ndarray, y: np.ndarray, tol: int) -> tuple[int, int]:
@@ -108,42 +114,167 @@ def _best_of_each(x: np.ndarray, ys: list[np.ndarray], tol: int) -> list[tuple[i
     return [out[k] if k in out else _best_of(x, y, tol) for k, y in enumerate(ys)]
 
 
-def _best_at_any_lag(a: DataFrame, b: DataFrame, tol: int, within: bool) -> DataFrame:
-    """(recording_id, unit_ref, unit_test, lag, corr) of every pair of units of a recording that both fire.
+def _best_corrs(xs: list[np.ndarray], ys: list[np.ndarray], tol: int) -> np.ndarray:
+    """corr of _best_of(x, y, tol) for each of xs (rows) and ys, without the lags.
 
-    A unit's firings are one list. A recording's units are dealt to blocks of about UNITS, and each block of one side meets
-    each of the other in a task: a list is sent once for each block, not for each pair.
+    As _best_of_each, but what does not hang on x is made once for many xs of one length, and a step from one difference to the next
+    is a byte where tol allows it.
     """
+    out = np.zeros((len(xs), len(ys)), dtype=np.int64)
+    by_size = lambda trains: sorted(range(len(trains)), key=lambda k: len(trains[k]))
+    small = np.uint8 if tol < 128 else np.int64
+    for n_x, group in itertools.groupby(by_size(xs), key=lambda k: len(xs[k])):
+        mine, left = list(group), by_size(ys)
+        while left and n_x * len(ys[left[0]]) <= DENSE:
+            n = 1
+            while n < len(left) and (n + 1) * n_x * len(ys[left[n]]) <= ROWS:
+                n += 1
+            now, left = left[:n], left[n:]
+            sizes, top, least = np.array([len(ys[k]) for k in now]), max(int(ys[k].max()) for k in now), min(int(ys[k].min()) for k in now)
+            span = top - least + max(int(xs[i].max() - xs[i].min()) for i in mine)
+            kind = np.int32 if 2 * span + tol < (1 << 31) - 1 else np.int64
+            # rows of differences (less the lowest) are sums; what fills short rows up lies behind all others
+            y = np.full((n, int(sizes[-1])), span + 1, dtype=kind)
+            y[np.arange(y.shape[1]) < sizes[:, None]] = top - np.concatenate([ys[k] for k in now])
+            y = np.repeat(y, n_x, axis=1)
+            width, size = y.shape[1], y.size
+            last = np.flatnonzero(np.arange(1, width + 1) >= (n_x * sizes)[:, None])  # nothing follows these
+            # a minimum with an array is much faster than one with a number
+            far, most, step = np.full(size - 1, tol, dtype=kind), np.full(size, tol, dtype=small), np.empty(size, dtype=small)
+            for i in mine:
+                d = y + np.tile((xs[i] - xs[i].min()).astype(kind), width // n_x)
+                d.sort(axis=1)
+                d = d.ravel()
+                gaps = d[1:] - d[:-1]
+                step[:-1] = np.minimum(gaps, far, out=gaps)
+                step[last] = tol
+                corr, reach, s = most.copy(), step[:-1], 1
+                while len(reach):
+                    near = most[s:] - reach
+                    if not near.any():
+                        break
+                    if tol * (2 * s + 1) > np.iinfo(corr.dtype).max:
+                        corr = corr.astype(np.uint16 if corr.dtype == np.uint8 else np.int64)
+                    corr[:-s] += near
+                    corr[s:] += near
+                    reach, s = np.minimum(reach[:-1] + step[s:-1], most[s + 1 :]), s + 1
+                out[i, now] = corr.reshape(n, width).max(1)
+        for i in mine:
+            for k in left:
+                out[i, k] = _best_of(xs[i], ys[k], tol)[1]
+    return out
+
+
+def _trains(df: DataFrame, unit: str, t: str) -> DataFrame:
+    """(recording_id, unit, at, train): a row for each unit that fires; ``at`` counts a recording's units in their order."""
+    rows = df.groupBy("recording_id", F.col(unit).alias("unit")).agg(F.collect_list(F.col(t).cast("long")).alias("train"))
+    order = Window.partitionBy("recording_id").orderBy("unit")
+    return materialise(rows.withColumn("at", F.row_number().over(order).cast("long") - 1), "trains")
+
+
+def _meet(left: DataFrame, right: DataFrame, tol: int, within: bool, make: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """make(recording, floor, left places, right places, their best correlations at any lag, right block) for all blocks of units.
+
+    left (recording_id, at, train, floor), right (recording_id, at, train). A recording's units are cut into blocks of UNITS, of about FIRINGS
+    at most; each block of one side meets each of the other in a task: a train is sent once for each block, not for each pair.
+    within: both sides are of one set; the correlation is 0 but for pairs with the later unit on the right.
+    """
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("recording_id").orderBy("at")
+        upto = F.sum(F.size("train").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / UNITS) + F.floor(upto / FIRINGS))
 
-    def lists(df: DataFrame, unit: str, t: str) -> DataFrame:
-        rows = df.groupBy("recording_id", unit).agg(F.collect_list(F.col(t).cast("long")).alias(t))
-        return materialise(rows, "trains")
+    refs, tests = blocks(left), blocks(right)
+    ends = lambda rows, name: rows.groupBy("recording_id").agg(F.max("block").alias(name))
+    counts = ends(refs, "n_left").join(ends(tests, "n_right"), "recording_id")
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("recording_id").agg(F.ceil(F.greatest(F.count("*") / UNITS, F.sum(F.size(rows.columns[-1])) / FIRINGS)).cast("int").alias(name))
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        met = rows.withColumnRenamed("block", own).join(counts, "recording_id")
+        return met.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), f"n_{other}"))).drop("n_left", "n_right", "unit")
 
-    def dealt(rows: DataFrame, unit: str, own: str, other: str) -> DataFrame:
-        placed = rows.join(counts, "recording_id").withColumn(own, F.pmod(F.xxhash64(unit), F.col(f"n_{own}")).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop("n_left", "n_right")
+    def search(refs: pd.DataFrame, tests: pd.DataFrame) -> pd.DataFrame:
+        if refs.empty or tests.empty:
+            return pd.DataFrame()
+        refs, tests = refs.sort_values("at"), tests.sort_values("at")
+        i, j = refs["at"].to_numpy(), tests["at"].to_numpy()
+        if within and i[0] >= j[-1]:
+            return pd.DataFrame()
+        best = _best_corrs([np.asarray(v) for v in refs["train"]], [np.asarray(v) for v in tests["train"]], tol)
+        if within:
+            best[i[:, None] >= j] = 0
+        return make(refs["recording_id"].iat[0], int(refs["floor"].iat[0]), i, j, best, int(tests["right"].iat[0]))
 
-    left, right = lists(a, "unit_ref", "a"), lists(b, "unit_test", "b")
-    counts = blocks(left, "n_left").join(blocks(right, "n_right"), "recording_id")
     keys = ["recording_id", "left", "right"]
+    return dealt(refs, "left", "right").groupBy(*keys).cogroup(dealt(tests, "right", "left").groupBy(*keys)).applyInPandas(search, schema)
 
-    def search(refs: pd.DataFrame, tests: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        trains = [np.asarray(v) for v in tests["b"]]
-        for recording, unit, x in refs[["recording_id", "unit_ref", "a"]].itertuples(index=False):
-            mine = [k for k, u in enumerate(tests["unit_test"]) if not within or unit < u]
-            if mine:
-                found = _best_of_each(np.asarray(x), [trains[k] for k in mine], tol)
-                out += [(recording, unit, tests["unit_test"].iat[k], *f) for k, f in zip(mine, found, strict=True)]
-        return pd.DataFrame(out, columns=[*PAIR, "lag", "corr"]) if out else pd.DataFrame()
 
-    types = dict(left.dtypes) | dict(right.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in PAIR) + ", lag long, corr long"
-    refs, tests = dealt(left, "unit_ref", "left", "right"), dealt(right, "unit_test", "right", "left")
-    return refs.groupBy(*keys).cogroup(tests.groupBy(*keys)).applyInPandas(search, schema)
+def _floors(left: DataFrame, right: DataFrame, sizes: DataFrame, tol: int, within: bool, kind: str) -> DataFrame:
+    """(recording_id, floor): the correlation down to which a wave goes, 1 (all) where it can take all pairs.
+
+    What is assigned does not depend on it.
+    """
+    some = F.pmod(F.xxhash64("at"), F.greatest(F.lit(1), F.floor(F.col("n_left") / SOME)))
+    few = left.join(sizes.where(F.col("pairs") > WAVE), "recording_id").where(some == 0).select(*left.columns, F.lit(1).alias("floor"))
+
+    def counted(recording, _floor, _i, _j, best, _place) -> pd.DataFrame:
+        n = np.bincount(best[best > 0])
+        return pd.DataFrame({"recording_id": recording, "corr": np.flatnonzero(n), "n": n[n > 0]})
+
+    levels = _meet(few, right, tol, within, counted, f"recording_id {kind}, corr long, n long").groupBy("recording_id", "corr").agg(F.sum("n").alias("n"))
+    down = Window.partitionBy("recording_id").orderBy(F.desc("corr"))
+    levels = levels.withColumn("upto", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("recording_id"))).join(sizes, "recording_id")
+    enough = F.col("upto") >= F.col("all") * BEST / F.greatest("n_left", "n_right")
+    floors = levels.where(enough).groupBy("recording_id").agg(F.max("corr").alias("floor"))
+    return sizes.join(floors, "recording_id", "left").select("recording_id", F.coalesce("floor", F.lit(1).cast("long")).alias("floor"))
+
+
+def _pairs_at_any_lag(a: DataFrame, b: DataFrame, tol: int, within: bool) -> DataFrame:
+    """(recording_id, unit_ref, unit_test, corr, lag) as assign_units gives them of all pairs of units of a recording that both fire, at their best lags.
+
+    The pairs are never a table. Those down to some correlation come first in the order of assignment, so they are assigned
+    as a wave; only units that are left then meet again, in the next.
+    """
+    left = _trains(a, "unit_ref", "a")
+    again = lambda rows: rows.select(*[F.col(c).alias(c) for c in rows.columns])
+    right = again(left) if within else _trains(b, "unit_test", "b")
+    refs, tests, waves, kind = left, right, [], dict(left.dtypes)["recording_id"]
+
+    def ranked(recording, floor, i, j, best, place) -> pd.DataFrame:
+        r, c = np.nonzero(best >= floor)
+        corr = best[r, c]
+        order = np.argsort(-corr, kind="stable")
+        r, c, corr = r[order], c[order], corr[order]
+        edges = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(corr, prepend=-1) != 0))
+        others = np.split(j[c], edges[1:]) if len(edges) else []
+        return pd.DataFrame({"recording_id": recording, "corr": corr[edges], "ref": i[r[edges]], "place": place, "tests": others}) if others else pd.DataFrame()
+
+    while True:
+        count = lambda rows, name: rows.groupBy("recording_id").agg(F.count("*").alias(name))
+        sizes = count(left, "n_left").join(count(right, "n_right"), "recording_id").withColumn("pairs", F.col("n_left") * F.col("n_right"))
+        whole = (sizes.agg(F.max("pairs")).first()[0] or 0) <= WAVE
+        floors = sizes.select("recording_id", F.lit(1).alias("floor")) if whole else materialise(_floors(left, right, sizes, tol, within, kind), "floors")
+        met = _meet(left.join(floors, "recording_id"), right, tol, within, ranked, f"recording_id {kind}, corr long, ref long, place long, tests array<long>")
+        waves.append(materialise(_take(met, within), "assigned"))
+        if whole:
+            break
+        gone = [waves[-1].select("recording_id", F.col(c).alias("at")) for c in ("ref", "test")]
+        if within:
+            left = materialise(left.join(gone[0].union(gone[1]), ["recording_id", "at"], "left_anti"), "trains")
+            right = again(left)
+        else:
+            left, right = (materialise(rows.join(ends, ["recording_id", "at"], "left_anti"), "trains") for rows, ends in ((left, gone[0]), (right, gone[1])))
+
+    def lags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_best_of_each(np.asarray(x), [np.asarray(y)], tol)[0] for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            yield pdf[list(PAIR)].assign(corr=[float(c) for _, c in found], lag=[lag for lag, _ in found])
+
+    side = lambda rows, at, unit, train: rows.select("recording_id", F.col("at").alias(at), F.col("unit").alias(unit), F.col("train").alias(train))
+    taken = functools.reduce(DataFrame.unionByName, waves).select("recording_id", "ref", "test")
+    near = taken.join(side(refs, "ref", "unit_ref", "x"), ["recording_id", "ref"]).join(side(tests, "test", "unit_test", "y"), ["recording_id", "test"])
+    types = dict(near.dtypes)
+    return near.select(*PAIR, "x", "y").mapInPandas(lags, ", ".join(f"{c} {types[c]}" for c in PAIR) + ", corr double, lag long")
 
 
 def lag_correlogram(ref: DataFrame, test: DataFrame, tol: int, max_lag: int, keys: tuple[str, ...] = PAIR) -> DataFrame:
@@ -217,15 +348,17 @@ def match_firings(ref: DataFrame, test: DataFrame, tol: int, keys: tuple[str, ..
     dealt = rows.join(known, [*keys, "block"])
     dealt = dealt.withColumn("__part", F.when(F.col("t") >= F.col("__cut"), F.col("block")).otherwise(F.col("__earlier"))).select(*keys, "__part", "t", "kind")
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, kind = pdf["t"].to_numpy(), pdf["kind"].to_numpy()
-        a, b = np.sort(t[kind == 0]), np.sort(t[kind == 1])
+    def match(island: dict[str, np.ndarray]) -> Iterator[tuple]:
+        t, kind = island["t"], island["kind"]
+        a, b = t[kind == 0], t[kind == 1]
         i, k = _matched(a, b, tol)
-        return pd.DataFrame({c: [pdf[c].iat[0]] * len(i) for c in keys} | {"a": a[i], "b": b[k]}) if i else pd.DataFrame()
+        if i:
+            yield *(island[c][0] for c in keys), a[i], b[k]
 
     types = dict(ref.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", a long, b long"
-    return dealt.groupBy(*keys, "__part").applyInPandas(match, schema)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", a array<long>, b array<long>"
+    made = in_runs(dealt, (*keys, "__part"), "t", match, schema)
+    return made.select(*keys, F.inline(F.arrays_zip("a", "b")))
 
 
 def rate_of_agreement(ref: DataFrame, test: DataFrame, lags: DataFrame, tol: int, keys: tuple[str, ...] = PAIR) -> DataFrame:
@@ -271,29 +404,52 @@ def agreement_paired(ref: DataFrame, test: DataFrame, tol_spike: int, tol_train:
     return out.withColumn("roa", F.coalesce("roa", F.lit(0.0))) if units is not None else out
 
 
+def _take(rows: DataFrame, within: bool) -> DataFrame:
+    """(recording_id, corr, ref, test): the pairs that are taken of rows (recording_id, corr, ref, place, tests), tests being an ordered list.
+
+    A recording's rows pass in the order of correlation, reference, place; of them a task holds only the units taken.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, refs, tests = None, set(), set()
+        for pdf in batches:
+            out = []
+            for recording, corr, ref, some in zip(pdf["recording_id"], pdf["corr"], pdf["ref"], pdf["tests"], strict=True):
+                if recording != now:
+                    now, refs = recording, set()
+                    tests = refs if within else set()
+                if ref in refs:
+                    continue
+                for test in some.tolist():
+                    if test not in tests:
+                        refs.add(ref)
+                        tests.add(test)
+                        out.append((recording, corr, ref, test))
+                        break
+            if out:
+                yield pd.DataFrame(out, columns=["recording_id", "corr", "ref", "test"])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ("recording_id", "corr", "ref")) + f", test {types['tests'][6:-1]}"
+    ordered = rows.repartition(F.xxhash64("recording_id")).sortWithinPartitions("recording_id", F.desc("corr"), "ref", "place")
+    return ordered.mapInPandas(task, schema)
+
+
 def assign_units(corr: DataFrame, within: bool = False) -> DataFrame:
     """(recording_id, unit_ref, unit_test, corr, lag): the largest correlation left is taken, and its row and column go.
 
-    Equal ones go by reference, then test unit. within: both sides are one set. In each round all
-    pairs go that are the best left of both their units: taking them one after another gives the same. No
-    task meets more than one unit's pairs.
+    Equal ones go by reference, then test unit. within: both sides are one set. A task goes through a recording's pairs in order, and
+    holds its units and one unit's pairs of one correlation.
     """
-    rank = F.struct((-F.col("corr")).alias("down"), "unit_ref", "unit_test").alias("rank")
-    cols = corr.select("recording_id", "unit_ref", "unit_test", F.col("corr").cast("double").alias("corr"), F.col("lag").cast("long").alias("lag"))
-    # a row for each end of a pair
-    end = lambda side, unit: F.struct(F.lit(0 if within else side).alias("side"), F.col(unit).alias("unit"))
-    live = cols.where("corr > 0").select("*", rank, F.explode(F.array(end(0, "unit_ref"), end(1, "unit_test"))).alias("end"))
-    of_unit, of_pair = Window.partitionBy("recording_id", "end"), Window.partitionBy("recording_id", "rank")
-    rounds: list[DataFrame] = []
-    while True:
-        live = live.withColumn("take", F.min("rank").over(of_unit) == F.col("rank"))
-        live = live.withColumn("take", F.min("take").over(of_pair))
-        live = live.withColumn("gone", F.max("take").over(of_unit))
-        state = materialise(live.withColumn("gone", F.max("gone").over(of_pair)), "assigned")
-        rounds.append(state.where("take").select(*cols.columns).distinct())
-        live = state.where("not gone").drop("take", "gone")
-        if live.isEmpty():
-            return functools.reduce(DataFrame.unionByName, rounds)
+    cols = corr.select("recording_id", "unit_ref", "unit_test", F.col("corr").cast("double").alias("corr"), F.col("lag").cast("long").alias("lag")).where("corr > 0")
+    rows = cols.groupBy("recording_id", "corr", F.col("unit_ref").alias("ref")).agg(F.sort_array(F.collect_list("unit_test")).alias("tests"))
+    taken = _take(rows.withColumn("place", F.lit(0)), within)
+    return taken.select("recording_id", F.col("ref").alias("unit_ref"), F.col("test").alias("unit_test"), "corr").join(cols, [*PAIR, "corr"]).select(*cols.columns).distinct()
+
+
+def _sides(ref: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(recording_id, unit_ref, a) and (recording_id, unit_test, b)."""
+    return tuple(df.select("recording_id", F.col("unit").alias(unit), F.col("sample_idx").alias(t)) for df, unit, t in ((ref, "unit_ref", "a"), (test, "unit_test", "b")))
 
 
 def agreement(ref: DataFrame, test: DataFrame, tol_spike: int, max_lag: int | None = None) -> DataFrame:
@@ -303,9 +459,7 @@ def agreement(ref: DataFrame, test: DataFrame, tol_spike: int, max_lag: int | No
     spikes do, in bins of the lag range.
     """
     _check(ref, test)
-    a = ref.select("recording_id", F.col("unit").alias("unit_ref"), F.col("sample_idx").alias("a"))
-    b = test.select("recording_id", F.col("unit").alias("unit_test"), F.col("sample_idx").alias("b"))
-    return _agree(a, b, tol_spike, max_lag, False)
+    return _agree(*_sides(ref, test), tol_spike, max_lag, False)
 
 
 def agreement_within(spikes: DataFrame, tol_spike: int, tol_train: int) -> DataFrame:
@@ -314,15 +468,13 @@ def agreement_within(spikes: DataFrame, tol_spike: int, tol_train: int) -> DataF
     Pairs are found at any lag; a best lag beyond tol_train counts as 0.
     """
     _check(spikes, spikes)
-    a = spikes.select("recording_id", F.col("unit").alias("unit_ref"), F.col("sample_idx").alias("a"))
-    b = spikes.select("recording_id", F.col("unit").alias("unit_test"), F.col("sample_idx").alias("b"))
-    return _agree(a, b, tol_spike, None, True, tol_train)
+    return _agree(*_sides(spikes, spikes), tol_spike, None, True, tol_train)
 
 
 def unit_pairs(a: DataFrame, b: DataFrame, tol: int, max_lag: int | None = None, within: bool = False) -> DataFrame:
     """(recording_id, unit_ref, unit_test, corr, lag): the units that belong together, by their best correlation at any lag, or up to max_lag."""
     if max_lag is None:
-        return assign_units(_best_at_any_lag(a, b, tol, within), within)
+        return _pairs_at_any_lag(a, b, tol, within)
     near = _pairs_within(a, b, ("recording_id",), max_lag + tol - 1)
     diffs = near.groupBy(*PAIR, (F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n"))
     if within:
@@ -354,7 +506,8 @@ def evaluate_run(truth: DataFrame, spikes: DataFrame, calib_samples: int, tol_sp
     The matching looks at every lag where max_lag is None.
     """
     early = F.col("sample_idx") < calib_samples
-    pairs = agreement(truth.where(early), spikes.where(early), tol_spike, max_lag).select("recording_id", "unit_ref", "unit_test")
+    _check(truth, spikes)
+    pairs = unit_pairs(*_sides(truth.where(early), spikes.where(early)), tol_spike, max_lag).select(*PAIR)
     pairs = materialise(pairs, "pairs")
     ref = truth.join(pairs.select("recording_id", F.col("unit_ref").alias("unit")), ["recording_id", "unit"])
     test = spikes.join(pairs.select("recording_id", F.col("unit_test").alias("unit"), "unit_ref"), ["recording_id", "unit"])

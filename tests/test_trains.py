@@ -1,5 +1,6 @@
 """Agreement against plain loops, and the edges of the metrics."""
 
+import functools
 import time
 import tracemalloc
 
@@ -260,3 +261,57 @@ def test_inst_rate_takes_no_task_for_each_unit(spark):
     out = tr.inst_discharge_rate(trains, lengths, 10, ("recording_id", "unit"))
     assert "GroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.unit for r in out.collect()} == {0}
+
+
+def assigned_by_hand(refs, tests, tol, within):
+    """(unit_ref, unit_test, corr, lag) of the pairs taken, largest correlation first, then by units."""
+    table = {}
+    for u, x in refs.items():
+        for v, y in tests.items():
+            if not within or u < v:
+                lag, corr = ag._best_of(np.array(x), np.array(y), tol)
+                table[-corr, u, v] = lag
+    out, used = set(), (set(), set())
+    for (down, u, v), lag in sorted(table.items()):
+        if u in used[0] or v in used[1] or (within and (u in used[1] or v in used[0])):
+            continue
+        used[0].add(u)
+        used[1].add(v)
+        out.add((u, v, float(-down), lag))
+    return out
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_pairs_are_assigned_in_waves_and_never_written(spark, monkeypatch, within):
+    for name, value in {"WAVE": 100, "BEST": 2, "SOME": 8, "UNITS": 12}.items():
+        monkeypatch.setattr(ag, name, value, raising=False)
+    written, write = [], ag.materialise
+    monkeypatch.setattr(ag, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    rng = np.random.default_rng(8)
+    some = lambda n: {u: sorted(set(rng.integers(0, 400, rng.integers(1, 9)).tolist())) for u in rng.permutation(1000)[:n].tolist()}
+    sets = {name: (refs := some(n), refs if within else some(m)) for name, n, m in (("r", 40, 33), ("s", 21, 30), ("t", 3, 2))}
+    table = lambda side: functools.reduce(lambda x, y: x.union(y), [spikes(spark, s[side], name) for name, s in sets.items()])
+    pairs = ag.unit_pairs(*ag._sides(table(0), table(1)), 3, within=within).collect()
+    for name, (refs, tests) in sets.items():
+        got = [(r.unit_ref, r.unit_test, r.corr, r.lag) for r in pairs if r.recording_id == name]
+        assert len(got) == len(set(got)) and set(got) == assigned_by_hand(refs, tests, 3, within)
+    assert max(df.count() for df in written) <= sum(len(s[0]) + len(s[1]) for s in sets.values())
+
+
+def test_equal_pairs_take_no_rounds(spark, monkeypatch):
+    written, write = [], ag.materialise
+    monkeypatch.setattr(ag, "materialise", lambda df, name: written.append(name) or write(df, name))
+    corr = spark.range(12).selectExpr("'r' AS recording_id", "id AS unit_ref").crossJoin(spark.range(12).selectExpr("id AS unit_test")).selectExpr("*", "3.0D AS corr", "unit_ref - unit_test AS lag")
+    got = sorted((r.unit_ref, r.unit_test, r.lag) for r in ag.assign_units(corr).collect())
+    assert got == [(u, u, 0) for u in range(12)]
+    got = sorted((r.unit_ref, r.unit_test) for r in ag.assign_units(corr.where("unit_ref < unit_test"), within=True).collect())
+    assert got == [(u, u + 1) for u in range(0, 12, 2)]
+    assert len(written) < 3
+
+
+def test_largest_correlations_of_blocks():
+    rng = np.random.default_rng(4)
+    for span, n, tol in ((4000, 13, 3), (40, 30, 2), (30, 60, 20), (1 << 40, 5, 200), (600, 700, 3), (900, 4, 1)):
+        xs, ys = ([rng.integers(0, span, rng.integers(1, n + 1)) for _ in range(7)] for _ in range(2))
+        want = [[c for _, c in ag._best_of_each(x, ys, tol)] for x in xs]
+        assert ag._best_corrs(xs, ys, tol).tolist() == want
