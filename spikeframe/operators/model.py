@@ -16,7 +16,8 @@ from . import packed
 from .adapt import OF_BATCH, OF_WHOLE, batch_covariances, delayed_moments, in_order
 from .frames import BLOCK, assign_batches, trim_edges
 
-
+#: Vectors that are made orthogonal together.
+VECTORS = 1024
 #: Entries of a sample from which on covariances add up as whole matrices, and matrices whose divergences are taken at once.
 WIDE, TOGETHER = 8, 64
 
@@ -401,20 +402,34 @@ def calibrate_full(signal: DataFrame, whitening: DataFrame, ext_fact: int, batch
 
 
 def orthonormalise(units: DataFrame) -> DataFrame:
-    """Each recording's vectors (recording_id, unit, w) made orthogonal to those before, of length 1; zeros for one that those before span."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit")
-        done: list[np.ndarray] = []
-        for w in pdf["w"]:
-            v = np.asarray(w, dtype=float)
-            for u in done:
-                v = v - (v @ u) * u
-            size = np.linalg.norm(v)
-            done.append(v / size if size > 1e-10 * np.linalg.norm(w) else np.zeros_like(v))
-        return pdf.assign(w=[d.tolist() for d in done])
-
-    return units.select("recording_id", "unit", "w").groupBy("recording_id").applyInPandas(fold, units.select("recording_id", "unit", "w").schema)
+    """Each recording's vectors (recording_id, unit, w) made orthogonal to those before, of length 1; zeros for one that those before span.
+
+    A recording's vectors pass as a stream: a task holds some of them and those that were no zeros, of which there are no more than a vector has entries.
+    """
+    types = dict(units.dtypes)
+    rows = units.select("recording_id", F.lit(0).alias("kind"), F.col("unit").alias("at"), F.col("w").cast("array<double>").alias("payload"))
+
+    def fold():
+        basis: list[np.ndarray] = []
+
+        def step(key, _kind, ats, payloads):
+            for begin in range(0, len(ats), VECTORS):
+                v = np.stack(payloads[begin : begin + VECTORS])
+                least, out = 1e-10 * np.linalg.norm(v, axis=1), np.zeros_like(v)
+                for u in basis:
+                    v = v - np.outer(v @ u, u)
+                i = 0
+                while len(new := np.flatnonzero(np.linalg.norm(v[i:], axis=1) > least[i:])):
+                    i += int(new[0])
+                    out[i] = v[i] / np.linalg.norm(v[i])
+                    basis.append(out[i].copy())
+                    i += 1
+                    v[i:] -= np.outer(v[i:] @ basis[-1], basis[-1])
+                yield from ((key, at, w) for at, w in zip(ats[begin : begin + VECTORS].tolist(), out, strict=True))
+
+        return step
+
+    return in_order(rows, fold, f"recording_id {types['recording_id']}, unit {types['unit']}, w array<double>").select(*[F.col(c).cast(types[c]).alias(c) for c in ("recording_id", "unit", "w")])
 
 
 def centroids(ipts: DataFrame, share: float = 0.9) -> DataFrame:

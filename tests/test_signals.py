@@ -1,5 +1,7 @@
 """Filters, adaptation and peaks against plain loops."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -493,3 +495,22 @@ def test_filters_take_no_task_for_each_chunk(spark):
     out = fl.apply(signal(spark, x), fl.butterworth("band", 2, (2.0, 20.0), 100.0), 64)
     assert "GroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
     assert np.allclose(array(out), loop(fl.butterworth("band", 2, (2.0, 20.0), 100.0), x))
+
+
+def test_vectors_of_one_recording_take_no_time_with_their_square(spark):
+    rng = np.random.default_rng(6)
+    few = rng.normal(size=(5, 4))
+    rows = {"r": np.vstack([few[:2], few[0] + few[1], np.zeros(4), few[2:], rng.normal(size=(20_000, 4))]), "s": np.array([[3.0, 4.0], [6.0, 8.0], [0.0, 1.0]])}
+    df = spark.createDataFrame([(name, u, w.tolist()) for name, ws in rows.items() for u, w in enumerate(ws)], "recording_id string, unit int, w array<double>").cache()
+    df.count()
+    began = time.time()
+    got = {(r.recording_id, r.unit): r.w for r in md.orthonormalise(df).collect()}
+    assert time.time() - began < 30
+    for name, ws in rows.items():
+        done = []
+        for u, w in enumerate(ws[:60]):
+            v = w - sum(((w @ b) * b for b in done), np.zeros_like(w))
+            size = np.linalg.norm(v)
+            done += [v / size] if size > 1e-10 * np.linalg.norm(w) else []
+            assert np.allclose(got[name, u], v / size if size > 1e-10 * np.linalg.norm(w) else 0)
+        assert len(done) == len(w) and sum(any(got[name, u]) for u in range(len(ws))) == len(w)
