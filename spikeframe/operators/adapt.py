@@ -309,6 +309,11 @@ def together(runs: list[Run]) -> Runs | OneByOne:
     return Runs(runs) if Runs.fit(runs) else OneByOne(runs)
 
 
+def delayed(whole: np.ndarray, ext_fact: int) -> np.ndarray:
+    """Extended rows of raw samples, of which the first ext_fact - 1 only come before."""
+    return np.hstack([whole[ext_fact - 1 - i : len(whole) - i] for i in range(ext_fact)])
+
+
 class Delays:
     """Raw samples to extended ones, batch by batch; rows that reach before the recording are left out."""
 
@@ -325,7 +330,7 @@ class Delays:
         if self.tail is None:
             self.tail = np.zeros((depth, raw.shape[1]))
         whole = np.concatenate([self.tail, raw])
-        x = np.hstack([whole[depth - i : len(whole) - i] for i in range(p.ext_fact)])
+        x = delayed(whole, p.ext_fact)
         skip = min(len(raw), p.ext_fact) if self.next == 0 else 0
         self.tail, self.next = whole[len(whole) - depth :], self.next + 1
         return x[skip:], skip
@@ -658,11 +663,12 @@ def _sample_rows(signal: DataFrame) -> DataFrame:
     return signal.select("recording_id", F.lit(2).alias("kind"), F.col("sample_idx").alias("at"), F.col("channels").alias("payload"))
 
 
-WHITENED = "recording_id string, batch_idx long, first long, n int, z array<double>, wh_loss double, w array<double>, c array<double>"
+#: z, or where that is shorter the samples it is made of (those before the batch first) with the whitening that makes it.
+WHITENED = "recording_id string, batch_idx long, first long, n int, z array<double>, width int, raw array<double>, by array<double>, wh_loss double, w array<double>, c array<double>"
 
 
 def whitened_batches(signal: DataFrame, start: DataFrame, p: Params, snapshots: int | None = None) -> DataFrame:
-    """A row for each batch: its samples whitened (flat) by the course that the whitening takes alone, from sample ``first`` on.
+    """A row for each batch: its samples whitened (flat, see whitened_of) by the course that the whitening takes alone, from sample ``first`` on.
 
     Vectors and thresholds of units never reach the whitening, so that this is the part of the adaptation that a recording's
     units share. snapshots: as in adaptive_steps.
@@ -676,11 +682,15 @@ def whitened_batches(signal: DataFrame, start: DataFrame, p: Params, snapshots:
         def done(key: str, batch: int, raw: np.ndarray) -> Iterator[tuple]:
             if delays.tail is None:
                 delays.start(batch)
+            before = np.zeros((p.ext_fact - 1, raw.shape[1])) if delays.tail is None else delays.tail
             x, skip = delays.batch(raw)
             if len(x):
                 out = run.whiten(x)
                 kept = (out["w"].ravel(), out["c"].ravel()) if snapshots is not None and batch % snapshots == 0 else (None, None)
-                yield key, batch, batch * p.batch_size + skip, len(x), out["z"].ravel(), _null(out["wh_loss"]), *kept
+                whole = np.concatenate([before, raw])
+                short = whole.size + out["w"].size < out["z"].size
+                samples = (None, raw.shape[1], whole.ravel(), out["w"].ravel()) if short else (out["z"].ravel(), raw.shape[1], None, None)
+                yield key, batch, batch * p.batch_size + skip, len(x), *samples, _null(out["wh_loss"]), *kept
 
         def step(key, kind, ats, payloads):
             nonlocal run
@@ -700,6 +710,14 @@ def whitened_batches(signal: DataFrame, start: DataFrame, p: Params, snapshots:
     return in_order(rows, fold, WHITENED)
 
 
+def whitened_of(n: int, width: int, ext_fact: int, by: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The n whitened samples of a batch: values are they themselves, or with a whitening ``by`` the raw samples."""
+    if not len(by):
+        return values.reshape(n, -1)
+    raw = values.reshape(-1, width)
+    return delayed(raw, ext_fact)[-n:] @ by.reshape(-1, width * ext_fact).T
+
+
 def separated_batches(whitened: DataFrame, units: DataFrame, p: Params, units_per_task: int) -> DataFrame:
     """STEP rows of the units over whitened batches (whitened_batches): units are dealt to groups, each of which goes through the batches by itself."""
     of = units.groupBy("recording_id").agg(F.count("*").alias("__n"))
@@ -709,7 +727,9 @@ def separated_batches(whitened: DataFrame, units: DataFrame, p: Params, units_pe
     mine = units.withColumn("group", F.floor(nth / units_per_task).cast("int")).withColumn("recording_id", name)
     head = _unit_payloads(mine)
     each = whitened.join(groups, "recording_id").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    payload = F.concat(F.array(F.col("first").cast("double"), F.col("n").cast("double")), "z")
+    of_batch = [F.col("first"), F.col("n"), F.col("width"), F.when(F.col("by").isNull(), F.lit(0)).otherwise(F.size("by"))]
+    made = F.when(F.col("z").isNotNull(), F.col("z")).otherwise(F.concat("by", "raw"))
+    payload = F.concat(F.array(*[c.cast("double") for c in of_batch]), made)
     body = each.select(name, F.lit(2).alias("kind"), F.col("batch_idx").alias("at"), payload.alias("payload"))
 
     def fold():
@@ -720,8 +740,8 @@ def separated_batches(whitened: DataFrame, units: DataFrame, p: Params, units_pe
                 run.units += [_unit_of(u) for u in payloads]
             elif kind == 2:
                 for batch, row in zip(ats.tolist(), payloads, strict=True):
-                    first, n = int(row[0]), int(row[1])
-                    made = run.separate(np.asarray(row[2:]).reshape(n, -1))
+                    first, n, width, of_by = (int(v) for v in row[:4])
+                    made = run.separate(whitened_of(n, width, p.ext_fact, row[4 : 4 + of_by], row[4 + of_by :]))
                     yield from unit_rows(key.split("|", 1)[1], 0, batch, np.arange(first, first + n), made)
 
         return step
@@ -744,7 +764,7 @@ def decompose_adaptive(signal: DataFrame, start: DataFrame, units: DataFrame, p:
     of_units = materialise(separated_batches(whitened, units, p, units_per_task), "unit-steps")
     added = of_units.groupBy("recording_id", "batch_idx").agg(F.sum("sv_loss").alias("sv"))
     total = (F.coalesce("wh_loss", F.lit(1e10)) + F.coalesce("sv", F.lit(0.0))) if p.compute_loss else F.lit(None).cast("double")
-    of_batches = whitened.drop("z").join(added, ["recording_id", "batch_idx"], "left").withColumn("total_loss", total)
+    of_batches = whitened.drop("z", "width", "raw", "by").join(added, ["recording_id", "batch_idx"], "left").withColumn("total_loss", total)
     return outputs_of(of_units, of_batches)
 
 

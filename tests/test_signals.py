@@ -514,3 +514,22 @@ def test_vectors_of_one_recording_take_no_time_with_their_square(spark):
             done += [v / size] if size > 1e-10 * np.linalg.norm(w) else []
             assert np.allclose(got[name, u], v / size if size > 1e-10 * np.linalg.norm(w) else 0)
         assert len(done) == len(w) and sum(any(got[name, u]) for u in range(len(ws))) == len(w)
+
+
+def test_whitened_batches_are_as_short_as_they_can_be(spark):
+    """A batch goes to each unit's task: as raw samples with their whitening, or whitened where that is shorter."""
+    rng = np.random.default_rng(33)
+    x, p = rng.normal(size=(230, 2)), ad.Params(batch_size=50, ext_fact=3, spike_dist=4)
+    w, c, units = a_model(6, 6, rng)
+    start = model_tables(spark, w, c, units, (2.0, 0.7), "r")[0]
+    rows = ad.whitened_batches(signal(spark, x), start, p).orderBy("batch_idx").collect()
+    assert len(rows) == 5
+    of_row = lambda r: sum(len(v) for k, v in r.asDict().items() if isinstance(v, list) and k in ("z", "raw", "by"))
+    assert all(of_row(r) <= 52 * 2 + 36 < 300 for r in rows)
+    z = rows[0]
+    made = ad.whitened_of(z.n, z.width, 3, np.array(z.by), np.array(z.raw))
+    wide = np.hstack([np.vstack([np.zeros((i, 2)), x])[: len(x)] for i in range(3)])
+    assert np.allclose(made, wide[3:50] @ np.array(z.by).reshape(6, 6).T) and len(made) == 47
+    assert np.array_equal(ad.whitened_of(47, 2, 3, np.empty(0), made.ravel()), made)
+    few = ad.with_params(p, batch_size=6)
+    assert all(r.z is not None and r.by is None for r in ad.whitened_batches(signal(spark, x), start, few).collect())
