@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import adapt as ad
+from ..operators import packed
 from ..sources import fixtures as fx
 from ..sources import recordings as rec
 from ..sources.storage import shared_folder
@@ -106,9 +107,9 @@ def stream_trajectory(spark, d):
 @query(pa.ADAPTED_SPIKES)
 def replay_snapshots(spark, d):
     """The rows of decompose_adaptive again, from the stored snapshots of every third batch."""
-    sig, start, units = pa.start_model(spark, d)
-    ran = ad.decompose_adaptive(sig, start, units, pa.PARAMS, snapshots=3)
-    out = ad.replay(sig, start, units, ran["model_whitening"], ran["model_units"], pa.PARAMS)
+    packs, start, units = pa.start_packed(spark, d)
+    ran = ad.decompose_adaptive(packs, start, units, pa.PARAMS, snapshots=3)
+    out = ad.replay(packed.unpack(packs), start, units, ran["model_whitening"], ran["model_units"], pa.PARAMS)
     return out["spikes"].select("recording_id", "unit", "batch_idx", "sample_idx")
 
 

@@ -533,3 +533,17 @@ def test_whitened_batches_are_as_short_as_they_can_be(spark):
     assert np.array_equal(ad.whitened_of(47, 2, 3, np.empty(0), made.ravel()), made)
     few = ad.with_params(p, batch_size=6)
     assert all(r.z is not None and r.by is None for r in ad.whitened_batches(signal(spark, x), start, few).collect())
+
+
+def test_the_run_that_is_replayed_reads_packs(spark, monkeypatch):
+    from spikeframe.plans import streams
+
+    class Seen(Exception):
+        pass
+
+    def run(signal, *_args, **_more):
+        raise Seen(signal.columns)
+
+    monkeypatch.setattr(streams.ad, "decompose_adaptive", run)
+    with pytest.raises(Seen, match="values"):
+        streams.QUERIES["replay_snapshots"](spark, "/root/testdata/sf0.001")
